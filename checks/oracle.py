@@ -1,0 +1,378 @@
+"""DuckDB SQL for every registered query, over the same given tables.
+
+``PRELUDE`` derives the school tables, the builders below state each report on them.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from checks.parameters import AS_OF, ATTENDANCE_RANGE, BUCKETS, RANGE
+
+PRELUDE = """
+WITH te AS (
+  SELECT o_custkey::INTEGER AS "studentId", (l_suppkey % 4)::INTEGER AS "staffId",
+    (l_partkey % 24)::INTEGER AS "taskId",
+    ['NA', 'WO', 'NM', 'MA'][l_linenumber % 4 + 1] AS "evaluationId",
+    CASE l_returnflag WHEN 'R' THEN 'FP' WHEN 'A' THEN 'EV' WHEN 'N' THEN 'AS' END AS "evaluationTypeId",
+    l_shipdate + to_hours(l_orderkey % 24) AS "evaluationDate",
+    (l_linenumber % 2)::INTEGER AS "propertyId",
+    CASE WHEN l_linenumber <> 7 THEN 'note-' || l_orderkey END AS note,
+    (l_linestatus = 'F' AND l_quantity >= 49) AS "flagAdministrator",
+    concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER,
+              l_shipdate::DATE) AS "changeId"
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+attendance AS (
+  SELECT (user_id * 10 + event_id % 10)::INTEGER AS "studentId", (event_id % 4)::INTEGER AS "staffId",
+    ts::DATE::TIMESTAMP AS "attendanceDate",
+    CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 3 ELSE 1 END AS "attendanceStatusId",
+    event_type AS note, (event_type = 'signup' AND event_id % 10 = 0) AS "flagAdministrator",
+    event_id::VARCHAR AS "changeId"
+  FROM events),
+students AS (
+  SELECT c_custkey::INTEGER AS "studentId", c_mktsegment AS "lastName", 'F' || (c_custkey % 40) AS "firstName",
+    DATE '2005-01-01' + (c_custkey * 37 % 5000)::INTEGER AS "dateOfBirth"
+  FROM customer),
+staff AS (
+  SELECT s_suppkey::INTEGER AS "staffId", 'T' || s_nationkey AS "lastName", s_name AS "firstName",
+    s_suppkey::INTEGER AS "userId"
+  FROM supplier),
+staff_students AS (
+  SELECT DISTINCT "staffId", "studentId" FROM te WHERE ("studentId" + "staffId") % 5 <> 0),
+tasks AS (
+  SELECT p_partkey::INTEGER AS "taskId", p_name || ' ' || p_partkey AS "taskName",
+    p_partkey % 6 AS "subjectCategoryId", p_partkey % 5 AS "reportCardCategoryId"
+  FROM part),
+catalog AS (
+  SELECT t.*, 'cat' || t."subjectCategoryId" AS "subjectCategoryName",
+    (t."subjectCategoryId" % 3)::INTEGER AS "subjectId",
+    'subject' || (t."subjectCategoryId" % 3) AS "subjectName",
+    'grade' || (t."subjectCategoryId" % 3 % 2) AS "gradeLevelName",
+    'area' || t."reportCardCategoryId" AS "reportCardCategoryName"
+  FROM tasks t),
+evaluations("evaluationId", "evaluationDescription", "evaluationValue") AS (
+  VALUES ('NN', 'Not needed', 0), ('NA', 'Not attempted', 0), ('WO', 'Working on', 4),
+         ('NM', 'Near mastery', 7), ('MA', 'Mastered', 10)),
+evaluation_types("evaluationTypeId", "evaluationTypeDescription") AS (
+  VALUES ('FP', 'First presentation'), ('EV', 'Evaluation'), ('AS', 'Assignment')),
+property("propertyId", property) AS (VALUES (0, 'school'), (1, 'home')),
+age_groups("ageGroupId", lower, upper, "ageGroupDescription") AS (
+  VALUES (1, 5, 10, 'five to nine'), (2, 10, 15, 'ten to fourteen'), (3, 15, 20, 'fifteen up')),
+grades("rangeBottom", "rangeTop", "gradeLetter") AS (
+  VALUES (0, 3, 'D'), (4, 5, 'C'), (7, 8, 'B'), (9, 10, 'A')),
+users AS (
+  SELECT n_nationkey::INTEGER AS "userId", CASE WHEN n_nationkey % 5 = 0 THEN 'A' ELSE 'T' END AS "userType"
+  FROM nation),
+steps AS (SELECT t::INTEGER AS t FROM range(2, 24) r(t) WHERE t % 7 <> 0),
+individual_edges AS (
+  SELECT "studentId", t - 2 AS "prerequisiteTaskId", t AS "suggestedTaskId", t + 30 AS days, 'MA' AS minimum
+  FROM students, steps WHERE (t + "studentId") % 3 <> 0),
+benchmark_edges AS (
+  SELECT "ageGroupId", t - 2 AS "prerequisiteTaskId", t AS "suggestedTaskId", t + 30 AS days, 'MA' AS minimum
+  FROM age_groups, steps WHERE (t + "ageGroupId") % 3 <> 0)
+"""
+
+
+def _name(alias: str) -> str:
+    return f"""{alias}."lastName" || ', ' || {alias}."firstName\""""
+
+
+def _date(day: dt.date) -> str:
+    return f"DATE '{day.isoformat()}'"
+
+
+def _age(as_of: dt.date = AS_OF) -> str:
+    return f"""date_part('year', age({_date(as_of)}::TIMESTAMP, "dateOfBirth"::TIMESTAMP))"""
+
+
+def _between(column: str, start: dt.date | None, end: dt.date | None) -> str:
+    bounds = [f"{column} IS NOT NULL"]
+    if start:
+        bounds.append(f"{column} >= {_date(start)}::TIMESTAMP")
+    if end:
+        bounds.append(f"{column} <= {_date(end)}::TIMESTAMP")
+    return " AND ".join(bounds)
+
+
+LATEST = """(
+  SELECT * EXCLUDE (last_date) FROM (
+    SELECT *, max("evaluationDate") OVER (PARTITION BY "staffId", "studentId", "taskId") AS last_date
+    FROM te)
+  WHERE "evaluationDate" = last_date)"""
+
+
+def report_card(start=None, end=None, student_id=0) -> str:
+    scope = f'AND e."studentId" = {student_id}' if student_id else ""
+    return PRELUDE + f""", means AS (
+      SELECT {_name("s")} AS student, {_name("f")} AS teacher, c."reportCardCategoryName",
+        c."subjectId", c."subjectName", round(avg(v."evaluationValue")) AS task_average
+      FROM te e JOIN evaluations v USING ("evaluationId") JOIN catalog c USING ("taskId")
+        JOIN students s USING ("studentId") JOIN staff f USING ("staffId")
+      WHERE e."evaluationTypeId" = 'EV' AND {_between('e."evaluationDate"', start, end)} {scope}
+      GROUP BY ALL)
+    SELECT student, teacher, "subjectName", "reportCardCategoryName",
+      task_average, "rangeBottom", "rangeTop", "gradeLetter" AS "letterGrade"
+    FROM means JOIN grades ON task_average BETWEEN "rangeBottom" AND "rangeTop"
+    """
+
+
+def attendance_counts(start=None, end=None) -> str:
+    return f"""
+      SELECT "studentId", count(*) FILTER ("attendanceStatusId" = 2)::INTEGER AS "absentCount",
+        count(*) FILTER ("attendanceStatusId" = 3)::INTEGER AS "lateCount"
+      FROM attendance WHERE {_between('"attendanceDate"', start, end)}
+      GROUP BY "studentId"
+      HAVING "absentCount" > 0 AND "lateCount" > 0"""
+
+
+def student_attendance(start=None, end=None) -> str:
+    return PRELUDE + f"""
+    SELECT "absentCount", "lateCount", {_age()}::DOUBLE AS age, {_name("s")} AS student, "studentId"
+    FROM ({attendance_counts(start, end)}) JOIN students s USING ("studentId")
+    """
+
+
+DETAIL_COLUMNS = (
+    'teacher, age, student, "gradeLevelName", "subjectName", "taskName", "evaluationDescription", '
+    '"evaluationValue", "evaluationDate", days_micros, property, "lateCount", "absentCount", '
+    '"evaluationTypeDescription", "studentId", "staffId", "subjectId", "taskId"'
+)
+
+
+def task_detail(latest=False, start=None, end=None, staff_id=0, subject_id=0) -> str:
+    staff = f'AND e."staffId" = {staff_id}' if staff_id else ""
+    subject = f'AND c."subjectId" = {subject_id}' if subject_id else ""
+    return PRELUDE + f""", counts AS ({attendance_counts(start, end)}), detail AS (
+      SELECT {_name("f")} AS teacher, {_age()}::DOUBLE AS age, {_name("s")} AS student,
+        c.*, v.*, e.*, p.property, "lateCount", "absentCount", "evaluationTypeDescription",
+        epoch_us("evaluationDate") - epoch_us(TIMESTAMP '1900-01-01') AS days_micros
+      FROM {LATEST if latest else "te"} e JOIN staff f ON f."staffId" = e."staffId"
+        JOIN students s ON s."studentId" = e."studentId"
+        JOIN catalog c ON c."taskId" = e."taskId"
+        JOIN evaluations v ON v."evaluationId" = e."evaluationId"
+        JOIN property p ON p."propertyId" = e."propertyId"
+        JOIN evaluation_types y ON y."evaluationTypeId" = e."evaluationTypeId"
+        JOIN counts n ON n."studentId" = e."studentId"
+      WHERE {_between('"evaluationDate"', start, end)} {staff} {subject})
+    SELECT {DETAIL_COLUMNS} FROM detail
+    """
+
+
+def task_summary(start=None, end=None, staff_id=None, subject_id=0) -> str:
+    staff = f'AND e."staffId" = {staff_id}' if staff_id is not None else ""
+    subject = f'AND c."subjectId" = {subject_id}' if subject_id else ""
+    return PRELUDE + f"""
+    SELECT {_name("f")} AS teacher, c."gradeLevelName", c."subjectName", c."taskName",
+      avg(v."evaluationValue") AS "evaluationAverage", f."staffId", c."subjectId"
+    FROM {LATEST} e JOIN evaluations v USING ("evaluationId") JOIN staff f USING ("staffId")
+      JOIN catalog c USING ("taskId") JOIN students s USING ("studentId")
+      JOIN staff_students r ON r."staffId" = e."staffId" AND r."studentId" = e."studentId"
+    WHERE {_between('"evaluationDate"', start, end)} {staff} {subject}
+    GROUP BY ALL
+    """
+
+
+def _path(kind: str, subject_id: int) -> str:
+    """CTE ``path``: raw edges of the owner's path and its virtual roots."""
+    subject = f"""AND c."subjectId" = {subject_id}""" if subject_id else ""
+    if kind == "individual":
+        edges = """SELECT NULL AS age, NULL AS "ageGroupDescription", i.* FROM individual_edges i"""
+        root_days = "e.days"
+    else:
+        edges = f"""SELECT a.age, g."ageGroupDescription", a."studentId", b.* EXCLUDE ("ageGroupId")
+          FROM (SELECT "studentId", {_age()}::INTEGER AS age FROM students) a
+            JOIN age_groups g ON a.age >= g.lower AND a.age < g.upper
+            JOIN benchmark_edges b USING ("ageGroupId")"""
+        root_days = "1"
+    return f""", edges AS ({edges}), raw AS (
+      SELECT e.age, e."ageGroupDescription", e."studentId", e."prerequisiteTaskId", e."suggestedTaskId",
+        e.days, e.minimum, v."evaluationValue" AS "minimumEvaluationValue",
+        q."taskName" AS "prerequisiteTaskName", c."taskName", c."subjectCategoryName", c."subjectName",
+        c."gradeLevelName"
+      FROM edges e JOIN catalog c ON c."taskId" = e."suggestedTaskId" {subject}
+        JOIN tasks q ON q."taskId" = e."prerequisiteTaskId"
+        JOIN evaluations v ON v."evaluationId" = e.minimum),
+    path AS (
+      SELECT e.age, e."ageGroupDescription", e."studentId", e."prerequisiteTaskId",
+        e."prerequisiteTaskId" AS "suggestedTaskId", {root_days} AS days, 'NN' AS minimum,
+        0 AS "minimumEvaluationValue", 'NA' AS "prerequisiteTaskName", c."taskName",
+        c."subjectCategoryName", c."subjectName", c."gradeLevelName"
+      FROM edges e JOIN catalog c ON c."taskId" = e."prerequisiteTaskId" {subject}
+      WHERE NOT EXISTS (FROM raw r WHERE r."studentId" = e."studentId"
+                        AND r."suggestedTaskId" = e."prerequisiteTaskId")
+      UNION SELECT * FROM raw)"""
+
+
+def _first(kind: str) -> str:
+    checks = ""
+    if kind == "benchmark":
+        checks = """AND "evaluationId" IN (SELECT "evaluationId" FROM evaluations)
+          AND "evaluationTypeId" IN (SELECT "evaluationTypeId" FROM evaluation_types)
+          AND "staffId" IN (SELECT "staffId" FROM staff)
+          AND "studentId" IN (SELECT "studentId" FROM students)"""
+    return f"""SELECT "studentId", "staffId", "taskId", "evaluationDate" AS "firstPresentationDate",
+      "evaluationTypeId" FROM te WHERE "evaluationTypeId" = 'FP' {checks}"""
+
+
+def _progress_columns(where: str, delimiter: str = "") -> str:
+    seconds = (
+        """(epoch(coalesce(a."evaluationDate", TIMESTAMP '1900-01-01'))"""
+        """ - epoch(coalesce(p1."firstPresentationDate", TIMESTAMP '1900-01-01'))::BIGINT)"""
+    )
+    elapsed = f"({seconds} / 86400)::INTEGER"
+    return f"""SELECT {delimiter} p."minimumEvaluationValue", p."prerequisiteTaskName", p."taskName",
+      p."subjectCategoryName", p."subjectName", p."gradeLevelName", p."studentId",
+      p."prerequisiteTaskId", p."suggestedTaskId", p.days::INTEGER AS "recommededDaysToComplete",
+      coalesce(a."taskId", 0) AS "taskId",
+      coalesce({_name("f")}, '(incomplete)') AS teacher,
+      coalesce({_name("s")}, '(incomplete)') AS student,
+      coalesce("evaluationDescription", '(incomplete)') AS "evaluationDescription",
+      coalesce("evaluationTypeDescription", '(incomplete)') AS "evaluationTypeDescription",
+      coalesce(a."evaluationDate", TIMESTAMP '1900-01-01') AS "evaluationDate",
+      coalesce("evaluationValue", 0) AS "evaluationValue",
+      coalesce(p1."firstPresentationDate", TIMESTAMP '1900-01-01') AS "firstPresentationDate",
+      {elapsed} AS "daysToComplete", p.days::INTEGER - {elapsed} AS "differenceDaysToComplete"
+    FROM path p
+      LEFT JOIN attempts a ON a."taskId" = p."suggestedTaskId" AND a."studentId" = p."studentId"
+      LEFT JOIN first p1 ON p1."staffId" = a."staffId" AND p1."studentId" = a."studentId"
+        AND p1."taskId" = a."taskId"
+      LEFT JOIN staff f ON f."staffId" = a."staffId"
+      LEFT JOIN students s ON s."studentId" = a."studentId"
+      LEFT JOIN evaluation_types y ON y."evaluationTypeId" = a."evaluationTypeId"
+      LEFT JOIN evaluations v ON v."evaluationId" = a."evaluationId"
+    {where}"""
+
+
+def _progress_tables(kind: str, latest: bool, start, end, subject_id: int) -> str:
+    return PRELUDE + _path(kind, subject_id) + f""", first AS ({_first(kind)}), attempts AS (
+      SELECT * FROM {LATEST if latest else "te"} t WHERE {_between('"evaluationDate"', start, end)})
+    """
+
+
+def progress(kind: str, latest=False, start=None, end=None, subject_id=0) -> str:
+    where = 'WHERE a."evaluationDate" IS NOT NULL' if start and end else ""
+    return _progress_tables(kind, latest, start, end, subject_id) + _progress_columns(where)
+
+
+def progress_multidate(kind: str, latest=False, buckets=BUCKETS, subject_id=0) -> str:
+    parts = []
+    for number, (start, end) in enumerate(buckets, 1):
+        where = "WHERE false"
+        if start and end:
+            where = f"""WHERE a."evaluationDate" BETWEEN {_date(start)}::TIMESTAMP
+              AND {_date(end)}::TIMESTAMP"""
+        parts.append(_progress_columns(where, f"{number} AS delimiter,"))
+    return _progress_tables(
+        kind, latest, buckets[0][0], buckets[-1][1], subject_id
+    ) + " UNION ".join(parts)
+
+
+def path_with_roots(kind: str) -> str:
+    owner = 'age, "ageGroupDescription",' if kind == "benchmark" else ""
+    return PRELUDE + _path(kind, 0) + f"""
+    SELECT {owner} "studentId", "prerequisiteTaskId", "suggestedTaskId", days::INTEGER AS "daysToComplete",
+      minimum AS "minimumEvaluationId", "minimumEvaluationValue", "prerequisiteTaskName", "taskName",
+      "subjectCategoryName", "subjectName", "gradeLevelName"
+    FROM path"""
+
+
+PEOPLE = """'Teacher-' || f."lastName" || '/' || f."firstName" || ' - Student-' || s."lastName" || '/' || s."firstName" || ' - '"""
+
+
+def attendance_messages() -> str:
+    return PRELUDE + f"""
+    SELECT 'attendance:' || "changeId" AS "messageId", f."userId" AS "senderUserId", {PEOPLE} || note AS text
+    FROM attendance a LEFT JOIN staff f ON f."staffId" = a."staffId"
+      LEFT JOIN students s ON s."studentId" = a."studentId"
+    WHERE "flagAdministrator" """
+
+
+def evaluation_messages() -> str:
+    return PRELUDE + f"""
+    SELECT 'task_evaluation:' || "changeId" AS "messageId", f."userId" AS "senderUserId",
+      {PEOPLE} || 'Evaluation-' || "evaluationDescription" || '(' || "evaluationValue" || ') - '
+        || "taskName" || ' - ' || note AS text
+    FROM te a LEFT JOIN staff f ON f."staffId" = a."staffId"
+      LEFT JOIN students s ON s."studentId" = a."studentId"
+      LEFT JOIN evaluations v ON v."evaluationId" = a."evaluationId"
+      LEFT JOIN tasks t ON t."taskId" = a."taskId"
+    WHERE "flagAdministrator" """
+
+
+def user_messages(table: str, source: str) -> str:
+    return PRELUDE + f"""
+    SELECT '{source}:' || "changeId" AS "messageId", "userId" AS "recipientUserId"
+    FROM {table}, users WHERE "flagAdministrator" AND "userType" = 'A'"""
+
+
+def stored(table: str) -> str:
+    return PRELUDE + f"""
+    SELECT * REPLACE (CASE WHEN "flagAdministrator" THEN false ELSE "flagAdministrator" END
+      AS "flagAdministrator") FROM {table}"""
+
+
+def _violations(rows: str, *keys: str) -> str:
+    columns = ", ".join(f'"{key}"' for key in keys)
+    present = " AND ".join(f'"{key}" IS NOT NULL' for key in keys)
+    return f"""SELECT {columns}, count(*) AS copies FROM ({rows}) WHERE {present}
+      GROUP BY {columns} HAVING count(*) > 1"""
+
+
+def statements() -> dict[str, str]:
+    return {
+        "report_card_all": report_card(),
+        "report_card_dated": report_card(*RANGE),
+        "student_attendance_all": student_attendance(),
+        "student_attendance_dated": student_attendance(*ATTENDANCE_RANGE),
+        "task_detail_all": task_detail(),
+        "task_detail_latest_all": task_detail(latest=True),
+        "task_summary_all": task_summary(),
+        "task_summary_dated": task_summary(*RANGE),
+        "progress_individual_all": progress("individual"),
+        "progress_individual_latest": progress("individual", latest=True),
+        "progress_individual_dated": progress("individual", False, *RANGE),
+        "progress_individual_from_only": progress("individual", start=RANGE[0]),
+        "progress_individual_latest_dated": progress("individual", True, *RANGE),
+        "progress_individual_multidate": progress_multidate("individual"),
+        "progress_individual_multidate_latest": progress_multidate("individual", latest=True),
+        "progress_benchmark_all": progress("benchmark"),
+        "progress_benchmark_latest": progress("benchmark", latest=True),
+        "progress_benchmark_dated": progress("benchmark", False, *RANGE),
+        "progress_benchmark_multidate": progress_multidate("benchmark"),
+        "progress_benchmark_multidate_latest": progress_multidate("benchmark", latest=True),
+        "first_presentations": PRELUDE + _first("individual"),
+        "first_presentations_validated": PRELUDE + _first("benchmark"),
+        "latest_attempts": PRELUDE + f"SELECT * FROM {LATEST}",
+        "attempts_in_range": PRELUDE + f"""SELECT * FROM te
+          WHERE {_between('"evaluationDate"', *RANGE)}""",
+        "individual_path_with_roots": path_with_roots("individual"),
+        "benchmark_path_with_roots": path_with_roots("benchmark"),
+        "attendance_counts": PRELUDE + attendance_counts(),
+        "age_bands": PRELUDE + f"""
+          SELECT "studentId", age, "ageGroupId", "ageGroupDescription"
+          FROM (SELECT "studentId", {_age()}::INTEGER AS age FROM students)
+            JOIN age_groups ON age >= lower AND age < upper""",
+        "date_buckets": PRELUDE + " UNION ALL ".join(
+            f"""SELECT {number} AS delimiter, * FROM te
+              WHERE {_between('"evaluationDate"', start, end)}"""
+            for number, (start, end) in enumerate(BUCKETS, 1)
+        ),
+        "grade_bands": PRELUDE + """
+          SELECT "changeId", "evaluationValue", "rangeBottom", "rangeTop", "gradeLetter"
+          FROM te JOIN evaluations USING ("evaluationId")
+            JOIN grades ON "evaluationValue" BETWEEN "rangeBottom" AND "rangeTop" """,
+        "attempt_key_violations": PRELUDE
+        + _violations("SELECT * FROM te", "taskId", "studentId", "evaluationDate"),
+        "first_presentation_key_violations": PRELUDE
+        + _violations(_first("individual"), "taskId", "studentId", "firstPresentationDate"),
+        "path_key_violations": PRELUDE + _path("individual", 0)
+        + _violations("SELECT * FROM path", "studentId", "suggestedTaskId"),
+        "roster_key_violations": PRELUDE
+        + _violations("""SELECT "staffId", "studentId" FROM te""", "staffId", "studentId"),
+        "attendance_alert_messages": attendance_messages(),
+        "attendance_alert_user_messages": user_messages("attendance", "attendance"),
+        "attendance_cleaned": stored("attendance"),
+        "evaluation_alert_messages": evaluation_messages(),
+        "evaluation_alert_user_messages": user_messages("te", "task_evaluation"),
+        "evaluation_cleaned": stored("te"),
+    }

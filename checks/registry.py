@@ -1,0 +1,153 @@
+"""The registered queries: every report and operator over the whole given tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from checks.parameters import AS_OF, ATTENDANCE_RANGE, BUCKETS, RANGE
+from tasktrail import plans
+from tasktrail.functions.filters import in_date_range
+from tasktrail.operators.attempts import LOOKUPS, first_presentations, latest_attempts
+from tasktrail.operators.attendance import attendance_counts
+from tasktrail.operators.bands import age_bands, grade_bands
+from tasktrail.operators.keys import ATTEMPT_MOMENT, FIRST_MOMENT, PATH_STEP, key_violations
+from tasktrail.operators.lookups import attach
+from tasktrail.operators.paths import benchmark_path, describe_path, individual_path
+from tasktrail.operators.progress import date_buckets
+from tasktrail.sources.school import School
+from tasktrail.sources.tpch_school import derive_school
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_SCHOOLS: dict[tuple[str, str], School] = {}
+
+
+def school_of(spark: SparkSession, folder: str) -> School:
+    """The derived school of a folder, once per Spark application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SCHOOLS:
+        _SCHOOLS[key] = derive_school(spark, folder)
+    return _SCHOOLS[key]
+
+
+def _micros(interval: str) -> Column:
+    hours = F.extract(F.lit("DAY"), interval) * 24 + F.extract(F.lit("HOUR"), interval)
+    minutes = hours * 60 + F.extract(F.lit("MINUTE"), interval)
+    seconds = F.extract(F.lit("SECOND"), interval)
+    return (minutes.cast("long") * 60_000_000 + (seconds * 1_000_000).cast("long")).cast("long")
+
+
+def _with_micros(detail: DataFrame) -> DataFrame:
+    """Engines hash intervals differently, so the check compares microseconds."""
+    return detail.withColumn("days_micros", _micros("days")).drop("days")
+
+
+def _age_bands(school: School) -> DataFrame:
+    banded = age_bands(school.students, school, AS_OF)
+    return banded.select("studentId", "age", "ageGroupId", "ageGroupDescription")
+
+
+def _grade_bands(school: School) -> DataFrame:
+    marks = attach(
+        school.task_evaluations, school.evaluations, "evaluationId", rows=school.rows("evaluations")
+    ).select("changeId", "evaluationValue")
+    return grade_bands(marks, school, "evaluationValue")
+
+
+def _path_columns(path: DataFrame, school: School) -> DataFrame:
+    return describe_path(path, school).drop("isRoot", "student")
+
+
+def _flat_buckets() -> tuple:
+    return tuple(day for bucket in BUCKETS for day in bucket)
+
+
+def _reports() -> dict[str, Callable[[School], DataFrame]]:
+    start, end = RANGE
+    individual, benchmark = plans.progress_report_individual, plans.progress_report_benchmark
+    individual_buckets = plans.progress_report_individual_multidate
+    benchmark_buckets = plans.progress_report_benchmark_multidate
+    flat = _flat_buckets()
+    return {
+        "report_card_all": plans.report_card,
+        "report_card_dated": partial(plans.report_card, start=start, end=end),
+        "student_attendance_all": partial(plans.report_student_attendance, as_of=AS_OF),
+        "student_attendance_dated": partial(
+            plans.report_student_attendance,
+            start=ATTENDANCE_RANGE[0],
+            end=ATTENDANCE_RANGE[1],
+            as_of=AS_OF,
+        ),
+        "task_detail_all": lambda s: _with_micros(plans.task_detail(s, as_of=AS_OF)),
+        "task_detail_latest_all": lambda s: _with_micros(plans.task_detail_latest(s, as_of=AS_OF)),
+        "task_summary_all": plans.task_summary,
+        "task_summary_dated": partial(plans.task_summary, start=start, end=end),
+        "progress_individual_all": individual,
+        "progress_individual_latest": partial(individual, latest=True),
+        "progress_individual_dated": partial(individual, start=start, end=end),
+        "progress_individual_from_only": partial(individual, start=start),
+        "progress_individual_latest_dated": partial(
+            individual, latest=True, start=start, end=end, ordered=True
+        ),
+        "progress_individual_multidate": lambda s: individual_buckets(s, None, *flat),
+        "progress_individual_multidate_latest": lambda s: individual_buckets(
+            s, None, *flat, latest=True
+        ),
+        "progress_benchmark_all": partial(benchmark, as_of=AS_OF),
+        "progress_benchmark_latest": partial(benchmark, latest=True, as_of=AS_OF),
+        "progress_benchmark_dated": partial(benchmark, start=start, end=end, as_of=AS_OF),
+        "progress_benchmark_multidate": lambda s: benchmark_buckets(s, None, *flat, as_of=AS_OF),
+        "progress_benchmark_multidate_latest": lambda s: benchmark_buckets(
+            s, None, *flat, latest=True, as_of=AS_OF
+        ),
+    }
+
+
+def _operators() -> dict[str, Callable[[School], DataFrame]]:
+    return {
+        "first_presentations": lambda s: first_presentations(s.task_evaluations),
+        "first_presentations_validated": lambda s: first_presentations(
+            s.task_evaluations, s, LOOKUPS
+        ),
+        "latest_attempts": lambda s: latest_attempts(s.task_evaluations),
+        "attempts_in_range": lambda s: s.task_evaluations.filter(
+            in_date_range("evaluationDate", *RANGE)
+        ),
+        "individual_path_with_roots": lambda s: _path_columns(individual_path(s), s),
+        "benchmark_path_with_roots": lambda s: _path_columns(benchmark_path(s, as_of=AS_OF), s),
+        "attendance_counts": lambda s: attendance_counts(s.attendance),
+        "age_bands": _age_bands,
+        "date_buckets": lambda s: date_buckets(s.task_evaluations, BUCKETS),
+        "grade_bands": _grade_bands,
+        "attempt_key_violations": lambda s: key_violations(s.task_evaluations, ATTEMPT_MOMENT),
+        "first_presentation_key_violations": lambda s: key_violations(
+            first_presentations(s.task_evaluations), FIRST_MOMENT
+        ),
+        "path_key_violations": lambda s: key_violations(individual_path(s), PATH_STEP),
+        "roster_key_violations": lambda s: key_violations(
+            s.task_evaluations, ("staffId", "studentId")
+        ),
+    }
+
+
+def _alerts() -> dict[str, Callable[[School], DataFrame]]:
+    attendance, evaluations = plans.attendance_alerts, plans.evaluation_alerts
+    return {
+        "attendance_alert_messages": lambda s: attendance(s).messages,
+        "attendance_alert_user_messages": lambda s: attendance(s).user_messages,
+        "attendance_cleaned": lambda s: attendance(s).stored,
+        "evaluation_alert_messages": lambda s: evaluations(s).messages,
+        "evaluation_alert_user_messages": lambda s: evaluations(s).user_messages,
+        "evaluation_cleaned": lambda s: evaluations(s).stored,
+    }
+
+
+def registered() -> dict[str, Query]:
+    def on_school(report: Callable[[School], DataFrame]) -> Query:
+        return lambda spark, folder: report(school_of(spark, folder))
+
+    reports = _reports() | _operators() | _alerts()
+    return {name: on_school(report) for name, report in reports.items()}
