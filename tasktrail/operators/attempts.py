@@ -43,16 +43,21 @@ def first_presentations(
     )
 
 
-def latest_attempts(attempts: DataFrame, keys: Sequence[str] = ATTEMPT_KEY) -> DataFrame:
-    """Attempts on the latest date of their key; ties all stay.
+def latest_dates(attempts: DataFrame) -> DataFrame:
+    """The latest date of each staff, student and task; aggregated before the shuffle."""
+    known = attempts.dropna(subset=list(ATTEMPT_KEY))
+    return known.groupBy(*ATTEMPT_KEY).agg(F.max("evaluationDate").alias("evaluationDate"))
 
-    The maximum is aggregated before the shuffle and matched back by a semi join on
-    key and date. A window over the key would send a hot key to one task; here its
-    rows are spread by date, and rows of one date can still be split because the
-    semi join only streams them. Rows with a null key or date drop out.
+
+def latest_attempts(attempts: DataFrame) -> DataFrame:
+    """Attempts on the latest date of their staff, student and task; ties all stay.
+
+    The maximum is matched back by a semi join on key and date. A window over the key
+    would send a hot key to one task; here its rows are spread by date, and rows of
+    one date can still be split because the semi join only streams them. Rows with a
+    null key or date drop out.
     """
-    latest = attempts.groupBy(*keys).agg(F.max("evaluationDate").alias("evaluationDate"))
-    return attempts.join(latest, [*keys, "evaluationDate"], "left_semi")
+    return attempts.join(latest_dates(attempts), [*ATTEMPT_KEY, "evaluationDate"], "left_semi")
 
 
 def select_attempts(
@@ -65,3 +70,12 @@ def select_attempts(
     """
     chosen = latest_attempts(attempts) if latest else attempts
     return chosen.filter(in_date_range("evaluationDate", start, end))
+
+
+def attempted_tasks(
+    attempts: DataFrame, latest: bool | None = False, start: DateLike = None, end: DateLike = None
+) -> DataFrame:
+    """The distinct student and task pairs of ``select_attempts``, without its join."""
+    dates = latest_dates(attempts) if latest else attempts
+    limited = dates.filter(in_date_range("evaluationDate", start, end))
+    return limited.select("studentId", "taskId").distinct()

@@ -1,8 +1,9 @@
 """Task paths: what a student should do next, with virtual roots.
 
 A path row says: after ``prerequisiteTaskId`` comes ``suggestedTaskId``. A task that
-is only ever a prerequisite gets a virtual row of its own, so that the whole path is
-visible. Paths travel as ids; names are attached by ``describe_path`` at the end, so
+is only ever a prerequisite gets a virtual row of its own, a root, so that the whole
+path is visible. A root takes a fixed number of days or, on individual paths, the days
+of the edges it starts: different days give several rows. Paths travel as ids; names are attached by ``describe_path`` at the end, so
 shuffles carry integers.
 
 A path is per *owner*: a student, or an age for the benchmark paths. All students of
@@ -12,6 +13,7 @@ one age share the same age groups, hence the same path, also where groups overla
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,53 +29,78 @@ from tasktrail.operators.bands import age_numbers
 from tasktrail.operators.lookups import BROADCAST_ROWS, attach, spread_join, task_catalog
 from tasktrail.sources.school import School
 
-EDGE = ("prerequisiteTaskId", "suggestedTaskId", "daysToComplete", "minimumEvaluationId", "isRoot")
+STEP = ("prerequisiteTaskId", "suggestedTaskId", "daysToComplete", "minimumEvaluationId")
 
 
-def with_virtual_roots(
-    edges: DataFrame, school: School, owner: list[str], subject_id: int | None = None,
-    root_days: int | None = None, root_owner: str | None = None,
-) -> DataFrame:
-    """The distinct valid edges of each owner plus one row per root task.
+def task_status(school: School, subject_id: int | None = None) -> DataFrame:
+    """Every task id with whether the catalogue (of one subject) lists it."""
+    listed = task_catalog(school, subject_id).select("taskId", F.lit(True).alias("listed"))
+    tasks = school.tasks.select("taskId")
+    return attach(tasks, listed, "taskId", "left", rows=school.rows("tasks"))
 
-    A root is a prerequisite that no valid edge of the same owner suggests. Its row
-    points at itself and takes ``root_days`` or, where that is None, the days of the
-    edges it starts: different days give several rows. ``root_owner`` narrows the
-    columns that identify the owner when looking for a suggestion.
 
-    Both sides are made distinct by partial aggregation before they meet, so copies of
-    an edge never travel together.
-    """
-    match = [root_owner] if root_owner else owner
-    catalog = task_catalog(school, subject_id).select("taskId")
-    tasks = school.rows("tasks")
-
-    def known(rows: DataFrame, lookup: DataFrame, key: str, column: str, count: int) -> DataFrame:
-        ids = lookup.select(F.col(key).alias(column))
-        return attach(rows, ids, column, "left_semi", rows=count)
+def path_steps(
+    edges: DataFrame,
+    school: School,
+    owner: Sequence[str],
+    subject_id: int | None = None,
+    root_days: int | None = None,
+) -> DataFrame:
+    """The distinct steps that the edges of each owner may lead to, in one pass.
 
-    raw = known(edges, catalog, "taskId", "suggestedTaskId", tasks)
-    raw = known(raw, school.tasks, "taskId", "prerequisiteTaskId", tasks)
-    raw = known(
-        raw, school.evaluations, "evaluationId", "minimumEvaluationId", school.rows("evaluations")
+    An edge whose ids are all known gives itself; an edge whose prerequisite is listed
+    gives a candidate root, a step of that task to itself. Copies of an edge merge
+    before the shuffle. A candidate equal to an edge counts as that edge.
+    """
+    status, tasks = task_status(school, subject_id), school.rows("tasks")
+    suggested = status.select(
+        F.col("taskId").alias("suggestedTaskId"), F.col("listed").alias("_suggested")
+    )
+    prerequisite = status.select(
+        F.col("taskId").alias("prerequisiteTaskId"),
+        F.col("listed").alias("_prerequisite"),
+        F.lit(True).alias("_task"),
+    )
+    minimum = school.evaluations.select(
+        F.col("evaluationId").alias("minimumEvaluationId"), F.lit(True).alias("_minimum")
+    )
+    known = attach(edges, suggested, "suggestedTaskId", "left", rows=tasks)
+    known = attach(known, prerequisite, "prerequisiteTaskId", "left", rows=tasks)
+    known = attach(
+        known, minimum, "minimumEvaluationId", "left", rows=school.rows("evaluations")
     )
-    raw = raw.select(*owner, *EDGE[:-1], F.lit(False).alias("isRoot")).distinct()
 
     days = F.col("daysToComplete") if root_days is None else F.lit(root_days)
-    starts = (
-        known(edges, catalog, "taskId", "prerequisiteTaskId", tasks)
-        .select(
-            *owner,
-            "prerequisiteTaskId",
-            F.col("prerequisiteTaskId").alias("suggestedTaskId"),
-            days.alias("daysToComplete"),
-            F.lit(ROOT_MINIMUM_ID).alias("minimumEvaluationId"),
-            F.lit(True).alias("isRoot"),
-        )
-        .distinct()
+    step = F.struct(*STEP, F.lit(False).alias("isRoot"))
+    root = F.struct(
+        F.col("prerequisiteTaskId"),
+        F.col("prerequisiteTaskId").alias("suggestedTaskId"),
+        days.alias("daysToComplete"),
+        F.lit(ROOT_MINIMUM_ID).alias("minimumEvaluationId"),
+        F.lit(True).alias("isRoot"),
+    )
+    steps = F.array(
+        F.when(F.col("_suggested") & F.col("_task") & F.col("_minimum"), step),
+        F.when(F.col("_prerequisite"), root),
+    )
+    return (
+        known.select(*owner, F.explode(steps).alias("step"))
+        .filter(F.col("step").isNotNull())
+        .select(*owner, "step.*")
+        .groupBy(*owner, *STEP)
+        .agg(F.min("isRoot").alias("isRoot"))
     )
-    suggested = raw.select(*match, "suggestedTaskId").distinct()
-    return raw.unionByName(starts.join(suggested, [*match, "suggestedTaskId"], "left_anti"))
+
+
+def with_virtual_roots(steps: DataFrame, owner: str) -> DataFrame:
+    """Keep every edge, and the candidate roots that no edge of the owner suggests.
+
+    Both sides of the match are distinct by now, so no key is hot.
+    """
+    edges = steps.filter(~F.col("isRoot"))
+    suggested = edges.select(owner, "suggestedTaskId").distinct()
+    candidates = steps.filter("isRoot")
+    return edges.unionByName(candidates.join(suggested, [owner, "suggestedTaskId"], "left_anti"))
 
 
 def individual_path(
@@ -81,7 +108,8 @@ def individual_path(
 ) -> DataFrame:
     """Each student's own path with virtual roots, as ids."""
     edges = in_scope(school.individual_task_paths, "studentId", student_ids)
-    return with_virtual_roots(edges, school, ["studentId"], subject_id)
+    edges = edges.filter(F.col("studentId").isNotNull())
+    return with_virtual_roots(path_steps(edges, school, ["studentId"], subject_id), "studentId")
 
 
 def path_by_age(school: School, subject_id: int | None = None) -> DataFrame:
@@ -90,13 +118,9 @@ def path_by_age(school: School, subject_id: int | None = None) -> DataFrame:
     Built from the lookup-sized age groups and benchmark edges only.
     """
     edges = age_numbers(school.age_groups).join(school.benchmark_task_paths, "ageGroupId")
+    owner = ["age", "ageGroupDescription"]
     return with_virtual_roots(
-        edges,
-        school,
-        ["age", "ageGroupDescription"],
-        subject_id,
-        root_days=ROOT_BENCHMARK_DAYS,
-        root_owner="age",
+        path_steps(edges, school, owner, subject_id, root_days=ROOT_BENCHMARK_DAYS), "age"
     )
 
 
@@ -107,7 +131,8 @@ def benchmark_path(
     as_of: dt.date | None = None,
 ) -> DataFrame:
     """Each student's age-group path with virtual roots, as ids, with the student's name."""
-    students = in_scope(school.students, "studentId", student_ids).select(
+    students = in_scope(school.students, "studentId", student_ids)
+    students = students.filter(F.col("studentId").isNotNull()).select(
         "studentId", full_name().alias("student"), age_in_years("dateOfBirth", as_of).alias("age")
     )
     path = path_by_age(school, subject_id)

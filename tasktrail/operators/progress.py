@@ -17,18 +17,22 @@ Bucket = tuple[DateLike, DateLike]
 
 
 def path_vs_attempts(
-    path: DataFrame, attempts: DataFrame, first: DataFrame, keep_untried: bool
+    path: DataFrame, attempts: DataFrame, first: DataFrame, attempted: DataFrame | None = None
 ) -> DataFrame:
     """Meet every path row with the attempts at its suggested task, as ids.
 
     An attempt meets the first presentations by the same member of staff; several of
-    them repeat the row. ``keep_untried`` adds the path rows without any attempt.
+    them repeat the row. ``attempted``, the distinct student and task pairs of the
+    attempts, adds the path rows that are not among them.
 
     This is a left join written as its two halves. In one outer join the attempts
     would be the side that cannot be split, and a student and task with very many
     attempts would fall to one task. In the inner half they can be split; the other
-    half needs only the distinct keys of the attempts, aggregated before the shuffle.
+    half needs only the pairs, aggregated before the shuffle. Both halves shuffle the
+    path alike, so it is worked out once: the second half is a left join and a filter,
+    since an anti join would be pushed down into the path.
     """
+    step = ["studentId", "suggestedTaskId"]
     tried = attempts.select(
         "studentId",
         F.col("taskId").alias("suggestedTaskId"),
@@ -37,15 +41,16 @@ def path_vs_attempts(
         "evaluationTypeId",
         "evaluationDate",
     )
-    on_path = tried.join(path, ["studentId", "suggestedTaskId"])
     started = first.select(
         "staffId", "studentId", F.col("taskId").alias("suggestedTaskId"), "firstPresentationDate"
     )
-    matched = on_path.join(started, ["staffId", "studentId", "suggestedTaskId"], "left")
-    if not keep_untried:
+    matched = tried.join(path, step).join(started, ["staffId", *step], "left")
+    if attempted is None:
         return matched
-    keys = tried.select("studentId", "suggestedTaskId").distinct()
-    untried = path.join(keys, ["studentId", "suggestedTaskId"], "left_anti")
+    pairs = attempted.select(
+        "studentId", F.col("taskId").alias("suggestedTaskId"), F.lit(True).alias("_tried")
+    )
+    untried = path.join(pairs, step, "left").filter(F.col("_tried").isNull()).drop("_tried")
     return matched.unionByName(untried, allowMissingColumns=True)
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tasktrail.functions.expressions import ascending, full_name
 from tasktrail.functions.filters import DateLike, Ids, in_scope
-from tasktrail.operators.attempts import first_presentations, select_attempts
+from tasktrail.operators.attempts import attempted_tasks, first_presentations, select_attempts
 from tasktrail.operators.keys import ATTEMPT_MOMENT, FIRST_MOMENT, PATH_STEP, require_unique
-from tasktrail.operators.lookups import attach
+from tasktrail.operators.lookups import attach, task_catalog
 from tasktrail.operators.paths import (
     benchmark_path,
     individual_path,
@@ -65,19 +65,15 @@ def _named_individual_path(school: School, student_ids: Ids, subject_id: int | N
     return attach(path, students, "studentId", "left", rows=school.rows("students"))
 
 
-def _attempts_and_first(
-    school: School,
-    student_ids: Ids,
-    latest: bool | None,
-    start: DateLike,
-    end: DateLike,
-    validate: tuple[str, ...],
-) -> tuple[DataFrame, DataFrame]:
+def _facts(school: School, student_ids: Ids, subject_id: int | None) -> DataFrame:
+    """The attempt columns a progress report reads; of one subject's tasks, if given."""
     facts = in_scope(school.task_evaluations, "studentId", student_ids).select(
         "studentId", "staffId", "taskId", "evaluationId", "evaluationTypeId", "evaluationDate"
     )
-    attempts = select_attempts(facts, latest, start, end)
-    return attempts, first_presentations(facts, school, validate)
+    if subject_id:
+        listed = task_catalog(school, subject_id).select("taskId")
+        facts = attach(facts, listed, "taskId", "left_semi", rows=school.rows("tasks"))
+    return facts
 
 
 def _check_keys(path: DataFrame, attempts: DataFrame, first: DataFrame) -> None:
@@ -107,35 +103,43 @@ def _finish(filled: DataFrame, school: School, ordered: bool) -> DataFrame:
 def _report(
     school: School,
     path: DataFrame,
-    attempts: DataFrame,
+    facts: DataFrame,
     first: DataFrame,
+    latest: bool | None,
     start: DateLike,
     end: DateLike,
     strict: bool,
     ordered: bool,
 ) -> DataFrame:
     """With both dates only attempted path rows are reported, otherwise all of them."""
+    attempts = select_attempts(facts, latest, start, end)
     if strict:
         _check_keys(path, attempts, first)
     bounded = start is not None and end is not None
-    progress = path_vs_attempts(path, attempts, first, keep_untried=not bounded)
+    attempted = None if bounded else attempted_tasks(facts, latest, start, end)
+    progress = path_vs_attempts(path, attempts, first, attempted)
     return _finish(with_minimum_value(fill_attempt(progress, school), school), school, ordered)
 
 
 def _bucket_report(
     school: School,
     path: DataFrame,
-    attempts: DataFrame,
+    facts: DataFrame,
     first: DataFrame,
+    latest: bool | None,
     buckets: tuple[Bucket, ...],
     strict: bool,
     ordered: bool,
 ) -> DataFrame:
-    """Equal report rows of one bucket merge; names that follow from ids come after that."""
+    """Attempts before the first start or after the last end belong to no bucket.
+
+    Equal report rows of one bucket merge; names that follow from ids come after that.
+    """
+    attempts = select_attempts(facts, latest, buckets[0][0], buckets[-1][1])
     if strict:
         _check_keys(path, attempts, first)
     wanted = attempts.filter(in_any_bucket(buckets))
-    progress = date_buckets(path_vs_attempts(path, wanted, first, keep_untried=False), buckets)
+    progress = date_buckets(path_vs_attempts(path, wanted, first), buckets)
     filled = with_minimum_value(fill_attempt(progress, school), school)
     return _finish(filled.drop("minimumEvaluationId").distinct(), school, ordered)
 
@@ -161,9 +165,10 @@ def progress_report_individual(
     leaves the report of all students unsorted.
     """
     path = _named_individual_path(school, student_ids, subject_id)
-    attempts, first = _attempts_and_first(school, student_ids, latest, start, end, ())
+    facts = _facts(school, student_ids, subject_id)
+    first = first_presentations(facts)
     ordered = _sorted_by_default(ordered, student_ids)
-    return _report(school, path, attempts, first, start, end, strict, ordered)
+    return _report(school, path, facts, first, latest, start, end, strict, ordered)
 
 
 def progress_report_individual_multidate(
@@ -186,10 +191,11 @@ def progress_report_individual_multidate(
     another bucket reaches further.
     """
     path = _named_individual_path(school, student_ids, subject_id)
-    attempts, first = _attempts_and_first(school, student_ids, latest, start_one, end_three, ())
+    facts = _facts(school, student_ids, subject_id)
+    first = first_presentations(facts)
     buckets = ((start_one, end_one), (start_two, end_two), (start_three, end_three))
     ordered = _sorted_by_default(ordered, student_ids)
-    return _bucket_report(school, path, attempts, first, buckets, strict, ordered)
+    return _bucket_report(school, path, facts, first, latest, buckets, strict, ordered)
 
 
 # The students of a benchmark path are known, so their first presentations need no
@@ -214,11 +220,10 @@ def progress_report_benchmark(
     the age, today if left out.
     """
     path = benchmark_path(school, student_ids, subject_id, as_of)
-    attempts, first = _attempts_and_first(
-        school, student_ids, latest, start, end, _BENCHMARK_CHECKS
-    )
+    facts = _facts(school, student_ids, subject_id)
+    first = first_presentations(facts, school, _BENCHMARK_CHECKS)
     ordered = _sorted_by_default(ordered, student_ids)
-    return _report(school, path, attempts, first, start, end, strict, ordered)
+    return _report(school, path, facts, first, latest, start, end, strict, ordered)
 
 
 def progress_report_benchmark_multidate(
@@ -238,9 +243,8 @@ def progress_report_benchmark_multidate(
 ) -> DataFrame:
     """The benchmark report split in three date buckets, numbered by ``delimiter``."""
     path = benchmark_path(school, student_ids, subject_id, as_of)
-    attempts, first = _attempts_and_first(
-        school, student_ids, latest, start_one, end_three, _BENCHMARK_CHECKS
-    )
+    facts = _facts(school, student_ids, subject_id)
+    first = first_presentations(facts, school, _BENCHMARK_CHECKS)
     buckets = ((start_one, end_one), (start_two, end_two), (start_three, end_three))
     ordered = _sorted_by_default(ordered, student_ids)
-    return _bucket_report(school, path, attempts, first, buckets, strict, ordered)
+    return _bucket_report(school, path, facts, first, latest, buckets, strict, ordered)
