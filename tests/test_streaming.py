@@ -1,0 +1,108 @@
+"""Alert streams: several batches, repeated deliveries, failures between writes."""
+
+import datetime as dt
+
+import pytest
+
+from tasktrail.plans import attendance_alerts, evaluation_alerts
+from tasktrail.sources.sinks import read_messages, read_stored, read_user_messages
+from tasktrail.streaming import alert_stream, change_feed
+from tasktrail.streaming import alert_stream as start_stream
+from tests.schools import attempt, presence, rows_of, school, table
+
+T = dt.datetime
+
+
+def deliver(spark, folder, name, rows):
+    """One file of changes arrives."""
+    table(spark, name, rows).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def run(spark, made, feed, out, name="attendance", **options):
+    changes = change_feed(spark, str(feed), name, files_per_batch=1)
+    query = alert_stream(
+        changes, made, name, str(out), checkpoint=str(out / "checkpoint"), **options
+    )
+    query.awaitTermination()
+    assert query.exception() is None
+
+
+FIRST = [
+    presence(1, 1, T(2020, 1, 1), 2, "sick", True, "a1"),
+    presence(2, 1, T(2020, 1, 2), 1, "fine", False, "a2"),
+]
+SECOND = [
+    presence(2, 2, T(2020, 1, 3), 3, "bus", True, "a3"),
+    presence(1, 1, T(2020, 1, 1), 2, "sick again", True, "a4"),
+    presence(1, 1, T(2020, 1, 1), 2, "sick again", None, "a5"),
+]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    made = school(spark)
+    deliver(spark, tmp_path / "feed", "attendance", FIRST)
+    run(spark, made, tmp_path / "feed", tmp_path)
+    deliver(spark, tmp_path / "feed", "attendance", SECOND)
+    run(spark, made, tmp_path / "feed", tmp_path)
+
+    whole = attendance_alerts(made, table(spark, "attendance", FIRST + SECOND))
+    assert sorted(rows_of(read_messages(spark, str(tmp_path)))) == sorted(rows_of(whole.messages))
+    assert sorted(rows_of(read_user_messages(spark, str(tmp_path)))) == sorted(
+        rows_of(whole.user_messages)
+    )
+    stored = read_stored(spark, str(tmp_path), "attendance")
+    assert sorted(map(str, rows_of(stored))) == sorted(map(str, rows_of(whole.stored)))
+    assert whole.messages.count() == 3 and whole.user_messages.count() == 6
+
+
+def test_task_evaluation_stream(spark, tmp_path):
+    made = school(spark)
+    changes = [attempt(note="ok", flag=True, change="c1"), attempt(student=2, change="c2")]
+    deliver(spark, tmp_path / "feed", "task_evaluations", changes)
+    run(spark, made, tmp_path / "feed", tmp_path, "task_evaluations")
+    whole = evaluation_alerts(made, table(spark, "task_evaluations", changes))
+    assert rows_of(read_messages(spark, str(tmp_path))) == rows_of(whole.messages)
+
+
+def test_repeated_delivery_is_one_alert(spark, tmp_path):
+    made = school(spark)
+    feed = tmp_path / "feed"
+    deliver(spark, feed, "attendance", FIRST)
+    deliver(spark, feed, "attendance", FIRST)
+    # An old record entered later is not late.
+    deliver(spark, feed, "attendance", [presence(2, 2, T(1990, 1, 1), 2, "old", True, "a0")])
+    run(spark, made, feed, tmp_path, remember="1 day")
+    run(spark, made, feed, tmp_path, remember="1 day")
+    deliver(spark, feed, "attendance", FIRST)
+    run(spark, made, feed, tmp_path, remember="1 day")
+    ids = [row[0] for row in rows_of(read_messages(spark, str(tmp_path)), "messageId")]
+    assert sorted(ids) == ["attendance:a0", "attendance:a1"]
+
+
+def test_batch_that_fails_midway_is_replaced(spark, tmp_path, monkeypatch):
+    made = school(spark)
+    deliver(spark, tmp_path / "feed", "attendance", FIRST + SECOND)
+    module = __import__("tasktrail.streaming.alert_stream", fromlist=["write_batch"])
+    write = module.write_batch
+
+    def fail_on_stored(rows, folder, output, batch):
+        if output == "stored":
+            raise RuntimeError("lost")
+        return write(rows, folder, output, batch)
+
+    monkeypatch.setattr(module, "write_batch", fail_on_stored)
+    with pytest.raises(Exception):
+        run(spark, made, tmp_path / "feed", tmp_path)
+    monkeypatch.setattr(module, "write_batch", write)
+    run(spark, made, tmp_path / "feed", tmp_path)
+    assert read_messages(spark, str(tmp_path)).count() == 3
+    assert read_user_messages(spark, str(tmp_path)).count() == 6
+    assert read_stored(spark, str(tmp_path), "attendance").count() == 5
+
+
+def test_default_checkpoint_is_in_the_shared_folder(spark, tmp_path):
+    made = school(spark)
+    deliver(spark, tmp_path / "feed", "attendance", FIRST)
+    changes = change_feed(spark, str(tmp_path / "feed"), "attendance")
+    start_stream(changes, made, "attendance", str(tmp_path)).awaitTermination()
+    assert read_messages(spark, str(tmp_path)).count() == 1
