@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tasktrail.functions.constants import ADMINISTRATOR
-from tasktrail.operators.lookups import BROADCAST_ROWS, attach
+from tasktrail.operators.lookups import attach
 from tasktrail.sources.school import School
 
 FLAG = "flagAdministrator"
@@ -106,13 +106,9 @@ def fan_out(messages: DataFrame, users: DataFrame, users_rows: int) -> DataFrame
     lane = F.pmod(F.xxhash64("messageId"), F.lit(FAN_OUT_LANES)).cast("int").alias("_lane")
     lanes = F.explode(F.sequence(F.lit(0), F.lit(FAN_OUT_LANES - 1))).alias("_lane")
     recipients = administrators(users).select("recipientUserId", lanes)
-    if users_rows * FAN_OUT_LANES <= BROADCAST_ROWS:
-        recipients = F.broadcast(recipients)
-    return (
-        messages.select("messageId", lane)
-        .join(recipients, "_lane")
-        .select("messageId", "recipientUserId")
-    )
+    dealt = messages.select("messageId", lane)
+    sent = attach(dealt, recipients, "_lane", rows=users_rows * FAN_OUT_LANES)
+    return sent.select("messageId", "recipientUserId")
 
 
 def clear_flags(changes: DataFrame) -> DataFrame:

@@ -15,16 +15,25 @@ BROADCAST_ROWS = 200_000
 LANES = 8
 
 
-def attach(left: DataFrame, lookup: DataFrame, on, how: str = "inner", *, rows: int) -> DataFrame:
+def attach(
+    left: DataFrame,
+    lookup: DataFrame,
+    on,
+    how: str = "inner",
+    *,
+    rows: int,
+    spread: bool = False,
+) -> DataFrame:
     """Join ``lookup``, which has at most ``rows`` rows, to ``left``.
 
     A small lookup is broadcast, so ``left`` is not shuffled. A larger one is left to
-    a sort-merge join; both its sides come straight from a shuffle, so adaptive
-    execution splits the partition of a hot key.
+    a sort-merge join; where both its sides come straight from a shuffle, adaptive
+    execution splits the partition of a hot key. ``spread`` asks for a spread join
+    instead, for a lookup that is itself joined or grouped on the same key.
     """
     if rows <= BROADCAST_ROWS:
-        lookup = F.broadcast(lookup)
-    return left.join(lookup, on, how)
+        return left.join(F.broadcast(lookup), on, how)
+    return spread_join(left, lookup, on, how) if spread else left.join(lookup, on, how)
 
 
 def spread_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:

@@ -26,7 +26,7 @@ from tasktrail.functions.constants import (
 from tasktrail.functions.expressions import age_in_years, full_name
 from tasktrail.functions.filters import Ids, in_scope
 from tasktrail.operators.bands import age_numbers
-from tasktrail.operators.lookups import BROADCAST_ROWS, attach, spread_join, task_catalog
+from tasktrail.operators.lookups import attach, task_catalog
 from tasktrail.sources.school import School
 
 STEP = ("prerequisiteTaskId", "suggestedTaskId", "daysToComplete", "minimumEvaluationId")
@@ -138,9 +138,8 @@ def benchmark_path(
     path = path_by_age(school, subject_id)
     # Each age meets each edge at most once as an edge and once as a root.
     ages = school.rows_of("age_numbers", age_numbers(school.age_groups))
-    if 2 * ages * school.rows("benchmark_task_paths") <= BROADCAST_ROWS:
-        return students.join(F.broadcast(path), "age")
-    return spread_join(students, path, "age")
+    rows = 2 * ages * school.rows("benchmark_task_paths")
+    return attach(students, path, "age", rows=rows, spread=True)
 
 
 def with_minimum_value(path: DataFrame, school: School) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tasktrail.functions.expressions import age_in_years, ascending, full_name, since_1900
 from tasktrail.functions.filters import DateLike, Ids, equals_or_all, in_scope
 from tasktrail.operators.attempts import select_attempts
 from tasktrail.operators.attendance import attendance_counts
-from tasktrail.operators.lookups import BROADCAST_ROWS, attach, spread_join, task_catalog
+from tasktrail.operators.lookups import attach, task_catalog
 from tasktrail.sources.school import School
 
 
@@ -59,10 +59,7 @@ def _detail(
 
     # The one join that may shuffle the attempts comes before the names widen them.
     profiles = student_profiles(school, student_ids, start, end, as_of)
-    if school.rows("students") <= BROADCAST_ROWS:
-        detail = attempts.join(F.broadcast(profiles), "studentId")
-    else:
-        detail = spread_join(attempts, profiles, "studentId")
+    detail = attach(attempts, profiles, "studentId", rows=school.rows("students"), spread=True)
 
     teachers = school.staff.select("staffId", full_name().alias("teacher"))
     for lookup, key, name in (

@@ -36,8 +36,11 @@ class School:
         return self._tables[name]
 
     def replace(self, **tables: DataFrame) -> School:
-        """The same school with some tables exchanged."""
-        return School({**self._tables, **tables})
+        """The same school with some tables exchanged; only these are counted anew."""
+        made = School({**self._tables, **tables})
+        if not set(tables) & set(MEASURED) and "_row_counts" in self.__dict__:
+            made.__dict__["_row_counts"] = self._row_counts
+        return made
 
     @cached_property
     def _row_counts(self) -> dict[str, int]:

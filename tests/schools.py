@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,3 +67,25 @@ def presence(student=1, staff=1, when=T(2020, 1, 1), status=2, note="n", flag=Fa
 def rows_of(frame: DataFrame, *columns: str) -> list[tuple]:
     """Rows in result order, cut to some columns."""
     return [tuple(row) for row in (frame.select(*columns) if columns else frame).collect()]
+
+
+NO_BROADCAST = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the length of a block."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)

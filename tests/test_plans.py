@@ -1,0 +1,71 @@
+"""What the physical plans must and must not contain."""
+
+import contextlib
+import io
+import re
+
+import pytest
+
+from checks.registry import registered
+from tasktrail import plans
+from tasktrail.operators import lookups
+from tests.conftest import FOLDER
+from tests.schools import NO_BROADCAST, settings
+
+
+def explained(frame) -> str:
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        frame.explain("formatted")
+    return text.getvalue()
+
+
+@pytest.mark.parametrize("name", sorted(registered()))
+def test_no_python_no_cross_join_no_single_partition(spark, name):
+    plan = explained(registered()[name](spark, FOLDER))
+    for bad in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition", "Window"):
+        assert bad not in plan, bad
+
+
+def scans(plan: str, table: str) -> list[str]:
+    blocks = re.split(r"\n\n+", plan)
+    return [block for block in blocks if "Scan parquet" in block and f"/{table}" in block]
+
+
+def test_filters_and_columns_reach_the_scan(derived):
+    plan = explained(plans.progress_report_individual(derived, 101, 0, True, "1996-01-01", "1998-12-31"))
+    attempts = scans(plan, "task_evaluations")
+    assert attempts
+    for scan in attempts:
+        assert "EqualTo(studentId,101)" in scan
+        assert "note" not in re.search(r"ReadSchema: (.*)", scan).group(1)
+    plan = explained(plans.report_card(derived, 0, "1996-01-01", "1998-12-31"))
+    (scan,) = scans(plan, "task_evaluations")
+    assert "EqualTo(evaluationTypeId,EV)" in scan
+    assert "GreaterThanOrEqual(evaluationDate,1996-01-01T00:00)" in scan
+    schema = re.search(r"ReadSchema: struct<(.*)>", scan).group(1)
+    assert sorted(column.split(":")[0] for column in schema.split(",")) == [
+        "evaluationDate", "evaluationId", "evaluationTypeId", "staffId", "studentId", "taskId",
+    ]
+
+
+def test_bucket_dates_reach_the_scan(derived):
+    plan = explained(
+        plans.progress_report_individual_multidate(
+            derived, None, "1995-01-01", "1995-06-30", "1996-01-01", "1996-06-30", "1997-01-01", "1997-06-30"
+        )
+    )
+    assert any("Or(" in scan for scan in scans(plan, "task_evaluations"))
+
+
+def test_attendance_is_read_once(derived):
+    plan = explained(plans.task_detail(derived))
+    assert len(scans(plan, "events")) == 1
+
+
+def test_small_lookups_are_broadcast_and_large_ones_are_not(derived, monkeypatch):
+    assert "SortMergeJoin" not in explained(plans.report_card(derived))
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
+    with settings(derived.students.sparkSession, NO_BROADCAST):
+        plan = explained(plans.report_card(derived))
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan

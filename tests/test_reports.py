@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tasktrail import plans
+from tasktrail.operators import lookups
 from tasktrail.operators.keys import DuplicateKeyError
 from tests.schools import ROWS, attempt, presence, rows_of, school, table
 
@@ -461,9 +462,7 @@ def test_a_large_set_of_users_is_not_broadcast(spark, monkeypatch):
         users=[(n, "A") for n in range(50)],
         attendance=[presence(flag=True, change=str(n)) for n in range(20)],
     )
-    from tasktrail.operators import alerts
-
-    monkeypatch.setattr(alerts, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 1)
     pairs = plans.attendance_alerts(made).user_messages
     assert pairs.distinct().count() == 1000 and pairs.count() == 1000
     assert pairs.agg(F.min("recipientUserId"), F.max("recipientUserId")).first() == (0, 49)
