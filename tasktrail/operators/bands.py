@@ -40,7 +40,7 @@ def grade_bands(averages: DataFrame, school: School, average: str = "task_averag
     numbers = grade_numbers(school.report_card_grades)
     rows = school.rows_of("grade_numbers", numbers)
     marked = averages.withColumn("_mark", F.col(average).cast("int"))
-    return attach(marked, numbers, "_mark", rows=rows).drop("_mark")
+    return attach(marked, numbers, "_mark", rows=rows, spread=True).drop("_mark")
 
 
 def age_numbers(age_groups: DataFrame) -> DataFrame:
@@ -57,4 +57,4 @@ def age_bands(students: DataFrame, school: School, as_of: dt.date | None = None)
     numbers = age_numbers(school.age_groups)
     rows = school.rows_of("age_numbers", numbers)
     aged = students.withColumn("age", age_in_years("dateOfBirth", as_of))
-    return attach(aged, numbers, "age", rows=rows)
+    return attach(aged, numbers, "age", rows=rows, spread=True)

@@ -56,6 +56,19 @@ def spread_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Da
     )
 
 
+def _climb(
+    tasks: DataFrame, school: School, subject_id: int | None, how: str, grades: DataFrame | None
+) -> DataFrame:
+    """Join the levels above a task one after the other, each a flat lookup."""
+    categories = school.subject_categories.filter(equals_or_all("subjectId", subject_id))
+    rows = school.rows
+    found = attach(tasks, categories, "subjectCategoryId", how, rows=rows("subject_categories"))
+    found = attach(found, school.subjects, "subjectId", how, rows=rows("subjects"))
+    if grades is None:
+        return found
+    return attach(found, grades, "gradeLevelId", how, rows=rows("grade_levels"))
+
+
 def task_catalog(
     school: School, subject_id: int | None = None, with_grades: bool = True
 ) -> DataFrame:
@@ -64,14 +77,21 @@ def task_catalog(
     At most one row per task. A task whose category, subject or grade is unknown is
     not in the catalogue; ``with_grades`` false leaves the grade level out of it.
     """
-    categories = school.subject_categories.filter(equals_or_all("subjectId", subject_id))
-    catalog = attach(
-        school.tasks, categories, "subjectCategoryId", rows=school.rows("subject_categories")
+    grades = school.grade_levels if with_grades else None
+    grade = ["gradeLevelName"] if with_grades else []
+    return _climb(school.tasks, school, subject_id, "inner", grades).select(
+        "taskId",
+        "taskName",
+        "reportCardCategoryId",
+        "subjectCategoryName",
+        "subjectId",
+        "subjectName",
+        *grade,
     )
-    catalog = attach(catalog, school.subjects, "subjectId", rows=school.rows("subjects"))
-    columns = ["taskId", "taskName", "subjectCategoryName", "subjectId", "subjectName"]
-    if with_grades:
-        grades = school.grade_levels
-        catalog = attach(catalog, grades, "gradeLevelId", rows=school.rows("grade_levels"))
-        columns.append("gradeLevelName")
-    return catalog.select(*columns, "reportCardCategoryId")
+
+
+def task_status(school: School, subject_id: int | None = None) -> DataFrame:
+    """Every task id with whether the catalogue (of one subject) lists it."""
+    grades = school.grade_levels.select("gradeLevelId", F.lit(True).alias("_grade"))
+    found = _climb(school.tasks, school, subject_id, "left", grades)
+    return found.select("taskId", F.coalesce("_grade", F.lit(False)).alias("listed"))

@@ -26,19 +26,12 @@ from tasktrail.functions.constants import (
 from tasktrail.functions.expressions import age_in_years, full_name
 from tasktrail.functions.filters import Ids, in_scope
 from tasktrail.operators.bands import age_numbers
-from tasktrail.operators.lookups import attach, task_catalog
+from tasktrail.operators.lookups import attach, task_catalog, task_status
 from tasktrail.sources.school import School
 
 STEP = ("prerequisiteTaskId", "suggestedTaskId", "daysToComplete", "minimumEvaluationId")
 
 
-def task_status(school: School, subject_id: int | None = None) -> DataFrame:
-    """Every task id with whether the catalogue (of one subject) lists it."""
-    listed = task_catalog(school, subject_id).select("taskId", F.lit(True).alias("listed"))
-    tasks = school.tasks.select("taskId")
-    return attach(tasks, listed, "taskId", "left", rows=school.rows("tasks"))
-
-
 def path_steps(
     edges: DataFrame,
     school: School,
@@ -59,7 +52,6 @@ def path_steps(
     prerequisite = status.select(
         F.col("taskId").alias("prerequisiteTaskId"),
         F.col("listed").alias("_prerequisite"),
-        F.lit(True).alias("_task"),
     )
     minimum = school.evaluations.select(
         F.col("evaluationId").alias("minimumEvaluationId"), F.lit(True).alias("_minimum")
@@ -80,7 +72,7 @@ def path_steps(
         F.lit(True).alias("isRoot"),
     )
     steps = F.array(
-        F.when(F.col("_suggested") & F.col("_task") & F.col("_minimum"), step),
+        F.when(F.col("_suggested") & F.col("_prerequisite").isNotNull() & F.col("_minimum"), step),
         F.when(F.col("_prerequisite"), root),
     )
     return (

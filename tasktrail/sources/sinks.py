@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tasktrail.sources.schemas import MESSAGES, TABLES, USER_MESSAGES
 
+if TYPE_CHECKING:
+    from tasktrail.plans.alerts import Alerts
+
+
+def write_alerts(alerts: Alerts, folder: str, batch: int | str) -> None:
+    """Append the outputs of one batch of changes; the same batch again replaces itself.
+
+    The stored rows come last: a batch whose rows are stored has all its messages.
+    """
+    write_batch(alerts.messages, folder, "messages", batch)
+    write_batch(alerts.user_messages, folder, "user_messages", batch)
+    write_batch(alerts.stored, folder, "stored", batch)
+
 
-def write_batch(rows: DataFrame, folder: str, output: str, batch: int) -> str:
-    """Write the rows of one batch; writing the batch again replaces it."""
-    path = f"{folder.rstrip('/')}/{output}/batch={batch}"
-    rows.write.mode("overwrite").parquet(path)
-    return path
+def write_batch(rows: DataFrame, folder: str, output: str, batch: int | str) -> None:
+    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{output}/batch={batch}")
 
 
 def _read(spark: SparkSession, folder: str, output: str, schema: StructType) -> DataFrame:

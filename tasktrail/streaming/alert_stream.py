@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tasktrail.operators.alerts import fan_out
 from tasktrail.plans.alerts import attendance_alerts, evaluation_alerts
 from tasktrail.sources.schemas import TABLES
 from tasktrail.sources.school import School
-from tasktrail.sources.sinks import write_batch
+from tasktrail.sources.sinks import write_alerts
 
 _ALERTS = {"attendance": attendance_alerts, "task_evaluations": evaluation_alerts}
 
@@ -67,13 +66,12 @@ def alert_stream(
         changes = first_deliveries(changes, remember)
 
     def write(batch: DataFrame, number: int) -> None:
-        alerts = build(school, batch)
-        messages = write_batch(alerts.messages, folder, "messages", number)
-        # The written ids are the start of the fan-out, so both outputs agree.
-        ids = batch.sparkSession.read.schema(alerts.messages.schema).parquet(messages)
-        recipients = fan_out(ids.select("messageId"), school.users, school.rows("users"))
-        write_batch(recipients, folder, "user_messages", number)
-        write_batch(alerts.stored, folder, "stored", number)
+        # Three outputs read the batch; kept, it is taken from its source once.
+        batch.persist()
+        try:
+            write_alerts(build(school, batch), folder, number)
+        finally:
+            batch.unpersist()
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()

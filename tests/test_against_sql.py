@@ -10,7 +10,9 @@ from checks.oracle import statements
 from checks.parameters import AS_OF, BUCKETS, RANGE
 from checks.registry import _with_micros, registered
 from tasktrail import plans
+from tasktrail.operators import lookups
 from tests.conftest import FOLDER
+from tests.schools import NO_BROADCAST, settings
 
 D = dt.date
 START, END = RANGE
@@ -33,6 +35,30 @@ def test_registered_query(spark, sql, name):
     assert difference(ours, sql_rows(sql, statements()[name])) is None
 
 
+LARGE = (
+    "report_card_all",
+    "student_attendance_all",
+    "task_detail_latest_all",
+    "task_summary_all",
+    "progress_individual_all",
+    "progress_individual_multidate_latest",
+    "progress_benchmark_latest",
+    "first_presentations_validated",
+    "grade_bands",
+    "evaluation_alert_messages",
+    "evaluation_alert_user_messages",
+)
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_without_any_broadcast(spark, sql, name, monkeypatch):
+    """The way a query takes when every lookup is beyond the broadcast bound."""
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
+    with settings(spark, NO_BROADCAST):
+        ours = spark_rows(registered()[name](spark, FOLDER))
+    assert difference(ours, sql_rows(sql, statements()[name])) is None
+
+
 def only(statement, condition):
     return f"SELECT * FROM ({statement}) WHERE {condition}"
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from tasktrail.plans import attendance_alerts, evaluation_alerts
+from tasktrail.sources import sinks
 from tasktrail.sources.sinks import read_messages, read_stored, read_user_messages
 from tasktrail.streaming import alert_stream, change_feed
 from tasktrail.streaming import alert_stream as start_stream
@@ -82,24 +83,35 @@ def test_repeated_delivery_is_one_alert(spark, tmp_path):
 def test_batch_that_fails_midway_is_replaced(spark, tmp_path, monkeypatch):
     made = school(spark)
     deliver(spark, tmp_path / "feed", "attendance", FIRST + SECOND)
-    module = __import__("tasktrail.streaming.alert_stream", fromlist=["write_batch"])
-    write = module.write_batch
+    write = sinks.write_batch
 
     def fail_on_stored(rows, folder, output, batch):
         if output == "stored":
             raise RuntimeError("lost")
         return write(rows, folder, output, batch)
 
-    monkeypatch.setattr(module, "write_batch", fail_on_stored)
+    monkeypatch.setattr(sinks, "write_batch", fail_on_stored)
     with pytest.raises(Exception):
         run(spark, made, tmp_path / "feed", tmp_path)
-    monkeypatch.setattr(module, "write_batch", write)
+    monkeypatch.setattr(sinks, "write_batch", write)
     run(spark, made, tmp_path / "feed", tmp_path)
     assert read_messages(spark, str(tmp_path)).count() == 3
     assert read_user_messages(spark, str(tmp_path)).count() == 6
     assert read_stored(spark, str(tmp_path), "attendance").count() == 5
 
 
+def test_batch_outputs_are_replaced_and_appended(spark, tmp_path):
+    made = school(spark)
+    out = str(tmp_path)
+    for batch, rows in (("one", FIRST), ("one", FIRST), ("two", SECOND)):
+        alerts = attendance_alerts(made, table(spark, "attendance", rows))
+        sinks.write_alerts(alerts, out, batch)
+    assert read_messages(spark, out).count() == 3
+    assert read_messages(spark, out).select("messageId").distinct().count() == 3
+    assert read_user_messages(spark, out).count() == 6
+    assert read_stored(spark, out, "attendance").filter("flagAdministrator").count() == 0
+
+
 def test_default_checkpoint_is_in_the_shared_folder(spark, tmp_path):
     made = school(spark)
     deliver(spark, tmp_path / "feed", "attendance", FIRST)
