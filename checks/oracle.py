@@ -375,4 +375,8 @@ def statements() -> dict[str, str]:
         "evaluation_alert_messages": evaluation_messages(),
         "evaluation_alert_user_messages": user_messages("te", "task_evaluation"),
         "evaluation_cleaned": stored("te"),
+        "attendance_stream_messages": attendance_messages(),
+        "attendance_stream_user_messages": user_messages("attendance", "attendance"),
+        "evaluation_stream_messages": evaluation_messages(),
+        "evaluation_stream_user_messages": user_messages("te", "task_evaluation"),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -18,11 +19,15 @@ from tasktrail.operators.lookups import attach
 from tasktrail.operators.paths import benchmark_path, describe_path, individual_path
 from tasktrail.operators.progress import date_buckets
 from tasktrail.sources.school import School
-from tasktrail.sources.tpch_school import derive_school
+from tasktrail.sources.shared_folder import shared_folder
+from tasktrail.sources.sinks import read_messages, read_user_messages
+from tasktrail.sources.tpch_school import attendance_of, derive_school, task_evaluations_of
+from tasktrail.streaming import alert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _SCHOOLS: dict[tuple[str, str], School] = {}
+_STREAMS: dict[tuple[str, str, str], str] = {}
 
 
 def school_of(spark: SparkSession, folder: str) -> School:
@@ -145,9 +150,45 @@ def _alerts() -> dict[str, Callable[[School], DataFrame]]:
     }
 
 
+def _streamed(spark: SparkSession, folder: str, table: str) -> str:
+    """Run the alert stream over a given table once; the folder of its outputs."""
+    key = (spark.sparkContext.applicationId, folder, table)
+    if key not in _STREAMS:
+        shared = shared_folder(spark)
+        if shared is None:
+            raise ValueError("an alert stream needs spark.checkpoint.dir")
+        out = f"{shared.rstrip('/')}/alerts-{uuid.uuid4().hex}"
+        given = "events" if table == "attendance" else "lineitem"
+        schema = spark.read.parquet(f"{folder}/{given}.parquet").schema
+        # The star also matches a table that is one file: a stream reads folders or patterns.
+        feed = spark.readStream.schema(schema).parquet(f"{folder}/{given}.parquet*")
+        if table == "attendance":
+            changes, remember = attendance_of(feed), "1 hour"
+        else:
+            orders = spark.read.parquet(f"{folder}/orders.parquet")
+            changes, remember = task_evaluations_of(feed, orders), None
+        alert_stream(
+            changes, school_of(spark, folder), table, out, f"{out}/checkpoint", remember
+        ).awaitTermination()
+        _STREAMS[key] = out
+    return _STREAMS[key]
+
+
+def _streams() -> dict[str, Query]:
+    def read(reader, table: str) -> Query:
+        return lambda spark, folder: reader(spark, _streamed(spark, folder, table))
+
+    return {
+        "attendance_stream_messages": read(read_messages, "attendance"),
+        "attendance_stream_user_messages": read(read_user_messages, "attendance"),
+        "evaluation_stream_messages": read(read_messages, "task_evaluations"),
+        "evaluation_stream_user_messages": read(read_user_messages, "task_evaluations"),
+    }
+
+
 def registered() -> dict[str, Query]:
     def on_school(report: Callable[[School], DataFrame]) -> Query:
         return lambda spark, folder: report(school_of(spark, folder))
 
     reports = _reports() | _operators() | _alerts()
-    return {name: on_school(report) for name, report in reports.items()}
+    return {name: on_school(report) for name, report in reports.items()} | _streams()
