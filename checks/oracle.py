@@ -98,7 +98,8 @@ LATEST = """(
   SELECT * EXCLUDE (last_date) FROM (
     SELECT *, max("evaluationDate") OVER (PARTITION BY "staffId", "studentId", "taskId") AS last_date
     FROM te)
-  WHERE "evaluationDate" = last_date)"""
+  WHERE "evaluationDate" = last_date AND "staffId" IS NOT NULL AND "studentId" IS NOT NULL
+    AND "taskId" IS NOT NULL)"""
 
 
 def report_card(start=None, end=None, student_id=0) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,6 +28,11 @@ def as_date(value: DateLike) -> dt.date | None:
     return value
 
 
+def all_known(*columns: str) -> Column:
+    """No column is null; unlike ``dropna`` this reaches the file scan."""
+    return reduce(lambda a, b: a & b, (F.col(name).isNotNull() for name in columns))
+
+
 def in_date_range(column: str, start: DateLike = None, end: DateLike = None) -> Column:
     """``start <= column <= end`` with open ends.
 

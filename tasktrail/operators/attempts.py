@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tasktrail.functions.constants import FIRST_PRESENTATION
-from tasktrail.functions.filters import DateLike, in_date_range
+from tasktrail.functions.filters import DateLike, all_known, in_date_range
 from tasktrail.operators.lookups import attach
 from tasktrail.sources.school import School
 
@@ -45,7 +45,7 @@ def first_presentations(
 
 def latest_dates(attempts: DataFrame) -> DataFrame:
     """The latest date of each staff, student and task; aggregated before the shuffle."""
-    known = attempts.dropna(subset=list(ATTEMPT_KEY))
+    known = attempts.filter(all_known(*ATTEMPT_KEY))
     return known.groupBy(*ATTEMPT_KEY).agg(F.max("evaluationDate").alias("evaluationDate"))
 
 

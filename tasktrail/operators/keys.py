@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tasktrail.functions.filters import all_known
+
 # Keys that one report call expects to be unique.
 ATTEMPT_MOMENT = ("taskId", "studentId", "evaluationDate")
 FIRST_MOMENT = ("taskId", "studentId", "firstPresentationDate")
@@ -21,7 +23,7 @@ def key_violations(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A key with a null part never violates uniqueness.
     """
-    complete = rows.dropna(subset=list(keys))
+    complete = rows.filter(all_known(*keys))
     return complete.groupBy(*keys).agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
 
 
