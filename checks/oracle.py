@@ -174,34 +174,44 @@ def task_summary(start=None, end=None, staff_id=None, subject_id=0) -> str:
 
 
 def _path(kind: str, subject_id: int) -> str:
-    """CTE ``path``: raw edges of the owner's path and its virtual roots."""
-    subject = f"""AND c."subjectId" = {subject_id}""" if subject_id else ""
+    """CTE ``path``: the named steps of each student, edges and virtual roots.
+
+    Edges and candidate roots form one set; a window then drops the candidates at
+    tasks that an edge of the same student suggests.
+    """
+    subject = f"""WHERE "subjectId" = {subject_id}""" if subject_id else ""
     if kind == "individual":
         edges = """SELECT NULL AS age, NULL AS "ageGroupDescription", i.* FROM individual_edges i"""
-        root_days = "e.days"
+        root_days = "days"
     else:
         edges = f"""SELECT a.age, g."ageGroupDescription", a."studentId", b.* EXCLUDE ("ageGroupId")
           FROM (SELECT "studentId", {_age()}::INTEGER AS age FROM students) a
-            JOIN age_groups g ON a.age >= g.lower AND a.age < g.upper
+            JOIN age_groups g ON a.age BETWEEN g.lower AND g.upper - 1
             JOIN benchmark_edges b USING ("ageGroupId")"""
         root_days = "1"
-    return f""", edges AS ({edges}), raw AS (
-      SELECT e.age, e."ageGroupDescription", e."studentId", e."prerequisiteTaskId", e."suggestedTaskId",
-        e.days, e.minimum, v."evaluationValue" AS "minimumEvaluationValue",
-        q."taskName" AS "prerequisiteTaskName", c."taskName", c."subjectCategoryName", c."subjectName",
-        c."gradeLevelName"
-      FROM edges e JOIN catalog c ON c."taskId" = e."suggestedTaskId" {subject}
-        JOIN tasks q ON q."taskId" = e."prerequisiteTaskId"
-        JOIN evaluations v ON v."evaluationId" = e.minimum),
+    return f""", edges AS ({edges}),
+    listed AS (SELECT * FROM catalog {subject}),
+    candidates AS (
+      SELECT age, "ageGroupDescription", "studentId", "prerequisiteTaskId", "suggestedTaskId", days,
+        minimum, false AS root
+      FROM edges
+      WHERE "suggestedTaskId" IN (SELECT "taskId" FROM listed)
+        AND "prerequisiteTaskId" IN (SELECT "taskId" FROM tasks)
+        AND minimum IN (SELECT "evaluationId" FROM evaluations)
+      UNION ALL
+      SELECT age, "ageGroupDescription", "studentId", "prerequisiteTaskId", "prerequisiteTaskId",
+        {root_days}, 'NN', true
+      FROM edges SEMI JOIN listed ON "taskId" = "prerequisiteTaskId"),
+    walk AS (
+      SELECT DISTINCT * FROM candidates
+      QUALIFY NOT root OR bool_and(root) OVER (PARTITION BY "studentId", "suggestedTaskId")),
     path AS (
-      SELECT e.age, e."ageGroupDescription", e."studentId", e."prerequisiteTaskId",
-        e."prerequisiteTaskId" AS "suggestedTaskId", {root_days} AS days, 'NN' AS minimum,
-        0 AS "minimumEvaluationValue", 'NA' AS "prerequisiteTaskName", c."taskName",
-        c."subjectCategoryName", c."subjectName", c."gradeLevelName"
-      FROM edges e JOIN catalog c ON c."taskId" = e."prerequisiteTaskId" {subject}
-      WHERE NOT EXISTS (FROM raw r WHERE r."studentId" = e."studentId"
-                        AND r."suggestedTaskId" = e."prerequisiteTaskId")
-      UNION SELECT * FROM raw)"""
+      SELECT s.*, c."taskName", c."subjectCategoryName", c."subjectName", c."gradeLevelName",
+        if(root, 0, v."evaluationValue") AS "minimumEvaluationValue",
+        if(root, 'NA', q."taskName") AS "prerequisiteTaskName"
+      FROM walk s JOIN listed c ON c."taskId" = s."suggestedTaskId"
+        JOIN tasks q ON q."taskId" = s."prerequisiteTaskId"
+        LEFT JOIN evaluations v ON v."evaluationId" = s.minimum)"""
 
 
 def _first(kind: str) -> str:
@@ -215,57 +225,60 @@ def _first(kind: str) -> str:
       "evaluationTypeId" FROM te WHERE "evaluationTypeId" = 'FP' {checks}"""
 
 
-def _progress_columns(where: str, delimiter: str = "") -> str:
-    seconds = (
-        """(epoch(coalesce(a."evaluationDate", TIMESTAMP '1900-01-01'))"""
-        """ - epoch(coalesce(p1."firstPresentationDate", TIMESTAMP '1900-01-01'))::BIGINT)"""
-    )
-    elapsed = f"({seconds} / 86400)::INTEGER"
-    return f"""SELECT {delimiter} p."minimumEvaluationValue", p."prerequisiteTaskName", p."taskName",
-      p."subjectCategoryName", p."subjectName", p."gradeLevelName", p."studentId",
-      p."prerequisiteTaskId", p."suggestedTaskId", p.days::INTEGER AS "recommededDaysToComplete",
-      coalesce(a."taskId", 0) AS "taskId",
-      coalesce({_name("f")}, '(incomplete)') AS teacher,
-      coalesce({_name("s")}, '(incomplete)') AS student,
-      coalesce("evaluationDescription", '(incomplete)') AS "evaluationDescription",
-      coalesce("evaluationTypeDescription", '(incomplete)') AS "evaluationTypeDescription",
-      coalesce(a."evaluationDate", TIMESTAMP '1900-01-01') AS "evaluationDate",
-      coalesce("evaluationValue", 0) AS "evaluationValue",
-      coalesce(p1."firstPresentationDate", TIMESTAMP '1900-01-01') AS "firstPresentationDate",
-      {elapsed} AS "daysToComplete", p.days::INTEGER - {elapsed} AS "differenceDaysToComplete"
-    FROM path p
-      LEFT JOIN attempts a ON a."taskId" = p."suggestedTaskId" AND a."studentId" = p."studentId"
-      LEFT JOIN first p1 ON p1."staffId" = a."staffId" AND p1."studentId" = a."studentId"
-        AND p1."taskId" = a."taskId"
-      LEFT JOIN staff f ON f."staffId" = a."staffId"
-      LEFT JOIN students s ON s."studentId" = a."studentId"
-      LEFT JOIN evaluation_types y ON y."evaluationTypeId" = a."evaluationTypeId"
-      LEFT JOIN evaluations v ON v."evaluationId" = a."evaluationId"
-    {where}"""
-
-
 def _progress_tables(kind: str, latest: bool, start, end, subject_id: int) -> str:
+    """CTEs ``path`` and ``done``: the attempts with their names and starts."""
     return PRELUDE + _path(kind, subject_id) + f""", first AS ({_first(kind)}), attempts AS (
-      SELECT * FROM {LATEST if latest else "te"} t WHERE {_between('"evaluationDate"', start, end)})
+      SELECT * FROM {LATEST if latest else "te"} t WHERE {_between('"evaluationDate"', start, end)}),
+    done AS (
+      SELECT a."studentId", a."taskId", a."taskId" AS "suggestedTaskId", a."evaluationDate",
+        b."firstPresentationDate", {_name("f")} AS teacher, {_name("s")} AS student,
+        "evaluationDescription", "evaluationTypeDescription", "evaluationValue"
+      FROM attempts a LEFT JOIN first b USING ("taskId", "studentId", "staffId")
+        LEFT JOIN staff f USING ("staffId") LEFT JOIN students s USING ("studentId")
+        LEFT JOIN evaluations v USING ("evaluationId")
+        LEFT JOIN evaluation_types y ON y."evaluationTypeId" = a."evaluationTypeId")
     """
 
 
+def _filled(columns: str, rows: str) -> str:
+    """The report columns over ``rows``, which join ``path`` p and ``done`` d."""
+    missing = "TIMESTAMP '1900-01-01'"
+    return f"""
+    SELECT {columns} "minimumEvaluationValue", "prerequisiteTaskName", "taskName", "subjectCategoryName",
+      "subjectName", "gradeLevelName", "studentId", "prerequisiteTaskId", "suggestedTaskId",
+      days::INTEGER AS "recommededDaysToComplete", "taskId", teacher, student, "evaluationDescription",
+      "evaluationTypeDescription", ended AS "evaluationDate", "evaluationValue",
+      started AS "firstPresentationDate", spent AS "daysToComplete",
+      days::INTEGER - spent AS "differenceDaysToComplete"
+    FROM (
+      SELECT *, round_even((epoch(ended) - round_even(epoch(started), 0)) / 86400, 0)::INTEGER AS spent
+      FROM (
+        SELECT {columns} p.*, ifnull(d."taskId", 0) AS "taskId", ifnull(teacher, '(incomplete)') AS teacher,
+          ifnull(student, '(incomplete)') AS student,
+          ifnull("evaluationDescription", '(incomplete)') AS "evaluationDescription",
+          ifnull("evaluationTypeDescription", '(incomplete)') AS "evaluationTypeDescription",
+          ifnull("evaluationValue", 0) AS "evaluationValue",
+          ifnull("evaluationDate", {missing}) AS ended,
+          ifnull("firstPresentationDate", {missing}) AS started
+        FROM {rows}))"""
+
+
 def progress(kind: str, latest=False, start=None, end=None, subject_id=0) -> str:
-    where = 'WHERE a."evaluationDate" IS NOT NULL' if start and end else ""
-    return _progress_tables(kind, latest, start, end, subject_id) + _progress_columns(where)
+    join = "JOIN" if start and end else "LEFT JOIN"
+    return _progress_tables(kind, latest, start, end, subject_id) + _filled(
+        "", f"""path p {join} done d USING ("studentId", "suggestedTaskId")"""
+    )
 
 
 def progress_multidate(kind: str, latest=False, buckets=BUCKETS, subject_id=0) -> str:
-    parts = []
-    for number, (start, end) in enumerate(buckets, 1):
-        where = "WHERE false"
-        if start and end:
-            where = f"""WHERE a."evaluationDate" BETWEEN {_date(start)}::TIMESTAMP
-              AND {_date(end)}::TIMESTAMP"""
-        parts.append(_progress_columns(where, f"{number} AS delimiter,"))
-    return _progress_tables(
-        kind, latest, buckets[0][0], buckets[-1][1], subject_id
-    ) + " UNION ".join(parts)
+    bounds = ", ".join(
+        f"({number}, {_date(start)}::TIMESTAMP, {_date(end)}::TIMESTAMP)"
+        for number, (start, end) in enumerate(buckets, 1)
+    )
+    rows = f"""path p JOIN done d USING ("studentId", "suggestedTaskId")
+      JOIN (VALUES {bounds}) b(delimiter, low, high) ON "evaluationDate" BETWEEN low AND high"""
+    tables = _progress_tables(kind, latest, buckets[0][0], buckets[-1][1], subject_id)
+    return f"""{tables} SELECT DISTINCT * FROM ({_filled("delimiter,", rows)})"""
 
 
 def path_with_roots(kind: str) -> str:
