@@ -73,5 +73,13 @@ MEASURED = tuple(
     if name not in ("task_evaluations", "attendance", "staff_students", "individual_task_paths")
 )
 
+# How the tables that grow with the number of students are ordered in files.
+CLUSTERED = {
+    "task_evaluations": ("studentId", "evaluationDate"),
+    "attendance": ("studentId", "attendanceDate"),
+    "students": ("studentId",),
+    "individual_task_paths": ("studentId", "suggestedTaskId"),
+}
+
 MESSAGES = _struct("messageId string, senderUserId int, text string")
 USER_MESSAGES = _struct("messageId string, recipientUserId int")

@@ -10,7 +10,7 @@ from checks.parameters import AS_OF, BUCKETS, RANGE
 from tasktrail import plans
 from tasktrail.operators.paths import individual_path
 from tasktrail.sources.school import School
-from tests.schools import rows_of, school, table
+from tests.schools import rows_of, school, settings, table
 
 FLAT = [day for bucket in BUCKETS for day in bucket]
 START, END = RANGE
@@ -86,10 +86,7 @@ def test_measured_sizes(derived):
 
 def test_school_from_files_and_its_errors(spark, tmp_path):
     made = school(spark)
-    from tasktrail.sources.schemas import TABLES
-
-    for name in TABLES:
-        getattr(made, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    made.write(str(tmp_path))
     again = School.read(spark, str(tmp_path))
     assert rows_of(again.tasks.orderBy("taskId")) == rows_of(made.tasks.orderBy("taskId"))
     assert again.rows("users") == 4
@@ -101,6 +98,30 @@ def test_school_from_files_and_its_errors(spark, tmp_path):
     assert dict(School({"tasks": narrow}).tasks.dtypes)["taskId"] == "int"
 
 
+def test_written_facts_are_ordered_by_student(spark, derived, tmp_path):
+    facts = School({"task_evaluations": derived.task_evaluations})
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        facts.write(str(tmp_path))
+    stored = spark.read.parquet(f"{tmp_path}/task_evaluations.parquet")
+    ranges = (
+        stored.groupBy(F.col("_metadata.file_path"))
+        .agg(F.min("studentId").alias("low"), F.max("studentId").alias("high"))
+        .orderBy("low", "high")
+        .collect()
+    )
+    assert len(ranges) > 1
+    assert all(left["high"] <= right["low"] for left, right in zip(ranges, ranges[1:]))
+    assert counted(stored) == counted(derived.task_evaluations)
+
+
+def test_without_a_shared_folder_nothing_is_written(spark, monkeypatch):
+    from tasktrail.sources import shared_folder
+
+    monkeypatch.setattr(shared_folder, "shared_folder", lambda session: None)
+    frame = spark.range(3)
+    assert shared_folder.written(frame, "numbers") is frame
+
+
 def test_entry_points(spark):
     assert entry_points.entry(spark).limit(1).count() == 1
     assert set(entry_points.queries()) == set(entry_points.oracle_sql())
