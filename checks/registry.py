@@ -22,7 +22,7 @@ from tasktrail.sources.school import School
 from tasktrail.sources.shared_folder import shared_folder
 from tasktrail.sources.sinks import read_messages, read_user_messages
 from tasktrail.sources.tpch_school import attendance_of, derive_school, task_evaluations_of
-from tasktrail.streaming import alert_stream
+from tasktrail.streaming import FILES_PER_BATCH, alert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,7 +161,8 @@ def _streamed(spark: SparkSession, folder: str, table: str) -> str:
         given = "events" if table == "attendance" else "lineitem"
         schema = spark.read.parquet(f"{folder}/{given}.parquet").schema
         # The star also matches a table that is one file: a stream reads folders or patterns.
-        feed = spark.readStream.schema(schema).parquet(f"{folder}/{given}.parquet*")
+        reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+        feed = reader.parquet(f"{folder}/{given}.parquet*")
         if table == "attendance":
             changes, remember = attendance_of(feed), "1 hour"
         else:

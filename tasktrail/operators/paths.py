@@ -3,8 +3,9 @@
 A path row says: after ``prerequisiteTaskId`` comes ``suggestedTaskId``. A task that
 is only ever a prerequisite gets a virtual row of its own, a root, so that the whole
 path is visible. A root takes a fixed number of days or, on individual paths, the days
-of the edges it starts: different days give several rows. Paths travel as ids; names are attached by ``describe_path`` at the end, so
-shuffles carry integers.
+of the edges it starts: different days give several rows.
+
+Paths travel as ids; names are attached at the end, so shuffles carry integers.
 
 A path is per *owner*: a student, or an age for the benchmark paths. All students of
 one age share the same age groups, hence the same path, also where groups overlap.

@@ -16,23 +16,16 @@ from tasktrail.sources.school import School
 Bucket = tuple[DateLike, DateLike]
 
 
-def path_vs_attempts(
-    path: DataFrame, attempts: DataFrame, first: DataFrame, attempted: DataFrame | None = None
-) -> DataFrame:
-    """Meet every path row with the attempts at its suggested task, as ids.
+STEP_KEY = ["studentId", "suggestedTaskId"]
+
+
+def attempts_on_path(path: DataFrame, attempts: DataFrame, first: DataFrame) -> DataFrame:
+    """Every path row with each attempt at its suggested task, as ids.
 
     An attempt meets the first presentations by the same member of staff; several of
-    them repeat the row. ``attempted``, the distinct student and task pairs of the
-    attempts, adds the path rows that are not among them.
-
-    This is a left join written as its two halves. In one outer join the attempts
-    would be the side that cannot be split, and a student and task with very many
-    attempts would fall to one task. In the inner half they can be split; the other
-    half needs only the pairs, aggregated before the shuffle. Both halves shuffle the
-    path alike, so it is worked out once: the second half is a left join and a filter,
-    since an anti join would be pushed down into the path.
+    them repeat the row, none leave the start empty. The attempts are the side that
+    streams through both joins, so the ones of a hot key can be split.
     """
-    step = ["studentId", "suggestedTaskId"]
     tried = attempts.select(
         "studentId",
         F.col("taskId").alias("suggestedTaskId"),
@@ -44,46 +37,58 @@ def path_vs_attempts(
     started = first.select(
         "staffId", "studentId", F.col("taskId").alias("suggestedTaskId"), "firstPresentationDate"
     )
-    matched = tried.join(path, step).join(started, ["staffId", *step], "left")
-    if attempted is None:
-        return matched
+    return tried.join(path, STEP_KEY).join(started, ["staffId", *STEP_KEY], "left")
+
+
+def untried_steps(path: DataFrame, attempted: DataFrame) -> DataFrame:
+    """Path rows that are not among the distinct student and task pairs ``attempted``.
+
+    Together with ``attempts_on_path`` this is the left join of path and attempts,
+    written as its two halves. In one outer join the attempts would be the side that
+    cannot be split, and a student and task with very many attempts would fall to one
+    task. This half needs only the pairs, aggregated before the shuffle. Both halves
+    shuffle the path alike, so it is worked out once; an anti join would be pushed
+    down into the path and undo that, hence the left join with a filter.
+    """
     pairs = attempted.select(
         "studentId", F.col("taskId").alias("suggestedTaskId"), F.lit(True).alias("_tried")
     )
-    untried = path.join(pairs, step, "left").filter(F.col("_tried").isNull()).drop("_tried")
-    return matched.unionByName(untried, allowMissingColumns=True)
-
+    return path.join(pairs, STEP_KEY, "left").filter(F.col("_tried").isNull()).drop("_tried")
 
-def fill_attempt(progress: DataFrame, school: School) -> DataFrame:
-    """Names, values and days of the attempt, with fill values where there is none.
 
-    A path row without an attempt has a null ``evaluationDate``; its student is shown
-    as incomplete too, although the path knows the student.
-    """
-    staff = school.staff.select("staffId", full_name().alias("_teacher"))
+def name_attempts(progress: DataFrame, school: School) -> DataFrame:
+    """Teacher, type and mark of the attempts; unknown ids leave them empty."""
+    staff = school.staff.select("staffId", full_name().alias("teacher"))
     types = school.evaluation_types.select("evaluationTypeId", "evaluationTypeDescription")
     marks = school.evaluations.select("evaluationId", "evaluationDescription", "evaluationValue")
     named = attach(progress, staff, "staffId", "left", rows=school.rows("staff"))
     named = attach(named, types, "evaluationTypeId", "left", rows=school.rows("evaluation_types"))
-    named = attach(named, marks, "evaluationId", "left", rows=school.rows("evaluations"))
+    return attach(named, marks, "evaluationId", "left", rows=school.rows("evaluations"))
+
+
+def fill_attempts(progress: DataFrame) -> DataFrame:
+    """Fill values where there is no attempt, name or start, and the elapsed days.
+
+    A path row without an attempt has a null ``evaluationDate``; its student is shown
+    as incomplete too, although the path knows the student.
+    """
     tried = F.col("evaluationDate").isNotNull()
 
-    def text(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(INCOMPLETE))
+    def text(value: Column) -> Column:
+        return F.coalesce(value, F.lit(INCOMPLETE))
 
     def date(name: str) -> Column:
         return F.coalesce(F.col(name), ntz(NO_DATE))
 
     days = elapsed_days(date("firstPresentationDate"), date("evaluationDate"))
-    return named.select(
+    names = ("teacher", "evaluationDescription", "evaluationTypeDescription")
+    return progress.select(
         *path_columns(progress),
         F.when(tried, F.col("suggestedTaskId")).otherwise(NO_TASK).alias("taskId"),
-        text("_teacher").alias("teacher"),
-        F.coalesce(F.when(tried, F.col("student")), F.lit(INCOMPLETE)).alias("student"),
-        text("evaluationDescription").alias("evaluationDescription"),
-        text("evaluationTypeDescription").alias("evaluationTypeDescription"),
-        date("evaluationDate").alias("evaluationDate"),
+        text(F.when(tried, F.col("student"))).alias("student"),
+        *(text(F.col(name)).alias(name) for name in names),
         F.coalesce("evaluationValue", F.lit(NO_VALUE)).alias("evaluationValue"),
+        date("evaluationDate").alias("evaluationDate"),
         date("firstPresentationDate").alias("firstPresentationDate"),
         days.alias("elapsedDays"),
     )

@@ -19,10 +19,12 @@ from tasktrail.operators.paths import (
 )
 from tasktrail.operators.progress import (
     Bucket,
+    attempts_on_path,
     date_buckets,
-    fill_attempt,
+    fill_attempts,
     in_any_bucket,
-    path_vs_attempts,
+    name_attempts,
+    untried_steps,
 )
 from tasktrail.sources.school import School
 
@@ -65,12 +67,17 @@ def _named_individual_path(school: School, student_ids: Ids, subject_id: int | N
     return attach(path, students, "studentId", "left", rows=school.rows("students"))
 
 
-def _facts(school: School, student_ids: Ids, subject_id: int | None) -> DataFrame:
-    """The attempt columns a progress report reads; of one subject's tasks, if given."""
+def _facts(
+    school: School, student_ids: Ids, subject_id: int | None, strict: bool
+) -> DataFrame:
+    """The attempt columns a progress report reads; of one subject's tasks, if given.
+
+    A strict report checks the attempts of all subjects.
+    """
     facts = in_scope(school.task_evaluations, "studentId", student_ids).select(
         "studentId", "staffId", "taskId", "evaluationId", "evaluationTypeId", "evaluationDate"
     )
-    if subject_id:
+    if subject_id and not strict:
         listed = task_catalog(school, subject_id).select("taskId")
         facts = attach(facts, listed, "taskId", "left_semi", rows=school.rows("tasks"))
     return facts
@@ -115,10 +122,11 @@ def _report(
     attempts = select_attempts(facts, latest, start, end)
     if strict:
         _check_keys(path, attempts, first)
-    bounded = start is not None and end is not None
-    attempted = None if bounded else attempted_tasks(facts, latest, start, end)
-    progress = path_vs_attempts(path, attempts, first, attempted)
-    return _finish(with_minimum_value(fill_attempt(progress, school), school), school, ordered)
+    progress = name_attempts(attempts_on_path(path, attempts, first), school)
+    if start is None or end is None:
+        untried = untried_steps(path, attempted_tasks(facts, latest, start, end))
+        progress = progress.unionByName(untried, allowMissingColumns=True)
+    return _finish(with_minimum_value(fill_attempts(progress), school), school, ordered)
 
 
 def _bucket_report(
@@ -139,8 +147,8 @@ def _bucket_report(
     if strict:
         _check_keys(path, attempts, first)
     wanted = attempts.filter(in_any_bucket(buckets))
-    progress = date_buckets(path_vs_attempts(path, wanted, first), buckets)
-    filled = with_minimum_value(fill_attempt(progress, school), school)
+    progress = date_buckets(attempts_on_path(path, wanted, first), buckets)
+    filled = with_minimum_value(fill_attempts(name_attempts(progress, school)), school)
     return _finish(filled.drop("minimumEvaluationId").distinct(), school, ordered)
 
 
@@ -165,7 +173,7 @@ def progress_report_individual(
     leaves the report of all students unsorted.
     """
     path = _named_individual_path(school, student_ids, subject_id)
-    facts = _facts(school, student_ids, subject_id)
+    facts = _facts(school, student_ids, subject_id, strict)
     first = first_presentations(facts)
     ordered = _sorted_by_default(ordered, student_ids)
     return _report(school, path, facts, first, latest, start, end, strict, ordered)
@@ -191,7 +199,7 @@ def progress_report_individual_multidate(
     another bucket reaches further.
     """
     path = _named_individual_path(school, student_ids, subject_id)
-    facts = _facts(school, student_ids, subject_id)
+    facts = _facts(school, student_ids, subject_id, strict)
     first = first_presentations(facts)
     buckets = ((start_one, end_one), (start_two, end_two), (start_three, end_three))
     ordered = _sorted_by_default(ordered, student_ids)
@@ -220,7 +228,7 @@ def progress_report_benchmark(
     the age, today if left out.
     """
     path = benchmark_path(school, student_ids, subject_id, as_of)
-    facts = _facts(school, student_ids, subject_id)
+    facts = _facts(school, student_ids, subject_id, strict)
     first = first_presentations(facts, school, _BENCHMARK_CHECKS)
     ordered = _sorted_by_default(ordered, student_ids)
     return _report(school, path, facts, first, latest, start, end, strict, ordered)
@@ -243,7 +251,7 @@ def progress_report_benchmark_multidate(
 ) -> DataFrame:
     """The benchmark report split in three date buckets, numbered by ``delimiter``."""
     path = benchmark_path(school, student_ids, subject_id, as_of)
-    facts = _facts(school, student_ids, subject_id)
+    facts = _facts(school, student_ids, subject_id, strict)
     first = first_presentations(facts, school, _BENCHMARK_CHECKS)
     buckets = ((start_one, end_one), (start_two, end_two), (start_three, end_three))
     ordered = _sorted_by_default(ordered, student_ids)

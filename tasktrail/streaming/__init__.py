@@ -1,5 +1,5 @@
 """Alerts from a running feed of changed rows."""
 
-from tasktrail.streaming.alert_stream import alert_stream, change_feed
+from tasktrail.streaming.alert_stream import FILES_PER_BATCH, alert_stream, change_feed
 
-__all__ = ["alert_stream", "change_feed"]
+__all__ = ["FILES_PER_BATCH", "alert_stream", "change_feed"]

@@ -18,14 +18,16 @@ from tasktrail.sources.sinks import write_alerts
 _ALERTS = {"attendance": attendance_alerts, "task_evaluations": evaluation_alerts}
 
 
+# Bounds what one batch keeps while its outputs are written.
+FILES_PER_BATCH = 1000
+
+
 def change_feed(
-    spark: SparkSession, folder: str, table: str, files_per_batch: int | None = None
+    spark: SparkSession, folder: str, table: str, files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:
     """A stream of the Parquet files that arrive in ``folder``."""
     reader = spark.readStream.schema(TABLES[table])
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def first_deliveries(changes: DataFrame, remember: str) -> DataFrame:

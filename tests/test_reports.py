@@ -334,6 +334,9 @@ def test_strict_reports_duplicates(spark):
     with pytest.raises(DuplicateKeyError, match="path"):
         progress(school(spark, individual_task_paths=paths), 1, strict=True)
     assert len(progress(school(spark, task_evaluations=twice[:1]), 1, strict=True)) == 2
+    # Attempts at tasks of other subjects are checked as well.
+    with pytest.raises(DuplicateKeyError, match="attempts"):
+        progress(school(spark, task_evaluations=twice), 1, 2, strict=True)
 
 
 def test_order_of_a_report(spark):
