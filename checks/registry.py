@@ -63,7 +63,7 @@ def _grade_bands(school: School) -> DataFrame:
 
 
 def _path_columns(path: DataFrame, school: School) -> DataFrame:
-    return describe_path(path, school).drop("isRoot", "student")
+    return describe_path(path, school).drop("isRoot")
 
 
 def _flat_buckets() -> tuple:

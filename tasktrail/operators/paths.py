@@ -24,7 +24,7 @@ from tasktrail.functions.constants import (
     ROOT_MINIMUM_VALUE,
     ROOT_PREREQUISITE_NAME,
 )
-from tasktrail.functions.expressions import age_in_years, full_name
+from tasktrail.functions.expressions import age_in_years
 from tasktrail.functions.filters import Ids, in_scope
 from tasktrail.operators.bands import age_numbers
 from tasktrail.operators.lookups import attach, task_catalog, task_status
@@ -123,10 +123,10 @@ def benchmark_path(
     subject_id: int | None = None,
     as_of: dt.date | None = None,
 ) -> DataFrame:
-    """Each student's age-group path with virtual roots, as ids, with the student's name."""
+    """Each student's age-group path with virtual roots, as ids."""
     students = in_scope(school.students, "studentId", student_ids)
     students = students.filter(F.col("studentId").isNotNull()).select(
-        "studentId", full_name().alias("student"), age_in_years("dateOfBirth", as_of).alias("age")
+        "studentId", age_in_years("dateOfBirth", as_of).alias("age")
     )
     path = path_by_age(school, subject_id)
     # Each age meets each edge at most once as an edge and once as a root.

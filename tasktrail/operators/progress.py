@@ -57,11 +57,14 @@ def untried_steps(path: DataFrame, attempted: DataFrame) -> DataFrame:
 
 
 def name_attempts(progress: DataFrame, school: School) -> DataFrame:
-    """Teacher, type and mark of the attempts; unknown ids leave them empty."""
+    """Student, teacher, type and mark of the attempts; unknown ids leave them empty."""
+    students = school.students.select("studentId", full_name().alias("student"))
     staff = school.staff.select("staffId", full_name().alias("teacher"))
     types = school.evaluation_types.select("evaluationTypeId", "evaluationTypeDescription")
     marks = school.evaluations.select("evaluationId", "evaluationDescription", "evaluationValue")
-    named = attach(progress, staff, "staffId", "left", rows=school.rows("staff"))
+    # First the one lookup that may shuffle the rows, while they are narrow.
+    named = attach(progress, students, "studentId", "left", rows=school.rows("students"))
+    named = attach(named, staff, "staffId", "left", rows=school.rows("staff"))
     named = attach(named, types, "evaluationTypeId", "left", rows=school.rows("evaluation_types"))
     return attach(named, marks, "evaluationId", "left", rows=school.rows("evaluations"))
 
@@ -70,23 +73,19 @@ def fill_attempts(progress: DataFrame) -> DataFrame:
     """Fill values where there is no attempt, name or start, and the elapsed days.
 
     A path row without an attempt has a null ``evaluationDate``; its student is shown
-    as incomplete too, although the path knows the student.
+    as incomplete too, although the path names the student's id.
     """
     tried = F.col("evaluationDate").isNotNull()
 
-    def text(value: Column) -> Column:
-        return F.coalesce(value, F.lit(INCOMPLETE))
-
     def date(name: str) -> Column:
         return F.coalesce(F.col(name), ntz(NO_DATE))
 
     days = elapsed_days(date("firstPresentationDate"), date("evaluationDate"))
-    names = ("teacher", "evaluationDescription", "evaluationTypeDescription")
+    names = ("teacher", "student", "evaluationDescription", "evaluationTypeDescription")
     return progress.select(
         *path_columns(progress),
         F.when(tried, F.col("suggestedTaskId")).otherwise(NO_TASK).alias("taskId"),
-        text(F.when(tried, F.col("student"))).alias("student"),
-        *(text(F.col(name)).alias(name) for name in names),
+        *(F.coalesce(F.col(name), F.lit(INCOMPLETE)).alias(name) for name in names),
         F.coalesce("evaluationValue", F.lit(NO_VALUE)).alias("evaluationValue"),
         date("evaluationDate").alias("evaluationDate"),
         date("firstPresentationDate").alias("firstPresentationDate"),

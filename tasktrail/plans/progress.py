@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from tasktrail.functions.expressions import ascending, full_name
+from tasktrail.functions.expressions import ascending
 from tasktrail.functions.filters import DateLike, Ids, in_scope
 from tasktrail.operators.attempts import attempted_tasks, first_presentations, select_attempts
 from tasktrail.operators.keys import ATTEMPT_MOMENT, FIRST_MOMENT, PATH_STEP, require_unique
@@ -61,12 +61,6 @@ ORDER = (
 )
 
 
-def _named_individual_path(school: School, student_ids: Ids, subject_id: int | None) -> DataFrame:
-    students = school.students.select("studentId", full_name().alias("student"))
-    path = individual_path(school, student_ids, subject_id)
-    return attach(path, students, "studentId", "left", rows=school.rows("students"))
-
-
 def _facts(
     school: School, student_ids: Ids, subject_id: int | None, strict: bool
 ) -> DataFrame:
@@ -172,7 +166,7 @@ def progress_report_individual(
     that should be unique. ``ordered`` None sorts the report of named students and
     leaves the report of all students unsorted.
     """
-    path = _named_individual_path(school, student_ids, subject_id)
+    path = individual_path(school, student_ids, subject_id)
     facts = _facts(school, student_ids, subject_id, strict)
     first = first_presentations(facts)
     ordered = _sorted_by_default(ordered, student_ids)
@@ -198,7 +192,7 @@ def progress_report_individual_multidate(
     Attempts before the first start or after the third end are left out, also where
     another bucket reaches further.
     """
-    path = _named_individual_path(school, student_ids, subject_id)
+    path = individual_path(school, student_ids, subject_id)
     facts = _facts(school, student_ids, subject_id, strict)
     first = first_presentations(facts)
     buckets = ((start_one, end_one), (start_two, end_two), (start_three, end_three))

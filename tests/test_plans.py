@@ -69,3 +69,18 @@ def test_small_lookups_are_broadcast_and_large_ones_are_not(derived, monkeypatch
     with settings(derived.students.sparkSession, NO_BROADCAST):
         plan = explained(plans.report_card(derived))
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_the_path_is_worked_out_once(derived):
+    """Both halves of the report use one shuffle of the path."""
+    with settings(derived.students.sparkSession, NO_BROADCAST):
+        report = plans.progress_report_individual(derived)
+        report.collect()
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            report.explain()
+    final = text.getvalue().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 3
+    # Students are read for the path edges and for the names, not again per half.
+    reads = [line for line in final.splitlines() if "FileScan" in line and "customer" in line]
+    assert len(reads) == 2
