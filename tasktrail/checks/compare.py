@@ -1,6 +1,6 @@
 """Run registered queries and their SQL side by side.
 
-    python -m checks.compare [sf0.01] [query ...]
+    python -m tasktrail.checks.compare [sf0.01] [query ...]
 """
 
 from __future__ import annotations
@@ -68,8 +68,8 @@ def session(cores: str = "8") -> SparkSession:
 
 
 def main(arguments: list[str]) -> int:
-    from checks.oracle import statements
-    from checks.registry import registered
+    from tasktrail.checks.oracle import statements
+    from tasktrail.checks.registry import registered
 
     folder = f"/root/testdata/{arguments[0] if arguments else 'sf0.01'}"
     wanted = arguments[1:]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from checks.parameters import AS_OF, ATTENDANCE_RANGE, BUCKETS, RANGE
+from tasktrail.checks.parameters import AS_OF, ATTENDANCE_RANGE, BUCKETS, RANGE
 
 PRELUDE = """
 WITH te AS (

@@ -8,7 +8,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from checks.parameters import AS_OF, ATTENDANCE_RANGE, BUCKETS, RANGE
+from tasktrail.checks.parameters import AS_OF, ATTENDANCE_RANGE, BUCKETS, RANGE
 from tasktrail import plans
 from tasktrail.functions.filters import in_date_range
 from tasktrail.operators.attempts import LOOKUPS, first_presentations, latest_attempts

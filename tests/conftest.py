@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from checks.compare import connect  # noqa: E402
-from checks.registry import school_of  # noqa: E402
+from tasktrail.checks.compare import connect  # noqa: E402
+from tasktrail.checks.registry import school_of  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -4,11 +4,11 @@ import datetime as dt
 
 import pytest
 
-from checks import oracle
-from checks.compare import difference, spark_rows, sql_rows
-from checks.oracle import statements
-from checks.parameters import AS_OF, BUCKETS, RANGE
-from checks.registry import _with_micros, registered
+from tasktrail.checks import oracle
+from tasktrail.checks.compare import difference, spark_rows, sql_rows
+from tasktrail.checks.oracle import statements
+from tasktrail.checks.parameters import AS_OF, BUCKETS, RANGE
+from tasktrail.checks.registry import _with_micros, registered
 from tasktrail import plans
 from tasktrail.operators import lookups
 from tests.conftest import FOLDER

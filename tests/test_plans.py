@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from checks.registry import registered
+from tasktrail.checks.registry import registered
 from tasktrail import plans
 from tasktrail.operators import lookups
 from tests.conftest import FOLDER

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from checks.parameters import AS_OF, BUCKETS, RANGE
+from tasktrail.checks.parameters import AS_OF, BUCKETS, RANGE
 from tasktrail import plans
 from tasktrail.operators.paths import individual_path
 from tasktrail.sources.school import School

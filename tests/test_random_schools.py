@@ -6,9 +6,9 @@ import random
 import duckdb
 import pytest
 
-from checks import oracle
-from checks.compare import difference, spark_rows, sql_rows
-from checks.registry import _with_micros
+from tasktrail.checks import oracle
+from tasktrail.checks.compare import difference, spark_rows, sql_rows
+from tasktrail.checks.registry import _with_micros
 from tasktrail import plans
 from tasktrail.sources.schemas import TABLES
 from tests.schools import school
