@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tasktrail.llm.bpe_codec import encode_decode
+from tasktrail.llm.packing import pack_documents
+from tasktrail.llm.sharding import assign_shards
 from tasktrail.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +21,12 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(
+        _documents(spark, folder), str(public_tokenizers.path("word_bpe_49k.json"))
+    )
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts(
         _documents(spark, folder), str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -40,10 +48,25 @@ def op9_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = assign_shards(_documents(spark, folder))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
+        "op2_best_fit_packing": op2_best_fit_packing,
         "op8_token_counts": op8_token_counts,
         "op9_bpe_codec": op9_bpe_codec,
+        "op10_sharding": op10_sharding,
     }
 
 
