@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tasktrail.llm.bpe_codec import encode_decode
 from tasktrail.llm.packing import pack_documents
 from tasktrail.llm.sharding import assign_shards
+from tasktrail.llm.simhash import near_duplicates
 from tasktrail.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,14 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_documents(spark, folder)).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(
         _documents(spark, folder), str(public_tokenizers.path("word_bpe_49k.json"))
@@ -63,6 +72,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {
+        "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op8_token_counts": op8_token_counts,
         "op9_bpe_codec": op9_bpe_codec,
