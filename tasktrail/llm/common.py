@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,3 +59,34 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit(""))), F.lit(folds))
+
+
+def free_name(table: DataFrame, wanted: str) -> str:
+    """``wanted``, or the same with underscores in front if the table has such a column."""
+    taken = {name.lower() for name in table.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def with_column_of_text(
+    table: DataFrame, name: str, kind: T.DataType, start: Callable[[], Callable], text: str = "text"
+) -> DataFrame:
+    """Add a column worked out from a text column in Python tasks; all other columns pass.
+
+    ``start`` runs once per task and returns a function from a list of texts, None for
+    null, to a list or array of values.
+    """
+    place = table.columns.index(text)
+    schema = T.StructType([*table.schema.fields, T.StructField(name, kind)])
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            values = work(batch.column(place).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(values, arrow)], [*batch.schema.names, name]
+            )
+
+    return table.mapInArrow(run, schema)

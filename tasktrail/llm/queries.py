@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tasktrail.llm.bpe_codec import encode_decode
+from tasktrail.llm import language, quality
+from tasktrail.llm.common import fold_of
 from tasktrail.llm.packing import pack_documents
 from tasktrail.llm.sharding import assign_shards
 from tasktrail.llm.simhash import near_duplicates
@@ -36,6 +38,33 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    held_out = fold_of("doc_id", 4) == 2
+    model = language.train(docs, ~held_out)
+    found = language.with_language(docs.select("doc_id", "text"), model)
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out.alias("held_out"),
+        "language.lang_pred",
+        "language.score",
+    )
+
+
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held_out = fold_of("doc_id", 3) == 1
+    model = quality.train(docs, labels, ~held_out)
+    scored = quality.with_score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts(
         _documents(spark, folder), str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -74,6 +103,8 @@ def registered() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_language_id": op3_language_id,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_token_counts": op8_token_counts,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_sharding": op10_sharding,
