@@ -46,6 +46,15 @@ def written(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def remove(table: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing will read again."""
+    spark = table.sparkSession
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(target, True)
+
+
 def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) and further wanted columns, nothing else."""
     return docs.select(

@@ -13,6 +13,7 @@ from tasktrail.llm.common import fold_of
 from tasktrail.llm.packing import pack_documents
 from tasktrail.llm.sharding import assign_shards
 from tasktrail.llm.simhash import near_duplicates
+from tasktrail.llm.suffix_dedup import remove_repeats
 from tasktrail.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +52,17 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = remove_repeats(_documents(spark, folder))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     labels = spark.read.parquet(f"{folder}/labels.parquet")
@@ -104,6 +116,7 @@ def registered() -> dict[str, Query]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_language_id": op3_language_id,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_token_counts": op8_token_counts,
         "op9_bpe_codec": op9_bpe_codec,
