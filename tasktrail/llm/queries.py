@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tasktrail.llm.bpe_codec import encode_decode
 from tasktrail.llm import language, quality
 from tasktrail.llm.common import fold_of
+from tasktrail.llm.merkle import fingerprint_pairs
+from tasktrail.llm.nearest import nearest
 from tasktrail.llm.packing import pack_documents
 from tasktrail.llm.sharding import assign_shards
 from tasktrail.llm.simhash import near_duplicates
@@ -52,6 +54,15 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_pairs(_documents(spark, folder))
+
+
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return nearest(embeddings, F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = remove_repeats(_documents(spark, folder))
     return cut.select(
@@ -116,6 +127,8 @@ def registered() -> dict[str, Query]:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_language_id": op3_language_id,
+        "op4_document_fingerprints": op4_document_fingerprints,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_token_counts": op8_token_counts,
