@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tasktrail.llm.common import documents_of, written
+from tasktrail.llm.common import documents_of, free_name, written
 from tasktrail.llm.components import components
 
 BITS = 64
@@ -73,17 +73,19 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit integer."""
+    """``doc_id``, ``tie`` (a hash of the text) and ``fp``, the fingerprint as a signed integer."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()) if batch.num_rows else []
+            texts = batch.column(2).cast(pa.binary()) if batch.num_rows else []
             found = np.array([fingerprint(one.as_py(), words) for one in texts], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"]
+                [batch.column(0), batch.column(1), pa.array(found.view(np.int64))],
+                ["doc_id", "tie", "fp"],
             )
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = documents_of(docs).select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return rows.mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def block_masks(free: int, distance: int) -> list[int]:
@@ -267,13 +269,37 @@ def trie_links(nodes: DataFrame, distance: int = DISTANCE, limit: int = GROUP_LI
 def near_duplicates(
     docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = DISTANCE
 ) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``, the smallest id of all documents reachable."""
+    """``doc_id``, ``tie``, ``fp``, ``component_id`` (the smallest id of all documents reachable)
+    and ``stays``, true for the rows that stand for their component.
+
+    These are the rows with the smallest id, or of several such the smallest hash of the
+    text: one row, unless it is repeated.
+    """
     rows = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
+    nodes = written(rows.groupBy("fp").agg(first.alias("first")), "nodes")
     roots = components(trie_links(nodes.select("fp"), distance))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("of_all"))
+    classes = written(rooted.join(smallest, "root").select("fp", "of_all"), "classes")
+    stays = F.col("doc_id").eqNullSafe(F.col("of_all.doc_id")) & (F.col("tie") == F.col("of_all.tie"))
+    return rows.join(classes, "fp").select(
+        "doc_id", "tie", "fp", F.col("of_all.doc_id").alias("component_id"), stays.alias("stays")
+    )
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component, with all columns of ``docs``."""
+    found = near_duplicates(docs, words, distance).filter("stays")
+    at, tie = free_name(docs, "at"), free_name(docs, "tie")
+    lowest = F.lit(-(1 << (BITS - 1)))
+    kept = found.select(F.coalesce("doc_id", lowest).alias(at), F.col("tie").alias(tie))
+    named = docs.withColumns(
+        {
+            at: F.coalesce(F.col("doc_id").cast("long"), lowest),
+            tie: F.xxhash64(F.coalesce(F.col("text"), F.lit(""))),
+        }
     )
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = written(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return named.join(kept, [at, tie], "left_semi").dropDuplicates([at, tie]).drop(at, tie)

@@ -26,10 +26,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tasktrail.llm.anchors import LENGTH, Hashes, runs
-from tasktrail.llm.common import documents_of, remove, written
+from tasktrail.llm.common import documents_of, free_name, remove, with_column_of_text, written
 from tasktrail.llm.suffix_order import Suffixes
 
 RUNS_PER_TASK = 20_000
@@ -45,9 +46,14 @@ _FOUND = "anchor long, run long, low int, high int"
 _FIELD = 8
 
 
+def _key() -> Column:
+    """The name of a row."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``key``, the name of a row, beside ``doc_id`` and ``text``."""
-    return documents_of(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    """``key`` beside ``doc_id`` and ``text``."""
+    return documents_of(docs).withColumn("key", _key())
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
@@ -302,6 +308,17 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
+def _own_spans(listed: pa.Scalar) -> list[list[int]]:
+    if not listed.is_valid:
+        return []
+    return merged(np.stack([one.to_numpy() for one in listed.values.flatten()], axis=1)).tolist()
+
+
+def _without(text: bytes, spans: list[list[int]]) -> bytes:
+    edges = [0, *(edge for span in spans for edge in span), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 def remove_repeats(docs: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``spans`` (sorted array of start and end) and the bytes ``kept``."""
     keyed = _keyed(docs)
@@ -313,13 +330,9 @@ def remove_repeats(docs: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> DataF
             held = 0
             lists = batch.column(2)
             for index, (doc_id, packed) in enumerate(zip(batch.column(0), batch.column(1))):
-                text, own = _unpack(packed.as_py()), []
-                if lists[index].is_valid:
-                    values = lists[index].values.flatten()
-                    pairs = np.stack([one.to_numpy() for one in values], axis=1)
-                    own = merged(pairs).tolist()
-                edges = [0, *(edge for span in own for edge in span), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                text = _unpack(packed.as_py())
+                own = _own_spans(lists[index])
+                kept = _without(text, own)
                 rows.append(
                     (doc_id.as_py(), len(text), [{"start": a, "end": b} for a, b in own], kept)
                 )
@@ -354,3 +367,48 @@ def _kept(rows: list[tuple]) -> pa.RecordBatch:
         ],
         ["doc_id", "n_bytes", "spans", "kept"],
     )
+
+
+def without_repeats(docs: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> DataFrame:
+    """``docs`` with shortened texts and, if there is that column, their new ``n_chars``.
+
+    Spans are bytes; a character of which a part goes, goes as a whole. A null text stays
+    null. All rows and other columns stay.
+    """
+    key, packed, spans = (free_name(docs, name) for name in ("key", "packed", "spans"))
+
+    def start():
+        from zstandard import ZstdCompressor
+
+        packer = ZstdCompressor(level=PACK_LEVEL)
+        return lambda texts: [
+            None if text is None else packer.compress(text.encode()) for text in texts
+        ]
+
+    found = repeated_spans(_keyed(docs), runs_per_task)
+    found = found.select(F.col("key").alias(key), F.col("spans").alias(spans))
+    named = with_column_of_text(docs.withColumn(key, _key()), packed, T.BinaryType(), start)
+    joined = named.drop("text").join(found, key, "left").drop(key)
+    names = joined.columns
+    kinds = {field.name: to_arrow_type(field.dataType) for field in docs.schema}
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(names.index(spans))
+            texts = [
+                _without(_unpack(one.as_py()), _own_spans(lists[index])).decode("utf-8", "ignore")
+                if one.is_valid
+                else None
+                for index, one in enumerate(batch.column(names.index(packed)))
+            ]
+            columns = []
+            for name, kind in kinds.items():
+                if name == "text":
+                    columns.append(pa.array(texts, kind))
+                elif name == "n_chars":
+                    columns.append(pa.array([len(text or "") for text in texts], kind))
+                else:
+                    columns.append(batch.column(names.index(name)))
+            yield pa.RecordBatch.from_arrays(columns, list(kinds))
+
+    return joined.mapInArrow(cut, docs.schema)
