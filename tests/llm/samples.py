@@ -1,0 +1,79 @@
+"""Documents with everything that may go wrong, and plain reference computations."""
+
+from __future__ import annotations
+
+import random
+
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, "
+    "fp string, key string, tie int, score string, size string, packed int, spans int, "
+    "at int, anchor int, component_id string, _key int, label int, language string, shard string"
+)
+LONG = "Grüße an alle. " * 4000
+
+
+def clashing(doc_id, text, lang="en"):
+    return (doc_id, text, lang, "s", len(text or ""), "f", "k", 1, "s", "z", 2, 3, 4, 5, "c", 6, 7, "l", "h")
+
+
+def odd_rows() -> list[tuple]:
+    """Nulls, empty and very long texts, ties, repeated rows; twelve rows."""
+    same = "the same words stand here twice for good measure and some more words to count"
+    return [
+        clashing(1, same),
+        clashing(2, same),
+        clashing(2, same),
+        clashing(3, None, None),
+        clashing(4, ""),
+        clashing(5, " \n\t "),
+        clashing(6, LONG, "de"),
+        clashing(7, "a"),
+        clashing(None, "no id but a text"),
+        clashing(None, None),
+        clashing(8, "日本語のテキスト   und mehr", None),
+        clashing(9, "x" * 700),
+    ]
+
+
+def odd_documents(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3)
+
+
+def no_documents(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def random_texts(seed: int, count: int) -> list[str]:
+    """Texts from few words, with shared passages, runs of one character and periods."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    passages = [" ".join(rng.choice(words) for _ in range(rng.randint(20, 120))) for _ in range(10)]
+    texts = []
+    for _ in range(count):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            if rng.random() < 0.5:
+                parts.append(rng.choice(passages))
+            else:
+                parts.append(" ".join(rng.choice(words) for _ in range(rng.randint(1, 80))))
+            if rng.random() < 0.1:
+                parts.append(rng.choice(["=", "ab", "x y\n"]) * rng.randint(50, 300))
+        texts.append("".join(parts))
+    return texts + texts[: max(1, count // 20)]
+
+
+class Union:
+    """Plain union-find with the smallest member as root."""
+
+    def __init__(self, members):
+        self.parent = {member: member for member in members}
+
+    def find(self, member):
+        while self.parent[member] != member:
+            self.parent[member] = self.parent[self.parent[member]]
+            member = self.parent[member]
+        return member
+
+    def join(self, one, other):
+        one, other = sorted((self.find(one), self.find(other)))
+        self.parent[other] = one

@@ -1,0 +1,92 @@
+"""SimHash near-dedup against a comparison of all pairs."""
+
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from tasktrail.llm import simhash
+from tasktrail.llm.components import components
+from tasktrail.llm.queries import op1_simhash_near_dedup
+from tests.conftest import FOLDER
+from tests.llm.samples import Union, no_documents, odd_documents
+
+
+def plain_fingerprint(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(one.encode(), 42) for one in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints, distance=4):
+    """prints: fingerprint by node."""
+    nodes = sorted(prints)
+    union = Union(nodes)
+    values = np.array([prints[node] for node in nodes], np.uint64)
+    for i, node in enumerate(nodes):
+        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= distance):
+            union.join(node, nodes[i + 1 + j])
+    return {node: union.find(node) for node in nodes}
+
+
+def test_query_against_all_pairs(spark):
+    texts = dict(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect())
+    prints = {doc_id: plain_fingerprint(text) for doc_id, text in texts.items()}
+    roots = plain_components(prints)
+    found = op1_simhash_near_dedup(spark, FOLDER).collect()
+    assert len(found) == len(texts)
+    for row in found:
+        assert row["fingerprint"] == f"{prints[row['doc_id']]:016x}"
+        assert row["component_id"] == roots[row["doc_id"]]
+
+
+@pytest.mark.parametrize("limit", [4096, 30])
+def test_dense_groups_are_dealt_again_without_losing_links(spark, limit):
+    rng = np.random.default_rng(5)
+    values = set()
+    for centre in rng.integers(0, 2**63, 3).tolist() + [2**64 - 1, 0]:
+        for _ in range(120):
+            one = centre
+            for bit in rng.choice(64, rng.integers(0, 8), replace=False).tolist():
+                one ^= 1 << bit
+            values.add(one)
+    nodes = spark.createDataFrame([(simhash._signed(one),) for one in values], "fp long")
+    union = Union(values)
+    for row in simhash.trie_links(nodes, 4, limit).collect():
+        union.join(row["a"] % 2**64, row["b"] % 2**64)
+    expected = plain_components({one: one for one in values})
+    assert {one: union.find(one) for one in values} == expected
+
+
+def test_a_chain_and_a_hub_are_one_component_each(spark):
+    chain = [(i, i + 1) for i in range(40)]
+    hub = [(100, i) for i in range(101, 400)]
+    links = spark.createDataFrame(chain + hub + [(7, 7), (1, 0)], "a long, b long")
+    roots = {row["node"]: row["root"] for row in components(links).collect()}
+    assert roots == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 400)}
+
+
+def test_odd_rows(spark):
+    rows = simhash.near_duplicates(odd_documents(spark)).collect()
+    assert len(rows) == 12
+    by_id = {row["doc_id"]: row for row in rows}
+    assert by_id[2]["component_id"] == 1
+    # Without words the fingerprint is zero, and all of these are near each other.
+    assert {by_id[i]["fp"] for i in (3, 4, 5)} == {0}
+    assert {by_id[i]["component_id"] for i in (3, 4, 5)} == {3}
+    kept = simhash.one_of_each(odd_documents(spark))
+    assert kept.columns == odd_documents(spark).columns
+    kept = kept.collect()
+    stood_for = [row["doc_id"] for row in kept]
+    assert sorted(one for one in stood_for if one is not None) == [1, 3, 6, 7, 8, 9]
+    assert [row["text"] for row in kept if row["doc_id"] is None] == ["no id but a text"]
+
+
+def test_no_rows(spark):
+    assert simhash.near_duplicates(no_documents(spark)).collect() == []
+    assert simhash.one_of_each(no_documents(spark)).collect() == []

@@ -1,0 +1,212 @@
+"""Packing, token counts and byte-level BPE against the libraries themselves."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tasktrail.llm import bpe_codec, packing, token_counts
+from tasktrail.llm.chunk_tokens import ChunkEncoder
+from tasktrail.llm.queries import op2_best_fit_packing, op8_token_counts, op9_bpe_codec
+from tests.conftest import FOLDER
+from tests.llm.samples import LONG, no_documents, odd_documents
+
+WORDS = str(public_tokenizers.path("word_bpe_49k.json"))
+BYTES = str(public_tokenizers.path("byte_bpe_50k.json"))
+RANKS = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+PARTS = [
+    " ", "\n", "\t", "a", "B", "'s", "'", "é", "É", "1", "23", ".", "!", "́", "日", "\r", "\x85",
+    " ", "　", "<|endoftext|>", "<|", "Σ", "İ", "ß", "²", "\x1c", "­", "µ",
+]
+
+
+def odd_texts(count=3000):
+    rng = random.Random(1)
+    made = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 25))) for _ in range(count)]
+    return made + ["", " ", "a  b", "it's  they'll\n\nx", LONG]
+
+
+def texts_of(spark):
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    return {row["doc_id"]: row["text"] or "" for row in rows}
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+@pytest.mark.parametrize("entries", [800_000, 50])
+def test_piecewise_ids_are_those_of_the_library(path, entries):
+    texts = odd_texts()
+    encoder = ChunkEncoder(path, entries)
+    own = [one.tolist() for one in encoder.ids(pa.array(texts))]
+    plain = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert own == [one.ids for one in plain]
+    assert encoder.counts(pa.array(texts)).tolist() == [len(one.ids) for one in plain]
+    assert list(map(len, encoder.ids(pa.array(["", ""])))) == [0, 0]
+
+
+def test_packing_query(spark):
+    plain = Tokenizer.from_file(WORDS)
+    texts = texts_of(spark)
+    rows = op2_best_fit_packing(spark, FOLDER).collect()
+    pieces = {}
+    for row in rows:
+        pieces.setdefault(row["doc_id"], []).append(row)
+    assert pieces.keys() == texts.keys()
+    total = 0
+    for doc_id, text in texts.items():
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        own = sorted(pieces[doc_id], key=lambda row: row["piece"])
+        cut = [ids[i : i + 2048] for i in range(0, len(ids), 2048)]
+        total += len(ids)
+        assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in own] == [
+            (i, 2048 * i, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+            for i, part in enumerate(cut)
+        ]
+    sequences = {}
+    for row in rows:
+        sequences.setdefault(row["sequence_id"], []).append((row["offset"], row["length"]))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= -(-total // 2048) + 1
+
+
+def test_bins_are_as_few_as_an_exhaustive_search_finds():
+    rng = random.Random(2)
+    for _ in range(30):
+        lengths = [rng.randint(1, 10) for _ in range(7)]
+        counts = {n: lengths.count(n) for n in lengths}
+        bins = sum(times for times, _ in packing.bin_kinds(counts, 10))
+        best = len(lengths)
+
+        def place(rest, held):
+            nonlocal best
+            if len(held) >= best:
+                return
+            if not rest:
+                best = len(held)
+                return
+            for i in range(len(held)):
+                if held[i] + rest[0] <= 10:
+                    place(rest[1:], [*held[:i], held[i] + rest[0], *held[i + 1 :]])
+            place(rest[1:], [*held, rest[0]])
+
+        place(sorted(lengths, reverse=True), [])
+        assert best <= bins <= best + 1
+
+
+def test_fullest_is_the_best_subset_sum():
+    rng = random.Random(3)
+    for _ in range(100):
+        counts = {rng.randint(1, 12): rng.randint(1, 4) for _ in range(4)}
+        room = rng.randint(0, 60)
+        chosen = packing.fullest(counts, room)
+        assert all(number <= counts[length] for length, number in chosen.items())
+        sums = {0}
+        for length, number in counts.items():
+            sums = {one + length * k for one in sums for k in range(number + 1)}
+        assert sum(n * k for n, k in chosen.items()) == max(one for one in sums if one <= room)
+
+
+def test_hot_lengths_are_numbered_without_gaps(spark):
+    pieces = spark.range(5000).select(
+        "id", F.lit(0).alias("piece"), F.when(F.col("id") < 4000, 7).otherwise(F.col("id") % 50 + 1)
+        .cast("long").alias("length"),
+    ).withColumnRenamed("id", "doc_id")
+    placed = packing.pack(pieces, 100)
+    rows = placed.groupBy("sequence_id").agg(
+        F.sum("length").alias("held"), F.max(F.col("offset") + F.col("length")).alias("reach"),
+        F.countDistinct("offset").alias("places"), F.count("*").alias("rows"),
+    ).collect()
+    assert all(r["held"] == r["reach"] <= 100 and r["places"] == r["rows"] for r in rows)
+    assert sum(r["rows"] for r in rows) == 5000
+
+
+def test_token_counts_query(spark):
+    plain = Tokenizer.from_file(BYTES)
+    texts = texts_of(spark)
+    rows = op8_token_counts(spark, FOLDER).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        text = texts[row["doc_id"]]
+        count = len(plain.encode(text, add_special_tokens=False).ids)
+        assert tuple(row)[1:] == (len(text.encode()), count, count > 512)
+
+
+def test_known_digests_are_not_encoded_again(spark, tmp_path, monkeypatch):
+    cache = str(tmp_path / "cache")
+    docs = spark.createDataFrame([(1, "one two"), (2, "one two"), (3, "three")], "doc_id long, text string")
+    first = sorted(map(tuple, token_counts.token_counts(docs, BYTES, cache).collect()))
+    entries = spark.read.parquet(cache)
+    assert entries.count() == 2
+    # A wrong count in the cache shows that it is read, a new text that only misses are added.
+    more = docs.unionByName(spark.createDataFrame([(4, "four"), (5, None)], docs.schema))
+    spark.createDataFrame(
+        [(token_counts.tokenizer_digest(BYTES), hashlib.sha256(b"four").digest(), 99)],
+        token_counts.CACHE,
+    ).write.mode("append").parquet(cache)
+    second = {row["doc_id"]: row["n_tokens"] for row in token_counts.token_counts(more, BYTES, cache).collect()}
+    assert second[4] == 99 and second[5] == 0 and (second[1], second[3]) == (first[0][2], first[2][2])
+    assert spark.read.parquet(cache).count() == 4
+    # Another tokenizer does not share entries.
+    other = {row["doc_id"]: row["n_tokens"] for row in token_counts.token_counts(more, WORDS, cache).collect()}
+    assert other[4] == 1
+
+
+def test_codec_query(spark):
+    texts = texts_of(spark)
+    encoding = bpe_codec.codec(RANKS, public_tokenizers.PATTERN)
+    rows = op9_bpe_codec(spark, FOLDER).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        ids = encoding.encode_ordinary(texts[row["doc_id"]])
+        assert row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(texts[row["doc_id"]].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("size", [1, 7, 20_000])
+def test_safe_parts_do_not_change_ids(size, monkeypatch):
+    encoding = bpe_codec.codec(RANKS, public_tokenizers.PATTERN)
+    for text in odd_texts(500):
+        parts = list(bpe_codec.safe_parts(text, size))
+        assert "".join(parts) == text
+        ids = [one for part in parts for one in encoding.encode_ordinary(part)]
+        assert ids == encoding.encode_ordinary(text)
+        assert bpe_codec.decode_ids(encoding, bpe_codec.encode_text(encoding, text)) == text.encode()
+
+
+def test_ids_that_cut_a_character_decode_to_its_bytes():
+    encoding = bpe_codec.codec(RANKS, public_tokenizers.PATTERN)
+    ids = bpe_codec.encode_text(encoding, "日")
+    parts = [bpe_codec.decode_ids(encoding, ids[i : i + 4]) for i in range(0, len(ids), 4)]
+    assert len(parts) > 1 and b"".join(parts) == "日".encode()
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    counts = token_counts.token_counts(docs, BYTES).collect()
+    assert len(counts) == 12
+    assert {row["doc_id"]: row["n_tokens"] for row in counts}[3] == 0
+    coded = bpe_codec.encode_decode(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert len(coded) == 12
+    assert {row["doc_id"]: bytes(row["decoded"]) for row in coded}[6] == LONG.encode()
+    packed = packing.pack_documents(docs, WORDS).collect()
+    assert [row["length"] for row in packed if row["doc_id"] == 4] == [1]
+    assert len([row for row in packed if row["doc_id"] == 2]) == 2
+    assert max(row["piece"] for row in packed if row["doc_id"] == 6) > 0
+
+
+def test_no_rows(spark):
+    docs = no_documents(spark)
+    assert token_counts.token_counts(docs, BYTES).collect() == []
+    assert bpe_codec.encode_decode(docs, RANKS, public_tokenizers.PATTERN).collect() == []
+    assert packing.pack_documents(docs, WORDS).collect() == []
