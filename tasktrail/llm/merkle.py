@@ -2,9 +2,10 @@
 
 The leaves of a tree are words with the white space after them. A node ends where the
 hash of the last two words ends in enough zero bits, so the bounds depend on the text
-alone, move along with it, and those of a level are also bounds of all levels below. The
-end of a line is a bound of at least the paragraph level, a blank line of the section
-level. A node's hash covers the hashes of its children in order.
+alone, move along with it, and those of a level are also bounds of all levels below. A
+word that is repeated at once is no bound. The end of a line is a bound of at least the
+paragraph level, a blank line of the section level. A node's hash covers the hashes of
+its children in order.
 
 A fingerprint is the root, the number of the lowest level with at most ``NODES`` nodes,
 and that level's nodes with the level at which each one's end stops being a bound. Equal
@@ -55,18 +56,18 @@ def _raised(hashes: np.ndarray, levels: np.ndarray, level: int) -> tuple[np.ndar
     """The nodes of a higher level from those of a lower one.
 
     A node of several children hashes their hashes with their order; one child stays as
-    it is, so a node has the same hash on all levels on which it is not joined. Where the
-    bounds would join nearly all nodes at once, as in a text that repeats one phrase,
-    nodes are joined two by two from the start.
+    it is, so a node has the same hash on all levels on which it is not joined. No node
+    has more than ``MOST_CHILDREN``: a longer run without bounds, as in a text that repeats
+    one phrase, is cut by counting from its start.
     """
-    if len(hashes) < 2:
-        return hashes, levels
     bound = levels >= level
-    if bound.sum() * MOST_CHILDREN < len(hashes):
-        bound = np.arange(len(hashes)) % 2 == 1
     bound[-1] = True
     ends = np.flatnonzero(bound)
     starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(hashes)) - np.repeat(starts, ends - starts + 1)
+    bound |= place % MOST_CHILDREN == MOST_CHILDREN - 1
+    ends = np.flatnonzero(bound)
+    starts = np.concatenate([[0], ends[:-1] + 1])
     count = ends - starts + 1
     place = np.arange(len(hashes)) - np.repeat(starts, count)
     parts = _mix((hashes + np.uint64(1)) * _FACTOR + place.astype(np.uint64))
@@ -87,6 +88,7 @@ def _leaves(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     low = both & (~both + np.uint64(1))
     zeros = np.where(both == 0, 64, np.bitwise_count(low - np.uint64(1))).astype(np.int64)
     lines = np.add.reduceat((raw == 0x0A).astype(np.int64), starts)
+    zeros[1:][hashes[1:] == hashes[:-1]] = 0
     levels = np.maximum(zeros, np.where(lines > 1, SECTION, np.where(lines == 1, PARAGRAPH, 0)))
     return hashes & _MASK, np.minimum(levels, TOP)
 

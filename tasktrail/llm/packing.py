@@ -27,8 +27,8 @@ from tasktrail.llm.common import documents_of, written
 
 CAPACITY = 2048
 END = 0
-# Pieces of one length that are numbered by one task.
-PIECES_PER_LANE = 100_000
+# Pieces of one length that are numbered together.
+PIECES_PER_LANE = 1_000
 BATCH_ROWS = 1024
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -152,9 +152,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         places(bin_kinds(counts, capacity)),
         "_length long, _low long, _end long, _number long, _bin long, _offset long",
     )
-    lanes = 1 + max(counts.values(), default=0) // PIECES_PER_LANE
-    lane = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(lanes))
-    dealt = pieces.withColumn("_lane", lane)
+    # One row per length, at most ``capacity``.
+    lanes = spark.createDataFrame(
+        [(length, 1 + number // PIECES_PER_LANE) for length, number in counts.items()],
+        "length long, _lanes long",
+    )
+    lane = F.pmod(F.xxhash64("doc_id", "piece"), F.col("_lanes"))
+    dealt = pieces.join(F.broadcast(lanes), "length").select(*pieces.columns, lane.alias("_lane"))
     cells = dealt.groupBy("length", "_lane").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("length").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(

@@ -103,11 +103,12 @@ class Model:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     """Minimise the non-negative risk with the sigmoid loss by stochastic steps."""
+    width = positive.shape[1]
+    if not len(positive) or not len(unlabelled):
+        return Model(np.zeros(width), np.ones(width), np.zeros(width + 1), prior)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    weight = np.zeros(both.shape[1] + 1)
-    if not len(positive) or not len(unlabelled):
-        return Model(mean, scale, weight, prior)
+    weight = np.zeros(width + 1)
     one = np.ones((len(both), 1))
     both = np.concatenate([(both - mean) / scale, one], axis=1)
     positive, unlabelled = both[: len(positive)], both[len(positive) :]

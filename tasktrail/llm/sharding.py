@@ -34,8 +34,8 @@ SHARDS = 40
 FIRST_BITS = 16
 STEP_BITS = 8
 HASH_BITS = 64
-# Rows of one range of hashes that are numbered by one task.
-ROWS_PER_LANE = 50_000
+# Rows of one range of hashes that are numbered together.
+ROWS_PER_LANE = 1_000
 
 
 @dataclass(frozen=True)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tasktrail.llm.chunk_tokens import ChunkEncoder
-from tasktrail.llm.common import scratch_path
+from tasktrail.llm.common import scratch_path, written
 
 CACHE = StructType(
     [
@@ -96,5 +96,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         content.alias("text"),
     )
     add_missing(named, tokenizer_path, cache_path)
-    counts = read_cache(spark, cache_path, tokenizer_digest(tokenizer_path))
+    # Written, so that both sides of the join come straight from a shuffle and the rows of a
+    # text with very many copies can be split.
+    counts = written(read_cache(spark, cache_path, tokenizer_digest(tokenizer_path)), "counts")
     return named.drop("text").join(counts, "content_digest").drop("content_digest")

@@ -1,0 +1,104 @@
+"""Document fingerprints against a walk over sorted documents."""
+
+import hashlib
+import random
+
+import pytest
+
+from tasktrail.llm import merkle
+from tasktrail.llm.queries import op4_document_fingerprints
+from tests.conftest import FOLDER
+from tests.llm.samples import no_documents, odd_documents, odd_rows
+
+
+def check(rows, texts):
+    """texts: (doc_id, text) in order."""
+    by_id = {row["doc_id"]: row for row in rows}
+    for index, (doc_id, text) in enumerate(texts):
+        following = texts[(index + 1) % len(texts)][1]
+        quarter = len(text) // 4
+        changed = text[: len(text) - quarter] + following[:quarter]
+        row = by_id[doc_id]
+        assert row["n_chars"] == len(text)
+        assert row["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        marks = [merkle.fingerprint(one) for one in (text, changed, following)]
+        assert (row["fingerprint"], row["edited_fingerprint"]) == tuple(marks[:2])
+        assert row["near_edited"] == merkle.likeness(marks[0], marks[1])
+        assert row["near_next"] == merkle.likeness(marks[0], marks[2])
+
+
+@pytest.mark.parametrize("ranges", ["1", "4", "50"])
+def test_query_against_a_walk(spark, ranges):
+    texts = sorted(map(tuple, spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        rows = op4_document_fingerprints(spark, FOLDER).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(rows) == len(texts)
+    check(rows, texts)
+    long = [row for row in rows if row["n_chars"] > 400]
+    # The least like are texts that repeat one word: few nodes for most of the text.
+    assert min(row["near_edited"] for row in long) > 0.15
+    assert sorted(row["near_edited"] for row in long)[len(long) // 20] > 0.5
+    assert sum(row["near_next"] for row in long) / len(long) < 0.1
+
+
+def test_unordered_ids_with_gaps(spark):
+    rng = random.Random(1)
+    texts = [(rng.randint(-(10**12), 10**12), f"text {i} of some words " * i) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    check(merkle.fingerprint_pairs(docs).collect(), sorted(texts))
+
+
+def test_equal_texts_have_equal_fingerprints_and_edits_are_located():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(60))
+    mark = merkle.fingerprint(text)
+    assert merkle.fingerprint(text.encode()) == mark and merkle.likeness(mark, mark) == 1
+    other = merkle.fingerprint(text[:2000] + "X" + text[2000:])
+    assert other != mark
+    left, right, common = merkle.differing(mark, other)
+    assert 1 <= len(left) <= 4 and 1 <= len(right) <= 4 and common > 20
+    # A word put in front moves all others, but their nodes stay.
+    assert merkle.likeness(mark, merkle.fingerprint("first " + text)) > 0.85
+    assert merkle.likeness(mark, merkle.fingerprint(text + " " + text)) > 0.3
+    assert merkle.fingerprint(text + "\n") != mark and merkle.fingerprint(" " + text) != mark
+
+
+def test_levels_meet():
+    """A short text against a long one that holds it: nodes of different levels compare."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    text = " ".join(rng.choice(words) for _ in range(3000))
+    marks = [merkle.fingerprint(text[: len(text) * k // 4]) for k in (1, 2, 3, 4)]
+    likes = [merkle.likeness(marks[3], mark) for mark in marks]
+    assert likes == sorted(likes) and likes[2] > 0.7 and likes[0] > 0.2
+    assert len(marks[3]) < 40 + 11 * merkle.NODES
+
+
+@pytest.mark.parametrize("text", ["a", " ", "\n", "a b", "na " * 5000, "\n" * 3000, "x" * 9999, "é"])
+def test_texts_without_structure(text):
+    mark = merkle.fingerprint(text)
+    assert merkle.likeness(mark, mark) == 1 and len(mark) < 40 + 11 * merkle.NODES
+    assert merkle.likeness(mark, merkle.fingerprint(text[: len(text) * 3 // 4])) <= 1
+    assert merkle.likeness(mark, merkle.EMPTY) == (0 if text else 1)
+
+
+def test_odd_rows(spark):
+    rows = merkle.fingerprint_pairs(odd_documents(spark)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in rows) == sorted(
+        (one[0] is not None, one[0] or 0) for one in odd_rows()
+    )
+    by_id = {row["doc_id"]: row for row in rows}
+    assert by_id[3]["near_next"] == 1 and by_id[3]["fingerprint"] == merkle.EMPTY
+    assert by_id[4]["n_chars"] == 0
+    alone = spark.createDataFrame([(5, "one two three four")], "doc_id long, text string")
+    row = merkle.fingerprint_pairs(alone).collect()[0]
+    assert row["near_next"] == 1.0 and row["n_chars"] == 18
+
+
+def test_no_rows(spark):
+    assert merkle.fingerprint_pairs(no_documents(spark)).collect() == []
