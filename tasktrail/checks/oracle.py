@@ -7,12 +7,27 @@ from __future__ import annotations
 
 import datetime as dt
 
-from tasktrail.checks.parameters import AS_OF, ATTENDANCE_RANGE, BUCKETS, RANGE
+from tasktrail.checks.parameters import (
+    AS_OF,
+    ATTENDANCE_RANGE,
+    BUCKETS,
+    CLIPPED,
+    LIST,
+    NULL_BOUND,
+    OVERLAPPING,
+    RANGE,
+    STAFF,
+    STUDENT,
+    SUBJECT,
+    WIDE_BANDS,
+)
 
 PRELUDE = """
-WITH te AS (
-  SELECT o_custkey::INTEGER AS "studentId", (l_suppkey % 4)::INTEGER AS "staffId",
-    (l_partkey % 24)::INTEGER AS "taskId",
+WITH counts_of AS (
+  SELECT (SELECT count(*) FROM supplier) AS n_staff, (SELECT count(*) FROM part) AS n_tasks),
+te AS (
+  SELECT o_custkey::INTEGER AS "studentId", ((o_custkey * 3 + l_suppkey % 4) % n_staff)::INTEGER AS "staffId",
+    ((if(l_linenumber % 3 = 0, 0, o_custkey * 7 % n_tasks) + l_partkey % 24) % n_tasks)::INTEGER AS "taskId",
     ['NA', 'WO', 'NM', 'MA'][l_linenumber % 4 + 1] AS "evaluationId",
     CASE l_returnflag WHEN 'R' THEN 'FP' WHEN 'A' THEN 'EV' WHEN 'N' THEN 'AS' END AS "evaluationTypeId",
     l_shipdate + to_hours(l_orderkey % 24) AS "evaluationDate",
@@ -21,14 +36,14 @@ WITH te AS (
     (l_linestatus = 'F' AND l_quantity >= 49) AS "flagAdministrator",
     concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER,
               l_shipdate::DATE) AS "changeId"
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey, counts_of),
 attendance AS (
-  SELECT (user_id * 10 + event_id % 10)::INTEGER AS "studentId", (event_id % 4)::INTEGER AS "staffId",
+  SELECT (user_id * 10 + event_id % 10)::INTEGER AS "studentId", (event_id % n_staff)::INTEGER AS "staffId",
     ts::DATE::TIMESTAMP AS "attendanceDate",
     CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 3 ELSE 1 END AS "attendanceStatusId",
     event_type AS note, (event_type = 'signup' AND event_id % 10 = 0) AS "flagAdministrator",
     event_id::VARCHAR AS "changeId"
-  FROM events),
+  FROM events, counts_of),
 students AS (
   SELECT c_custkey::INTEGER AS "studentId", c_mktsegment AS "lastName", 'F' || (c_custkey % 40) AS "firstName",
     DATE '2005-01-01' + (c_custkey * 37 % 5000)::INTEGER AS "dateOfBirth"
@@ -65,8 +80,9 @@ users AS (
   FROM nation),
 steps AS (SELECT t::INTEGER AS t FROM range(2, 24) r(t) WHERE t % 7 <> 0),
 individual_edges AS (
-  SELECT "studentId", t - 2 AS "prerequisiteTaskId", t AS "suggestedTaskId", t + 30 AS days, 'MA' AS minimum
-  FROM students, steps WHERE (t + "studentId") % 3 <> 0),
+  SELECT "studentId", (("studentId" * 7 % n_tasks + t - 2) % n_tasks)::INTEGER AS "prerequisiteTaskId",
+    (("studentId" * 7 % n_tasks + t) % n_tasks)::INTEGER AS "suggestedTaskId", t + 30 AS days, 'MA' AS minimum
+  FROM students, steps, counts_of WHERE (t + "studentId") % 3 <> 0),
 benchmark_edges AS (
   SELECT "ageGroupId", t - 2 AS "prerequisiteTaskId", t AS "suggestedTaskId", t + 30 AS days, 'MA' AS minimum
   FROM age_groups, steps WHERE (t + "ageGroupId") % 3 <> 0)
@@ -77,8 +93,8 @@ def _name(alias: str) -> str:
     return f"""{alias}."lastName" || ', ' || {alias}."firstName\""""
 
 
-def _date(day: dt.date) -> str:
-    return f"DATE '{day.isoformat()}'"
+def _date(day: dt.date | None) -> str:
+    return f"DATE '{day.isoformat()}'" if day else "NULL"
 
 
 def _age(as_of: dt.date = AS_OF) -> str:
@@ -102,8 +118,18 @@ LATEST = """(
     AND "taskId" IS NOT NULL)"""
 
 
-def report_card(start=None, end=None, student_id=0) -> str:
-    scope = f'AND e."studentId" = {student_id}' if student_id else ""
+ONE = f"= {STUDENT}"
+SEVERAL = f"IN {LIST}"
+OF_FRAME = "% 7 = 3"
+
+
+def _of_students(statement: str, scope: str, column: str = "studentId") -> str:
+    """A report cut to some students; only for reports whose rows name one student."""
+    return f"""SELECT * FROM ({statement}) WHERE "{column}" {scope}"""
+
+
+def report_card(start=None, end=None, students="") -> str:
+    scope = f'AND e."studentId" {students}' if students else ""
     return PRELUDE + f""", means AS (
       SELECT {_name("s")} AS student, {_name("f")} AS teacher, c."reportCardCategoryName",
         c."subjectId", c."subjectName", round(avg(v."evaluationValue")) AS task_average
@@ -336,6 +362,43 @@ def statements() -> dict[str, str]:
     return {
         "report_card_all": report_card(),
         "report_card_dated": report_card(*RANGE),
+        "report_card_one": report_card(students=ONE),
+        "report_card_list": report_card(*RANGE, students=SEVERAL),
+        "report_card_frame": report_card(students=OF_FRAME),
+        "student_attendance_one": _of_students(student_attendance(), ONE),
+        "task_detail_dated": task_detail(False, *RANGE),
+        "task_detail_latest_dated": task_detail(True, *RANGE),
+        "task_detail_staff_subject": task_detail(staff_id=STAFF, subject_id=SUBJECT),
+        "task_detail_latest_staff_subject": _of_students(
+            task_detail(True, staff_id=STAFF, subject_id=SUBJECT), SEVERAL
+        ),
+        "task_summary_one_staff": task_summary(staff_id=STAFF),
+        "task_summary_subject_dated": task_summary(*RANGE, subject_id=SUBJECT),
+        "progress_individual_one": _of_students(progress("individual"), ONE),
+        "progress_individual_frame_latest": _of_students(progress("individual", True), OF_FRAME),
+        "progress_individual_subject": progress("individual", subject_id=SUBJECT),
+        "progress_individual_to_only": progress("individual", end=RANGE[1]),
+        "progress_individual_latest_from_only": progress("individual", True, RANGE[0]),
+        "progress_individual_multidate_overlapping": progress_multidate(
+            "individual", False, OVERLAPPING, SUBJECT
+        ),
+        "progress_individual_multidate_clipped": _of_students(
+            progress_multidate("individual", False, CLIPPED), SEVERAL
+        ),
+        "progress_individual_multidate_null_bound": progress_multidate(
+            "individual", False, NULL_BOUND
+        ),
+        "progress_benchmark_one": _of_students(progress("benchmark"), ONE),
+        "progress_benchmark_subject": progress("benchmark", subject_id=SUBJECT),
+        "progress_benchmark_from_only": progress("benchmark", start=RANGE[0]),
+        "progress_benchmark_to_only": progress("benchmark", end=RANGE[1]),
+        "progress_benchmark_latest_dated": progress("benchmark", True, *RANGE),
+        "progress_benchmark_multidate_overlapping": progress_multidate(
+            "benchmark", False, OVERLAPPING, SUBJECT
+        ),
+        "progress_benchmark_multidate_clipped": _of_students(
+            progress_multidate("benchmark", False, CLIPPED), SEVERAL
+        ),
         "student_attendance_all": student_attendance(),
         "student_attendance_dated": student_attendance(*ATTENDANCE_RANGE),
         "task_detail_all": task_detail(),
@@ -381,8 +444,17 @@ def statements() -> dict[str, str]:
         + _violations(_first("individual"), "taskId", "studentId", "firstPresentationDate"),
         "path_key_violations": PRELUDE + _path("individual", 0)
         + _violations("SELECT * FROM path", "studentId", "suggestedTaskId"),
+        "benchmark_path_key_violations": PRELUDE + _path("benchmark", 0)
+        + _violations("SELECT * FROM path", "studentId", "suggestedTaskId"),
+        "latest_key_violations": PRELUDE
+        + _violations(f"SELECT * FROM {LATEST}", "staffId", "studentId", "taskId", "evaluationDate"),
         "roster_key_violations": PRELUDE
-        + _violations("""SELECT "staffId", "studentId" FROM te""", "staffId", "studentId"),
+        + _violations("SELECT * FROM staff_students", "staffId", "studentId"),
+        "grade_bands_wide": f"""
+          WITH bands("rangeBottom", "rangeTop", "gradeLetter") AS (VALUES {", ".join(map(str, WIDE_BANDS))}),
+          marks AS (SELECT l_orderkey, l_linenumber, l_partkey,
+            round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem)
+          SELECT * FROM marks JOIN bands ON cents BETWEEN "rangeBottom" AND "rangeTop" """,
         "attendance_alert_messages": attendance_messages(),
         "attendance_alert_user_messages": user_messages("attendance", "attendance"),
         "attendance_cleaned": stored("attendance"),
@@ -393,4 +465,6 @@ def statements() -> dict[str, str]:
         "attendance_stream_user_messages": user_messages("attendance", "attendance"),
         "evaluation_stream_messages": evaluation_messages(),
         "evaluation_stream_user_messages": user_messages("te", "task_evaluation"),
+        "attendance_stream_stored": stored("attendance"),
+        "evaluation_stream_stored": stored("te"),
     }

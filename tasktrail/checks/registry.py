@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-import uuid
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tasktrail.checks.parameters import AS_OF, ATTENDANCE_RANGE, BUCKETS, RANGE
+from tasktrail.checks.parameters import (
+    AS_OF,
+    ATTENDANCE_RANGE,
+    BUCKETS,
+    CLIPPED,
+    LIST,
+    NULL_BOUND,
+    OVERLAPPING,
+    RANGE,
+    STAFF,
+    STUDENT,
+    SUBJECT,
+    WIDE_BANDS,
+)
 from tasktrail import plans
 from tasktrail.functions.filters import in_date_range
-from tasktrail.operators.attempts import LOOKUPS, first_presentations, latest_attempts
+from tasktrail.operators.attempts import ATTEMPT_KEY, LOOKUPS, first_presentations, latest_attempts
 from tasktrail.operators.attendance import attendance_counts
 from tasktrail.operators.bands import age_bands, grade_bands
 from tasktrail.operators.keys import ATTEMPT_MOMENT, FIRST_MOMENT, PATH_STEP, key_violations
@@ -19,13 +34,21 @@ from tasktrail.operators.lookups import attach
 from tasktrail.operators.paths import benchmark_path, describe_path, individual_path
 from tasktrail.operators.progress import date_buckets
 from tasktrail.sources.school import School
-from tasktrail.sources.shared_folder import shared_folder
-from tasktrail.sources.sinks import read_messages, read_user_messages
+from tasktrail.sources.shared_folder import scratch, shared_folder
+from tasktrail.sources.sinks import read_messages, read_stored, read_user_messages
 from tasktrail.sources.tpch_school import attendance_of, derive_school, task_evaluations_of
 from tasktrail.streaming import FILES_PER_BATCH, alert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+def set_shared_folder(spark: SparkSession) -> None:
+    """Give a local check session that names no shared folder one that ends with it."""
+    if shared_folder(spark) is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="tasktrail-checks-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+
+
 _SCHOOLS: dict[tuple[str, str], School] = {}
 _STREAMS: dict[tuple[str, str, str], str] = {}
 
@@ -34,6 +57,7 @@ def school_of(spark: SparkSession, folder: str) -> School:
     """The derived school of a folder, once per Spark application."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _SCHOOLS:
+        set_shared_folder(spark)
         _SCHOOLS[key] = derive_school(spark, folder)
     return _SCHOOLS[key]
 
@@ -55,9 +79,20 @@ def _age_bands(school: School) -> DataFrame:
     return banded.select("studentId", "age", "ageGroupId", "ageGroupDescription")
 
 
+def _grade_bands_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices in cents against wide, overlapping bands with a gap."""
+    bands = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, WIDE_BANDS))}").toDF(
+        "rangeBottom", "rangeTop", "gradeLetter"
+    )
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")
+    marks = lines.select("l_orderkey", "l_linenumber", "l_partkey", cents)
+    return grade_bands(marks, School({"report_card_grades": bands}), "cents")
+
+
 def _grade_bands(school: School) -> DataFrame:
     marks = attach(
-        school.task_evaluations, school.evaluations, "evaluationId", rows=school.rows("evaluations")
+        school.task_evaluations, school.evaluations, "evaluationId", size=school.size("evaluations")
     ).select("changeId", "evaluationValue")
     return grade_bands(marks, school, "evaluationValue")
 
@@ -66,8 +101,13 @@ def _path_columns(path: DataFrame, school: School) -> DataFrame:
     return describe_path(path, school).drop("isRoot")
 
 
-def _flat_buckets() -> tuple:
-    return tuple(day for bucket in BUCKETS for day in bucket)
+def _flat(buckets: tuple) -> tuple:
+    return tuple(day for bucket in buckets for day in bucket)
+
+
+def _wanted(school: School) -> DataFrame:
+    """The students of a report as a table of their own."""
+    return school.students.filter(F.col("studentId") % 7 == 3).select("studentId")
 
 
 def _reports() -> dict[str, Callable[[School], DataFrame]]:
@@ -75,10 +115,57 @@ def _reports() -> dict[str, Callable[[School], DataFrame]]:
     individual, benchmark = plans.progress_report_individual, plans.progress_report_benchmark
     individual_buckets = plans.progress_report_individual_multidate
     benchmark_buckets = plans.progress_report_benchmark_multidate
-    flat = _flat_buckets()
+    flat = _flat(BUCKETS)
     return {
         "report_card_all": plans.report_card,
         "report_card_dated": partial(plans.report_card, start=start, end=end),
+        "report_card_one": lambda s: plans.report_card(s, STUDENT),
+        "report_card_list": lambda s: plans.report_card(s, LIST, start, end),
+        "report_card_frame": lambda s: plans.report_card(s, _wanted(s)),
+        "student_attendance_one": lambda s: plans.report_student_attendance(s, STUDENT, as_of=AS_OF),
+        "task_detail_dated": lambda s: _with_micros(
+            plans.task_detail(s, start=start, end=end, as_of=AS_OF)
+        ),
+        "task_detail_latest_dated": lambda s: _with_micros(
+            plans.task_detail_latest(s, start=start, end=end, as_of=AS_OF)
+        ),
+        "task_detail_staff_subject": lambda s: _with_micros(
+            plans.task_detail(s, staff_id=STAFF, subject_id=SUBJECT, as_of=AS_OF)
+        ),
+        "task_detail_latest_staff_subject": lambda s: _with_micros(
+            plans.task_detail_latest(s, LIST, STAFF, SUBJECT, as_of=AS_OF)
+        ),
+        "task_summary_one_staff": lambda s: plans.task_summary(s, STAFF),
+        "task_summary_subject_dated": partial(
+            plans.task_summary, subject_id=SUBJECT, start=start, end=end
+        ),
+        "progress_individual_one": lambda s: individual(s, STUDENT),
+        "progress_individual_frame_latest": lambda s: individual(s, _wanted(s), latest=True),
+        "progress_individual_subject": partial(individual, subject_id=SUBJECT),
+        "progress_individual_to_only": partial(individual, end=end),
+        "progress_individual_latest_from_only": partial(individual, latest=True, start=start),
+        "progress_individual_multidate_overlapping": lambda s: individual_buckets(
+            s, None, *_flat(OVERLAPPING), subject_id=SUBJECT
+        ),
+        "progress_individual_multidate_clipped": lambda s: individual_buckets(
+            s, LIST, *_flat(CLIPPED)
+        ),
+        "progress_individual_multidate_null_bound": lambda s: individual_buckets(
+            s, None, *_flat(NULL_BOUND)
+        ),
+        "progress_benchmark_one": lambda s: benchmark(s, STUDENT, as_of=AS_OF),
+        "progress_benchmark_subject": partial(benchmark, subject_id=SUBJECT, as_of=AS_OF),
+        "progress_benchmark_from_only": partial(benchmark, start=start, as_of=AS_OF),
+        "progress_benchmark_to_only": partial(benchmark, end=end, as_of=AS_OF),
+        "progress_benchmark_latest_dated": partial(
+            benchmark, latest=True, start=start, end=end, as_of=AS_OF
+        ),
+        "progress_benchmark_multidate_overlapping": lambda s: benchmark_buckets(
+            s, None, *_flat(OVERLAPPING), subject_id=SUBJECT, as_of=AS_OF
+        ),
+        "progress_benchmark_multidate_clipped": lambda s: benchmark_buckets(
+            s, LIST, *_flat(CLIPPED), as_of=AS_OF
+        ),
         "student_attendance_all": partial(plans.report_student_attendance, as_of=AS_OF),
         "student_attendance_dated": partial(
             plans.report_student_attendance,
@@ -132,8 +219,14 @@ def _operators() -> dict[str, Callable[[School], DataFrame]]:
             first_presentations(s.task_evaluations), FIRST_MOMENT
         ),
         "path_key_violations": lambda s: key_violations(individual_path(s), PATH_STEP),
+        "benchmark_path_key_violations": lambda s: key_violations(
+            benchmark_path(s, as_of=AS_OF), PATH_STEP
+        ),
+        "latest_key_violations": lambda s: key_violations(
+            latest_attempts(s.task_evaluations), (*ATTEMPT_KEY, "evaluationDate")
+        ),
         "roster_key_violations": lambda s: key_violations(
-            s.task_evaluations, ("staffId", "studentId")
+            s.staff_students, ("staffId", "studentId")
         ),
     }
 
@@ -154,22 +247,26 @@ def _streamed(spark: SparkSession, folder: str, table: str) -> str:
     """Run the alert stream over a given table once; the folder of its outputs."""
     key = (spark.sparkContext.applicationId, folder, table)
     if key not in _STREAMS:
-        shared = shared_folder(spark)
-        if shared is None:
+        set_shared_folder(spark)
+        out = scratch(spark, "alerts")
+        if out is None:
             raise ValueError("an alert stream needs spark.checkpoint.dir")
-        out = f"{shared.rstrip('/')}/alerts-{uuid.uuid4().hex}"
         given = "events" if table == "attendance" else "lineitem"
-        schema = spark.read.parquet(f"{folder}/{given}.parquet").schema
-        # The star also matches a table that is one file: a stream reads folders or patterns.
-        reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
-        feed = reader.parquet(f"{folder}/{given}.parquet*")
+        rows = spark.read.parquet(f"{folder}/{given}.parquet")
+        staff = spark.read.parquet(f"{folder}/supplier.parquet").count()
+        reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+        # A stream reads folders or patterns: for a table that is one file the pattern is
+        # its name with the last letter in brackets.
+        single = rows.inputFiles()[0].endswith(f"/{given}.parquet")
+        feed = reader.parquet(f"{folder}/{given}.parque[t]" if single else f"{folder}/{given}.parquet")
         if table == "attendance":
-            changes, remember = attendance_of(feed), "1 hour"
+            changes = attendance_of(feed, staff)
         else:
             orders = spark.read.parquet(f"{folder}/orders.parquet")
-            changes, remember = task_evaluations_of(feed, orders), None
+            tasks = spark.read.parquet(f"{folder}/part.parquet").count()
+            changes = task_evaluations_of(feed, orders, staff, tasks)
         alert_stream(
-            changes, school_of(spark, folder), table, out, f"{out}/checkpoint", remember
+            changes, lambda: school_of(spark, folder), table, out, f"{out}/checkpoint"
         ).awaitTermination()
         _STREAMS[key] = out
     return _STREAMS[key]
@@ -184,6 +281,10 @@ def _streams() -> dict[str, Query]:
         "attendance_stream_user_messages": read(read_user_messages, "attendance"),
         "evaluation_stream_messages": read(read_messages, "task_evaluations"),
         "evaluation_stream_user_messages": read(read_user_messages, "task_evaluations"),
+        "attendance_stream_stored": read(partial(read_stored, table="attendance"), "attendance"),
+        "evaluation_stream_stored": read(
+            partial(read_stored, table="task_evaluations"), "task_evaluations"
+        ),
     }
 
 
@@ -192,4 +293,5 @@ def registered() -> dict[str, Query]:
         return lambda spark, folder: report(school_of(spark, folder))
 
     reports = _reports() | _operators() | _alerts()
-    return {name: on_school(report) for name, report in reports.items()} | _streams()
+    on_tables = {"grade_bands_wide": _grade_bands_wide}
+    return {name: on_school(report) for name, report in reports.items()} | on_tables | _streams()

@@ -48,6 +48,38 @@ def in_date_range(column: str, start: DateLike = None, end: DateLike = None) ->
     return keep
 
 
+def sorted_by_default(ordered: bool | None, ids: Ids) -> bool:
+    """Unless told otherwise, the report of named ids is sorted and that of all ids is not."""
+    return ids is not None if ordered is None else ordered
+
+
+# Facts that were written in folders by year carry the year under this name.
+YEAR = "_year"
+
+
+def within(
+    rows: DataFrame, column: str, start: DateLike = None, end: DateLike = None
+) -> DataFrame:
+    """Rows in the date range; of facts in folders by year only those years are read."""
+    kept = rows.filter(in_date_range(column, start, end))
+    if YEAR in rows.columns:
+        start, end = as_date(start), as_date(end)
+        if start is not None:
+            kept = kept.filter(F.col(YEAR) >= start.year)
+        if end is not None:
+            kept = kept.filter(F.col(YEAR) <= end.year)
+    return kept
+
+
+def without_year(rows: DataFrame) -> DataFrame:
+    return rows.drop(YEAR)
+
+
+def with_year(rows: DataFrame, *columns: str) -> list[str]:
+    """``columns``, and the year where the rows have it."""
+    return [*columns, YEAR] if YEAR in rows.columns else list(columns)
+
+
 def in_bucket(column: str, start: DateLike, end: DateLike) -> Column:
     """``start <= column <= end`` where a missing bound matches nothing."""
     if as_date(start) is None or as_date(end) is None:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tasktrail.functions.constants import ADMINISTRATOR
+from tasktrail.operators import lookups
 from tasktrail.operators.lookups import attach
 from tasktrail.sources.school import School
 
 FLAG = "flagAdministrator"
 
-# Lanes of the fan-out: messages are dealt out evenly, each lane holds all recipients.
-FAN_OUT_LANES = 64
+# Bounds the copies of a message while recipients are joined.
+MOST_LANES = 64
 
 
 def flagged(changes: DataFrame) -> DataFrame:
@@ -77,17 +78,17 @@ def with_people(changes: DataFrame, school: School) -> DataFrame:
         F.col("firstName").alias("teacherFirst"),
         F.col("userId").alias("senderUserId"),
     )
-    named = attach(changes, students, "studentId", "left", rows=school.rows("students"))
-    return attach(named, staff, "staffId", "left", rows=school.rows("staff"))
+    named = attach(changes, students, "studentId", "left", size=school.size("students"))
+    return attach(named, staff, "staffId", "left", size=school.size("staff"))
 
 
 def with_marks(changes: DataFrame, school: School) -> DataFrame:
     """Attach the mark and the task name of a task evaluation; both optional."""
     marked = attach(
-        changes, school.evaluations, "evaluationId", "left", rows=school.rows("evaluations")
+        changes, school.evaluations, "evaluationId", "left", size=school.size("evaluations")
     )
     tasks = school.tasks.select("taskId", "taskName")
-    return attach(marked, tasks, "taskId", "left", rows=school.rows("tasks"))
+    return attach(marked, tasks, "taskId", "left", size=school.size("tasks"))
 
 
 def administrators(users: DataFrame) -> DataFrame:
@@ -96,18 +97,27 @@ def administrators(users: DataFrame) -> DataFrame:
     )
 
 
-def fan_out(messages: DataFrame, users: DataFrame, users_rows: int) -> DataFrame:
-    """One row per message and administrator.
+def _lane(column: str, lanes: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(lanes)).cast("int")
 
-    Each message is dealt to one lane by its id and each administrator stands in every
-    lane, so the fan-out is an equi join of even partitions. A small set of users is
-    broadcast and the messages stay where they are.
+
+def fan_out(messages: DataFrame, recipients: DataFrame, size: int) -> DataFrame:
+    """One row per message and recipient; ``size``: the measured bytes of the recipients.
+
+    Few recipients are broadcast as they are, and the messages stay where they are. Many
+    are dealt to lanes by their id, and each message goes to every lane: a lane then holds
+    a share of the recipients, and the rows of a lane that got too many can still be split,
+    as both sides of the join are shuffled for it alone. There are as many lanes as the
+    recipients fill broadcasts, so neither side is copied more often than needed.
     """
-    lane = F.pmod(F.xxhash64("messageId"), F.lit(FAN_OUT_LANES)).cast("int").alias("_lane")
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(FAN_OUT_LANES - 1))).alias("_lane")
-    recipients = administrators(users).select("recipientUserId", lanes)
-    dealt = messages.select("messageId", lane)
-    sent = attach(dealt, recipients, "_lane", rows=users_rows * FAN_OUT_LANES)
+    lanes = 1 + size // lookups.BROADCAST_BYTES if lookups.BROADCAST_BYTES else MOST_LANES
+    lanes = min(lanes, MOST_LANES)
+    dealt = recipients.select("recipientUserId", _lane("recipientUserId", lanes).alias("_lane"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
+    # With one lane a hash of the message gives it, so that the join keeps its key.
+    own = every if lanes > 1 else _lane("messageId", lanes)
+    copies = messages.select("messageId", own.alias("_lane"))
+    sent = attach(copies, dealt, "_lane", size=size)
     return sent.select("messageId", "recipientUserId")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tasktrail.functions.constants import FIRST_PRESENTATION
-from tasktrail.functions.filters import DateLike, all_known, in_date_range
+from tasktrail.functions.filters import DateLike, all_known, within, without_year
 from tasktrail.operators.lookups import attach
 from tasktrail.sources.school import School
 
@@ -33,7 +33,7 @@ def first_presentations(
     for name in validate:
         key = _LOOKUP_KEYS[name]
         known = getattr(school, name).select(key)
-        first = attach(first, known, key, "left_semi", rows=school.rows(name))
+        first = attach(first, known, key, "left_semi", size=school.size(name))
     return first.select(
         "studentId",
         "staffId",
@@ -43,21 +43,28 @@ def first_presentations(
     )
 
 
-def latest_dates(attempts: DataFrame) -> DataFrame:
-    """The latest date of each staff, student and task; aggregated before the shuffle."""
+def latest_dates(attempts: DataFrame, start: DateLike = None) -> DataFrame:
+    """The latest date of each staff, student and task; aggregated before the shuffle.
+
+    With ``start`` only of keys whose latest date is not earlier. Dropping earlier
+    attempts beforehand does not change these: it can only lose keys that drop out.
+    """
     known = attempts.filter(all_known(*ATTEMPT_KEY))
+    if start is not None:
+        known = within(known, "evaluationDate", start)
     return known.groupBy(*ATTEMPT_KEY).agg(F.max("evaluationDate").alias("evaluationDate"))
 
 
-def latest_attempts(attempts: DataFrame) -> DataFrame:
+def latest_attempts(attempts: DataFrame, start: DateLike = None) -> DataFrame:
     """Attempts on the latest date of their staff, student and task; ties all stay.
 
     The maximum is matched back by a semi join on key and date. A window over the key
     would send a hot key to one task; here its rows are spread by date, and rows of
     one date can still be split because the semi join only streams them. Rows with a
-    null key or date drop out.
+    null key or date drop out. ``start`` as in ``latest_dates``.
     """
-    return attempts.join(latest_dates(attempts), [*ATTEMPT_KEY, "evaluationDate"], "left_semi")
+    later = attempts if start is None else within(attempts, "evaluationDate", start)
+    return later.join(latest_dates(attempts, start), [*ATTEMPT_KEY, "evaluationDate"], "left_semi")
 
 
 def select_attempts(
@@ -66,16 +73,17 @@ def select_attempts(
     """The attempts a report works on: all or the latest ones, limited by date.
 
     The latest attempt is found first and limited afterwards, so a key whose latest
-    attempt is outside the range has no attempt at all.
+    attempt is outside the range has no attempt at all. The start may be applied at once,
+    the end may not: a later attempt has to be seen.
     """
-    chosen = latest_attempts(attempts) if latest else attempts
-    return chosen.filter(in_date_range("evaluationDate", start, end))
+    chosen = latest_attempts(attempts, start) if latest else attempts
+    return without_year(within(chosen, "evaluationDate", start, end))
 
 
 def attempted_tasks(
     attempts: DataFrame, latest: bool | None = False, start: DateLike = None, end: DateLike = None
 ) -> DataFrame:
     """The distinct student and task pairs of ``select_attempts``, without its join."""
-    dates = latest_dates(attempts) if latest else attempts
-    limited = dates.filter(in_date_range("evaluationDate", start, end))
+    dates = latest_dates(attempts, start) if latest else attempts
+    limited = within(dates, "evaluationDate", start, end)
     return limited.select("studentId", "taskId").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tasktrail.functions.constants import STATUS_ABSENT, STATUS_LATE
-from tasktrail.functions.filters import DateLike, Ids, in_date_range, in_scope
+from tasktrail.functions.filters import DateLike, Ids, in_scope, within
 
 
 def attendance_counts(
@@ -18,9 +18,8 @@ def attendance_counts(
     """
     status = F.col("attendanceStatusId")
     return (
-        in_scope(attendance, "studentId", student_ids)
-        .filter(status.isin(STATUS_ABSENT, STATUS_LATE))
-        .filter(F.col("studentId").isNotNull() & in_date_range("attendanceDate", start, end))
+        within(in_scope(attendance, "studentId", student_ids), "attendanceDate", start, end)
+        .filter(status.isin(STATUS_ABSENT, STATUS_LATE) & F.col("studentId").isNotNull())
         .groupBy("studentId")
         .agg(
             F.count_if(status == STATUS_ABSENT).cast("int").alias("absentCount"),

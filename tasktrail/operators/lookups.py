@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from tasktrail.functions.filters import equals_or_all
 from tasktrail.sources.school import School
 
-# A lookup is broadcast up to this many rows. Its name columns hold at most 256
-# characters each, so four of them stay near 200 MB in the worst case.
-BROADCAST_ROWS = 200_000
+# A lookup is broadcast up to this many bytes, as measured. The largest report broadcasts
+# some twenty, so all of them together stay below 640 MiB.
+BROADCAST_BYTES = 32 << 20
 
 # Lanes of a spread join.
 LANES = 8
@@ -21,17 +21,17 @@ def attach(
     on,
     how: str = "inner",
     *,
-    rows: int,
+    size: int | None,
     spread: bool = False,
 ) -> DataFrame:
-    """Join ``lookup``, which has at most ``rows`` rows, to ``left``.
+    """Join ``lookup``, which takes at most ``size`` bytes (None: unknown), to ``left``.
 
     A small lookup is broadcast, so ``left`` is not shuffled. A larger one is left to
     a sort-merge join; where both its sides come straight from a shuffle, adaptive
     execution splits the partition of a hot key. ``spread`` asks for a spread join
     instead, for a lookup that is itself joined or grouped on the same key.
     """
-    if rows <= BROADCAST_ROWS:
+    if size is not None and size <= BROADCAST_BYTES:
         return left.join(F.broadcast(lookup), on, how)
     return spread_join(left, lookup, on, how) if spread else left.join(lookup, on, how)
 
@@ -61,12 +61,12 @@ def _climb(
 ) -> DataFrame:
     """Join the levels above a task one after the other, each a flat lookup."""
     categories = school.subject_categories.filter(equals_or_all("subjectId", subject_id))
-    rows = school.rows
-    found = attach(tasks, categories, "subjectCategoryId", how, rows=rows("subject_categories"))
-    found = attach(found, school.subjects, "subjectId", how, rows=rows("subjects"))
+    size = school.size
+    found = attach(tasks, categories, "subjectCategoryId", how, size=size("subject_categories"))
+    found = attach(found, school.subjects, "subjectId", how, size=size("subjects"))
     if grades is None:
         return found
-    return attach(found, grades, "gradeLevelId", how, rows=rows("grade_levels"))
+    return attach(found, grades, "gradeLevelId", how, size=size("grade_levels"))
 
 
 def task_catalog(

@@ -26,7 +26,7 @@ from tasktrail.functions.constants import (
 )
 from tasktrail.functions.expressions import age_in_years
 from tasktrail.functions.filters import Ids, in_scope
-from tasktrail.operators.bands import age_numbers
+from tasktrail.operators.bands import age_groups_of
 from tasktrail.operators.lookups import attach, task_catalog, task_status
 from tasktrail.sources.school import School
 
@@ -46,7 +46,7 @@ def path_steps(
     gives a candidate root, a step of that task to itself. Copies of an edge merge
     before the shuffle. A candidate equal to an edge counts as that edge.
     """
-    status, tasks = task_status(school, subject_id), school.rows("tasks")
+    status, tasks = task_status(school, subject_id), school.size("tasks")
     suggested = status.select(
         F.col("taskId").alias("suggestedTaskId"), F.col("listed").alias("_suggested")
     )
@@ -57,10 +57,10 @@ def path_steps(
     minimum = school.evaluations.select(
         F.col("evaluationId").alias("minimumEvaluationId"), F.lit(True).alias("_minimum")
     )
-    known = attach(edges, suggested, "suggestedTaskId", "left", rows=tasks)
-    known = attach(known, prerequisite, "prerequisiteTaskId", "left", rows=tasks)
+    known = attach(edges, suggested, "suggestedTaskId", "left", size=tasks)
+    known = attach(known, prerequisite, "prerequisiteTaskId", "left", size=tasks)
     known = attach(
-        known, minimum, "minimumEvaluationId", "left", rows=school.rows("evaluations")
+        known, minimum, "minimumEvaluationId", "left", size=school.size("evaluations")
     )
 
     days = F.col("daysToComplete") if root_days is None else F.lit(root_days)
@@ -105,12 +105,9 @@ def individual_path(
     return with_virtual_roots(path_steps(edges, school, ["studentId"], subject_id), "studentId")
 
 
-def path_by_age(school: School, subject_id: int | None = None) -> DataFrame:
-    """The benchmark path of every age that some age group covers.
-
-    Built from the lookup-sized age groups and benchmark edges only.
-    """
-    edges = age_numbers(school.age_groups).join(school.benchmark_task_paths, "ageGroupId")
+def path_by_age(school: School, ages: DataFrame, subject_id: int | None = None) -> DataFrame:
+    """The benchmark path of each distinct ``age``, from lookup-sized tables only."""
+    edges = age_groups_of(ages, school).join(school.benchmark_task_paths, "ageGroupId")
     owner = ["age", "ageGroupDescription"]
     return with_virtual_roots(
         path_steps(edges, school, owner, subject_id, root_days=ROOT_BENCHMARK_DAYS), "age"
@@ -128,11 +125,13 @@ def benchmark_path(
     students = students.filter(F.col("studentId").isNotNull()).select(
         "studentId", age_in_years("dateOfBirth", as_of).alias("age")
     )
-    path = path_by_age(school, subject_id)
-    # Each age meets each edge at most once as an edge and once as a root.
-    ages = school.rows_of("age_numbers", age_numbers(school.age_groups))
-    rows = 2 * ages * school.rows("benchmark_task_paths")
-    return attach(students, path, "age", rows=rows, spread=True)
+    ages = students.select("age").distinct()
+    path = path_by_age(school, ages, subject_id)
+    # An age meets each edge at most once as an edge and once as a root. A student has one
+    # age, so a report of few students has few of them.
+    everyone = school.students.select(age_in_years("dateOfBirth", as_of).alias("age")).distinct()
+    size = 2 * school.size_of(f"ages {as_of}", everyone) * school.size("benchmark_task_paths")
+    return attach(students, path, "age", size=size, spread=True)
 
 
 def with_minimum_value(path: DataFrame, school: School) -> DataFrame:
@@ -140,7 +139,7 @@ def with_minimum_value(path: DataFrame, school: School) -> DataFrame:
     minimums = school.evaluations.select(
         F.col("evaluationId").alias("minimumEvaluationId"), F.col("evaluationValue").alias("_minimum")
     )
-    valued = attach(path, minimums, "minimumEvaluationId", "left", rows=school.rows("evaluations"))
+    valued = attach(path, minimums, "minimumEvaluationId", "left", size=school.size("evaluations"))
     value = F.when(F.col("isRoot"), ROOT_MINIMUM_VALUE).otherwise(F.col("_minimum"))
     return valued.withColumn("minimumEvaluationValue", value).drop("_minimum")
 
@@ -148,7 +147,7 @@ def with_minimum_value(path: DataFrame, school: School) -> DataFrame:
 def with_task_names(path: DataFrame, school: School) -> DataFrame:
     """Add the names of the suggested task, its category, subject and grade, and of the
     prerequisite. Every path row has a catalogued task, so no row is lost."""
-    tasks = school.rows("tasks")
+    tasks = school.size("tasks")
     catalog = task_catalog(school).select(
         F.col("taskId").alias("suggestedTaskId"),
         "taskName",
@@ -159,8 +158,8 @@ def with_task_names(path: DataFrame, school: School) -> DataFrame:
     prerequisites = school.tasks.select(
         F.col("taskId").alias("prerequisiteTaskId"), F.col("taskName").alias("_prerequisite")
     )
-    named = attach(path, catalog, "suggestedTaskId", rows=tasks)
-    named = attach(named, prerequisites, "prerequisiteTaskId", "left", rows=tasks)
+    named = attach(path, catalog, "suggestedTaskId", size=tasks)
+    named = attach(named, prerequisites, "prerequisiteTaskId", "left", size=tasks)
     name = F.when(F.col("isRoot"), ROOT_PREREQUISITE_NAME).otherwise(F.col("_prerequisite"))
     return named.withColumn("prerequisiteTaskName", name).drop("_prerequisite")
 

@@ -63,10 +63,10 @@ def name_attempts(progress: DataFrame, school: School) -> DataFrame:
     types = school.evaluation_types.select("evaluationTypeId", "evaluationTypeDescription")
     marks = school.evaluations.select("evaluationId", "evaluationDescription", "evaluationValue")
     # First the one lookup that may shuffle the rows, while they are narrow.
-    named = attach(progress, students, "studentId", "left", rows=school.rows("students"))
-    named = attach(named, staff, "staffId", "left", rows=school.rows("staff"))
-    named = attach(named, types, "evaluationTypeId", "left", rows=school.rows("evaluation_types"))
-    return attach(named, marks, "evaluationId", "left", rows=school.rows("evaluations"))
+    named = attach(progress, students, "studentId", "left", size=school.size("students"))
+    named = attach(named, staff, "staffId", "left", size=school.size("staff"))
+    named = attach(named, types, "evaluationTypeId", "left", size=school.size("evaluation_types"))
+    return attach(named, marks, "evaluationId", "left", size=school.size("evaluations"))
 
 
 def fill_attempts(progress: DataFrame) -> DataFrame:

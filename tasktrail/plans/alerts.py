@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
+from tasktrail.functions.filters import without_year
 from tasktrail.operators.alerts import (
+    administrators,
     attendance_text,
     clear_flags,
     evaluation_text,
@@ -48,7 +50,8 @@ def _alerts(
 
 def user_messages(changes: DataFrame, source: str, school: School) -> DataFrame:
     ids = flagged(changes).select(message_id(source).alias("messageId"))
-    return fan_out(ids, school.users, school.rows("users"))
+    recipients = administrators(school.users)
+    return fan_out(ids, recipients, school.size_of("administrators", recipients))
 
 
 def attendance_alerts(school: School, changes: DataFrame | None = None) -> Alerts:
@@ -56,13 +59,13 @@ def attendance_alerts(school: School, changes: DataFrame | None = None) -> Alert
 
     Each row is one inserted or updated row version with a unique ``changeId``.
     """
-    changes = school.attendance if changes is None else changes
+    changes = without_year(school.attendance) if changes is None else changes
     named = with_people(flagged(changes), school)
     return _alerts(changes, named, attendance_text(), "attendance", school)
 
 
 def evaluation_alerts(school: School, changes: DataFrame | None = None) -> Alerts:
     """Alerts from changed task evaluations, by default from the whole table."""
-    changes = school.task_evaluations if changes is None else changes
+    changes = without_year(school.task_evaluations) if changes is None else changes
     named = with_people(with_marks(flagged(changes), school), school)
     return _alerts(changes, named, evaluation_text(), "task_evaluation", school)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from tasktrail.functions.expressions import ascending
-from tasktrail.functions.filters import DateLike, Ids, in_scope
+from tasktrail.functions.filters import DateLike, Ids, in_scope, sorted_by_default, with_year
 from tasktrail.operators.attempts import attempted_tasks, first_presentations, select_attempts
 from tasktrail.operators.keys import ATTEMPT_MOMENT, FIRST_MOMENT, PATH_STEP, require_unique
 from tasktrail.operators.lookups import attach, task_catalog
@@ -68,12 +68,15 @@ def _facts(
 
     A strict report checks the attempts of all subjects.
     """
-    facts = in_scope(school.task_evaluations, "studentId", student_ids).select(
-        "studentId", "staffId", "taskId", "evaluationId", "evaluationTypeId", "evaluationDate"
+    facts = in_scope(school.task_evaluations, "studentId", student_ids)
+    facts = facts.select(
+        *with_year(
+            facts, "studentId", "staffId", "taskId", "evaluationId", "evaluationTypeId", "evaluationDate"
+        )
     )
     if subject_id and not strict:
         listed = task_catalog(school, subject_id).select("taskId")
-        facts = attach(facts, listed, "taskId", "left_semi", rows=school.rows("tasks"))
+        facts = attach(facts, listed, "taskId", "left_semi", size=school.size("tasks"))
     return facts
 
 
@@ -146,10 +149,6 @@ def _bucket_report(
     return _finish(filled.drop("minimumEvaluationId").distinct(), school, ordered)
 
 
-def _sorted_by_default(ordered: bool | None, student_ids: Ids) -> bool:
-    return student_ids is not None if ordered is None else ordered
-
-
 def progress_report_individual(
     school: School,
     student_ids: Ids = None,
@@ -169,7 +168,7 @@ def progress_report_individual(
     path = individual_path(school, student_ids, subject_id)
     facts = _facts(school, student_ids, subject_id, strict)
     first = first_presentations(facts)
-    ordered = _sorted_by_default(ordered, student_ids)
+    ordered = sorted_by_default(ordered, student_ids)
     return _report(school, path, facts, first, latest, start, end, strict, ordered)
 
 
@@ -196,7 +195,7 @@ def progress_report_individual_multidate(
     facts = _facts(school, student_ids, subject_id, strict)
     first = first_presentations(facts)
     buckets = ((start_one, end_one), (start_two, end_two), (start_three, end_three))
-    ordered = _sorted_by_default(ordered, student_ids)
+    ordered = sorted_by_default(ordered, student_ids)
     return _bucket_report(school, path, facts, first, latest, buckets, strict, ordered)
 
 
@@ -224,7 +223,7 @@ def progress_report_benchmark(
     path = benchmark_path(school, student_ids, subject_id, as_of)
     facts = _facts(school, student_ids, subject_id, strict)
     first = first_presentations(facts, school, _BENCHMARK_CHECKS)
-    ordered = _sorted_by_default(ordered, student_ids)
+    ordered = sorted_by_default(ordered, student_ids)
     return _report(school, path, facts, first, latest, start, end, strict, ordered)
 
 
@@ -248,5 +247,5 @@ def progress_report_benchmark_multidate(
     facts = _facts(school, student_ids, subject_id, strict)
     first = first_presentations(facts, school, _BENCHMARK_CHECKS)
     buckets = ((start_one, end_one), (start_two, end_two), (start_three, end_three))
-    ordered = _sorted_by_default(ordered, student_ids)
+    ordered = sorted_by_default(ordered, student_ids)
     return _bucket_report(school, path, facts, first, latest, buckets, strict, ordered)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tasktrail.functions.constants import ALL_IDS, EVALUATION
 from tasktrail.functions.expressions import ascending, full_name
-from tasktrail.functions.filters import DateLike, Ids, in_date_range, in_scope
+from tasktrail.functions.filters import DateLike, Ids, in_scope, sorted_by_default, within
 from tasktrail.operators.bands import grade_bands
 from tasktrail.operators.lookups import attach, task_catalog
 from tasktrail.sources.school import School
@@ -21,23 +21,21 @@ def average_marks(
     the student table meets a few rows per student instead of every attempt. Names
     are grouped last: people who share a full name share a mean.
     """
-    marks = in_scope(school.task_evaluations, "studentId", student_ids).filter(
-        (F.col("evaluationTypeId") == EVALUATION)
-        & F.col("studentId").isNotNull()
-        & in_date_range("evaluationDate", start, end)
-    )
+    marks = within(
+        in_scope(school.task_evaluations, "studentId", student_ids), "evaluationDate", start, end
+    ).filter((F.col("evaluationTypeId") == EVALUATION) & F.col("studentId").isNotNull())
     catalog = task_catalog(school, with_grades=False)
     marks = attach(
         marks.select("studentId", "staffId", "taskId", "evaluationId"),
         school.evaluations.select("evaluationId", "evaluationValue"),
         "evaluationId",
-        rows=school.rows("evaluations"),
+        size=school.size("evaluations"),
     )
     marks = attach(
         marks,
         catalog.select("taskId", "reportCardCategoryId", "subjectId"),
         "taskId",
-        rows=school.rows("tasks"),
+        size=school.size("tasks"),
     )
     sums = marks.groupBy("studentId", "staffId", "reportCardCategoryId", "subjectId").agg(
         F.sum("evaluationValue").alias("total"), F.count("evaluationValue").alias("marks")
@@ -46,22 +44,22 @@ def average_marks(
         sums,
         school.students.select("studentId", full_name().alias("student")),
         "studentId",
-        rows=school.rows("students"),
+        size=school.size("students"),
     )
     named = attach(
         named,
         school.staff.select("staffId", full_name().alias("teacher")),
         "staffId",
-        rows=school.rows("staff"),
+        size=school.size("staff"),
     )
     named = attach(
         named,
         school.report_card_categories,
         "reportCardCategoryId",
-        rows=school.rows("report_card_categories"),
+        size=school.size("report_card_categories"),
     )
     subjects = school.subjects.select("subjectId", "subjectName")
-    named = attach(named, subjects, "subjectId", rows=school.rows("subjects"))
+    named = attach(named, subjects, "subjectId", size=school.size("subjects"))
     mean = F.try_divide(F.sum("total"), F.sum("marks"))
     return named.groupBy(
         "student",
@@ -78,11 +76,12 @@ def report_card(
     student_ids: Ids = ALL_IDS,
     start: DateLike = None,
     end: DateLike = None,
-    ordered: bool = True,
+    ordered: bool | None = None,
 ) -> DataFrame:
     """Letter grade per student, teacher, subject and report card category.
 
-    ``student_ids`` 0 or None means every student.
+    ``student_ids`` 0 or None means every student. ``ordered`` None sorts the card of named
+    students and leaves the cards of all students unsorted.
     """
     if isinstance(student_ids, int) and student_ids == ALL_IDS:
         student_ids = None
@@ -97,4 +96,6 @@ def report_card(
         "rangeTop",
         F.col("gradeLetter").alias("letterGrade"),
     )
-    return card.orderBy(*ascending("student", "subjectName", "task_average")) if ordered else card
+    if not sorted_by_default(ordered, student_ids):
+        return card
+    return card.orderBy(*ascending("student", "subjectName", "task_average"))

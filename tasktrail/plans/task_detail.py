@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from tasktrail.functions.expressions import age_in_years, ascending, full_name, since_1900
-from tasktrail.functions.filters import DateLike, Ids, equals_or_all, in_scope
+from tasktrail.functions.filters import DateLike, Ids, equals_or_all, in_scope, sorted_by_default, with_year
 from tasktrail.operators.attempts import select_attempts
 from tasktrail.operators.attendance import attendance_counts
 from tasktrail.operators.lookups import attach, task_catalog
@@ -38,28 +38,28 @@ def _detail(
     as_of: dt.date | None,
     latest: bool,
 ) -> DataFrame:
-    attempts = select_attempts(
-        in_scope(school.task_evaluations, "studentId", student_ids).select(
-            "studentId",
-            "staffId",
-            "taskId",
-            "evaluationId",
-            "evaluationTypeId",
-            "evaluationDate",
-            "propertyId",
-        ),
-        latest,
-        start,
-        end,
-    ).filter(equals_or_all("staffId", staff_id))
+    facts = in_scope(school.task_evaluations, "studentId", student_ids)
+    columns = with_year(
+        facts,
+        "studentId",
+        "staffId",
+        "taskId",
+        "evaluationId",
+        "evaluationTypeId",
+        "evaluationDate",
+        "propertyId",
+    )
+    attempts = select_attempts(facts.select(*columns), latest, start, end).filter(
+        equals_or_all("staffId", staff_id)
+    )
     catalog = task_catalog(school, subject_id)
-    tasks = school.rows("tasks")
+    tasks = school.size("tasks")
     if subject_id:
-        attempts = attach(attempts, catalog.select("taskId"), "taskId", "left_semi", rows=tasks)
+        attempts = attach(attempts, catalog.select("taskId"), "taskId", "left_semi", size=tasks)
 
     # The one join that may shuffle the attempts comes before the names widen them.
     profiles = student_profiles(school, student_ids, start, end, as_of)
-    detail = attach(attempts, profiles, "studentId", rows=school.rows("students"), spread=True)
+    detail = attach(attempts, profiles, "studentId", size=school.size("students"), spread=True)
 
     teachers = school.staff.select("staffId", full_name().alias("teacher"))
     for lookup, key, name in (
@@ -69,7 +69,7 @@ def _detail(
         (school.property, "propertyId", "property"),
         (school.evaluation_types, "evaluationTypeId", "evaluation_types"),
     ):
-        detail = attach(detail, lookup, key, rows=school.rows(name))
+        detail = attach(detail, lookup, key, size=school.size(name))
     return detail.select(
         "teacher",
         "age",
@@ -108,7 +108,7 @@ def task_detail(
     report of named students and leaves the report of all students unsorted.
     """
     detail = _detail(school, student_ids, staff_id, subject_id, start, end, as_of, latest=False)
-    if ordered or (ordered is None and student_ids is not None):
+    if sorted_by_default(ordered, student_ids):
         # The student id breaks ties, so range partitions stay even when names repeat.
         return detail.orderBy(
             *ascending(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tasktrail.functions.expressions import ascending, full_name
-from tasktrail.functions.filters import DateLike, Ids, in_scope
+from tasktrail.functions.filters import DateLike, Ids, in_scope, sorted_by_default, with_year
 from tasktrail.operators.attempts import select_attempts
-from tasktrail.operators.lookups import attach, spread_join, task_catalog
+from tasktrail.operators.lookups import attach, task_catalog
 from tasktrail.sources.school import School
 
 
@@ -19,7 +19,7 @@ def _roster(school: School, staff_ids: Ids) -> DataFrame:
         .agg(F.count("*").alias("listings"))
     )
     students = school.students.select("studentId")
-    return attach(listed, students, "studentId", "left_semi", rows=school.rows("students"))
+    return attach(listed, students, "studentId", "left_semi", size=school.size("students"))
 
 
 def task_summary(
@@ -28,31 +28,35 @@ def task_summary(
     subject_id: int | None = 0,
     start: DateLike = None,
     end: DateLike = None,
-    ordered: bool = True,
+    ordered: bool | None = None,
 ) -> DataFrame:
     """Mean mark per teacher and task name over the latest attempts of listed students.
 
     A student listed several times for a teacher counts as often. Marks are summed per
     staff and task id before any name is attached, so hot teachers and tasks shrink to
-    one row each ahead of the shuffle.
+    one row each ahead of the shuffle. ``ordered`` None sorts the summary of named staff
+    and leaves that of all staff unsorted.
     """
-    attempts = in_scope(school.task_evaluations, "staffId", staff_ids).select(
-        "staffId", "studentId", "taskId", "evaluationId", "evaluationDate"
+    attempts = in_scope(school.task_evaluations, "staffId", staff_ids)
+    attempts = attempts.select(
+        *with_year(attempts, "staffId", "studentId", "taskId", "evaluationId", "evaluationDate")
     )
     marks = attach(
         select_attempts(attempts, True, start, end),
         school.evaluations.select("evaluationId", "evaluationValue"),
         "evaluationId",
-        rows=school.rows("evaluations"),
+        size=school.size("evaluations"),
     )
     catalog = task_catalog(school, subject_id)
-    tasks = school.rows("tasks")
+    tasks = school.size("tasks")
     if subject_id:
-        marks = attach(marks, catalog.select("taskId"), "taskId", "left_semi", rows=tasks)
-    counted = spread_join(
+        marks = attach(marks, catalog.select("taskId"), "taskId", "left_semi", size=tasks)
+    counted = attach(
         marks.select("staffId", "studentId", "taskId", "evaluationValue"),
         _roster(school, staff_ids),
         ["staffId", "studentId"],
+        size=school.size("staff_students"),
+        spread=True,
     )
     value, listings = F.col("evaluationValue"), F.col("listings")
     sums = counted.groupBy("staffId", "taskId").agg(
@@ -60,8 +64,8 @@ def task_summary(
         F.sum(F.when(value.isNotNull(), listings)).alias("marks"),
     )
     teachers = school.staff.select("staffId", full_name().alias("teacher"))
-    named = attach(sums, teachers, "staffId", rows=school.rows("staff"))
-    named = attach(named, catalog, "taskId", rows=tasks)
+    named = attach(sums, teachers, "staffId", size=school.size("staff"))
+    named = attach(named, catalog, "taskId", size=tasks)
     summary = (
         named.groupBy(
             "teacher", "gradeLevelName", "subjectName", "taskName", "staffId", "subjectId"
@@ -77,6 +81,6 @@ def task_summary(
             "subjectId",
         )
     )
-    if not ordered:
+    if not sorted_by_default(ordered, staff_ids):
         return summary
     return summary.orderBy(*ascending("teacher", "gradeLevelName", "subjectName", "taskName"))

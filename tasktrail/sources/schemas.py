@@ -65,14 +65,17 @@ TABLES: dict[str, T.StructType] = {
     }.items()
 }
 
-# Tables whose size is measured before they are broadcast. The two facts and the
+# Tables whose size is measured, so that they may be broadcast. The two facts and the
 # individual paths never are.
 MEASURED = tuple(
     name
     for name in TABLES
-    if name not in ("task_evaluations", "attendance", "staff_students", "individual_task_paths")
+    if name not in ("task_evaluations", "attendance", "individual_task_paths")
 )
 
+# The dates by whose years the facts are written in folders.
+DATED = {"task_evaluations": "evaluationDate", "attendance": "attendanceDate"}
+
 # How the tables that grow with the number of students are ordered in files.
 CLUSTERED = {
     "task_evaluations": ("studentId", "evaluationDate"),

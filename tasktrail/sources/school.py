@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tasktrail.sources.schemas import CLUSTERED, MEASURED, TABLES
+from tasktrail.functions.filters import YEAR
+from tasktrail.sources.schemas import CLUSTERED, DATED, MEASURED, TABLES
 
 
 class School:
@@ -22,24 +24,30 @@ class School:
         if unknown:
             raise ValueError(f"not a school table: {sorted(unknown)}")
         self._tables = {name: _conform(name, table) for name, table in tables.items()}
+        self._known: dict = {}
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> School:
         """Read the Parquet table ``folder/<name>.parquet`` for every school table."""
-        return cls({name: spark.read.parquet(f"{folder}/{name}.parquet") for name in TABLES})
+        return cls({name: _read(spark, f"{folder}/{name}.parquet", name) for name in TABLES})
 
     def write(self, folder: str) -> None:
-        """Write the tables for ``read``, the large ones ordered by student.
+        """Write the tables for ``read``: facts in folders by year, large ones ordered by student.
 
-        Each file and row group then covers few students, and the report of one student
-        skips the others by their statistics. A student with very many rows still
-        spreads over several files, because the second column takes part in the split.
+        A dated report reads the folders of its years. Each file and row group covers few
+        students, and the report of one student skips the others by their statistics. A
+        student with very many rows still spreads over several files, because the second
+        column takes part in the split.
         """
         for name, table in self._tables.items():
-            if name in CLUSTERED:
-                columns = CLUSTERED[name]
+            path, columns = f"{folder}/{name}.parquet", list(CLUSTERED.get(name, ()))
+            if name in DATED:
+                columns = [YEAR, *columns]
+                table = table.withColumn(YEAR, F.year(DATED[name]))
+            if columns:
                 table = table.repartitionByRange(*columns).sortWithinPartitions(*columns)
-            table.write.parquet(f"{folder}/{name}.parquet")
+            writer = table.write.partitionBy(YEAR) if name in DATED else table.write
+            writer.parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
@@ -51,33 +59,65 @@ class School:
     def replace(self, **tables: DataFrame) -> School:
         """The same school with some tables exchanged; only these are counted anew."""
         made = School({**self._tables, **tables})
-        if not set(tables) & set(MEASURED) and "_row_counts" in self.__dict__:
-            made.__dict__["_row_counts"] = self._row_counts
+        if not set(tables) & set(MEASURED) and "_sizes" in self.__dict__:
+            made.__dict__["_sizes"] = self._sizes
         return made
 
     @cached_property
-    def _row_counts(self) -> dict[str, int]:
+    def _sizes(self) -> dict[str, tuple[int, int]]:
         measured = [
-            self._tables[name].select(F.lit(name).alias("name"))
+            self._tables[name].select(F.lit(name).alias("name"), row_width(self._tables[name]).alias("width"))
             for name in MEASURED
             if name in self._tables
         ]
-        counts = reduce(DataFrame.unionAll, measured).groupBy("name").count()
-        return {name: 0 for name in MEASURED} | {row["name"]: row["count"] for row in counts.collect()}
+        sizes = (
+            reduce(DataFrame.unionAll, measured)
+            .groupBy("name")
+            .agg(F.count("*").alias("rows"), F.sum("width").alias("bytes"))
+        )
+        found = {row["name"]: (row["rows"], row["bytes"]) for row in sizes.collect()}
+        return {name: (0, 0) for name in MEASURED} | found
 
     def rows(self, name: str) -> int:
-        """Measured row count of a table that may be broadcast.
+        """Measured row count of a table that may be broadcast."""
+        return self._sizes[name][0]
+
+    def size(self, name: str) -> int:
+        """Measured bytes of a table that may be broadcast: what its rows take in memory.
 
-        One job counts all of them once per school. No column is read, so on Parquet
-        files the job only reads footers.
+        One job measures all of them once per school; of text columns it reads lengths.
         """
-        return self._row_counts[name]
+        return self._sizes[name][1]
+
+    def known(self, name: str, find: Callable):
+        """What ``find`` returns, found once per school under ``name``."""
+        if name not in self._known:
+            self._known[name] = find()
+        return self._known[name]
+
+    def size_of(self, name: str, table: DataFrame) -> int:
+        """Bytes of a small derived lookup, measured once per school under ``name``."""
+        if name not in self._sizes:
+            row = table.agg(F.count("*").alias("rows"), F.sum(row_width(table)).alias("bytes")).first()
+            self._sizes[name] = (row["rows"], row["bytes"] or 0)
+        return self._sizes[name][1]
 
-    def rows_of(self, name: str, table: DataFrame) -> int:
-        """Row count of a small derived lookup, counted once per school under ``name``."""
-        if name not in self._row_counts:
-            self._row_counts[name] = table.count()
-        return self._row_counts[name]
+
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        # A fact in folders by year without any row has no file to tell its columns.
+        if name not in DATED or error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], TABLES[name])
+
+
+def row_width(table: DataFrame) -> Column:
+    """Bytes of a row in memory: eight a column, texts in full, and eight for null marks."""
+    texts = [F.octet_length(name) for name, kind in table.dtypes if kind == "string"]
+    fixed = F.lit(8 + 8 * len(table.columns)).cast("long")
+    return reduce(lambda one, other: one + F.coalesce(other, F.lit(0)), texts, fixed)
 
 
 def _conform(name: str, table: DataFrame) -> DataFrame:
@@ -90,5 +130,6 @@ def _conform(name: str, table: DataFrame) -> DataFrame:
             else F.col(field.name).cast(field.dataType)
             for field in fields
             if field.name in have or field.name != "changeId"
-        )
+        ),
+        *([F.col(YEAR).cast("int").alias(YEAR)] if name in DATED and YEAR in have else []),
     )

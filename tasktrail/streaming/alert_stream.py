@@ -2,17 +2,23 @@
 
 Each version is one inserted or updated row of a fact table with its own ``changeId``.
 A batch writes messages, user messages and stored rows to folders named by its number,
-so a batch that is run again after a failure replaces what it wrote before.
+so a batch that is run again after a failure replaces what it wrote before. A change that
+is delivered again is dropped. The school is read anew for every batch, so alerts know the
+staff, students, marks and administrators of that moment.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tasktrail.plans.alerts import attendance_alerts, evaluation_alerts
 from tasktrail.sources.schemas import TABLES
 from tasktrail.sources.school import School
+from tasktrail.sources.shared_folder import shared_folder
 from tasktrail.sources.sinks import write_alerts
 
 _ALERTS = {"attendance": attendance_alerts, "task_evaluations": evaluation_alerts}
@@ -21,6 +27,9 @@ _ALERTS = {"attendance": attendance_alerts, "task_evaluations": evaluation_alert
 # Bounds what one batch keeps while its outputs are written.
 FILES_PER_BATCH = 1000
 
+# How long ids of delivered changes are kept at least; bounds the state.
+REMEMBER = "7 days"
+
 
 def change_feed(
     spark: SparkSession, folder: str, table: str, files_per_batch: int = FILES_PER_BATCH
@@ -47,23 +56,30 @@ def first_deliveries(changes: DataFrame, remember: str) -> DataFrame:
 
 def alert_stream(
     changes: DataFrame,
-    school: School,
+    school: Callable[[], School],
     table: str,
     folder: str,
     checkpoint: str | None = None,
-    remember: str | None = None,
+    remember: str | None = REMEMBER,
     once: bool = True,
 ) -> StreamingQuery:
     """Start the alerts for ``changes`` of ``table`` (attendance or task_evaluations).
 
-    ``checkpoint`` defaults to a folder below ``spark.checkpoint.dir``. ``remember``
-    drops repeated deliveries within that time. ``once`` takes what is there and ends;
-    otherwise the query runs until it is stopped.
+    ``school`` is called for every batch and returns the school as it is then, usually
+    ``lambda: School.read(spark, folder)``. ``checkpoint`` defaults to a folder below
+    ``spark.checkpoint.dir`` that belongs to this table and output folder. Repeated
+    deliveries within ``remember`` are dropped; None switches that off for a feed that
+    repeats nothing. ``once`` takes what is there and ends; otherwise the query runs until
+    it is stopped.
     """
     spark = changes.sparkSession
     build = _ALERTS[table]
     if checkpoint is None:
-        checkpoint = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/alerts-{table}"
+        shared = shared_folder(spark)
+        if shared is None:
+            raise ValueError("set spark.checkpoint.dir or give a checkpoint")
+        own = hashlib.sha256(folder.rstrip("/").encode()).hexdigest()[:16]
+        checkpoint = f"{shared.rstrip('/')}/alerts-{table}-{own}"
     if remember is not None:
         changes = first_deliveries(changes, remember)
 
@@ -71,7 +87,7 @@ def alert_stream(
         # Three outputs read the batch; kept, it is taken from its source once.
         batch.persist()
         try:
-            write_alerts(build(school, batch), folder, number)
+            write_alerts(build(school(), batch), folder, number)
         finally:
             batch.unpersist()
 

@@ -53,7 +53,7 @@ LARGE = (
 @pytest.mark.parametrize("name", LARGE)
 def test_without_any_broadcast(spark, sql, name, monkeypatch):
     """The way a query takes when every lookup is beyond the broadcast bound."""
-    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
     with settings(spark, NO_BROADCAST):
         ours = spark_rows(registered()[name](spark, FOLDER))
     assert difference(ours, sql_rows(sql, statements()[name])) is None

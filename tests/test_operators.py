@@ -13,7 +13,7 @@ from tasktrail.operators.attempts import (
     select_attempts,
 )
 from tasktrail.operators.attendance import attendance_counts
-from tasktrail.operators.bands import age_bands, grade_bands
+from tasktrail.operators.bands import age_bands, band_blocks, grade_bands
 from tasktrail.operators.keys import DuplicateKeyError, key_violations, require_unique
 from tasktrail.operators.lookups import attach, spread_join, task_catalog
 from tasktrail.operators.paths import benchmark_path, describe_path, individual_path
@@ -98,6 +98,50 @@ def test_grade_bands_gap_and_overlap(spark):
     assert sorted(rows_of(graded)) == [(0.0, "D"), (3.0, "D"), (8.0, "A"), (8.0, "B")]
 
 
+def test_bands_of_any_width(spark):
+    bands = [(0, 100_000, "wide"), (-5, -1, "below"), (-70_000, 2**31 - 1, "all"), (40_000, 40_000, "one")]
+    made = school(spark, report_card_grades=bands)
+    marks = [7.0, 32768.0, 40000.0, 100000.0, 100001.0, -1.0, -70000.0, -70001.0, 3e9]
+    means = spark.createDataFrame([(mark,) for mark in marks], "task_average double")
+    graded = grade_bands(means, made).select("task_average", "gradeLetter")
+    expected = [(mark, name) for mark in marks for low, high, name in bands if low <= mark <= high]
+    assert sorted(rows_of(graded)) == sorted(expected)
+    few = band_blocks(made.report_card_grades, F.col("rangeBottom"), F.col("rangeTop"))
+    assert few.count() < 4 * 66
+
+
+def test_bands_block_by_block(spark):
+    bands = [(low, high, f"{low}..{high}") for low in range(-9, 10) for high in range(low, 20)]
+    made = school(spark, report_card_grades=bands)
+    means = spark.createDataFrame([(float(mark),) for mark in range(-12, 23)], "task_average double")
+    graded = grade_bands(means, made).select("task_average", "gradeLetter")
+    expected = [(float(m), name) for m in range(-12, 23) for low, high, name in bands if low <= m <= high]
+    assert sorted(rows_of(graded)) == sorted(expected)
+
+
+def test_no_bands_no_rows(spark):
+    made = school(spark, report_card_grades=[])
+    means = spark.createDataFrame([(1.0,)], "task_average double")
+    graded = grade_bands(means, made)
+    assert graded.count() == 0 and "gradeLetter" in graded.columns
+
+
+def test_a_start_before_the_latest_keeps_what_a_later_attempt_removes(spark):
+    made = school(
+        spark,
+        task_evaluations=[
+            attempt(task=11, when=T(2020, 1, 5)),
+            attempt(task=11, when=T(2020, 9, 1)),
+            attempt(task=12, when=T(2020, 1, 1)),
+            attempt(task=13, when=T(2020, 2, 1)),
+        ],
+    )
+    found = select_attempts(made.task_evaluations, True, "2020-01-03", "2020-06-30")
+    assert rows_of(found, "taskId") == [(13,)]
+    pairs = attempted_tasks(made.task_evaluations, True, "2020-01-03", "2020-06-30")
+    assert rows_of(pairs, "taskId") == [(13,)]
+
+
 def test_age_bands_are_half_open_and_may_overlap(spark):
     made = school(
         spark,
@@ -262,8 +306,8 @@ def test_spread_join_equals_join(spark, how):
     right = spark.range(10).select(((F.col("id") % 5) + 1).alias("k"), F.col("id").alias("w"))
     expected = sorted(rows_of(left.join(right, "k", how)))
     assert sorted(rows_of(spread_join(left, right, "k", how))) == expected
-    assert sorted(rows_of(attach(left, right, "k", how, rows=10))) == expected
-    assert sorted(rows_of(attach(left, right, "k", how, rows=10**9))) == expected
+    assert sorted(rows_of(attach(left, right, "k", how, size=10))) == expected
+    assert sorted(rows_of(attach(left, right, "k", how, size=10**9))) == expected
 
 
 def test_catalog_drops_tasks_without_a_known_subject(spark):

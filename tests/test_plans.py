@@ -9,6 +9,7 @@ import pytest
 from tasktrail.checks.registry import registered
 from tasktrail import plans
 from tasktrail.operators import lookups
+from tasktrail.sources.school import School
 from tests.conftest import FOLDER
 from tests.schools import NO_BROADCAST, settings
 
@@ -65,7 +66,7 @@ def test_attendance_is_read_once(derived):
 
 def test_small_lookups_are_broadcast_and_large_ones_are_not(derived, monkeypatch):
     assert "SortMergeJoin" not in explained(plans.report_card(derived))
-    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
     with settings(derived.students.sparkSession, NO_BROADCAST):
         plan = explained(plans.report_card(derived))
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
@@ -84,3 +85,29 @@ def test_the_path_is_worked_out_once(derived):
     # Students are read for the path edges and for the names, not again per half.
     reads = [line for line in final.splitlines() if "FileScan" in line and "customer" in line]
     assert len(reads) == 2
+
+
+def test_the_start_reaches_the_scan_for_the_latest_date(derived):
+    plan = explained(plans.progress_report_individual(derived, latest=True, start="1996-01-01", end="1998-12-31"))
+    limited = [s for s in scans(plan, "task_evaluations") if "GreaterThanOrEqual(evaluationDate,1996" in s]
+    # The attempts and their latest dates; the end may only limit the attempts.
+    assert len(limited) >= 2
+    assert any("LessThanOrEqual(evaluationDate" not in scan for scan in limited)
+
+
+def test_dated_reports_read_the_folders_of_their_years(spark, derived, tmp_path):
+    derived.write(str(tmp_path))
+    made = School.read(spark, str(tmp_path))
+    for report in (
+        plans.report_card(made, 0, "1996-01-01", "1997-12-31"),
+        plans.progress_report_individual(made, None, 0, False, "1996-01-01", "1997-12-31"),
+        plans.progress_report_individual_multidate(
+            made, None, "1996-01-01", "1996-06-30", "1996-07-01", "1996-12-31", "1997-01-01", "1997-06-30"
+        ),
+    ):
+        dated = [s for s in scans(explained(report), "task_evaluations") if "PartitionFilters" in s]
+        assert any("_year" in s and ">= 1996" in s and "<= 1997" in s for s in dated)
+    whole = plans.progress_report_individual(derived, None, 0, True, "1996-01-01", "1997-12-31")
+    again = plans.progress_report_individual(made, None, 0, True, "1996-01-01", "1997-12-31")
+    assert sorted(map(str, again.collect())) == sorted(map(str, whole.collect()))
+    assert plans.attendance_alerts(made).stored.columns == plans.attendance_alerts(derived).stored.columns

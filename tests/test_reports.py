@@ -465,7 +465,7 @@ def test_a_large_set_of_users_is_not_broadcast(spark, monkeypatch):
         users=[(n, "A") for n in range(50)],
         attendance=[presence(flag=True, change=str(n)) for n in range(20)],
     )
-    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 1)
     pairs = plans.attendance_alerts(made).user_messages
     assert pairs.distinct().count() == 1000 and pairs.count() == 1000
     assert pairs.agg(F.min("recipientUserId"), F.max("recipientUserId")).first() == (0, 49)

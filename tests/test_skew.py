@@ -106,7 +106,7 @@ def test_copies_of_one_attempt_all_stay(spark, skewed):
 
 
 def test_detail_of_a_hot_student(spark, skewed, monkeypatch):
-    monkeypatch.setattr(lookups, "BROADCAST_ROWS", STUDENTS - 1)
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", skewed.size("students") - 1)
     with settings(spark, SPLIT_EARLY):
         rows, plan = run(plans.task_detail(skewed))
     assert len(rows) == HOT + OTHERS

@@ -6,6 +6,7 @@ import pytest
 
 from tasktrail.plans import attendance_alerts, evaluation_alerts
 from tasktrail.sources import sinks
+from tasktrail.sources.school import School
 from tasktrail.sources.sinks import read_messages, read_stored, read_user_messages
 from tasktrail.streaming import alert_stream, change_feed
 from tasktrail.streaming import alert_stream as start_stream
@@ -22,7 +23,7 @@ def deliver(spark, folder, name, rows):
 def run(spark, made, feed, out, name="attendance", **options):
     changes = change_feed(spark, str(feed), name, files_per_batch=1)
     query = alert_stream(
-        changes, made, name, str(out), checkpoint=str(out / "checkpoint"), **options
+        changes, lambda: made, name, str(out), checkpoint=str(out / "checkpoint"), **options
     )
     query.awaitTermination()
     assert query.exception() is None
@@ -116,5 +117,48 @@ def test_default_checkpoint_is_in_the_shared_folder(spark, tmp_path):
     made = school(spark)
     deliver(spark, tmp_path / "feed", "attendance", FIRST)
     changes = change_feed(spark, str(tmp_path / "feed"), "attendance")
-    start_stream(changes, made, "attendance", str(tmp_path)).awaitTermination()
+    start_stream(changes, lambda: made, "attendance", str(tmp_path)).awaitTermination()
     assert read_messages(spark, str(tmp_path)).count() == 1
+
+
+def test_a_replay_with_default_arguments_is_one_alert(spark, tmp_path):
+    made = school(spark)
+    for _ in range(2):
+        deliver(spark, tmp_path / "feed", "attendance", FIRST)
+        run(spark, made, tmp_path / "feed", tmp_path)
+    assert read_messages(spark, str(tmp_path)).count() == 1
+    assert read_user_messages(spark, str(tmp_path)).count() == 2
+    assert read_stored(spark, str(tmp_path), "attendance").count() == 2
+
+
+def test_people_added_between_batches_are_known(spark, tmp_path):
+    first = school(spark)
+    first.write(str(tmp_path / "school"))
+    read = lambda: School.read(spark, str(tmp_path / "school"))
+
+    def turn(change, staff):
+        deliver(spark, tmp_path / "feed", "attendance", [presence(1, staff, T(2020, 1, 1), 2, "n", True, change)])
+        changes = change_feed(spark, str(tmp_path / "feed"), "attendance", files_per_batch=1)
+        start_stream(changes, read, "attendance", str(tmp_path / "out")).awaitTermination()
+
+    turn("a1", 1)
+    before = read_user_messages(spark, str(tmp_path / "out")).count()
+    table(spark, "staff", [(77, "New", "Nora", 7)]).write.mode("append").parquet(
+        str(tmp_path / "school" / "staff.parquet")
+    )
+    table(spark, "users", [(900, "A")]).write.mode("append").parquet(
+        str(tmp_path / "school" / "users.parquet")
+    )
+    turn("a2", 77)
+    texts = dict(rows_of(read_messages(spark, str(tmp_path / "out")), "messageId", "text"))
+    assert texts["attendance:a2"].startswith("Teacher-New/Nora")
+    assert read_user_messages(spark, str(tmp_path / "out")).count() == 2 * before + 1
+
+
+def test_two_outputs_do_not_share_a_checkpoint(spark, tmp_path):
+    made = school(spark)
+    deliver(spark, tmp_path / "feed", "attendance", FIRST)
+    for out in ("one", "two"):
+        changes = change_feed(spark, str(tmp_path / "feed"), "attendance")
+        start_stream(changes, lambda: made, "attendance", str(tmp_path / out)).awaitTermination()
+        assert read_messages(spark, str(tmp_path / out)).count() == 1
