@@ -67,7 +67,7 @@ STUDENT = '"studentId" = 101'
 VARIANTS = {
     "card of a student": (
         lambda s: plans.report_card(s, 101),
-        oracle.report_card(student_id=101),
+        oracle.report_card(students="= 101"),
     ),
     "card until": (lambda s: plans.report_card(s, 0, None, END), oracle.report_card(None, END)),
     "attendance of students": (
