@@ -29,7 +29,7 @@ from tasktrail.llm.common import written
 
 LINES = 128
 VERIFY = 0.2
-FIRST_WINDOW = 0.4
+FIRST_WINDOW = 0.7
 WIDEN = 1.2
 SEED = 11
 # A block's vectors and sorted arrays stay in one task's memory.
@@ -49,8 +49,11 @@ class Block:
         lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, LINES))
         self.lines = lines[:-1]
         projected = vectors @ lines[:-1] + slack[:, None] * lines[-1]
-        self.order = np.argsort(projected, axis=0).T.copy()
-        self.sorted = np.take_along_axis(projected, self.order.T, axis=0).T.copy()
+        order = np.argsort(projected, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(projected.T, order, axis=1)
+        # The place of every candidate on every line: a window is a range of places.
+        self.place = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.place, order, np.arange(len(vectors), dtype=np.uint16)[None], axis=1)
         self.unit = self.radius / np.sqrt(vectors.shape[1])
 
     def search(self, queries: np.ndarray) -> list[list[tuple[int, float]]]:
@@ -59,33 +62,21 @@ class Block:
         enough = min(size, self.keep + int(VERIFY * size))
         scale = self.radius / np.sqrt((queries**2).sum(axis=1))
         centre = (queries * scale[:, None]) @ self.lines
-        counts = np.zeros((len(queries), size), np.int16)
-        low = np.stack([row.searchsorted(one) for row, one in zip(self.sorted, centre.T)], axis=1)
-        high = low.copy()
         open_ = np.arange(len(queries))
         width = FIRST_WINDOW * self.unit * np.sqrt(self.lines.shape[0])
         found: list[list[tuple[int, float]]] = [[] for _ in queries]
         while len(open_):
-            left = [r.searchsorted(c, "left") for r, c in zip(self.sorted, (centre[open_] - width).T)]
-            right = [r.searchsorted(c, "right") for r, c in zip(self.sorted, (centre[open_] + width).T)]
-            left, right = np.stack(left, axis=1), np.stack(right, axis=1)
+            low, high = (
+                np.stack(
+                    [row.searchsorted(one, side) for row, one in zip(self.sorted, edge.T)], axis=1
+                ).astype(np.uint16)
+                for side, edge in (("left", centre[open_] - width), ("right", centre[open_] + width))
+            )
             still = []
             for index, query in enumerate(open_.tolist()):
-                parts = [
-                    part
-                    for row, a, b, c, d in zip(
-                        self.order,
-                        left[index].tolist(),
-                        low[query].tolist(),
-                        high[query].tolist(),
-                        right[index].tolist(),
-                    )
-                    for part in (row[a:b], row[c:d])
-                ]
-                counts[query] += np.bincount(np.concatenate(parts), minlength=size).astype(np.int16)
-                low[query] = np.minimum(left[index], low[query])
-                high[query] = np.maximum(right[index], high[query])
-                collided = np.flatnonzero(counts[query] * 2 >= LINES)
+                # Unsigned: a place below the window wraps round to a large number.
+                inside = (self.place - low[index][:, None]) < (high[index] - low[index])[:, None]
+                collided = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= LINES // 2)
                 if len(collided) >= enough:
                     found[query] = self._verified(queries[query], collided)
                 else:
@@ -95,12 +86,13 @@ class Block:
         return found
 
     def _verified(self, query: np.ndarray, candidates: np.ndarray) -> list[tuple[int, float]]:
-        scores = (self.vectors[candidates] * query).sum(axis=1)
         if len(candidates) > self.keep:
-            # Ties with the last kept score stay in.
+            scores = self.vectors[candidates] @ query
+            # Rounding differs from the sums below; what is near the last kept score stays in.
             least = np.partition(scores, -self.keep)[-self.keep]
-            kept = scores >= least
-            candidates, scores = candidates[kept], scores[kept]
+            room = 1e-9 * self.radius * np.sqrt((query**2).sum())
+            candidates = candidates[scores >= least - room]
+        scores = (self.vectors[candidates] * query).sum(axis=1)
         pairs = [
             (-score, member)
             for candidate, score in zip(candidates.tolist(), scores.tolist())
