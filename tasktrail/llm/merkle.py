@@ -9,9 +9,19 @@ its children in order.
 
 A fingerprint is the root, the number of the lowest level with at most ``NODES`` nodes,
 and that level's nodes with the level at which each one's end stops being a bound. Equal
-texts have equal roots. Two fingerprints are compared by raising the lower one to the
-level of the other and looking for nodes that both have; ``differing`` returns the others,
-which hold the edits. The likeness is twice the common nodes over all nodes.
+texts have equal roots. The root covers that level; the levels below it down to the words
+stay with the fingerprint as its tree and are not part of its text.
+
+Two trees are compared from the level at which both have at most ``NODES`` nodes
+downwards: a node that both have is common with all below it, and only the others are
+opened. ``differing`` opens them down to the words, which are the edits. The likeness is
+twice the bytes under common nodes over all bytes. It opens nodes down to level ``LOWEST``,
+some two words whatever the length of the text, so equal rates of edits give equal
+likeness, and most single words that unrelated texts share do not count.
+
+A fingerprint read back as text has no tree. It is compared by its listed nodes alone, each
+counted once, so that likeness falls with the length of the text; ``near_edited`` and
+``near_next`` of ``fingerprint_pairs`` come from whole trees.
 
 Null texts count as empty; an empty text has no node, is like another empty one and
 unlike all others. The next document of the last is the first; a single document is its
@@ -22,8 +32,8 @@ text. Repeated rows follow each other. No row gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +46,7 @@ NODES = 64
 HASH_BITS = 40
 PARAGRAPH, SECTION, TOP = 5, 8, 15
 MOST_CHILDREN = 8
+LOWEST = 1
 DIGITS = HASH_BITS // 4
 EMPTY = ":0:"
 BATCH_BYTES = 4 << 20
@@ -52,8 +63,10 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def _raised(hashes: np.ndarray, levels: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of a higher level from those of a lower one.
+def _raised(
+    hashes: np.ndarray, levels: np.ndarray, level: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of a higher level from those of a lower one, and the place of each first child.
 
     A node of several children hashes their hashes with their order; one child stays as
     it is, so a node has the same hash on all levels on which it is not joined. No node
@@ -72,11 +85,11 @@ def _raised(hashes: np.ndarray, levels: np.ndarray, level: int) -> tuple[np.ndar
     place = np.arange(len(hashes)) - np.repeat(starts, count)
     parts = _mix((hashes + np.uint64(1)) * _FACTOR + place.astype(np.uint64))
     joined = _mix(np.add.reduceat(parts, starts) + count.astype(np.uint64)) & _MASK
-    return np.where(count == 1, hashes[starts], joined), levels[ends]
+    return np.where(count == 1, hashes[starts], joined), levels[ends], starts
 
 
-def _leaves(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and bound level of every word with its white space."""
+def _leaves(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, bound level and bytes of every word with its white space."""
     raw = np.frombuffer(data, np.uint8)
     space = raw <= 0x20
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
@@ -90,18 +103,87 @@ def _leaves(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     lines = np.add.reduceat((raw == 0x0A).astype(np.int64), starts)
     zeros[1:][hashes[1:] == hashes[:-1]] = 0
     levels = np.maximum(zeros, np.where(lines > 1, SECTION, np.where(lines == 1, PARAGRAPH, 0)))
-    return hashes & _MASK, np.minimum(levels, TOP)
+    return hashes & _MASK, np.minimum(levels, TOP), ends - starts
 
 
-def tree(text: bytes, nodes: int = NODES) -> tuple[str, int, np.ndarray, np.ndarray]:
-    """Root, level, node hashes and bound levels of a text that is not empty."""
-    hashes, levels = _leaves(text)
-    level = 0
-    while len(hashes) > nodes:
-        level += 1
-        hashes, levels = _raised(hashes, levels, level)
-    root = hashlib.sha256(hashes.tobytes() + levels.astype(np.uint8).tobytes() + bytes([level]))
-    return root.hexdigest()[:32], level, hashes, levels
+class Tree:
+    """All levels of a text that is not empty, from its words to at most ``nodes`` nodes.
+
+    ``hashes`` and ``sizes`` (bytes) hold one array a level, ``starts`` the places of first
+    children in the level below; ``levels`` are the bound levels of the highest.
+    """
+
+    def __init__(self, text: bytes, nodes: int = NODES):
+        hashes, self.levels, sizes = _leaves(text)
+        self.hashes, self.sizes, self.starts = [hashes], [sizes], [np.empty(0, np.int64)]
+        while len(self.hashes[-1]) > nodes:
+            self._raise()
+
+    def _raise(self) -> None:
+        hashes, self.levels, starts = _raised(self.hashes[-1], self.levels, len(self.hashes))
+        self.hashes.append(hashes)
+        self.starts.append(starts)
+        self.sizes.append(np.add.reduceat(self.sizes[-1], starts))
+
+    @property
+    def top(self) -> int:
+        return len(self.hashes) - 1
+
+    def raised(self, level: int) -> Tree:
+        """This tree, or one that goes on to a higher level."""
+        if level <= self.top:
+            return self
+        higher = copy(self)
+        higher.hashes, higher.sizes, higher.starts = list(self.hashes), list(self.sizes), list(self.starts)
+        while higher.top < level:
+            higher._raise()
+        return higher
+
+    def children(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """Places in the level below of all children of some nodes."""
+        starts = self.starts[level]
+        first = starts[nodes]
+        count = np.append(starts[1:], len(self.hashes[level - 1]))[nodes] - first
+        return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+class Fingerprint(str):
+    """A fingerprint with the tree it was made from."""
+
+    tree: Tree
+
+
+def _apart(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each hash is without a counterpart, a hash that stands n times having n at most."""
+    both = np.concatenate([one, other])
+    order = np.argsort(both, kind="stable")
+    ordered = both[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    run = np.diff(np.append(first, len(both)))
+    mine = np.add.reduceat((order < len(one)).astype(np.int64), first)
+    common = np.minimum(mine, run - mine)
+    place = np.arange(len(both)) - np.repeat(first, run)
+    place -= np.where(order < len(one), 0, np.repeat(mine, run))
+    apart = np.empty(len(both), bool)
+    apart[order] = place >= np.repeat(common, run)
+    return apart[: len(one)], apart[len(one) :]
+
+
+def _opened(one: Tree, other: Tree, lowest: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of the nodes that only one or only the other has, and their level.
+
+    From the top down only these are opened, until ``lowest`` or until a side has none.
+    """
+    level = max(one.top, other.top, lowest)
+    one, other = one.raised(level), other.raised(level)
+    left, right = np.arange(len(one.hashes[level])), np.arange(len(other.hashes[level]))
+    while True:
+        mine, its = _apart(one.hashes[level][left], other.hashes[level][right])
+        left, right = left[mine], right[its]
+        if level == lowest or not len(left) or not len(right):
+            return left, right, level
+        left, right = one.children(level, left), other.children(level, right)
+        level -= 1
 
 
 def fingerprint(text: str | bytes, nodes: int = NODES) -> str:
@@ -109,9 +191,13 @@ def fingerprint(text: str | bytes, nodes: int = NODES) -> str:
     data = text.encode() if isinstance(text, str) else text
     if not data:
         return EMPTY
-    root, level, hashes, levels = tree(data, nodes)
+    tree = Tree(data, nodes)
+    hashes, levels, level = tree.hashes[-1], tree.levels, tree.top
+    root = hashlib.sha256(hashes.tobytes() + levels.astype(np.uint8).tobytes() + bytes([level]))
     listed = "".join(f"{one:0{DIGITS}x}{bound:x}" for one, bound in zip(hashes.tolist(), levels.tolist()))
-    return f"{root}:{level}:{listed}"
+    mark = Fingerprint(f"{root.hexdigest()[:32]}:{level}:{listed}")
+    mark.tree = tree
+    return mark
 
 
 def _parsed(print_: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -123,35 +209,45 @@ def _parsed(print_: str) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def differing(one: str, other: str) -> tuple[list[int], list[int], int]:
-    """Places of nodes that only one or only the other has, and the number of common nodes."""
+    """Places of words that only one or only the other has, and the number of common words.
+
+    Without the trees: of listed nodes instead of words.
+    """
     if one == EMPTY or other == EMPTY:
-        left, right = (len(_parsed(p)[1]) if p != EMPTY else 0 for p in (one, other))
+        left, right = (
+            len(p.tree.hashes[0]) if isinstance(p, Fingerprint) else len(_parsed(p)[1]) if p != EMPTY else 0
+            for p in (one, other)
+        )
         return list(range(left)), list(range(right)), 0
+    if isinstance(one, Fingerprint) and isinstance(other, Fingerprint):
+        left, right, level = _opened(one.tree, other.tree, 0)
+        trees = [tree.raised(level) for tree in (one.tree, other.tree)]
+        while level:
+            left, right = trees[0].children(level, left), trees[1].children(level, right)
+            level -= 1
+        return left.tolist(), right.tolist(), len(one.tree.hashes[0]) - len(left)
     parsed = [_parsed(one), _parsed(other)]
     top = max(parsed[0][0], parsed[1][0])
     raised = []
     for level, hashes, levels in parsed:
         while level < top:
             level += 1
-            hashes, levels = _raised(hashes, levels, level)
-        raised.append(hashes.tolist())
-    common = Counter(raised[0]) & Counter(raised[1])
-    places = []
-    for nodes in raised:
-        left = Counter(common)
-        places.append([])
-        for place, node in enumerate(nodes):
-            if left[node]:
-                left[node] -= 1
-            else:
-                places[-1].append(place)
-    return places[0], places[1], common.total()
+            hashes, levels, _ = _raised(hashes, levels, level)
+        raised.append(hashes)
+    left, right = _apart(*raised)
+    return np.flatnonzero(left).tolist(), np.flatnonzero(right).tolist(), int((~left).sum())
 
 
 def likeness(one: str, other: str) -> float:
     """From 0, no node in common, to 1, equal."""
     if one == other:
         return 1.0
+    if isinstance(one, Fingerprint) and isinstance(other, Fingerprint):
+        left, right, level = _opened(one.tree, other.tree, LOWEST)
+        total = int(one.tree.sizes[0].sum() + other.tree.sizes[0].sum())
+        trees = [tree.raised(level) for tree in (one.tree, other.tree)]
+        apart = int(trees[0].sizes[level][left].sum() + trees[1].sizes[level][right].sum())
+        return (total - apart) / total
     left, right, common = differing(one, other)
     total = len(left) + len(right) + 2 * common
     return 2 * common / total if total else 1.0
@@ -274,8 +370,8 @@ def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         doc_id,
                         len(earlier),
                         hashlib.sha256(changed).hexdigest(),
-                        its_mark,
-                        changed_mark,
+                        str(its_mark),
+                        str(changed_mark),
                         likeness(its_mark, changed_mark),
                         likeness(its_mark, mark),
                     )

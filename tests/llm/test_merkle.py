@@ -79,6 +79,61 @@ def test_levels_meet():
     assert len(marks[3]) < 40 + 11 * merkle.NODES
 
 
+def scattered(words, every, rng):
+    """One word of each ``every`` replaced, here and there."""
+    changed = list(words)
+    for place in rng.sample(range(len(words)), len(words) // every):
+        changed[place] = f"new{place}"
+    return changed
+
+
+def test_equal_edit_rates_are_alike_at_all_lengths():
+    rng = random.Random(6)
+    likes = {}
+    for count, times in ((100, 60), (2000, 20), (20000, 3)):
+        found = []
+        for _ in range(times):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(count)]
+            marks = [merkle.fingerprint(" ".join(one)) for one in (words, scattered(words, 100, rng))]
+            found.append(merkle.likeness(*marks))
+        likes[count] = sum(found) / times
+    assert min(likes.values()) > 0.93 and max(likes.values()) - min(likes.values()) < 0.02, likes
+
+
+def test_query_sees_long_near_copies(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(20000)]
+    texts = [(1, " ".join(words)), (2, " ".join(scattered(words, 100, rng)))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = merkle.fingerprint_pairs(docs).collect()
+    assert all(row["near_next"] > 0.93 for row in rows) and len(rows) == 2
+
+
+def test_edits_are_found_word_by_word():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(20000)]
+    changed = scattered(words, 1000, rng)
+    places = [place for place, (one, other) in enumerate(zip(words, changed)) if one != other]
+    marks = [merkle.fingerprint(" ".join(one)) for one in (words, changed)]
+    assert merkle.differing(*marks) == (places, places, len(words) - len(places))
+
+
+def test_shuffled_words_are_unlike():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    mark = merkle.fingerprint(" ".join(words))
+    # Only words that are a node by themselves in both orders are left.
+    assert merkle.likeness(mark, merkle.fingerprint(" ".join(rng.sample(words, 2000)))) < 0.15
+
+
+def test_fingerprints_read_back_compare_by_their_nodes():
+    rng = random.Random(10)
+    words = [rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 999)) for _ in range(900)]
+    marks = [str(merkle.fingerprint(" ".join(one))) for one in (words, words[:700])]
+    assert type(marks[0]) is str and merkle.likeness(marks[0], marks[0]) == 1
+    assert 0.5 < merkle.likeness(*marks) < 1 and merkle.differing(*marks)[2] > 20
+
+
 @pytest.mark.parametrize("text", ["a", " ", "\n", "a b", "na " * 5000, "\n" * 3000, "x" * 9999, "é"])
 def test_texts_without_structure(text):
     mark = merkle.fingerprint(text)
