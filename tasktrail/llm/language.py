@@ -167,7 +167,17 @@ def with_language(docs: DataFrame, model: Model, name: str = "language") -> Data
 
 
 def keep_determined(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose text has a language; their columns are unchanged."""
+    """The rows whose text has a language; their columns are unchanged.
+
+    A text with a letter always has one. Where no language was learned the letter decides
+    alone, so that only null and letterless texts go.
+    """
     name = free_name(docs, "language")
+    if not model.languages:
+
+        def start():
+            return lambda texts: [text is not None and _LETTER.search(text) is not None for text in texts]
+
+        return with_column_of_text(docs, name, T.BooleanType(), start).filter(F.col(name)).drop(name)
     found = with_language(docs, model, name)
     return found.filter(F.col(f"{name}.lang_pred") != UNDETERMINED).drop(name)

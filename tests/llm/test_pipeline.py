@@ -1,6 +1,7 @@
 """The pipeline stage by stage against plain computations on its own rows."""
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -52,6 +53,22 @@ def test_odd_and_no_rows(spark):
         corpus_pipeline.STAGES[-1][1](spark, state, SMALL).collect()
 
 
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_only_texts_without_a_letter_go_for_want_of_a_language(spark, tmp_path, lang):
+    # Without labels the quality stage keeps every row.
+    labels = "doc_id long, quality int, toxic int"
+    spark.createDataFrame([], labels).write.parquet(str(tmp_path / "labels.parquet"))
+    texts = [f"some words of document {i}" for i in range(20)] + ["12 34 !?", "", None, "= 5 ="]
+    rows = [(i, text, lang, "s", len(text or "")) for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    state, kept = docs, []
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        state = written(stage(spark, state, str(tmp_path)), "stage")
+        kept.append(sorted(row["doc_id"] for row in state.collect()))
+        assert state.schema == docs.schema
+    assert kept == [list(range(24)), list(range(20))]
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
