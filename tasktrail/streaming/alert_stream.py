@@ -3,7 +3,7 @@
 Each version is one inserted or updated row of a fact table with its own ``changeId``.
 A batch writes messages, user messages and stored rows to folders named by its number,
 so a batch that is run again after a failure replaces what it wrote before. A change that
-is delivered again is dropped. The school is read anew for every batch, so alerts know the
+is delivered again is dropped; one without a ``changeId`` never is. The school is read anew for every batch, so alerts know the
 staff, students, marks and administrators of that moment.
 """
 
@@ -44,14 +44,18 @@ def first_deliveries(changes: DataFrame, remember: str) -> DataFrame:
 
     Ids are remembered for at least ``remember`` after their arrival, which bounds the
     state. Time is the arrival, not the date in the row: an old attendance record that
-    is entered today is not late and must not be lost.
+    is entered today is not late and must not be lost. A change without an id cannot be told
+    from another, so all of them pass.
     """
-    return (
-        changes.withColumn("_arrival", F.current_timestamp())
+    known = F.col("changeId").isNotNull()
+    once = (
+        changes.filter(known)
+        .withColumn("_arrival", F.current_timestamp())
         .withWatermark("_arrival", remember)
         .dropDuplicatesWithinWatermark(["changeId"])
         .drop("_arrival")
     )
+    return once.unionByName(changes.filter(~known))
 
 
 def alert_stream(

@@ -131,6 +131,24 @@ def test_a_replay_with_default_arguments_is_one_alert(spark, tmp_path):
     assert read_stored(spark, str(tmp_path), "attendance").count() == 2
 
 
+@pytest.mark.parametrize("column", [True, False])
+def test_changes_without_an_id_are_not_lost(spark, tmp_path, column):
+    made = school(spark)
+    feed = tmp_path / "feed"
+    rows = [presence(student, 1, T(2020, 1, day), 2, "n", True) for student in (1, 2) for day in (1, 2, 3)]
+    if column:
+        deliver(spark, feed, "attendance", [(*row[:-1], None) for row in rows] + FIRST + FIRST)
+    else:
+        table(spark, "attendance", rows).drop("changeId").write.parquet(str(feed))
+    run(spark, made, feed, tmp_path)
+    deliver(spark, feed, "attendance", FIRST)
+    run(spark, made, feed, tmp_path)
+    # FIRST comes to two changes, one of them flagged, however often it is delivered.
+    assert read_messages(spark, str(tmp_path)).count() == len(rows) + 1
+    assert read_user_messages(spark, str(tmp_path)).count() == 2 * (len(rows) + 1)
+    assert read_stored(spark, str(tmp_path), "attendance").count() == len(rows) + 2
+
+
 def test_people_added_between_batches_are_known(spark, tmp_path):
     first = school(spark)
     first.write(str(tmp_path / "school"))
