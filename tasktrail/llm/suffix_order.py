@@ -1,12 +1,12 @@
-"""Order of suffixes by deep-shallow sorting, for many groups of strings at a time.
+"""Equal suffixes of many groups of strings at a time, found by parting them like a sort.
 
 Only suffixes that can be equal are compared: those of one group that lie at the same
-distance before its anchor. They are sorted by a multikey quicksort to a shallow depth,
-eight bytes at a time, dropping every suffix that has become unique. What still agrees
-then mostly agrees for long; such sets are ordered by blind tries. A trie is grown from a
-first suffix: every other one is compared with it once, which gives the depth and the
-byte at which it branches off, without looking at the bytes in between again. Suffixes
-that share a branch form the next, smaller set. All sets take each step together.
+distance before its anchor. They are sorted by two words of eight bytes, dropping every
+suffix that has become unique. What still agrees then mostly agrees for long: every suffix
+of a set is compared with its first one, which gives the depth and the byte at which it
+leaves it, without looking at the bytes in between again. Suffixes that share both form the
+next, smaller set. All sets take each step together. No trie is kept and no order of
+suffixes is returned, only whether another one is equal.
 """
 
 from __future__ import annotations
