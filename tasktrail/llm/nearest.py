@@ -29,7 +29,7 @@ from tasktrail.llm.common import written
 
 LINES = 128
 VERIFY = 0.2
-FIRST_WINDOW = 0.7
+FIRST_WINDOW = 0.4
 WIDEN = 1.2
 SEED = 11
 # A block's vectors and sorted arrays stay in one task's memory.
