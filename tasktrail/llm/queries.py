@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tasktrail.llm import conversation_repair, language, pieces, quality
+from tasktrail.llm.alignment import align
 from tasktrail.llm.bpe_codec import encode_decode
-from tasktrail.llm import language, quality
 from tasktrail.llm.common import fold_of
 from tasktrail.llm.merkle import fingerprint_pairs
 from tasktrail.llm.nearest import nearest
@@ -122,6 +123,63 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = align(
+        _documents(spark, folder),
+        str(public_tokenizers.path("byte_bpe_50k.json")),
+        str(public_tokenizers.path("piece_bpe_32k.model")),
+    )
+    return aligned.numbers()
+
+
+def op12_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    coded = pieces.encode_decode(
+        _documents(spark, folder), str(public_tokenizers.path("piece_bpe_32k.model"))
+    )
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    repaired = conversation_repair.repair(conversation_repair.damaged(conversations))
+    text = F.array_join(F.transform("rows", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    ordered = repaired.pieces.groupBy("conv_id").agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct("task", "number", "audit", text.alias("text"), F.size("rows").alias("n"))
+            )
+        ).alias("own")
+    )
+    whole = ordered.select(
+        F.col("conv_id").alias("of"),
+        F.array_join("own.audit", "").alias("audit"),
+        # Segments of which nothing is left add no line.
+        F.array_join(F.filter("own", lambda piece: piece["n"] > 0)["text"], "\n").alias("text"),
+    )
+    summary = repaired.summary.withColumnRenamed("conv_id", "id")
+    same = F.col("conv_id").eqNullSafe
+    numbers = [
+        F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in conversation_repair.NUMBERS
+    ]
+    return (
+        conversations.select("conv_id")
+        .distinct()
+        .join(summary, same(F.col("id")), "left")
+        .join(whole, same(F.col("of")), "left")
+        .select(
+            "conv_id",
+            *numbers,
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.sha2(F.coalesce("text", F.lit("")), 256).alias("repaired_sha256"),
+        )
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -134,6 +192,9 @@ def registered() -> dict[str, Query]:
         "op8_token_counts": op8_token_counts,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_sharding": op10_sharding,
+        "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+        "op12_sentencepiece_codec": op12_sentencepiece_codec,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 

@@ -1,0 +1,162 @@
+"""Alignment against occurrence pairs counted one by one."""
+
+import hashlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tasktrail.llm import alignment
+from tasktrail.llm.alignment import align, aligner
+from tasktrail.llm.chunk_tokens import _byte_letters
+from tasktrail.llm.queries import op11_cross_tokenizer_alignment
+from tests.llm.samples import no_documents, odd_documents, odd_rows, random_texts
+
+A = str(public_tokenizers.path("byte_bpe_50k.json"))
+B = str(public_tokenizers.path("piece_bpe_32k.model"))
+COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def plainly(texts):
+    """Tokens of the two libraries on whole texts, every linked pair of occurrences listed."""
+    tokenizer = Tokenizer.from_file(A)
+    tokenizer.encode_special_tokens = True
+    library = sentencepiece.SentencePieceProcessor(model_file=B)
+    back = {chr(letter): byte for byte, letter in _byte_letters().items()}
+    per_doc, texts_of = [], []
+    for text in texts:
+        a = b = []
+        if text:
+            a = tokenizer.encode(" " + text, add_special_tokens=False).ids
+            b = library.encode(text)
+        a_bytes = [bytes(back[c] for c in tokenizer.id_to_token(i)) for i in a]
+        b_bytes = [
+            bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace("▁", " ").encode()
+            for i, p in ((i, library.id_to_piece(i)) for i in b)
+        ]
+        whole = (" " + text).encode() if text else b""
+        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+            a = b = a_bytes = b_bytes = []
+        ends_a, ends_b, at = [], [], 0
+        for token in a_bytes:
+            at += len(token)
+            ends_a.append(at)
+        at = 0
+        for token in b_bytes:
+            at += len(token)
+            ends_b.append(at)
+        common = sorted(set(ends_a) & set(ends_b))
+        groups, low = [], 0
+        for high in common:
+            groups.append(
+                (
+                    [i for i, end in zip(a, ends_a) if low < end <= high],
+                    [i for i, end in zip(b, ends_b) if low < end <= high],
+                )
+            )
+            low = high
+        per_doc.append((a, b, groups, Counter((x, y) for g in groups for x in g[0] for y in g[1])))
+    counts = Counter(pair for *_, links in per_doc for pair in links)
+    highest = defaultdict(int)
+    for (x, _), count in counts.items():
+        highest[x] = max(highest[x], count)
+    rows = []
+    for a, b, groups, links in per_doc:
+        text = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups)
+        rows.append(
+            (
+                len(a),
+                len(b),
+                len(groups),
+                sum(links.values()),
+                sum(n for p, n in links.items() if counts[p] == highest[p[0]]),
+                sum(n * counts[p] for p, n in links.items()),
+                hashlib.sha256(text.encode()).hexdigest() if a else "",
+            )
+        )
+    return rows, counts, per_doc
+
+
+def checked(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, *_ = plainly(texts)
+    expected = {(i, *row) for i, row in enumerate(rows)}
+    found = align(docs.repartition(3), A, B).numbers()
+    assert found.columns == list(COLUMNS)
+    assert set(map(tuple, found.collect())) == expected
+
+
+def test_against_every_pair_of_occurrences(spark):
+    texts = random_texts(8, 30) + [
+        "<|endoftext|> and <s> stay text", "▁ is no space", "a  b   c", " lead", "trail ", "\n\nx\n y",
+        "é ü z　日本", "don't can't I'll", "a" * 3000, "=" * 500 + " x", "\x00\x1c a", None, "",
+        "tab\tand\r\nreturn  ", " ", "   ", "\n", "Grüße 😀😀 an",
+    ]
+    checked(spark, texts)
+
+
+def test_small_blocks_and_dense_bitmaps_change_nothing(spark, monkeypatch):
+    texts = ["the cat", "the dog sat", "a cat sat on the the the mat"] * 20
+    checked(spark, texts)
+    tool = aligner(A, B)
+    blocks = []
+    for size in (1, 7, 60):
+        rows = []
+        for start in range(0, len(texts), size):
+            block = alignment._Block(start)
+            for place, text in enumerate(texts[start : start + size]):
+                block.add(start + place, tool.parts.findall(" " + text))
+            rows += [row for batch in block.rows(tool) for row in batch.to_pylist()]
+        links = Counter()
+        for row in rows:
+            if row["a"] is not None:
+                places = alignment.unpacked(row["places"], row["dense"])
+                assert len(places) == row["n"]
+                weight = 1 if row["plane"] == 0 else 1 << (row["plane"] - 1)
+                for place in places.tolist():
+                    links[row["block"] + place, row["a"], row["b"]] += weight
+        blocks.append(links)
+    assert blocks[0] == blocks[1] == blocks[2]
+    *_, per_doc = plainly(texts)
+    assert blocks[0] == Counter(
+        {(i, a, b): n for i, (*_, links) in enumerate(per_doc) for (a, b), n in links.items()}
+    )
+
+
+def test_pairs_count_documents_and_links(spark):
+    texts = random_texts(9, 12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, counts, per_doc = plainly(texts)
+    links = Counter()
+    for *_, own in per_doc:
+        links.update(own)
+    pairs = align(docs, A, B).pairs.collect()
+    assert {(row.a, row.b): (row.n_documents, row.n_links) for row in pairs} == {
+        pair: (count, links[pair]) for pair, count in counts.items()
+    }
+
+
+def test_odd_rows(spark):
+    rows, *_ = plainly([row[1] for row in odd_rows()])
+    expected = [(row[0], *own) for row, own in zip(odd_rows(), rows)]
+    found = align(odd_documents(spark), A, B).numbers().collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
+    assert align(no_documents(spark), A, B).numbers().collect() == []
+
+
+@pytest.mark.parametrize("character", ["a", "=", " ", "é"])
+def test_one_long_group(spark, character):
+    checked(spark, [character * 5000 + "b"])
+
+
+def test_query_over_the_given_table(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    rows, *_ = plainly([row.text for row in docs])
+    expected = {(row.doc_id, *own) for row, own in zip(docs, rows)}
+    found = op11_cross_tokenizer_alignment(spark, folder)
+    assert set(map(tuple, found.select(*COLUMNS).collect())) == expected
+    assert found.filter(F.col("n_a") > 0).count() > 0
