@@ -21,10 +21,10 @@ the sum over its links of the pair's document count, and the number of its links
 is the highest of their A id.
 
 A pair has at most one row per block and plane, so a frequent pair never gathers in one task.
-Links within a group are counted by the product of the multiplicities of its ids, never
-written one by one. Texts are cut into parts in front of a single space between two visible
-characters and in front of a line feed that follows one; both tokenizers always cut there, so
-each distinct part is encoded and aligned once per worker.
+Links of a group beyond ``WIDE_GROUP`` are counted by the product of the multiplicities of
+its ids, never written one by one. Texts are cut in front of white space that starts with a
+space or a line feed behind a visible character, where both tokenizers always cut; each
+distinct part of a block is encoded and aligned once.
 
 Null and empty texts and texts whose token bytes do not join to the text again (for B those
 that hold its space mark) have no tokens, and zeros. Repeated rows are documents of their
@@ -38,51 +38,41 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tasktrail.llm.chunk_tokens import _byte_letters
+from tasktrail.llm.chunk_tokens import ChunkEncoder, _byte_letters
 from tasktrail.llm.common import documents_of, scratch_path
-from tasktrail.llm.pieces import SPACE, PieceEncoder, Parts, piece_encoder
-from tasktrail.llm import pieces
 
 # A block ends with the document that reaches either bound; places fit 16 bits.
 BLOCK_DOCUMENTS = 1 << 15
-BLOCK_BYTES = 6 << 20
-# Bytes of kept parts per worker, in two generations as in ``pieces``.
-CACHE_BYTES = 24 << 20
+BLOCK_CHARACTERS = 8 << 20
+# Parts are aligned together up to about so many bytes.
+BATCH_BYTES = 1 << 20
+# Links of larger groups are counted by multiplicities.
+WIDE_GROUP = 256
 
 ROWS = (
     "block long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
     "groups string, a int, b int, plane int, n int, dense boolean, places binary"
 )
-_NAMES = [field.split()[0] for field in ROWS.split(", ")]
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 _SCHEMA = pa.schema(
     [(name, _TYPES.get(kind, pa.binary())) for name, kind in map(str.split, ROWS.split(", "))]
 )
-
-
-@dataclass(frozen=True)
-class Part:
-    """A part of a text under both tokenizers; ``keys`` are id pairs, a * 2**32 + b."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    keys: np.ndarray
-    links: np.ndarray
+# Behind each token of the groups as text: more of the same side, the other side, a new group.
+_MORE, _OTHER, _NEXT = ",", "|", ";"
 
 
 class Aligner:
-    """Tokens, groups and links of parts of texts. Built once per Python worker."""
+    """Tokens and their bytes under both tokenizers. Built once per Python worker."""
 
     def __init__(self, a_path: str, b_path: str):
+        import sentencepiece
         from tokenizers import Tokenizer
 
         with open(a_path, encoding="utf-8") as file:
@@ -95,99 +85,68 @@ class Aligner:
             or not splitter["use_regex"]
         ):
             raise ValueError(f"{a_path} is not a plain byte-level tokenizer")
-        self.a = Tokenizer.from_file(a_path)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        plain = Tokenizer.from_file(a_path)
+        plain.no_truncation()
+        plain.no_padding()
+        plain.encode_special_tokens = True
+        self.a = ChunkEncoder(a_path)
+        self.a.tokenizer = plain
         byte_of = {chr(letter): byte for byte, letter in _byte_letters().items()}
-        self.a_bytes = {
-            number: bytes(byte_of[letter] for letter in token)
-            for token, number in self.a.get_vocab(with_added_tokens=False).items()
-            if all(letter in byte_of for letter in token)
-        }
-        self.b: PieceEncoder = piece_encoder(b_path)
-        plain = self.b.normalizer
-        if not plain.add_dummy_prefix or plain.remove_extra_whitespaces or plain.precompiled_charsmap:
-            raise ValueError(f"{b_path} changes texts beyond adding a space")
-        byte_ids = {number: bytes([byte]) for byte, number in self.b.byte.items()}
+        vocabulary = plain.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, number in vocabulary.items():
+            self.a_bytes[number] = bytes(byte_of[letter] for letter in token)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
-            byte_ids.get(number, piece.replace(SPACE, " ").encode())
-            for number, piece in enumerate(self.b.text)
+            bytes([int(piece[3:5], 16)])
+            if self.b.is_byte(i)
+            else piece.replace("\u2581", " ").encode()
+            for i, piece in pieces
         ]
-        line_feed = "" if "\n" in self.b.letters else "|\n"
-        self.parts = re.compile(rf"\s*\S+(?:(?! \S{line_feed})\s+\S*)*|\s+")
-        self.kept: dict[str, Part | None] = {}
-        self.older: dict[str, Part | None] = {}
-        self.held = 0
-
-    def aligned(self, parts: list[str]) -> list[Part | None]:
-        """Each part as ``Part``, None where the bytes of its tokens are not its own."""
-        if self.held > CACHE_BYTES:
-            self.older, self.kept, self.held = self.kept, {}, 0
-        if self.b.cache.held > pieces.CACHE_BYTES:
-            self.b.cache = Parts(self.b, self.b.cache)
-        found: dict[str, Part | None] = {}
-        missing = []
-        for part in parts:
-            if part in self.kept:
-                found[part] = self.kept[part]
-            elif part in self.older:
-                found[part] = self.kept[part] = self.older[part]
-                self.held += 400 + 3 * len(part)
-            else:
-                missing.append(part)
-        encoded = self.a.encode_batch_fast(missing, add_special_tokens=False)
-        for part, tokens in zip(missing, encoded):
-            found[part] = one = self.part(part, tokens.ids)
-            if len(part) <= pieces.LONGEST_KEPT:
-                self.kept[part] = one
-                self.held += 800 + 6 * len(part)
-        return [found[part] for part in parts]
-
-    def part(self, text: str, a: list[int]) -> Part | None:
-        # The library puts a space mark in front; a part brings its own space.
-        b = memoryview(self.b.of_normal(self.b.library.normalize(text)[1:])).cast("i").tolist()
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = text.encode()
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
-            return None
-        groups = list(grouped(a, b, a_bytes, b_bytes))
-        links: Counter = Counter()
-        for own_a, own_b in groups:
-            if len(own_a) == 1 and len(own_b) == 1:
-                links[own_a[0] << 32 | own_b[0]] += 1
-                continue
-            times_b = Counter(own_b)
-            for one, times in Counter(own_a).items():
-                for other, more in times_b.items():
-                    links[one << 32 | other] += times * more
-        return Part(
-            len(a),
-            len(b),
-            len(groups),
-            sum(links.values()),
-            ";".join(
-                f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}" for own_a, own_b in groups
-            ),
-            np.fromiter(links.keys(), np.int64, len(links)),
-            np.fromiter(links.values(), np.int64, len(links)),
-        )
-
-
-def grouped(
-    a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]
-) -> Iterator[tuple[list[int], list[int]]]:
-    """The tokens of both sides between byte offsets where both end; their bytes are the same."""
-    i = j = first_a = first_b = end_a = end_b = 0
-    while i < len(a):
-        end_a += len(a_bytes[i])
-        i += 1
-        while end_b < end_a:
-            end_b += len(b_bytes[j])
-            j += 1
-        if end_a == end_b:
-            yield a[first_a:i], b[first_b:j]
-            first_a, first_b = i, j
+        if any("\n" in piece or re.search("[^\u2581]\u2581", piece) for _, piece in pieces):
+            raise ValueError(f"{b_path} has pieces over the end of a word or line")
+        self.space = self.b.piece_to_id("\u2581")
+        self.a_lengths = np.fromiter(map(len, self.a_bytes), np.int64)
+        self.b_lengths = np.fromiter(map(len, self.b_bytes), np.int64)
+        ids = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = [f"{i}{mark}" for i in range(ids) for mark in (_MORE, _OTHER, _NEXT)]
+
+    def tokens(self, parts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Ids of A and B of all parts and how many each has; which parts have none, since the
+        bytes of their tokens are not their own."""
+        ids_a = self.a.encoded(parts)
+        n_a = np.fromiter(map(len, ids_a), np.int64, len(parts)) // 4
+        a = np.frombuffer(b"".join(ids_a), "<u4").astype(np.int64)
+        # The library puts a space in front of all but an empty text: parts bring their own,
+        # but for those that begin with a line feed, in front of which the added space is a
+        # piece of its own.
+        texts = [part.decode() for part in parts]
+        ids_b = self.b.encode([text[text[:1] == " " :] for text in texts])
+        ids_b = [[self.space] if text == " " else ids for text, ids in zip(texts, ids_b)]
+        n_b = np.fromiter(map(len, ids_b), np.int64, len(parts))
+        b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
+        added = np.fromiter((text[:1] != " " for text in texts), bool, len(parts))
+        kept = np.ones(len(b), bool)
+        kept[(np.cumsum(n_b) - n_b)[added]] = False
+        b, n_b = b[kept], n_b - added
+        broken = np.zeros(len(parts), bool)
+        for ids, counts, lengths, table in (
+            (a, n_a, self.a_lengths, self.a_bytes),
+            (b, n_b, self.b_lengths, self.b_bytes),
+        ):
+            joined = b"".join(map(table.__getitem__, ids.tolist()))
+            ends = np.cumsum(per_text(lengths[ids], counts)).tolist()
+            sizes = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))).tolist()
+            if ends != sizes or joined != b"".join(parts):
+                start = 0
+                for i, end in enumerate(ends):
+                    broken[i] |= joined[start:end] != parts[i]
+                    start = end
+        if broken.any():
+            a, b = a[~np.repeat(broken, n_a)], b[~np.repeat(broken, n_b)]
+            n_a, n_b = np.where(broken, 0, n_a), np.where(broken, 0, n_b)
+        return a, n_a, b, n_b, broken
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -201,49 +160,191 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _ALIGNERS[key]
 
 
+def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values, ``sizes`` of them per text."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]
+
+
+@dataclass(frozen=True)
+class Parts:
+    """Numbers, groups and links of parts of texts; ``reach`` pairs belong to each part."""
+
+    broken: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    groups: list[str]
+    reach: np.ndarray
+    pair: np.ndarray
+    links: np.ndarray
+
+    @classmethod
+    def of(cls, tool: Aligner, parts: list[bytes]) -> Parts:
+        a, n_a, b, n_b, broken = tool.tokens(parts)
+        # Both sides have the same bytes, so offsets over all parts match as those of one do.
+        ends_a, ends_b = np.cumsum(tool.a_lengths[a]), np.cumsum(tool.b_lengths[b])
+        cut_a = np.isin(ends_a, ends_b, assume_unique=True)
+        cut_b = np.isin(ends_b, ends_a, assume_unique=True)
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        n_groups = per_text(cut_a, n_a)
+        total = int(n_groups.sum())
+        held_a = np.bincount(group_a, minlength=total)
+        held_b = np.bincount(group_b, minlength=total)
+        part = np.repeat(np.arange(len(parts)), n_groups)
+        reach, pair, links = cls._links(len(tool.b_bytes), a, b, group_a, held_a, held_b, part)
+        return cls(
+            broken,
+            n_a,
+            n_b,
+            n_groups,
+            per_text(held_a * held_b, n_groups),
+            cls._groups(tool.names, a, b, group_a, group_b, n_groups),
+            np.bincount(reach, minlength=len(parts)),
+            pair,
+            links,
+        )
+
+    @staticmethod
+    def _groups(names, a, b, group_a, group_b, n_groups) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3;`` of each part."""
+        ids = np.concatenate([a, b])
+        group = np.concatenate([group_a, group_b])
+        side = np.repeat([0, 1], [len(a), len(b)])
+        order = np.argsort(group * 2 + side, kind="stable")
+        group, side = group[order], side[order]
+        mark = np.full(len(ids), 2)
+        mark[:-1] = np.where(group[1:] != group[:-1], 2, side[1:] - side[:-1])
+        named = list(map(names.__getitem__, (ids[order] * 3 + mark).tolist()))
+        found, start = [], 0
+        for end in np.searchsorted(group, np.cumsum(n_groups)).tolist():
+            found.append("".join(named[start:end]))
+            start = end
+        return found
+
+    @staticmethod
+    def _links(n_b, a, b, group_a, held_a, held_b, part):
+        """Part, id pair and number of links, by part; ``part`` is that of each group."""
+        first_a, first_b = np.cumsum(held_a) - held_a, np.cumsum(held_b) - held_b
+        wide = held_a * held_b > WIDE_GROUP
+        narrow = np.flatnonzero(~wide[group_a])
+        group = group_a[narrow]
+        reach = held_b[group]
+        steps = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
+        others = b[np.repeat(first_b[group], reach) + steps]
+        parts = [np.repeat(part[group], reach)]
+        pairs = [np.repeat(a[narrow], reach) * n_b + others]
+        links = [np.ones(len(others), np.int64)]
+        for one in np.flatnonzero(wide).tolist():
+            own_a = Counter(a[first_a[one] : first_a[one] + held_a[one]].tolist())
+            own_b = Counter(b[first_b[one] : first_b[one] + held_b[one]].tolist())
+            counted = {
+                left * n_b + right: times * again
+                for left, times in own_a.items()
+                for right, again in own_b.items()
+            }
+            parts.append(np.full(len(counted), part[one]))
+            pairs.append(np.fromiter(counted.keys(), np.int64, len(counted)))
+            links.append(np.fromiter(counted.values(), np.int64, len(counted)))
+        part, pair, link = map(np.concatenate, (parts, pairs, links))
+        order = np.argsort(part, kind="stable")
+        return part[order], pair[order], link[order]
+
+
+def parts_of(tool: Aligner, parts: list[bytes]) -> Parts:
+    """All parts, aligned in batches of bounded size."""
+    made, start, held = [], 0, 0
+    for end, part in enumerate(parts, 1):
+        held += len(part)
+        if held >= BATCH_BYTES or end == len(parts):
+            made.append(Parts.of(tool, parts[start:end]))
+            start, held = end, 0
+    joined = {
+        name: np.concatenate([getattr(one, name) for one in made])
+        for name in Parts.__dataclass_fields__
+        if name != "groups"
+    }
+    return Parts(**joined, groups=[text for one in made for text in one.groups])
+
+
 class _Block:
-    """Documents read so far; parts are numbered in order of appearance."""
+    """Documents of one block."""
 
     def __init__(self, number: int):
         self.number = number
         self.doc_ids: list[int | None] = []
-        self.codes: list[np.ndarray] = []
-        self.parts: dict[str, int] = {}
-        self.bytes = 0
+        self.texts: list[str] = []
+        self.characters = 0
 
-    def add(self, doc_id: int | None, parts: list[str]) -> None:
+    def add(self, doc_id: int | None, text: str) -> None:
         self.doc_ids.append(doc_id)
-        known = self.parts
-        codes = np.fromiter(
-            (known.setdefault(part, len(known)) for part in parts), np.int64, len(parts)
-        )
-        self.codes.append(codes)
+        self.texts.append(" " + text if text else "")
+        self.characters += len(text)
+
+    @property
+    def documents(self) -> int:
+        return len(self.doc_ids)
+
+    @property
+    def full(self) -> bool:
+        return self.documents >= BLOCK_DOCUMENTS or self.characters >= BLOCK_CHARACTERS
 
     def rows(self, tool: Aligner) -> Iterator[pa.RecordBatch]:
-        parts = tool.aligned(list(self.parts))
-        broken = np.fromiter((part is None for part in parts), bool, len(parts))
-        empty = Part(0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
-        parts = [part or empty for part in parts]
-        codes = [own if not broken[own].any() else own[:0] for own in self.codes]
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-        flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
-        ends = np.cumsum(sizes)
-
-        def total(name: str) -> np.ndarray:
-            values = np.fromiter((getattr(part, name) for part in parts), np.int64, len(parts))
-            sums = np.concatenate([[0], np.cumsum(values[flat])])
-            return sums[ends] - sums[ends - sizes]
-
-        texts = [part.groups for part in parts]
-        groups = [";".join([texts[code] for code in own.tolist()]) for own in codes]
+        """A row per document, then the bitmaps of places per id pair and plane."""
+        codes, first, distinct = tool.a.pieces(pa.array(self.texts, pa.large_string()))
+        texts = distinct.to_pylist()
+        parts = parts_of(tool, texts) if texts else None
+        sizes = np.diff(first)
+        place = np.repeat(np.arange(self.documents), sizes)
+        if parts is not None and parts.broken.any():
+            # One part that does not join to its bytes takes the tokens of its document.
+            whole = np.ones(self.documents, bool)
+            whole[place[parts.broken[codes]]] = False
+            codes, sizes = codes[whole[place]], np.where(whole, sizes, 0)
+            place = np.repeat(np.arange(self.documents), sizes)
+        names = ("n_a", "n_b", "n_groups", "n_links")
+        if parts is None:
+            numbers = {name: np.zeros(self.documents, np.int64) for name in names}
+        else:
+            numbers = {name: per_text(getattr(parts, name)[codes], sizes) for name in names}
+        groups, start, listed = [], 0, codes.tolist()
+        for end in np.cumsum(sizes).tolist():
+            groups.append("".join([parts.groups[code] for code in listed[start:end]])[:-1])
+            start = end
         yield self._batch(
-            place=np.arange(len(codes), dtype=np.int32),
+            place=np.arange(self.documents, dtype=np.int32),
             doc_id=self.doc_ids,
-            **{name: total(name) for name in ("n_a", "n_b", "n_groups", "n_links")},
+            **numbers,
             groups=groups,
         )
-        del texts, groups
-        yield from self._postings(parts, flat, np.repeat(np.arange(len(codes)), sizes))
+        del groups, listed
+        if len(codes):
+            yield from self._postings(len(tool.b_bytes), parts, codes, place)
+
+    def _postings(
+        self, n_b: int, parts: Parts, codes: np.ndarray, place: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
+        # Times of each distinct part per document, then of each pair per document.
+        both, times = np.unique(place * len(parts.reach) + codes, return_counts=True)
+        place, codes = np.divmod(both, len(parts.reach))
+        reach = parts.reach[codes]
+        steps = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
+        at = np.repeat((np.cumsum(parts.reach) - parts.reach)[codes], reach) + steps
+        code = parts.pair[at] << 16 | np.repeat(place, reach)
+        links = parts.links[at] * np.repeat(times, reach)
+        order = np.argsort(code, kind="stable")
+        code, links = code[order], links[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        rest = np.add.reduceat(links, first) - 1
+        code = code[first]
+        pair, place = code >> 16, (code & 0xFFFF).astype("<u2")
+        yield from self._plane(0, n_b, pair, place)
+        for digit in range(int(rest.max()).bit_length()):
+            has = (rest >> digit & 1).astype(bool)
+            if has.any():
+                yield from self._plane(digit + 1, n_b, pair[has], place[has])
 
     def _batch(self, **columns) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -260,51 +361,21 @@ class _Block:
             schema=_SCHEMA,
         )
 
-    def _postings(
-        self, parts: list[Part], flat: np.ndarray, place: np.ndarray
-    ) -> Iterator[pa.RecordBatch]:
-        """Bitmaps of places per id pair and plane."""
-        if not len(flat):
-            return
-        # Times of each distinct part per document, then of each pair per document.
-        both, times = np.unique(place * len(parts) + flat, return_counts=True)
-        place, flat = np.divmod(both, len(parts))
-        lengths = np.fromiter((len(part.keys) for part in parts), np.int64, len(parts))
-        keys, pair = np.unique(np.concatenate([part.keys for part in parts]), return_inverse=True)
-        links = np.concatenate([part.links for part in parts])
-        begins = np.cumsum(lengths) - lengths
-        reach = lengths[flat]
-        steps = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
-        at = np.repeat(begins[flat], reach) + steps
-        both = pair[at] * len(self.doc_ids) + np.repeat(place, reach)
-        weight = links[at] * np.repeat(times, reach)
-        order = np.argsort(both, kind="stable")
-        both, weight = both[order], weight[order]
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-        weight = np.add.reduceat(weight, first) - 1
-        pair, place = np.divmod(both[first], len(self.doc_ids))
-        place = place.astype("<u2")
-        yield from self._plane(0, keys, pair, place)
-        for digit in range(int(weight.max()).bit_length()):
-            has = (weight >> digit & 1).astype(bool)
-            if has.any():
-                yield from self._plane(digit + 1, keys, pair[has], place[has])
-
     def _plane(
-        self, plane: int, keys: np.ndarray, pair: np.ndarray, place: np.ndarray
+        self, plane: int, n_b: int, pair: np.ndarray, place: np.ndarray
     ) -> Iterator[pa.RecordBatch]:
         """One row per pair; ``pair`` is sorted, ``place`` sorted within a pair."""
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         counts = np.diff(np.append(first, len(pair)))
-        own = keys[pair[first]]
-        dense = counts * 2 > bitmap_bytes(len(self.doc_ids))
+        own = pair[first]
+        dense = counts * 2 > bitmap_bytes(self.documents)
         for wanted in (dense, ~dense):
             rows = np.flatnonzero(wanted)
             if not len(rows):
                 continue
             if wanted is dense:
                 held = [
-                    packed(place[start : start + size], len(self.doc_ids))
+                    packed(place[start : start + size], self.documents)
                     for start, size in zip(first[rows].tolist(), counts[rows].tolist())
                 ]
                 places = pa.array(held, pa.binary())
@@ -315,8 +386,8 @@ class _Block:
                     pa.binary(), len(rows), [None, pa.py_buffer(edges), pa.py_buffer(kept)]
                 )
             yield self._batch(
-                a=(own[rows] >> 32).astype(np.int32),
-                b=(own[rows] & 0xFFFFFFFF).astype(np.int32),
+                a=(own[rows] // n_b).astype(np.int32),
+                b=(own[rows] % n_b).astype(np.int32),
                 plane=np.full(len(rows), plane, np.int32),
                 n=counts[rows].astype(np.int32),
                 dense=np.full(len(rows), wanted is dense),
@@ -345,17 +416,14 @@ def unpacked(places: bytes, dense: bool) -> np.ndarray:
 def _read(a_path: str, b_path: str):
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(a_path, b_path)
-        task = TaskContext.get().partitionId() << 32
-        block = _Block(task)
+        block = _Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                block.add(doc_id.as_py(), tool.parts.findall(" " + text) if text else [])
-                block.bytes += len(text)
-                if len(block.doc_ids) >= BLOCK_DOCUMENTS or block.bytes >= BLOCK_BYTES:
+                block.add(doc_id.as_py(), text.as_py())
+                if block.full:
                     yield from block.rows(tool)
                     block = _Block(block.number + 1)
-        if block.doc_ids:
+        if block.documents:
             yield from block.rows(tool)
 
     return read

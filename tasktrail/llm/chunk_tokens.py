@@ -122,7 +122,7 @@ class ChunkEncoder:
         self.split = LatinSplit.of(path)
         self.model = self.tokenizer.model
 
-    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+    def encoded(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.cache) + len(pieces) > self.entries:
             self.cache.clear()
         known = self.cache
@@ -147,7 +147,7 @@ class ChunkEncoder:
             return [known[piece] for piece in pieces]
         return [fresh[piece] if piece in fresh else known[piece] for piece in pieces]
 
-    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Piece codes, the first piece of each text (one more at the end), distinct pieces."""
         texts = texts.cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[
@@ -181,15 +181,15 @@ class ChunkEncoder:
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
-        codes, first, distinct = self._pieces(texts)
-        sizes = np.fromiter(map(len, self._encoded(distinct.to_pylist())), np.int64) // 4
+        codes, first, distinct = self.pieces(texts)
+        sizes = np.fromiter(map(len, self.encoded(distinct.to_pylist())), np.int64) // 4
         total = np.concatenate([[0], np.cumsum(sizes[codes])]) if len(codes) else np.zeros(1, np.int64)
         return total[first[1:]] - total[first[:-1]]
 
     def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        codes, first, distinct = self._pieces(texts)
-        encoded = self._encoded(distinct.to_pylist())
+        codes, first, distinct = self.pieces(texts)
+        encoded = self.encoded(distinct.to_pylist())
         sizes = np.fromiter(map(len, encoded), np.int64) // 4
         flat = np.frombuffer(b"".join(encoded), "<u4")
         begins = np.cumsum(sizes) - sizes

@@ -4,7 +4,6 @@ import hashlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
-import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,6 +19,10 @@ B = str(public_tokenizers.path("piece_bpe_32k.model"))
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def linked(groups):
+    return Counter((x, y) for own_a, own_b in groups for x in own_a for y in own_b)
+
+
 def plainly(texts):
     """Tokens of the two libraries on whole texts, every linked pair of occurrences listed."""
     tokenizer = Tokenizer.from_file(A)
@@ -48,24 +51,24 @@ def plainly(texts):
         for token in b_bytes:
             at += len(token)
             ends_b.append(at)
-        common = sorted(set(ends_a) & set(ends_b))
-        groups, low = [], 0
-        for high in common:
-            groups.append(
-                (
-                    [i for i, end in zip(a, ends_a) if low < end <= high],
-                    [i for i, end in zip(b, ends_b) if low < end <= high],
-                )
-            )
-            low = high
-        per_doc.append((a, b, groups, Counter((x, y) for g in groups for x in g[0] for y in g[1])))
+        common = set(ends_a) & set(ends_b)
+        sides = []
+        for ids, ends in ((a, ends_a), (b, ends_b)):
+            side = [[]]
+            for i, end in zip(ids, ends):
+                side[-1].append(i)
+                if end in common:
+                    side.append([])
+            sides.append(side[:-1])
+        groups = list(zip(*sides))
+        per_doc.append((a, b, groups, linked(groups)))
     counts = Counter(pair for *_, links in per_doc for pair in links)
     highest = defaultdict(int)
     for (x, _), count in counts.items():
         highest[x] = max(highest[x], count)
     rows = []
     for a, b, groups, links in per_doc:
-        text = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups)
+        text = ";".join("|".join(",".join(map(str, side)) for side in group) for group in groups)
         rows.append(
             (
                 len(a),
@@ -98,7 +101,7 @@ def test_against_every_pair_of_occurrences(spark):
     checked(spark, texts)
 
 
-def test_small_blocks_and_dense_bitmaps_change_nothing(spark, monkeypatch):
+def test_small_blocks_and_dense_bitmaps_change_nothing(spark):
     texts = ["the cat", "the dog sat", "a cat sat on the the the mat"] * 20
     checked(spark, texts)
     tool = aligner(A, B)
@@ -107,8 +110,8 @@ def test_small_blocks_and_dense_bitmaps_change_nothing(spark, monkeypatch):
         rows = []
         for start in range(0, len(texts), size):
             block = alignment._Block(start)
-            for place, text in enumerate(texts[start : start + size]):
-                block.add(start + place, tool.parts.findall(" " + text))
+            for text in texts[start : start + size]:
+                block.add(None, text)
             rows += [row for batch in block.rows(tool) for row in batch.to_pylist()]
         links = Counter()
         for row in rows:
@@ -147,9 +150,17 @@ def test_odd_rows(spark):
     assert align(no_documents(spark), A, B).numbers().collect() == []
 
 
-@pytest.mark.parametrize("character", ["a", "=", " ", "é"])
-def test_one_long_group(spark, character):
-    checked(spark, [character * 5000 + "b"])
+def test_long_groups_and_small_batches(spark, monkeypatch):
+    texts = [character * 3000 + "b" for character in "a= é"] + random_texts(10, 5)
+    checked(spark, texts)
+    tool = aligner(A, B)
+    parts = [" one".encode(), "\n\ntwo".encode(), b"  three\r", " ▁".encode(), b" four"]
+    whole = alignment.parts_of(tool, parts)
+    monkeypatch.setattr(alignment, "BATCH_BYTES", 1)
+    single = alignment.parts_of(tool, parts)
+    assert whole.broken.tolist() == [False, False, False, True, False]
+    for name in alignment.Parts.__dataclass_fields__:
+        assert list(getattr(whole, name)) == list(getattr(single, name))
 
 
 def test_query_over_the_given_table(spark):
