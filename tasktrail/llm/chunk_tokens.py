@@ -112,22 +112,31 @@ def _may_hold_wide_space(data: np.ndarray) -> bool:
     return bool(((second == 0x85) | (second == 0xA0)).any())
 
 
+# Bytes of kept pieces, twice, and an entry's own overhead.
+CACHE_BYTES = 40 << 20
+ENTRY_BYTES = 180
+# Longer pieces are rare and not kept.
+LONGEST_KEPT = 256
+
+
 class ChunkEncoder:
-    """Ids (little-endian 32 bits) of whole texts; ``entries`` bounds the cache."""
+    """Ids (little-endian 32 bits) of whole texts; the cache is bounded in bytes."""
 
-    def __init__(self, path: str, entries: int = 800_000):
+    def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.entries = entries
+        # Pieces met of late, and those before them: what recurs stays, what does not goes.
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
         self.split = LatinSplit.of(path)
         self.model = self.tokenizer.model
 
     def encoded(self, pieces: list[bytes]) -> list[bytes]:
-        if len(self.cache) + len(pieces) > self.entries:
-            self.cache.clear()
-        known = self.cache
-        missing = [piece for piece in pieces if piece not in known]
-        fresh: dict[bytes, bytes] = {}
+        if self.held > CACHE_BYTES:
+            self.older, self.cache, self.held = self.cache, {}, 0
+        known, older = self.cache, self.older
+        fresh = {piece: older[piece] for piece in pieces if piece in older and piece not in known}
+        missing = [piece for piece in pieces if piece not in known and piece not in fresh]
         rest: list[bytes] = []
         tokenize = self.model.tokenize
         for piece in missing:
@@ -142,9 +151,10 @@ class ChunkEncoder:
             texts = [piece.decode() for piece in part]
             encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             fresh.update((piece, array("I", one.ids).tobytes()) for piece, one in zip(part, encoded))
-        if len(known) + len(fresh) <= self.entries:
-            known.update(fresh)
-            return [known[piece] for piece in pieces]
+        for piece, ids in fresh.items():
+            if len(piece) <= LONGEST_KEPT and self.held <= CACHE_BYTES:
+                known[piece] = ids
+                self.held += ENTRY_BYTES + len(piece) + len(ids)
         return [fresh[piece] if piece in fresh else known[piece] for piece in pieces]
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -78,6 +79,37 @@ def free_name(table: DataFrame, wanted: str) -> str:
     return wanted
 
 
+# Rows that a Python function works on at a time.
+SLICE_ROWS = 1024
+
+
+def released(work: Callable) -> Callable:
+    """A function over Arrow batches that gives memory back to the machine when its task ends.
+
+    Python workers are used again by later tasks; what the allocators keep for themselves
+    would stay with the executor until the application ends.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # Another C library: nothing to trim.
+
+    return run
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def with_column_of_text(
     table: DataFrame, name: str, kind: T.DataType, start: Callable[[], Callable], text: str = "text"
 ) -> DataFrame:
@@ -92,10 +124,10 @@ def with_column_of_text(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in slices(batches):
             values = work(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(values, arrow)], [*batch.schema.names, name]
             )
 
-    return table.mapInArrow(run, schema)
+    return table.mapInArrow(released(run), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tasktrail.llm.chunk_tokens import ChunkEncoder
-from tasktrail.llm.common import documents_of, written
+from tasktrail.llm.common import documents_of, released, slices, written
 
 CAPACITY = 2048
 END = 0
@@ -43,9 +43,7 @@ def token_pieces(
         if tokenizer_path not in _ENCODERS:
             _ENCODERS[tokenizer_path] = ChunkEncoder(tokenizer_path)
         encoder = _ENCODERS[tokenizer_path]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
@@ -59,7 +57,7 @@ def token_pieces(
                 yield _pieces(rows)
 
     return documents_of(docs).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids binary"
+        released(cut), "doc_id long, piece int, start long, length long, ids binary"
     )
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tasktrail.llm.chunk_tokens import ChunkEncoder
-from tasktrail.llm.common import scratch_path
+from tasktrail.llm.common import released, scratch_path
 
 CACHE = StructType(
     [
@@ -74,7 +74,7 @@ def add_missing(contents: DataFrame, tokenizer_path: str, cache_path: str) -> No
     known = read_cache(spark, cache_path, version).select("content_digest")
     distinct = contents.select("content_digest", "text").dropDuplicates(["content_digest"])
     missing = distinct.join(known, "content_digest", "left_anti")
-    counted = missing.mapInArrow(_count(tokenizer_path), "content_digest binary, n_tokens long")
+    counted = missing.mapInArrow(released(_count(tokenizer_path)), "content_digest binary, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode(
         "append"
     ).parquet(cache_path)

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -38,10 +39,11 @@ def texts_of(spark):
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
-@pytest.mark.parametrize("entries", [800_000, 50])
-def test_piecewise_ids_are_those_of_the_library(path, entries):
+@pytest.mark.parametrize("kept", [40 << 20, 5000])
+def test_piecewise_ids_are_those_of_the_library(path, kept, monkeypatch):
+    monkeypatch.setattr("tasktrail.llm.chunk_tokens.CACHE_BYTES", kept)
     texts = odd_texts()
-    encoder = ChunkEncoder(path, entries)
+    encoder = ChunkEncoder(path)
     own = [one.tolist() for one in encoder.ids(pa.array(texts))]
     plain = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
     assert own == [one.ids for one in plain]
@@ -184,6 +186,28 @@ def test_safe_parts_do_not_change_ids(size, monkeypatch):
         assert bpe_codec.decode_ids(encoding, bpe_codec.encode_text(encoding, text)) == text.encode()
 
 
+@pytest.mark.parametrize("space", [" ", "\t", "\n", " \n", "\u2003"])
+@pytest.mark.parametrize("tail", ["", "a", "\n", "b c", "!"])
+def test_long_white_space_is_cut_as_the_pattern_cuts_it(space, tail):
+    encoding = bpe_codec.codec(RANKS, public_tokenizers.PATTERN)
+    for size in (1999, 2000, 2001, 6000):
+        text = "ab" + space * size + tail + space * size
+        expected = [
+            one
+            for match in regex.findall(public_tokenizers.PATTERN, text)
+            for one in encoding.encode_ordinary(match)
+        ]
+        assert np.frombuffer(bpe_codec.encode_text(encoding, text), "<u4").tolist() == expected
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n"])
+def test_millions_of_spaces_do_not_end_the_query(space):
+    encoding = bpe_codec.codec(RANKS, public_tokenizers.PATTERN)
+    text = "x" + space * 5_000_000 + "y"
+    ids = bpe_codec.encode_text(encoding, text)
+    assert bpe_codec.decode_ids(encoding, ids) == text.encode()
+
+
 def test_ids_that_cut_a_character_decode_to_its_bytes():
     encoding = bpe_codec.codec(RANKS, public_tokenizers.PATTERN)
     ids = bpe_codec.encode_text(encoding, "日")
