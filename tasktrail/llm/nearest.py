@@ -38,11 +38,19 @@ BLOCK_LEAST = 2_048
 QUERIES_AT_A_TIME = 256
 
 
+def level(vectors: np.ndarray) -> np.ndarray:
+    """The same proportions with a largest component between 0.5 and 1, by a power of two."""
+    _, exponent = np.frexp(np.abs(vectors).max())
+    return np.ldexp(vectors, -int(exponent))
+
+
 class Block:
     """The candidates of one block and one vector length."""
 
     def __init__(self, vectors: np.ndarray, members: list[list[int]], keep: int):
         self.vectors, self.members, self.keep = vectors, members, keep
+        # Distances need no more than proportions, whose squares neither overflow nor vanish.
+        vectors = level(vectors)
         norms = np.sqrt((vectors**2).sum(axis=1))
         self.radius = float(norms.max())
         slack = np.sqrt(np.maximum(self.radius**2 - norms**2, 0))
@@ -60,8 +68,11 @@ class Block:
         """The best ids and inner products for every query, at most ``keep``."""
         size = len(self.vectors)
         enough = min(size, self.keep + int(VERIFY * size))
-        scale = self.radius / np.sqrt((queries**2).sum(axis=1))
-        centre = (queries * scale[:, None]) @ self.lines
+        leveled = np.stack([level(query) for query in queries])
+        scale = self.radius / np.sqrt((leveled**2).sum(axis=1))
+        centre = (leveled * scale[:, None]) @ self.lines
+        # No candidate is further than this on any line.
+        furthest = np.abs(self.sorted).max() + np.abs(centre).max()
         open_ = np.arange(len(queries))
         width = FIRST_WINDOW * self.unit * np.sqrt(self.lines.shape[0])
         found: list[list[tuple[int, float]]] = [[] for _ in queries]
@@ -77,7 +88,7 @@ class Block:
                 # Unsigned: a place below the window wraps round to a large number.
                 inside = (self.place - low[index][:, None]) < (high[index] - low[index])[:, None]
                 collided = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= LINES // 2)
-                if len(collided) >= enough:
+                if len(collided) >= enough or width > furthest:
                     found[query] = self._verified(queries[query], collided)
                 else:
                     still.append(query)
@@ -87,12 +98,15 @@ class Block:
 
     def _verified(self, query: np.ndarray, candidates: np.ndarray) -> list[tuple[int, float]]:
         if len(candidates) > self.keep:
-            scores = self.vectors[candidates] @ query
             # Rounding differs from the sums below; what is near the last kept score stays in.
+            scores = level(self.vectors)[candidates] @ level(query)
             least = np.partition(scores, -self.keep)[-self.keep]
-            room = 1e-9 * self.radius * np.sqrt((query**2).sum())
+            room = 1e-9 * self.radius * np.sqrt((level(query) ** 2).sum())
             candidates = candidates[scores >= least - room]
-        scores = (self.vectors[candidates] * query).sum(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = (self.vectors[candidates] * query).sum(axis=1)
+        # Infinite parts of both signs have no sum; they come last.
+        scores = np.where(np.isnan(scores), -np.inf, scores)
         pairs = [
             (-score, member)
             for candidate, score in zip(candidates.tolist(), scores.tolist())

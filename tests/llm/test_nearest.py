@@ -81,6 +81,14 @@ def test_vectors_that_take_no_part(spark):
     assert found == {0: [(1, 3.0), (2, -0.5)], 140: [(3, 1.0)]}
 
 
+def test_very_large_and_very_small_components_end():
+    for unit in (1e200, 1e-200, 1e300, 5e-324):
+        block = ann.Block(np.array([[unit, 0], [0, unit], [unit, unit]]), [[1], [2], [3]], 3)
+        assert len(block.search(np.array([[unit, unit], [1.0, 0.0]]))[0]) == 3
+    mixed = ann.Block(np.array([[1e200, 0], [0, 1], [1, 1]]), [[1], [2], [3]], 3)
+    assert mixed.search(np.array([[1.0, 0.0]]))[0] == [(1, 1e200), (3, 1.0), (2, 0.0)]
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(none, F.col("vec_id") % 20 == 0, 20).collect() == []
