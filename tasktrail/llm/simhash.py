@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tasktrail.llm.common import documents_of, free_name, written
+from tasktrail.llm.common import documents_of, free_name, released, slices, written
 from tasktrail.llm.components import components
 
 BITS = 64
@@ -76,8 +76,8 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id``, ``tie`` (a hash of the text) and ``fp``, the fingerprint as a signed integer."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).cast(pa.binary()) if batch.num_rows else []
+        for batch in slices(batches):
+            texts = batch.column(2).cast(pa.binary())
             found = np.array([fingerprint(one.as_py(), words) for one in texts], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found.view(np.int64))],
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             )
 
     rows = documents_of(docs).select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(run, "doc_id long, tie long, fp long")
+    return rows.mapInArrow(released(run), "doc_id long, tie long, fp long")
 
 
 def block_masks(free: int, distance: int) -> list[int]:

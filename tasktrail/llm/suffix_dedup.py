@@ -30,7 +30,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tasktrail.llm.anchors import LENGTH, Hashes, runs
-from tasktrail.llm.common import documents_of, free_name, remove, with_column_of_text, written
+from tasktrail.llm.common import (
+    documents_of,
+    free_name,
+    released,
+    remove,
+    slices,
+    with_column_of_text,
+    written,
+)
 from tasktrail.llm.suffix_order import Suffixes
 
 RUNS_PER_TASK = 20_000
@@ -89,7 +97,7 @@ def anchor_runs(keyed: DataFrame) -> DataFrame:
     """One row per run of starts that share an anchor."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_numpy()
             texts = [one.as_py() for one in batch.column(1).cast(pa.binary())]
             for number, anchor, run, first, count, distance in runs(texts):
@@ -99,7 +107,7 @@ def anchor_runs(keyed: DataFrame) -> DataFrame:
                     ["anchor", "run", "key", "place"],
                 )
 
-    return keyed.select("key", "text").mapInArrow(find, _RUN)
+    return keyed.select("key", "text").mapInArrow(released(find), _RUN)
 
 
 def _first() -> Column:
@@ -137,7 +145,7 @@ def _strings(packed: DataFrame, wanted: DataFrame) -> DataFrame:
     return (
         packed.join(of_document, "key")
         .select("packed", "wanted")
-        .mapInArrow(fetch, _STRING)
+        .mapInArrow(released(fetch), _STRING)
     )
 
 
@@ -284,7 +292,7 @@ def repeated_spans(keyed: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> Data
     sortable = distinct.join(crowded, "anchor", "left_anti") if some else distinct
     strings = _strings(_packed(keyed), sortable)
     ordered = strings.repartition("anchor").sortWithinPartitions("anchor", "run")
-    repeated = ordered.mapInArrow(_sort, _FOUND)
+    repeated = ordered.mapInArrow(released(_sort), _FOUND)
     if some:
         crowd = distinct.join(crowded, "anchor", "left_semi")
         repeated = repeated.unionByName(_dealt(_strings(_packed(keyed), crowd)))
@@ -296,7 +304,8 @@ def repeated_spans(keyed: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> Data
     return (
         alike.unionByName(sorted_out)
         .groupBy("key")
-        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        # Equal rows have one key and equal spans, which are kept once.
+        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     )
 
 
@@ -393,7 +402,7 @@ def without_repeats(docs: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> Data
     kinds = {field.name: to_arrow_type(field.dataType) for field in docs.schema}
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(names.index(spans))
             texts = [
                 _without(_unpack(one.as_py()), _own_spans(lists[index])).decode("utf-8", "ignore")
@@ -411,4 +420,4 @@ def without_repeats(docs: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> Data
                     columns.append(batch.column(names.index(name)))
             yield pa.RecordBatch.from_arrays(columns, list(kinds))
 
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(released(cut), docs.schema)

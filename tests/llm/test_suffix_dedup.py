@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tasktrail.llm import anchors, suffix_dedup
 from tasktrail.llm.queries import op6_suffix_array_dedup
@@ -107,6 +108,16 @@ def test_a_cut_character_goes_as_a_whole(spark):
     assert kept == {1: "日", 2: "本"} or kept == {1: "日ä", 2: "本ö"}
 
 
+def test_repeated_rows_keep_their_spans_once(spark):
+    passage = " ".join(f"word{i}" for i in range(120))
+    rows = [(7, passage + " tail")] * 3000 + [(8, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cut = suffix_dedup.remove_repeats(docs)
+    found = cut.select(F.size("spans").alias("spans"), F.length("kept").alias("kept")).distinct()
+    assert sorted(map(tuple, found.collect())) == [(1, 0)]
+    assert cut.count() == len(rows)
+
+
 def test_no_rows(spark):
     assert suffix_dedup.remove_repeats(no_documents(spark)).collect() == []
     assert suffix_dedup.without_repeats(no_documents(spark)).collect() == []
