@@ -141,9 +141,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
 
 def _draw(rows: DataFrame, wanted: int, count: int, salt: int) -> DataFrame:
     """About ``wanted`` of ``count`` rows, by the hash of their id."""
-    share = min(1.0, wanted / max(1, count))
-    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(salt)), F.lit(1 << 20))
-    return rows.filter(hashed < int(share * (1 << 20)))
+    if count <= wanted:
+        return rows
+    # All 64 bits of the hash, so that a share of any table is not rounded to nothing.
+    bound = wanted * 2**64 // count - 2**63
+    return rows.filter(F.xxhash64(F.col("doc_id").cast("long"), F.lit(salt)) < F.lit(bound))
 
 
 def _rows(texts: DataFrame) -> np.ndarray:
@@ -178,8 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     ids = _draw(told.filter(F.col("quality") == 1), POSITIVES, good, 2).select("doc_id")
     texts = docs.filter(usable).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     positive = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    unlabelled = _draw(texts, UNLABELLED, texts.select("doc_id").count(), 3)
-    return fit(_rows(positive), _rows(unlabelled), prior)
+    rows = texts.select("doc_id").count()
+    known, drawn = _rows(positive), _rows(_draw(texts, UNLABELLED, rows, 3))
+    if rows and good and not len(drawn):
+        raise ValueError(f"none of {rows} texts was drawn to learn from")
+    return fit(known, drawn, prior)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -114,6 +114,16 @@ def test_the_risk_separates_positives_from_the_rest_of_the_unlabelled():
     assert (score(good) > 0).mean() > 0.95 and (score(bad) < 0).mean() > 0.95
 
 
+def test_a_share_of_any_table_is_drawn(spark):
+    rows = spark.range(40_000).withColumnRenamed("id", "doc_id")
+    assert 300 < quality._draw(rows, 400, 40_000, 3).count() < 500
+    assert quality._draw(rows, 400, 300, 3).count() == 40_000
+    # As if the table had 5e11 rows: the bound is far below 2**-20 of them, but not nothing.
+    plan = quality._draw(rows, 10_000, 5 * 10**11, 3)
+    bound = 10_000 * 2**64 // (5 * 10**11) - 2**63
+    assert bound > -(2**63) and plan.count() <= 5
+
+
 def test_quality_of_odd_rows(spark, docs):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     model = quality.train(docs, labels, F.lit(True))
