@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tasktrail.llm.chunk_tokens import ChunkEncoder, _byte_letters
-from tasktrail.llm.common import documents_of, scratch_path
+from tasktrail.llm.common import documents_of, released, scratch_path
 
 # A block ends with the document that reaches either bound; places fit 16 bits.
 BLOCK_DOCUMENTS = 1 << 15
@@ -514,7 +514,7 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> Alignment:
     """Align the tokens of a byte-level tokenizers file (A) and a sentencepiece model (B)."""
     spark = docs.sparkSession
     path = scratch_path(spark, "alignment")
-    rows = documents_of(docs).mapInArrow(_read(a_path, b_path), ROWS)
+    rows = documents_of(docs).mapInArrow(released(_read(a_path, b_path)), ROWS)
     rows.write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(rows.schema).parquet(path)
     postings = stored.filter(F.col("a").isNotNull()).select(

@@ -29,11 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tasktrail.llm.common import documents_of
+from tasktrail.llm.common import documents_of, released
 
 SPACE = "▁"
 # Bytes of kept parts (twice) and of kept answers per worker; an entry's own overhead.
-CACHE_BYTES = 40 << 20
+FIT_BYTES = 64 << 20
+CACHE_BYTES = 96 << 20
 ENTRY_BYTES = 200
 # Longer parts are rare and not kept.
 LONGEST_KEPT = 64
@@ -61,7 +62,14 @@ class PieceEncoder:
         kinds = {piece.type for piece in spec.pieces}
         if kinds & {_USER_DEFINED, _UNUSED}:
             raise ValueError(f"{path} has user-defined or unused pieces, which are not merged")
-        self.normalizer = spec.normalizer_spec
+        rule = spec.normalizer_spec
+        # Whether normalising only marks spaces and puts one in front.
+        self.plain = (
+            rule.add_dummy_prefix
+            and rule.escape_whitespaces
+            and not rule.remove_extra_whitespaces
+            and not rule.precompiled_charsmap
+        )
         self.text = [piece.piece for piece in spec.pieces]
         self.length = list(map(len, self.text))
         self.id_of = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == _NORMAL}
@@ -72,7 +80,7 @@ class PieceEncoder:
         }
         self.automaton = ahocorasick.Automaton()
         for piece, number in self.id_of.items():
-            self.automaton.add_word(piece, (number, len(piece)))
+            self.automaton.add_word(piece, number)
         self.automaton.make_automaton()
         self.shorter = {number: self._shorter(piece) for piece, number in self.id_of.items()}
         # Only characters that are pieces, or parts of pieces, can take part in a merge.
@@ -114,7 +122,7 @@ class PieceEncoder:
 
     def fit(self, before: int, piece: int) -> bool:
         """Whether merging both texts again gives exactly these pieces; -1: no piece before."""
-        if len(self.fits) * ENTRY_BYTES > CACHE_BYTES:
+        if len(self.fits) * ENTRY_BYTES > FIT_BYTES:
             self.fits.clear()
         texts = [self.text[piece]] if before < 0 else [self.text[before], self.text[piece]]
         found = self.fits[before * len(self.text) + piece] = self.merged("".join(texts)) == texts
@@ -123,13 +131,15 @@ class PieceEncoder:
     def backtracked(self, text: str) -> list[int]:
         """The ids of a text of known characters."""
         size = len(text)
-        longest = [-1] * size
-        for end, (number, length) in self.automaton.iter(text):
-            longest[end - length + 1] = number  # of one start, longer ones end later
+        longest = [-1] * (size + 1)
+        lengths = self.length
+        for end, number in self.automaton.iter(text):
+            longest[end - lengths[number]] = number  # of one start, longer ones end later
         failed = 0 if size <= LONGEST_KEPT else bytearray(size // 8 + 1)
         found: list[int] = []
-        place, piece, base = 0, longest[0], -len(self.text)
-        known, count, lengths, shorter = self.fits.get, len(self.text), self.length, self.shorter
+        # A piece from place p is kept at p - 1: the automaton gives last characters.
+        place, piece, base = 0, longest[-1], -len(self.text)
+        known, count, shorter = self.fits.get, len(self.text), self.shorter
         while True:
             end = place + lengths[piece]
             if not failed or not (
@@ -140,7 +150,7 @@ class PieceEncoder:
                     found.append(piece)
                     if end == size:
                         return found
-                    place, base, piece = end, piece * count, longest[end]
+                    place, base, piece = end, piece * count, longest[end - 1]
                     continue
             piece = shorter[piece]
             while piece is None:
@@ -171,10 +181,10 @@ class PieceEncoder:
         """The ids of a text as little-endian 32-bit integers, without begin or end."""
         if self.cache.held > CACHE_BYTES:
             self.cache = Parts(self, self.cache)
-        return self.of_normal(self.library.normalize(text))
-
-    def of_normal(self, text: str) -> bytes:
-        """The same of a text that is normalised already."""
+        if not self.plain:
+            text = self.library.normalize(text)
+        elif text:
+            text = SPACE + text.replace(" ", SPACE)
         return b"".join(map(self.cache.__getitem__, self.parts.findall(text)))
 
 
@@ -233,7 +243,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
             if doc_ids:
                 yield _coded(doc_ids, ids, decoded)
 
-    return documents_of(docs).mapInArrow(code, "doc_id long, ids array<int>, decoded string")
+    return documents_of(docs).mapInArrow(released(code), "doc_id long, ids array<int>, decoded string")
 
 
 def _coded(doc_ids: list[int | None], ids: list[bytes], decoded: list[str]) -> pa.RecordBatch:
