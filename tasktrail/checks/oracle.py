@@ -21,6 +21,7 @@ from tasktrail.checks.parameters import (
     SUBJECT,
     WIDE_BANDS,
 )
+from tasktrail.sources.versions import ROW_KEYS
 
 PRELUDE = """
 WITH counts_of AS (
@@ -39,7 +40,7 @@ te AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey, counts_of),
 attendance AS (
   SELECT (user_id * 10 + event_id % 10)::INTEGER AS "studentId", (event_id % n_staff)::INTEGER AS "staffId",
-    ts::DATE::TIMESTAMP AS "attendanceDate",
+    (ts::DATE - 10227)::TIMESTAMP AS "attendanceDate",
     CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 3 ELSE 1 END AS "attendanceStatusId",
     event_type AS note, (event_type = 'signup' AND event_id % 10 = 0) AS "flagAdministrator",
     event_id::VARCHAR AS "changeId"
@@ -120,7 +121,7 @@ LATEST = """(
 
 ONE = f"= {STUDENT}"
 SEVERAL = f"IN {LIST}"
-OF_FRAME = "% 7 = 3"
+OF_FRAME = f'IN ({PRELUDE} SELECT "studentId" FROM staff_students)'
 
 
 def _of_students(statement: str, scope: str, column: str = "studentId") -> str:
@@ -327,6 +328,33 @@ def attendance_messages() -> str:
     WHERE "flagAdministrator" """
 
 
+def unnamed_messages() -> str:
+    """Messages of attendance changes without ids, named by their content and a count."""
+    columns = ("studentId", "staffId", "attendanceDate", "attendanceStatusId", "note", "flagAdministrator")
+    told = " || ".join(
+        f"""coalesce(length(CAST("{name}" AS VARCHAR)) || ':' || CAST("{name}" AS VARCHAR), '-')"""
+        for name in columns
+    )
+    content = f"sha256({told})"
+    return PRELUDE + f"""
+    SELECT 'attendance:row::' || {content} || ':'
+        || row_number() OVER (PARTITION BY {content}) AS "messageId",
+      f."userId" AS "senderUserId", {PEOPLE} || note AS text
+    FROM attendance a LEFT JOIN staff f USING ("staffId") LEFT JOIN students s USING ("studentId")
+    WHERE "flagAdministrator" """
+
+
+def current_rows(table: str, *keys: str) -> str:
+    """The last stored version of each key; all rows come as versions in one batch."""
+    columns = ", ".join(f'"{key}"' for key in keys)
+    return PRELUDE + f"""
+    SELECT * EXCLUDE n REPLACE (CASE WHEN "flagAdministrator" THEN false ELSE "flagAdministrator" END
+      AS "flagAdministrator")
+    FROM (SELECT *, row_number() OVER (
+        PARTITION BY {columns} ORDER BY length("changeId") DESC, "changeId" DESC) AS n FROM {table})
+    WHERE n = 1"""
+
+
 def evaluation_messages() -> str:
     return PRELUDE + f"""
     SELECT 'task_evaluation:' || "changeId" AS "messageId", f."userId" AS "senderUserId",
@@ -369,9 +397,7 @@ def statements() -> dict[str, str]:
         "task_detail_dated": task_detail(False, *RANGE),
         "task_detail_latest_dated": task_detail(True, *RANGE),
         "task_detail_staff_subject": task_detail(staff_id=STAFF, subject_id=SUBJECT),
-        "task_detail_latest_staff_subject": _of_students(
-            task_detail(True, staff_id=STAFF, subject_id=SUBJECT), SEVERAL
-        ),
+        "task_detail_latest_staff_subject": task_detail(True, staff_id=STAFF, subject_id=SUBJECT),
         "task_summary_one_staff": task_summary(staff_id=STAFF),
         "task_summary_subject_dated": task_summary(*RANGE, subject_id=SUBJECT),
         "progress_individual_one": _of_students(progress("individual"), ONE),
@@ -456,6 +482,9 @@ def statements() -> dict[str, str]:
             round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem)
           SELECT * FROM marks JOIN bands ON cents BETWEEN "rangeBottom" AND "rangeTop" """,
         "attendance_alert_messages": attendance_messages(),
+        "attendance_alert_messages_unnamed": unnamed_messages(),
+        "attendance_current": current_rows("attendance", *ROW_KEYS["attendance"]),
+        "evaluation_current": current_rows("te", *ROW_KEYS["task_evaluations"]),
         "attendance_alert_user_messages": user_messages("attendance", "attendance"),
         "attendance_cleaned": stored("attendance"),
         "evaluation_alert_messages": evaluation_messages(),

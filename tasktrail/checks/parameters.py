@@ -4,7 +4,7 @@ import datetime as dt
 
 AS_OF = dt.date(2024, 2, 29)
 RANGE = (dt.date(1996, 1, 1), dt.date(1998, 12, 31))
-ATTENDANCE_RANGE = (dt.date(2024, 1, 3), dt.date(2024, 1, 20))
+ATTENDANCE_RANGE = (dt.date(1996, 1, 3), dt.date(1996, 1, 20))
 BUCKETS = (
     (dt.date(1995, 1, 1), dt.date(1996, 12, 31)),
     (dt.date(1997, 1, 1), dt.date(1998, 12, 31)),

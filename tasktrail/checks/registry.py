@@ -25,7 +25,7 @@ from tasktrail.checks.parameters import (
     WIDE_BANDS,
 )
 from tasktrail import plans
-from tasktrail.functions.filters import in_date_range
+from tasktrail.functions.filters import in_date_range, without_year
 from tasktrail.operators.attempts import ATTEMPT_KEY, LOOKUPS, first_presentations, latest_attempts
 from tasktrail.operators.attendance import attendance_counts
 from tasktrail.operators.bands import age_bands, grade_bands
@@ -37,6 +37,7 @@ from tasktrail.sources.school import School
 from tasktrail.sources.shared_folder import scratch, shared_folder
 from tasktrail.sources.sinks import read_messages, read_stored, read_user_messages
 from tasktrail.sources.tpch_school import attendance_of, derive_school, task_evaluations_of
+from tasktrail.sources.versions import current
 from tasktrail.streaming import FILES_PER_BATCH, alert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,8 +107,8 @@ def _flat(buckets: tuple) -> tuple:
 
 
 def _wanted(school: School) -> DataFrame:
-    """The students of a report as a table of their own."""
-    return school.students.filter(F.col("studentId") % 7 == 3).select("studentId")
+    """The students of a report as a table of their own: all that a teacher lists."""
+    return school.staff_students.select("studentId").distinct()
 
 
 def _reports() -> dict[str, Callable[[School], DataFrame]]:
@@ -133,7 +134,7 @@ def _reports() -> dict[str, Callable[[School], DataFrame]]:
             plans.task_detail(s, staff_id=STAFF, subject_id=SUBJECT, as_of=AS_OF)
         ),
         "task_detail_latest_staff_subject": lambda s: _with_micros(
-            plans.task_detail_latest(s, LIST, STAFF, SUBJECT, as_of=AS_OF)
+            plans.task_detail_latest(s, None, STAFF, SUBJECT, as_of=AS_OF)
         ),
         "task_summary_one_staff": lambda s: plans.task_summary(s, STAFF),
         "task_summary_subject_dated": partial(
@@ -237,6 +238,10 @@ def _alerts() -> dict[str, Callable[[School], DataFrame]]:
         "attendance_alert_messages": lambda s: attendance(s).messages,
         "attendance_alert_user_messages": lambda s: attendance(s).user_messages,
         "attendance_cleaned": lambda s: attendance(s).stored,
+        # The same changes as a feed without ids delivers them.
+        "attendance_alert_messages_unnamed": lambda s: attendance(
+            s, without_year(s.attendance).drop("changeId")
+        ).messages,
         "evaluation_alert_messages": lambda s: evaluations(s).messages,
         "evaluation_alert_user_messages": lambda s: evaluations(s).user_messages,
         "evaluation_cleaned": lambda s: evaluations(s).stored,
@@ -281,6 +286,18 @@ def _streams() -> dict[str, Query]:
         "attendance_stream_user_messages": read(read_user_messages, "attendance"),
         "evaluation_stream_messages": read(read_messages, "task_evaluations"),
         "evaluation_stream_user_messages": read(read_user_messages, "task_evaluations"),
+        "attendance_current": lambda spark, folder: current(
+            spark,
+            school_of(spark, folder).attendance,
+            "attendance",
+            _streamed(spark, folder, "attendance"),
+        ),
+        "evaluation_current": lambda spark, folder: current(
+            spark,
+            school_of(spark, folder).task_evaluations,
+            "task_evaluations",
+            _streamed(spark, folder, "task_evaluations"),
+        ),
         "attendance_stream_stored": read(partial(read_stored, table="attendance"), "attendance"),
         "evaluation_stream_stored": read(
             partial(read_stored, table="task_evaluations"), "task_evaluations"

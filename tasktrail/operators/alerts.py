@@ -23,9 +23,36 @@ def flagged(changes: DataFrame) -> DataFrame:
 def message_id(source: str, change_id: str = "changeId") -> Column:
     """The id of the message about one change: the same again when a change is replayed.
 
-    Source and change id in full, so ids never collide.
+    Source and change id in full, so ids never collide. Changes without an id get one by
+    ``with_change_ids`` first.
     """
-    return F.concat_ws(":", F.lit(source), F.col(change_id))
+    return F.concat(F.lit(f"{source}:"), F.col(change_id))
+
+
+def with_change_ids(changes: DataFrame, origin: str = "") -> DataFrame:
+    """Changes with an id each; one without is named by its content.
+
+    ``row:<origin>:<SHA-256 of its columns>:<n>``, n counting equal rows from 1. ``origin`` tells
+    sets of changes apart, such as the batches of a stream; the same set again gives the same
+    ids. Equal rows meet as a count, never in a window.
+    """
+    if "changeId" not in changes.columns:
+        changes = changes.withColumn("changeId", F.lit(None).cast("string"))
+    columns = [name for name in changes.columns if name != "changeId"]
+    named = F.col("changeId").isNotNull()
+
+    def told(name: str) -> Column:
+        text = F.col(name).cast("string")
+        # The length in front keeps neighbouring columns apart.
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    content = F.sha2(F.concat(*(told(name) for name in columns)), 256)
+    counted = changes.filter(~named).groupBy(*columns).agg(F.count("*").alias("_copies"))
+    given = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    given = given.withColumn(
+        "changeId", F.concat_ws(":", F.lit("row"), F.lit(origin), content, F.col("_copy"))
+    )
+    return changes.filter(named).unionByName(given.select(*changes.columns))
 
 
 def _person(title: str, last: str, first: str) -> Column:

@@ -15,6 +15,7 @@ from tasktrail.operators.alerts import (
     fan_out,
     flagged,
     message_id,
+    with_change_ids,
     with_marks,
     with_people,
 )
@@ -35,7 +36,7 @@ class Alerts:
 
 
 def _alerts(
-    changes: DataFrame, named: DataFrame, text: Column, source: str, school: School
+    changes: DataFrame, told: DataFrame, named: DataFrame, text: Column, source: str, school: School
 ) -> Alerts:
     messages = named.select(
         message_id(source).alias("messageId"), "senderUserId", text.alias("text")
@@ -43,29 +44,37 @@ def _alerts(
     return Alerts(
         messages=messages,
         # The id follows from the change alone, so the fan-out skips the name lookups.
-        user_messages=user_messages(changes, source, school),
+        user_messages=user_messages(told, source, school),
         stored=clear_flags(changes),
     )
 
 
-def user_messages(changes: DataFrame, source: str, school: School) -> DataFrame:
-    ids = flagged(changes).select(message_id(source).alias("messageId"))
+def user_messages(told: DataFrame, source: str, school: School) -> DataFrame:
+    """``told``: flagged changes that all have an id."""
+    ids = told.select(message_id(source).alias("messageId"))
     recipients = administrators(school.users)
     return fan_out(ids, recipients, school.size_of("administrators", recipients))
 
 
-def attendance_alerts(school: School, changes: DataFrame | None = None) -> Alerts:
+def attendance_alerts(
+    school: School, changes: DataFrame | None = None, origin: str = ""
+) -> Alerts:
     """Alerts from changed attendance rows, by default from the whole table.
 
-    Each row is one inserted or updated row version with a unique ``changeId``.
+    Each row is one inserted or updated row version with a unique ``changeId``; for rows
+    without one see ``with_change_ids``, which ``origin`` goes to.
     """
     changes = without_year(school.attendance) if changes is None else changes
-    named = with_people(flagged(changes), school)
-    return _alerts(changes, named, attendance_text(), "attendance", school)
+    told = with_change_ids(flagged(changes), origin)
+    named = with_people(told, school)
+    return _alerts(changes, told, named, attendance_text(), "attendance", school)
 
 
-def evaluation_alerts(school: School, changes: DataFrame | None = None) -> Alerts:
+def evaluation_alerts(
+    school: School, changes: DataFrame | None = None, origin: str = ""
+) -> Alerts:
     """Alerts from changed task evaluations, by default from the whole table."""
     changes = without_year(school.task_evaluations) if changes is None else changes
-    named = with_people(with_marks(flagged(changes), school), school)
-    return _alerts(changes, named, evaluation_text(), "task_evaluation", school)
+    told = with_change_ids(flagged(changes), origin)
+    named = with_people(with_marks(told, school), school)
+    return _alerts(changes, told, named, evaluation_text(), "task_evaluation", school)

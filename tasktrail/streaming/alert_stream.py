@@ -2,9 +2,13 @@
 
 Each version is one inserted or updated row of a fact table with its own ``changeId``.
 A batch writes messages, user messages and stored rows to folders named by its number,
-so a batch that is run again after a failure replaces what it wrote before. A change that
-is delivered again is dropped; one without a ``changeId`` never is. The school is read anew for every batch, so alerts know the
-staff, students, marks and administrators of that moment.
+so a batch that is run again after a failure replaces what it wrote before. It then reads the
+school as it was at its first try (``pinned``), so all its outputs agree; a later batch reads
+the school anew and knows the staff, students, marks and administrators of that moment.
+
+A change that is delivered again, however much later, is dropped by its entry in the ledger
+beside the outputs (``ledger``). One without a ``changeId`` cannot be told from another: it never
+is dropped, and its messages are named by the batch and its content.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from tasktrail.sources.schemas import TABLES
 from tasktrail.sources.school import School
 from tasktrail.sources.shared_folder import shared_folder
 from tasktrail.sources.sinks import write_alerts
+from tasktrail.streaming.ledger import Ledger
+from tasktrail.streaming.pinned import PinnedSchools
 
 _ALERTS = {"attendance": attendance_alerts, "task_evaluations": evaluation_alerts}
 
@@ -27,8 +33,6 @@ _ALERTS = {"attendance": attendance_alerts, "task_evaluations": evaluation_alert
 # Bounds what one batch keeps while its outputs are written.
 FILES_PER_BATCH = 1000
 
-# How long ids of delivered changes are kept at least; bounds the state.
-REMEMBER = "7 days"
 
 
 def change_feed(
@@ -64,17 +68,18 @@ def alert_stream(
     table: str,
     folder: str,
     checkpoint: str | None = None,
-    remember: str | None = REMEMBER,
+    remember: str | None = None,
     once: bool = True,
+    ledger: bool = True,
 ) -> StreamingQuery:
     """Start the alerts for ``changes`` of ``table`` (attendance or task_evaluations).
 
     ``school`` is called for every batch and returns the school as it is then, usually
     ``lambda: School.read(spark, folder)``. ``checkpoint`` defaults to a folder below
     ``spark.checkpoint.dir`` that belongs to this table and output folder. Repeated
-    deliveries within ``remember`` are dropped; None switches that off for a feed that
-    repeats nothing. ``once`` takes what is there and ends; otherwise the query runs until
-    it is stopped.
+    deliveries are dropped by the ``ledger``; False switches it off for a feed that repeats
+    nothing. ``remember`` drops those of that time beforehand, from state that the query keeps.
+    ``once`` takes what is there and ends; otherwise the query runs until it is stopped.
     """
     spark = changes.sparkSession
     build = _ALERTS[table]
@@ -87,12 +92,20 @@ def alert_stream(
     if remember is not None:
         changes = first_deliveries(changes, remember)
 
+    taken = Ledger(spark, f"{folder.rstrip('/')}/ledger")
+    pinned = PinnedSchools(spark, f"{folder.rstrip('/')}/pinned", table)
+
     def write(batch: DataFrame, number: int) -> None:
-        # Three outputs read the batch; kept, it is taken from its source once.
+        # Several outputs read the batch; kept, it is taken from its source once.
         batch.persist()
+        fresh = taken.fresh(batch, number).persist() if ledger else batch
         try:
-            write_alerts(build(school(), batch), folder, number)
+            alerts = build(pinned.school(school, fresh, number), fresh, str(number))
+            write_alerts(alerts, folder, number)
+            if ledger:
+                taken.add(fresh.select("changeId"), number)
         finally:
+            fresh.unpersist()
             batch.unpersist()
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
