@@ -50,7 +50,7 @@ class Block:
     def __init__(self, vectors: np.ndarray, members: list[list[int]], keep: int):
         self.vectors, self.members, self.keep = vectors, members, keep
         # Distances need no more than proportions, whose squares neither overflow nor vanish.
-        vectors = level(vectors)
+        self.leveled = vectors = level(vectors)
         norms = np.sqrt((vectors**2).sum(axis=1))
         self.radius = float(norms.max())
         slack = np.sqrt(np.maximum(self.radius**2 - norms**2, 0))
@@ -99,7 +99,7 @@ class Block:
     def _verified(self, query: np.ndarray, candidates: np.ndarray) -> list[tuple[int, float]]:
         if len(candidates) > self.keep:
             # Rounding differs from the sums below; what is near the last kept score stays in.
-            scores = level(self.vectors)[candidates] @ level(query)
+            scores = self.leveled[candidates] @ level(query)
             least = np.partition(scores, -self.keep)[-self.keep]
             room = 1e-9 * self.radius * np.sqrt((level(query) ** 2).sum())
             candidates = candidates[scores >= least - room]
