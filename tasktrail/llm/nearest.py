@@ -89,19 +89,21 @@ class Block:
                 inside = (self.place - low[index][:, None]) < (high[index] - low[index])[:, None]
                 collided = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= LINES // 2)
                 if len(collided) >= enough or width > furthest:
-                    found[query] = self._verified(queries[query], collided)
+                    found[query] = self._verified(queries[query], leveled[query], collided)
                 else:
                     still.append(query)
             open_ = np.array(still, np.int64)
             width *= WIDEN
         return found
 
-    def _verified(self, query: np.ndarray, candidates: np.ndarray) -> list[tuple[int, float]]:
+    def _verified(
+        self, query: np.ndarray, leveled: np.ndarray, candidates: np.ndarray
+    ) -> list[tuple[int, float]]:
         if len(candidates) > self.keep:
             # Rounding differs from the sums below; what is near the last kept score stays in.
-            scores = self.leveled[candidates] @ level(query)
+            scores = self.leveled[candidates] @ leveled
             least = np.partition(scores, -self.keep)[-self.keep]
-            room = 1e-9 * self.radius * np.sqrt((level(query) ** 2).sum())
+            room = 1e-9 * self.radius * np.sqrt((leveled**2).sum())
             candidates = candidates[scores >= least - room]
         with np.errstate(over="ignore", invalid="ignore"):
             scores = (self.vectors[candidates] * query).sum(axis=1)
