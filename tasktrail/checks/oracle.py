@@ -496,4 +496,15 @@ def statements() -> dict[str, str]:
         "evaluation_stream_user_messages": user_messages("te", "task_evaluation"),
         "attendance_stream_stored": stored("attendance"),
         "evaluation_stream_stored": stored("te"),
+        "sql_report_card": report_card(*RANGE),
+        "sql_student_attendance": student_attendance(*ATTENDANCE_RANGE),
+        "sql_task_detail": task_detail(staff_id=STAFF, subject_id=SUBJECT),
+        "sql_task_detail_latest": task_detail(True, *RANGE),
+        "sql_task_summary": task_summary(*RANGE, subject_id=SUBJECT),
+        "sql_progress_individual": progress("individual", True, RANGE[0]),
+        "sql_progress_individual_multidate": progress_multidate(
+            "individual", False, OVERLAPPING, SUBJECT
+        ),
+        "sql_progress_benchmark": progress("benchmark"),
+        "sql_progress_benchmark_multidate": progress_multidate("benchmark", latest=True),
     }

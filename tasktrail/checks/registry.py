@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import datetime as dt
 import shutil
 import tempfile
 from collections.abc import Callable
@@ -25,6 +26,7 @@ from tasktrail.checks.parameters import (
     WIDE_BANDS,
 )
 from tasktrail import plans
+from tasktrail.plans.table_functions import register
 from tasktrail.functions.filters import in_date_range, without_year
 from tasktrail.operators.attempts import ATTEMPT_KEY, LOOKUPS, first_presentations, latest_attempts
 from tasktrail.operators.attendance import attendance_counts
@@ -52,6 +54,7 @@ def set_shared_folder(spark: SparkSession) -> None:
 
 _SCHOOLS: dict[tuple[str, str], School] = {}
 _STREAMS: dict[tuple[str, str, str], str] = {}
+_DEFINED: dict[str, School] = {}
 
 
 def school_of(spark: SparkSession, folder: str) -> School:
@@ -248,6 +251,60 @@ def _alerts() -> dict[str, Callable[[School], DataFrame]]:
     }
 
 
+def _day(day: dt.date | None) -> str:
+    return "NULL" if day is None else f"DATE '{day}'"
+
+
+def _functions() -> dict[str, Callable[[School], DataFrame]]:
+    """The reports as statements over the SQL table functions."""
+
+    def statement(text: str) -> Callable[[School], DataFrame]:
+        def run(school: School) -> DataFrame:
+            # The functions of a session are those of the school registered last.
+            if _DEFINED.get("school") is not school:
+                register(school, AS_OF)
+                _DEFINED["school"] = school
+            return school.students.sparkSession.sql(text)
+
+        return run
+
+    start, end = map(_day, RANGE)
+    buckets, overlapping = (", ".join(map(_day, _flat(dates))) for dates in (BUCKETS, OVERLAPPING))
+    first, last = map(_day, ATTENDANCE_RANGE)
+    detail = (
+        "* EXCEPT (days), CAST(round(extract(SECOND FROM days) * 1000000) AS BIGINT) + 60000000 * "
+        "(extract(MINUTE FROM days) + 60 * (extract(HOUR FROM days) + 24 * CAST(extract(DAY FROM days) "
+        "AS BIGINT))) AS days_micros"
+    )
+    return {
+        "sql_report_card": statement(f"SELECT * FROM report_card(0, {start}, {end})"),
+        "sql_student_attendance": statement(
+            f"SELECT * FROM report_student_attendance(attendanceDateFrom => {first}, attendanceDateTo => {last})"
+        ),
+        "sql_task_detail": statement(
+            f"SELECT {detail} FROM task_detail(NULL, {STAFF}, {SUBJECT})"
+        ),
+        "sql_task_detail_latest": statement(
+            f"SELECT {detail} FROM task_detail_latest("
+            f"evaluationDateFrom => {start}, evaluationDateTo => {end})"
+        ),
+        "sql_task_summary": statement(
+            f"SELECT * FROM task_summary(subjectId => {SUBJECT}, "
+            f"evaluationDateFrom => {start}, evaluationDateTo => {end})"
+        ),
+        "sql_progress_individual": statement(
+            f"SELECT * FROM progress_report_individual(latest => TRUE, evaluationDateFrom => {start})"
+        ),
+        "sql_progress_individual_multidate": statement(
+            f"SELECT * FROM progress_report_individual_multidate(NULL, {overlapping}, {SUBJECT})"
+        ),
+        "sql_progress_benchmark": statement("SELECT * FROM progress_report_benchmark()"),
+        "sql_progress_benchmark_multidate": statement(
+            f"SELECT * FROM progress_report_benchmark_multidate(NULL, {buckets}, latest => TRUE)"
+        ),
+    }
+
+
 def _streamed(spark: SparkSession, folder: str, table: str) -> str:
     """Run the alert stream over a given table once; the folder of its outputs."""
     key = (spark.sparkContext.applicationId, folder, table)
@@ -309,6 +366,6 @@ def registered() -> dict[str, Query]:
     def on_school(report: Callable[[School], DataFrame]) -> Query:
         return lambda spark, folder: report(school_of(spark, folder))
 
-    reports = _reports() | _operators() | _alerts()
+    reports = _reports() | _operators() | _alerts() | _functions()
     on_tables = {"grade_bands_wide": _grade_bands_wide}
     return {name: on_school(report) for name, report in reports.items()} | on_tables | _streams()

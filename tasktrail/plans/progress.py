@@ -201,7 +201,7 @@ def progress_report_individual_multidate(
 
 # The students of a benchmark path are known, so their first presentations need no
 # further check against the student table.
-_BENCHMARK_CHECKS = ("evaluations", "evaluation_types", "staff")
+BENCHMARK_CHECKS = ("evaluations", "evaluation_types", "staff")
 
 
 def progress_report_benchmark(
@@ -222,7 +222,7 @@ def progress_report_benchmark(
     """
     path = benchmark_path(school, student_ids, subject_id, as_of)
     facts = _facts(school, student_ids, subject_id, strict)
-    first = first_presentations(facts, school, _BENCHMARK_CHECKS)
+    first = first_presentations(facts, school, BENCHMARK_CHECKS)
     ordered = sorted_by_default(ordered, student_ids)
     return _report(school, path, facts, first, latest, start, end, strict, ordered)
 
@@ -245,7 +245,7 @@ def progress_report_benchmark_multidate(
     """The benchmark report split in three date buckets, numbered by ``delimiter``."""
     path = benchmark_path(school, student_ids, subject_id, as_of)
     facts = _facts(school, student_ids, subject_id, strict)
-    first = first_presentations(facts, school, _BENCHMARK_CHECKS)
+    first = first_presentations(facts, school, BENCHMARK_CHECKS)
     buckets = ((start_one, end_one), (start_two, end_two), (start_three, end_three))
     ordered = sorted_by_default(ordered, student_ids)
     return _bucket_report(school, path, facts, first, latest, buckets, strict, ordered)
