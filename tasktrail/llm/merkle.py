@@ -9,7 +9,7 @@ its children in order.
 
 A fingerprint is the root, the number of the lowest level with at most ``NODES`` nodes,
 and that level's nodes with the level at which each one's end stops being a bound. Equal
-texts have equal roots. The root covers that level; the levels below it down to the words
+texts have equal roots. The root covers that level and a digest of all leaves; the levels below it down to the words
 stay with the fingerprint as its tree and are not part of its text.
 
 Two trees are compared from the level at which both have at most ``NODES`` nodes
@@ -32,8 +32,11 @@ text. Repeated rows follow each other. No row gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from copy import copy
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -194,6 +197,8 @@ def fingerprint(text: str | bytes, nodes: int = NODES) -> str:
     tree = Tree(data, nodes)
     hashes, levels, level = tree.hashes[-1], tree.levels, tree.top
     root = hashlib.sha256(hashes.tobytes() + levels.astype(np.uint8).tobytes() + bytes([level]))
+    # The nodes have 40 bits; the leaves' bytes let roots of different texts differ for certain.
+    root.update(hashlib.sha256(data).digest())
     listed = "".join(f"{one:0{DIGITS}x}{bound:x}" for one, bound in zip(hashes.tolist(), levels.tolist()))
     mark = Fingerprint(f"{root.hexdigest()[:32]}:{level}:{listed}")
     mark.tree = tree
@@ -267,31 +272,75 @@ _RESULT = (
 _LOWEST = -(1 << 63)
 
 
-def _ranges(ids: DataFrame) -> tuple[list[int], list[int], list[int]]:
-    """Lower bounds of ranges of ids, and number and first id of every range with rows.
+Key = tuple[int, int]
 
-    There are about as many ranges as shuffle partitions.
+
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of rows in order of id, and of ids with very many rows also of their texts' hash.
+
+    ``bounds`` are the lower ends of all ranges but the first, ``parts`` the numbers of the ranges
+    with rows and ``firsts`` their first keys.
     """
-    wanted = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    heavy: frozenset[int]
+    bounds: list[Key]
+    parts: list[int]
+    firsts: list[Key]
+
+    def key(self, at: int, tie: int) -> Key:
+        return at, tie if at in self.heavy else _LOWEST
+
+    def part(self, key: Key) -> int:
+        return bisect_right(self.bounds, key)
+
+
+def _ranges(rows: DataFrame) -> Ranges:
+    """About as many ranges of ``rows`` (``at``, ``tie``) as shuffle partitions."""
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fractions = [i / wanted for i in range(1, wanted)]
-    bounds: list[int] = []
+    found: list[int] = []
     if fractions:
-        found = ids.agg(F.percentile_approx("at", fractions, wanted * PER_RANGE).alias("b")).first()["b"]
-        bounds = sorted(set(found or []))
+        cut = F.percentile_approx("at", fractions, wanted * PER_RANGE)
+        found = rows.agg(cut.alias("cut")).first()["cut"] or []
+    # An id that fills whole ranges is cut by the hash of its texts as often.
+    times = {at: n for at, n in Counter(found).items() if n > 1}
+    bounds = {(at, _LOWEST) for at in found}
+    if times:
+        cut = F.percentile_approx("tie", fractions, wanted * PER_RANGE)
+        cuts = rows.filter(F.col("at").isin(list(times))).groupBy("at").agg(cut.alias("cut"))
+        for row in cuts.collect():
+            step = wanted / (times[row["at"]] + 1)
+            bounds |= {
+                (row["at"], row["cut"][int(i * step)])
+                for i in range(1, times[row["at"]] + 1)
+                if int(i * step) < len(row["cut"])
+            }
+    ranges = Ranges(frozenset(times), sorted(bounds), [], [])
 
     def least(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            part = np.searchsorted(bounds, at, "right")
-            order = np.lexsort((at, part))
-            first = np.concatenate([[True], np.diff(part[order]) != 0])[: len(order)]
+            first: dict[int, Key] = {}
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = ranges.part(key)
+                if part not in first or key < first[part]:
+                    first[part] = key
+            columns = ([*first], [at for at, _ in first.values()], [tie for _, tie in first.values()])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[order][first]), pa.array(at[order][first])], ["part", "at"]
+                [pa.array(column, pa.int64()) for column in columns], ["part", "at", "tie"]
             )
 
-    firsts = ids.mapInArrow(least, "part long, at long").groupBy("part").agg(F.min("at").alias("at"))
-    rows = sorted((row["part"], row["at"]) for row in firsts.collect())
-    return bounds, [part for part, _ in rows], [at for _, at in rows]
+    # Texts are read here only for the ids that are cut.
+    tie = F.when(F.col("at").isin(list(times)), F.col("tie")).otherwise(_LOWEST) if times else F.lit(_LOWEST)
+    firsts = (
+        rows.select("at", tie.alias("tie"))
+        .mapInArrow(least, "part long, at long, tie long")
+        .groupBy("part")
+        .agg(F.min(F.struct("at", "tie")).alias("first"))
+        .collect()
+    )
+    firsts = sorted((row["part"], tuple(row["first"])) for row in firsts)
+    return replace(ranges, parts=[part for part, _ in firsts], firsts=[key for _, key in firsts])
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
@@ -303,8 +352,8 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
         "doc_id",
         "text",
     )
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("at"))
-    bounds, parts, firsts = _ranges(ids)
+    ranges = _ranges(rows.select("at", "tie"))
+    parts, firsts = ranges.parts, ranges.firsts
     before = {first: part for first, part in zip(firsts[1:], parts[:-1])}
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,25 +361,23 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
         packer = ZstdCompressor(level=PACK_LEVEL)
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            part = np.searchsorted(bounds, at, "right").tolist()
             rows: list[tuple] = []
-            for index, (own, where) in enumerate(zip(at.tolist(), part)):
+            for index, line in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 text = batch.column(3)[index].as_py().encode()
-                line = (own, batch.column(1)[index].as_py())
                 rest = (batch.column(2)[index].as_py(), packer.compress(text))
-                rows.append((where, 0, *line, False, *rest))
+                key = ranges.key(*line)
+                rows.append((ranges.part(key), 0, *line, False, *rest))
                 # The first row of a range also ends the range before it.
-                if own in before:
-                    rows.append((before[own], 0, *line, True, *rest))
-                if own == firsts[0]:
+                if key in before:
+                    rows.append((before[key], 0, *line, True, *rest))
+                if key == firsts[0]:
                     rows.append((parts[-1], 1, *line, True, *rest))
             if rows:
                 yield _dealt(rows)
 
     return (
         rows.mapInArrow(deal, _RANGED)
-        .repartition("part")
+        .repartitionById(len(ranges.bounds) + 1, F.col("part").cast("int"))
         .sortWithinPartitions("part", "wrap", "at", "tie", "ghost")
         .mapInArrow(_walk, _RESULT)
     )

@@ -4,11 +4,14 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tasktrail.llm import merkle
+from tasktrail.llm.merkle import edited, fingerprint_pairs
 from tasktrail.llm.queries import op4_document_fingerprints
 from tests.conftest import FOLDER
 from tests.llm.samples import no_documents, odd_documents, odd_rows
+from tests.schools import settings
 
 
 def check(rows, texts):
@@ -157,3 +160,25 @@ def test_odd_rows(spark):
 
 def test_no_rows(spark):
     assert merkle.fingerprint_pairs(no_documents(spark)).collect() == []
+
+
+def test_rows_of_one_id_are_spread(spark):
+    """Most rows have no id: they are dealt by their texts, and each still meets the row after it."""
+    docs = [(None, f"no id {n} " * 20) for n in range(300)] + [(n, f"own id {n}") for n in range(100)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    with settings(spark, {"spark.sql.shuffle.partitions": "8"}):
+        dealt = fingerprint_pairs(rows)
+        sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+        found = dealt.collect()
+    assert len(sizes) == 8 and max(size["count"] for size in sizes) <= 120
+    tie = {text: row["h"] for text, row in zip(
+        [text for _, text in docs], rows.select(F.xxhash64("text").alias("h")).collect()
+    )}
+    order = sorted(docs, key=lambda doc: (doc[0] is not None, doc[0] or 0, tie[doc[1]]))
+    expected = [
+        (doc_id, len(text), hashlib.sha256(edited(text, order[(i + 1) % len(order)][1]).encode()).hexdigest())
+        for i, (doc_id, text) in enumerate(order)
+    ]
+    assert sorted(map(str, expected)) == sorted(
+        str((row["doc_id"], row["n_chars"], row["edited_sha256"])) for row in found
+    )
