@@ -53,6 +53,8 @@ LOWEST = 1
 DIGITS = HASH_BITS // 4
 EMPTY = ":0:"
 BATCH_BYTES = 4 << 20
+# Up to so many nodes of both sides are compared one by one.
+FEW_NODES = 512
 # Accuracy of the percentiles that bound the ranges of ids.
 PER_RANGE = 20
 PACK_LEVEL = 1
@@ -66,6 +68,15 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+def _spans(bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Last place, first place and length of every run that a bound ends."""
+    ends = bound.nonzero()[0]
+    starts = np.empty_like(ends)
+    starts[0] = 0
+    starts[1:] = ends[:-1] + 1
+    return ends, starts, ends - starts + 1
+
+
 def _raised(
     hashes: np.ndarray, levels: np.ndarray, level: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,14 +89,12 @@ def _raised(
     """
     bound = levels >= level
     bound[-1] = True
-    ends = np.flatnonzero(bound)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    place = np.arange(len(hashes)) - np.repeat(starts, ends - starts + 1)
-    bound |= place % MOST_CHILDREN == MOST_CHILDREN - 1
-    ends = np.flatnonzero(bound)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    count = ends - starts + 1
-    place = np.arange(len(hashes)) - np.repeat(starts, count)
+    ends, starts, count = _spans(bound)
+    place = np.arange(len(hashes)) - starts.repeat(count)
+    if count.max() > MOST_CHILDREN:
+        bound |= place % MOST_CHILDREN == MOST_CHILDREN - 1
+        ends, starts, count = _spans(bound)
+        place = np.arange(len(hashes)) - starts.repeat(count)
     parts = _mix((hashes + np.uint64(1)) * _FACTOR + place.astype(np.uint64))
     joined = _mix(np.add.reduceat(parts, starts) + count.astype(np.uint64)) & _MASK
     return np.where(count == 1, hashes[starts], joined), levels[ends], starts
@@ -156,8 +165,21 @@ class Fingerprint(str):
     tree: Tree
 
 
+def _left_over(own: list[int], others: list[int]) -> np.ndarray:
+    """``_apart`` for one side of few nodes, where one look each is less than a sort."""
+    free = Counter(others)
+    apart = np.ones(len(own), bool)
+    for place, one in enumerate(own):
+        if free.get(one):
+            free[one] -= 1
+            apart[place] = False
+    return apart
+
+
 def _apart(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each hash is without a counterpart, a hash that stands n times having n at most."""
+    if len(one) + len(other) <= FEW_NODES:
+        return _left_over(one.tolist(), other.tolist()), _left_over(other.tolist(), one.tolist())
     both = np.concatenate([one, other])
     order = np.argsort(both, kind="stable")
     ordered = both[order]
@@ -199,7 +221,9 @@ def fingerprint(text: str | bytes, nodes: int = NODES) -> str:
     root = hashlib.sha256(hashes.tobytes() + levels.astype(np.uint8).tobytes() + bytes([level]))
     # The nodes have 40 bits; the leaves' bytes let roots of different texts differ for certain.
     root.update(hashlib.sha256(data).digest())
-    listed = "".join(f"{one:0{DIGITS}x}{bound:x}" for one, bound in zip(hashes.tolist(), levels.tolist()))
+    # A node's hash and the digit of its bound level as one number.
+    numbers = (hashes << np.uint64(4)) | levels.astype(np.uint64)
+    listed = f"%0{DIGITS + 1}x" * len(numbers) % tuple(numbers.tolist())
     mark = Fingerprint(f"{root.hexdigest()[:32]}:{level}:{listed}")
     mark.tree = tree
     return mark
