@@ -219,7 +219,7 @@ def fingerprint(text: str | bytes, nodes: int = NODES) -> str:
     tree = Tree(data, nodes)
     hashes, levels, level = tree.hashes[-1], tree.levels, tree.top
     root = hashlib.sha256(hashes.tobytes() + levels.astype(np.uint8).tobytes() + bytes([level]))
-    # The nodes have 40 bits; the leaves' bytes let roots of different texts differ for certain.
+    # Nodes have 40 bits, which different texts may share; a digest of the leaves' bytes has 256.
     root.update(hashlib.sha256(data).digest())
     # A node's hash and the digit of its bound level as one number.
     numbers = (hashes << np.uint64(4)) | levels.astype(np.uint64)
