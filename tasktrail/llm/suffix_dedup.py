@@ -6,8 +6,8 @@ occur again need to be ordered. Runs of starts with one anchor are rows:
 1. Anchors that occur once are settled. If all runs of an anchor have the same bytes, all
    of their strings repeat, and nothing needs sorting; copies meet in a partial aggregate.
 2. Of the other anchors every distinct run is fetched once, and the suffixes of all runs
-   of an anchor are ordered by deep-shallow sorting (see suffix_order.py). Neighbours that
-   agree over 200 bytes are repeated.
+   of an anchor are ordered by deep-shallow sorting (see suffix_order.py), set by set of
+   those that can be equal. Neighbours that share 200 bytes are repeated.
 3. Repeated starts go back to all documents that have the run, and the bytes they cover
    are cut out.
 

@@ -84,6 +84,36 @@ def test_order_of_suffixes():
     assert found.tolist() == [count[data[i : i + 200]] > 1 for i in places]
 
 
+@pytest.mark.parametrize("letters", [1, 2, 26])
+def test_suffixes_come_in_order_with_common_prefixes(letters):
+    rng = np.random.default_rng(letters)
+    part = rng.integers(97, 97 + letters, 700).astype(np.uint8)
+    near = [part.copy() for _ in range(12)]
+    for copy in near:
+        copy[rng.integers(0, len(copy), 3)] = rng.integers(0, 256, 3)
+    data = b"".join(one.tobytes() for one in near) + b"ab" * 200
+    places = rng.permutation(len(data) - 199)
+    sets = places % 5
+    ordered, common = Suffixes(data, places).order(sets)
+    assert sorted(ordered.tolist()) == list(range(len(places)))
+    rows = [(int(sets[i]), data[places[i] : places[i] + 200]) for i in ordered.tolist()]
+    assert rows == sorted(rows)
+    for (last_set, last), (own_set, own), shared in zip(rows, rows[1:], common[1:].tolist()):
+        if last_set != own_set:
+            assert shared == -1
+        else:
+            plain = next((i for i in range(200) if last[i] != own[i]), 200)
+            assert shared == plain
+    assert common[0] == -1
+
+
+def test_no_suffixes_and_one_suffix():
+    for places in (np.zeros(0, np.int64), np.zeros(1, np.int64)):
+        suffixes = Suffixes(b"x" * 200, places)
+        assert suffixes.order(places)[1].tolist() == [-1] * len(places)
+        assert suffixes.repeated(places).tolist() == [False] * len(places)
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     rows = suffix_dedup.remove_repeats(docs).collect()
