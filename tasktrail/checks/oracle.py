@@ -19,6 +19,7 @@ from tasktrail.checks.parameters import (
     STAFF,
     STUDENT,
     SUBJECT,
+    TAKEN_BACK,
     WIDE_BANDS,
 )
 from tasktrail.sources.versions import ROW_KEYS
@@ -119,6 +120,11 @@ LATEST = """(
     AND "taskId" IS NOT NULL)"""
 
 
+# The attempts that are left after the second batch of changes.
+LEFT = f"""(
+  SELECT "studentId", "staffId", "taskId", "evaluationId", "evaluationTypeId", "evaluationDate" FROM te
+  WHERE ("evaluationDate" >= DATE '{TAKEN_BACK[0]}' AND "evaluationTypeId" = '{TAKEN_BACK[1]}') IS NOT TRUE)"""
+
 ONE = f"= {STUDENT}"
 SEVERAL = f"IN {LIST}"
 OF_FRAME = f'IN ({PRELUDE} SELECT "studentId" FROM staff_students)'
@@ -446,6 +452,11 @@ def statements() -> dict[str, str]:
         "first_presentations": PRELUDE + _first("individual"),
         "first_presentations_validated": PRELUDE + _first("benchmark"),
         "latest_attempts": PRELUDE + f"SELECT * FROM {LATEST}",
+        "latest_attempts_maintained": PRELUDE
+        + f"SELECT * FROM {LATEST.replace('FROM te', f'FROM {LEFT}')}",
+        "first_presentations_maintained": PRELUDE + _first("benchmark").replace("FROM te", f"FROM {LEFT}"),
+        "progress_individual_latest_maintained": progress("individual", latest=True),
+        "progress_benchmark_multidate_maintained": progress_multidate("benchmark", latest=True),
         "attempts_in_range": PRELUDE + f"""SELECT * FROM te
           WHERE {_between('"evaluationDate"', *RANGE)}""",
         "individual_path_with_roots": path_with_roots("individual"),

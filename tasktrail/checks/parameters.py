@@ -33,3 +33,5 @@ LIST = (3, 17, 101, 140)
 STAFF = 1
 SUBJECT = 1
 WIDE_BANDS = ((0, 1_000_000, "low"), (500_000, 3_999_999, "middle"), (4_000_001, 2_000_000_000, "top"))
+# Attempts that the maintained tables take back from this day on, and the type not given again.
+TAKEN_BACK = (dt.date(1997, 1, 1), "AS")

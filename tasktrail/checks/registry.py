@@ -23,6 +23,7 @@ from tasktrail.checks.parameters import (
     STAFF,
     STUDENT,
     SUBJECT,
+    TAKEN_BACK,
     WIDE_BANDS,
 )
 from tasktrail import plans
@@ -33,6 +34,7 @@ from tasktrail.operators.attendance import attendance_counts
 from tasktrail.operators.bands import age_bands, grade_bands
 from tasktrail.operators.keys import ATTEMPT_MOMENT, FIRST_MOMENT, PATH_STEP, key_violations
 from tasktrail.operators.lookups import attach
+from tasktrail.operators.maintained import MaintainedAttempts
 from tasktrail.operators.paths import benchmark_path, describe_path, individual_path
 from tasktrail.operators.progress import date_buckets
 from tasktrail.sources.school import School
@@ -55,6 +57,7 @@ def set_shared_folder(spark: SparkSession) -> None:
 _SCHOOLS: dict[tuple[str, str], School] = {}
 _STREAMS: dict[tuple[str, str, str], str] = {}
 _DEFINED: dict[str, School] = {}
+_MAINTAINED: dict[tuple[str, str], MaintainedAttempts] = {}
 
 
 def school_of(spark: SparkSession, folder: str) -> School:
@@ -362,10 +365,52 @@ def _streams() -> dict[str, Query]:
     }
 
 
+def _maintained_of(spark: SparkSession, folder: str) -> MaintainedAttempts:
+    """All attempts of a folder entered, some taken back, and given again in two batches."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _MAINTAINED:
+        facts = school_of(spark, folder).task_evaluations
+        out = scratch(spark, "maintained")
+        if out is None:
+            raise ValueError("maintained tables need spark.checkpoint.dir")
+        start, kind = TAKEN_BACK
+        late, same = F.col("evaluationDate") >= F.lit(start), F.col("evaluationTypeId") == kind
+        # Few buckets: the given tables are small.
+        made = MaintainedAttempts(spark, out, buckets=8)
+        made.add(0, facts)
+        made.add(1, removed=facts.filter(late))
+        made.add(2, facts.filter(late & ~same))
+        made.add(3, facts.filter(late & same))
+        _MAINTAINED[key] = made
+    return _MAINTAINED[key]
+
+
+def _maintained() -> dict[str, Query]:
+    def with_state(report: Callable[[School, MaintainedAttempts], DataFrame]) -> Query:
+        return lambda spark, folder: report(school_of(spark, folder), _maintained_of(spark, folder))
+
+    return {
+        "latest_attempts_maintained": with_state(lambda s, m: m.latest(upto=2)),
+        "first_presentations_maintained": with_state(
+            lambda s, m: first_presentations(m.attempts(upto=2), s, LOOKUPS)
+        ),
+        "progress_individual_latest_maintained": with_state(
+            lambda s, m: plans.progress_report_individual(s, latest=True, maintained=m)
+        ),
+        "progress_benchmark_multidate_maintained": with_state(
+            lambda s, m: plans.progress_report_benchmark_multidate(
+                s, None, *_flat(BUCKETS), latest=True, as_of=AS_OF, maintained=m
+            )
+        ),
+    }
+
+
 def registered() -> dict[str, Query]:
     def on_school(report: Callable[[School], DataFrame]) -> Query:
         return lambda spark, folder: report(school_of(spark, folder))
 
     reports = _reports() | _operators() | _alerts() | _functions()
     on_tables = {"grade_bands_wide": _grade_bands_wide}
-    return {name: on_school(report) for name, report in reports.items()} | on_tables | _streams()
+    return {name: on_school(report) for name, report in reports.items()} | on_tables | (
+        _maintained() | _streams()
+    )

@@ -11,6 +11,7 @@ from tasktrail.functions.filters import DateLike, Ids, in_scope, sorted_by_defau
 from tasktrail.operators.attempts import attempted_tasks, first_presentations, select_attempts
 from tasktrail.operators.keys import ATTEMPT_MOMENT, FIRST_MOMENT, PATH_STEP, require_unique
 from tasktrail.operators.lookups import attach, task_catalog
+from tasktrail.operators.maintained import MaintainedAttempts
 from tasktrail.operators.paths import (
     benchmark_path,
     individual_path,
@@ -62,13 +63,13 @@ ORDER = (
 
 
 def _facts(
-    school: School, student_ids: Ids, subject_id: int | None, strict: bool
+    school: School, attempts: DataFrame, student_ids: Ids, subject_id: int | None, strict: bool
 ) -> DataFrame:
     """The attempt columns a progress report reads; of one subject's tasks, if given.
 
     A strict report checks the attempts of all subjects.
     """
-    facts = in_scope(school.task_evaluations, "studentId", student_ids)
+    facts = in_scope(attempts, "studentId", student_ids)
     facts = facts.select(
         *with_year(
             facts, "studentId", "staffId", "taskId", "evaluationId", "evaluationTypeId", "evaluationDate"
@@ -80,6 +81,28 @@ def _facts(
     return facts
 
 
+def _sources(
+    school: School,
+    maintained: MaintainedAttempts | None,
+    latest: bool | None,
+    student_ids: Ids,
+    subject_id: int | None,
+    strict: bool,
+) -> tuple[DataFrame, DataFrame, bool | None]:
+    """Where attempts and first presentations come from, and whether to look for the latest.
+
+    Maintained latest attempts need no search: limiting them by date afterwards is what
+    ``select_attempts`` does with those it finds.
+    """
+    scope = (student_ids, subject_id, strict)
+    if maintained is None:
+        facts = _facts(school, school.task_evaluations, *scope)
+        return facts, facts, latest
+    every = _facts(school, maintained.attempts(), *scope)
+    chosen = _facts(school, maintained.latest(), *scope) if latest else every
+    return chosen, every, False
+
+
 def _check_keys(path: DataFrame, attempts: DataFrame, first: DataFrame) -> None:
     require_unique(first, FIRST_MOMENT, "first presentations")
     require_unique(attempts, ATTEMPT_MOMENT, "attempts")
@@ -158,16 +181,18 @@ def progress_report_individual(
     end: DateLike = None,
     strict: bool = False,
     ordered: bool | None = None,
+    maintained: MaintainedAttempts | None = None,
 ) -> DataFrame:
     """A student's own task path against the attempts.
 
     ``latest`` keeps the latest attempts per staff and task. ``strict`` raises on keys
     that should be unique. ``ordered`` None sorts the report of named students and
-    leaves the report of all students unsorted.
+    leaves the report of all students unsorted. ``maintained`` gives the attempts in place
+    of the school's table.
     """
     path = individual_path(school, student_ids, subject_id)
-    facts = _facts(school, student_ids, subject_id, strict)
-    first = first_presentations(facts)
+    facts, every, latest = _sources(school, maintained, latest, student_ids, subject_id, strict)
+    first = first_presentations(every)
     ordered = sorted_by_default(ordered, student_ids)
     return _report(school, path, facts, first, latest, start, end, strict, ordered)
 
@@ -185,6 +210,7 @@ def progress_report_individual_multidate(
     latest: bool | None = False,
     strict: bool = False,
     ordered: bool | None = None,
+    maintained: MaintainedAttempts | None = None,
 ) -> DataFrame:
     """The individual report split in three date buckets, numbered by ``delimiter``.
 
@@ -192,8 +218,8 @@ def progress_report_individual_multidate(
     another bucket reaches further.
     """
     path = individual_path(school, student_ids, subject_id)
-    facts = _facts(school, student_ids, subject_id, strict)
-    first = first_presentations(facts)
+    facts, every, latest = _sources(school, maintained, latest, student_ids, subject_id, strict)
+    first = first_presentations(every)
     buckets = ((start_one, end_one), (start_two, end_two), (start_three, end_three))
     ordered = sorted_by_default(ordered, student_ids)
     return _bucket_report(school, path, facts, first, latest, buckets, strict, ordered)
@@ -214,6 +240,7 @@ def progress_report_benchmark(
     as_of: dt.date | None = None,
     strict: bool = False,
     ordered: bool | None = None,
+    maintained: MaintainedAttempts | None = None,
 ) -> DataFrame:
     """The task path of a student's age group against the attempts.
 
@@ -221,8 +248,8 @@ def progress_report_benchmark(
     the age, today if left out.
     """
     path = benchmark_path(school, student_ids, subject_id, as_of)
-    facts = _facts(school, student_ids, subject_id, strict)
-    first = first_presentations(facts, school, BENCHMARK_CHECKS)
+    facts, every, latest = _sources(school, maintained, latest, student_ids, subject_id, strict)
+    first = first_presentations(every, school, BENCHMARK_CHECKS)
     ordered = sorted_by_default(ordered, student_ids)
     return _report(school, path, facts, first, latest, start, end, strict, ordered)
 
@@ -241,11 +268,12 @@ def progress_report_benchmark_multidate(
     as_of: dt.date | None = None,
     strict: bool = False,
     ordered: bool | None = None,
+    maintained: MaintainedAttempts | None = None,
 ) -> DataFrame:
     """The benchmark report split in three date buckets, numbered by ``delimiter``."""
     path = benchmark_path(school, student_ids, subject_id, as_of)
-    facts = _facts(school, student_ids, subject_id, strict)
-    first = first_presentations(facts, school, BENCHMARK_CHECKS)
+    facts, every, latest = _sources(school, maintained, latest, student_ids, subject_id, strict)
+    first = first_presentations(every, school, BENCHMARK_CHECKS)
     buckets = ((start_one, end_one), (start_two, end_two), (start_three, end_three))
     ordered = sorted_by_default(ordered, student_ids)
     return _bucket_report(school, path, facts, first, latest, buckets, strict, ordered)
