@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tasktrail import plans
+from tasktrail.operators import maintained
 from tasktrail.operators.attempts import latest_attempts
 from tasktrail.operators.maintained import COPIES, MOMENT, MaintainedAttempts
 from tasktrail.sources.versions import ROW_KEYS
@@ -160,3 +161,18 @@ def test_reports_do_not_read_the_fact(spark, tmp_path, latest, dates):
         assert sorted(map(str, report(maintained=kept).collect())) == sorted(map(str, report().collect()))
         plan = explained(report(maintained=kept))
         assert not scans(plan, "fact") and scans(plan, "kept")
+
+
+def test_a_rewrite_shuffles_its_rows_once_and_parts_large_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(maintained, "ROWS_PER_TASK", 20)
+    kept = MaintainedAttempts(spark, str(tmp_path), buckets=2)
+    rng = random.Random(1)
+    rows = [made_up(rng) for _ in range(200)]
+    kept.add(0, attempts(spark, rows))
+    kept.add(1, removed=attempts(spark, rows[:50]))
+    assert agrees(spark, kept, rows[50:]) and agrees(spark, kept, rows, upto=0)
+    files = [list(one.glob("*.parquet")) for one in (tmp_path / "batch=1/moments").glob("bucket=*")]
+    assert max(map(len, files)) > 1
+    assert {one.name for one in (tmp_path / "batch=1").iterdir() if one.is_dir()} == {"moments", "touched"}
+    marked = kept._marked(kept.moments().unionAll(kept.moments(upto=0)), 4)
+    assert explained(marked).count("Exchange (") == 1
