@@ -14,11 +14,14 @@ from tasktrail.operators.attempts import (
 )
 from tasktrail.operators.attendance import attendance_counts
 from tasktrail.operators.bands import age_bands, band_blocks, grade_bands
-from tasktrail.operators.keys import DuplicateKeyError, key_violations, require_unique
+from tasktrail.operators import paths
+from tasktrail.operators.keys import PATH_STEP, DuplicateKeyError, key_violations, require_unique
 from tasktrail.operators.lookups import attach, spread_join, task_catalog
 from tasktrail.operators.paths import benchmark_path, describe_path, individual_path
 from tasktrail.operators.progress import date_buckets
+from tasktrail.sources import tpch_school
 from tests.schools import ROWS, attempt, presence, rows_of, school, table
+from tests.test_plans import explained
 
 T, D = dt.datetime, dt.date
 
@@ -315,3 +318,23 @@ def test_catalog_drops_tasks_without_a_known_subject(spark):
     assert sorted(rows_of(task_catalog(made), "taskId")) == [(10,), (11,)]
     assert sorted(rows_of(task_catalog(made, with_grades=False), "taskId")) == [(10,), (11,), (12,), (13,)]
     assert rows_of(task_catalog(made, 2), "taskId") == []
+
+
+def test_students_are_dealt_before_their_path_rows_are_made(spark, monkeypatch):
+    made = school(spark)
+    plain = sorted(map(str, benchmark_path(made, as_of=D(2020, 1, 1)).collect()))
+    monkeypatch.setattr(paths, "ROWS_PER_TASK", 2)
+    assert sorted(map(str, benchmark_path(made, as_of=D(2020, 1, 1)).collect())) == plain
+    dealt = benchmark_path(made, as_of=D(2020, 1, 1))
+    assert "REPARTITION_BY_NUM" in explained(dealt)
+    # Students meet in their part, so the many path rows are not shuffled to be counted.
+    counted = explained(key_violations(dealt, PATH_STEP))
+    assert counted.count("Exchange (") == explained(dealt).count("Exchange (")
+
+
+def test_customers_are_dealt_before_their_edges_are_made(spark, monkeypatch):
+    monkeypatch.setattr(tpch_school, "CUSTOMERS_PER_TASK", 10)
+    customers = spark.range(0, 35, 1, 1).withColumnRenamed("id", "c_custkey")
+    dealt = tpch_school._dealt(customers)
+    assert dealt.rdd.getNumPartitions() == 4
+    assert sorted(row[0] for row in dealt.collect()) == list(range(35))
