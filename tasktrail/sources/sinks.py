@@ -24,7 +24,7 @@ def write_alerts(alerts: Alerts, folder: str, batch: int | str) -> None:
 
 
 def write_batch(rows: DataFrame, folder: str, output: str, batch: int | str) -> None:
-    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{output}/batch={batch}")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder.rstrip('/')}/{output}/batch={batch}")
 
 
 def _read(spark: SparkSession, folder: str, output: str, schema: StructType) -> DataFrame:

@@ -96,9 +96,8 @@ def alert_stream(
     pinned = PinnedSchools(spark, f"{folder.rstrip('/')}/pinned", table)
 
     def write(batch: DataFrame, number: int) -> None:
-        # Several outputs read the batch; kept, it is taken from its source once.
-        batch.persist()
-        fresh = taken.fresh(batch, number).persist() if ledger else batch
+        # Several outputs read the fresh changes; kept, the batch is taken from its source once.
+        fresh = (taken.fresh(batch, number) if ledger else batch).persist()
         try:
             alerts = build(pinned.school(school, fresh, number), fresh, str(number))
             write_alerts(alerts, folder, number)
@@ -106,7 +105,6 @@ def alert_stream(
                 taken.add(fresh.select("changeId"), number)
         finally:
             fresh.unpersist()
-            batch.unpersist()
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()

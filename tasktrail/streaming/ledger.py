@@ -74,20 +74,24 @@ class Ledger:
         """The changes that no earlier batch took, one of each id, and all without an id.
 
         Of several with one id in the batch the least by its columns is taken, so a rerun
-        takes the same.
+        takes the same. The rows are shuffled once, before any sort: sorted where they are
+        read, a batch of large files would spill there.
         """
-        known = F.col("changeId").isNotNull()
         others = [name for name in changes.columns if name != "changeId"]
+        # A change without an id is a group of its own.
+        alone = F.when(F.col("changeId").isNull(), F.monotonically_increasing_id())
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        part = F.pmod(F.xxhash64("changeId", "_alone"), F.lit(parts)).cast("int")
         once = (
-            changes.filter(known)
-            .groupBy("changeId")
+            changes.withColumn("_alone", alone)
+            .withColumn("_part", part)
+            .repartitionById(parts, "_part")
+            .groupBy("_part", "changeId", "_alone")
             .agg(F.min(F.struct(*others)).alias("row"))
             .select(*(F.col("changeId") if c == "changeId" else F.col(f"row.{c}") for c in changes.columns))
         )
-        seen = self.seen(once.select("changeId"), batch)
-        if seen is not None:
-            once = once.join(seen, "changeId", "left_anti")
-        return once.unionByName(changes.filter(~known))
+        seen = self.seen(once.select("changeId").filter(F.col("changeId").isNotNull()), batch)
+        return once if seen is None else once.join(seen, "changeId", "left_anti")
 
     def seen(self, ids: DataFrame, batch: int) -> DataFrame | None:
         """Those ids that earlier batches took; None if no bucket may hold one."""
@@ -125,12 +129,7 @@ class Ledger:
         ids = self.spark.read.schema("changeId string, bucket int").parquet(
             f"{self.folder}/{name}/ids"
         )
-        bitmaps = (
-            _places(ids.select("changeId"))
-            .groupBy("bucket", "segment")
-            .agg(F.bitmap_construct_agg("bit").alias("bits"))
-        )
-        self._filters(name, bitmaps)
+        self._filters(name, _bitmaps(_places(ids.select("changeId"))))
         if (batch + 1) % RUN == 0:
             self.merge(batch + 1 - RUN, batch)
 
@@ -161,10 +160,11 @@ class Ledger:
         # Filters mark a folder as complete, so those of an earlier try go first.
         self._files.delete(self._path(name), True)
         rows = ids.select("changeId", "bucket").repartition("bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/ids")
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{name}/ids")
 
     def _filters(self, name: str, bitmaps: DataFrame) -> None:
-        bitmaps.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{name}/filters")
+        # A shuffle of at most 8 MB; coalesced, one task would also make all of them.
+        bitmaps.repartition(1).write.mode("overwrite").parquet(f"{self.folder}/{name}/filters")
 
 
 def _bucket() -> Column:
@@ -191,6 +191,20 @@ def _places(ids: DataFrame) -> DataFrame:
     )
 
 
+def _bitmaps(places: DataFrame) -> DataFrame:
+    """One bitmap per bucket and segment.
+
+    The bitmap functions sort their input, so places first meet in words of 64 bits, by a hash
+    aggregate that holds at most the words of the filters: as many ids as there are, few rows go on.
+    """
+    word = F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word")
+    words = places.groupBy("bucket", "segment", F.floor(F.col("bit") / 64).alias("at")).agg(word)
+    ones = F.expr("filter(sequence(0, 63), one -> (shiftrightunsigned(word, one) & 1L) = 1L)")
+    bits = words.repartitionById(BUCKETS, "bucket").select("bucket", "segment", "at", F.explode(ones).alias("one"))
+    bit = F.col("at") * 64 + F.col("one")
+    return bits.groupBy("bucket", "segment").agg(F.bitmap_construct_agg(bit).alias("bits"))
+
+
 def _bit_is_set(bits: str, bit: str) -> Column:
     byte = f"cast(conv(hex(substring({bits}, cast({bit} div 8 as int) + 1, 1)), 16, 10) as int)"
     return F.expr(f"(({byte} >> cast({bit} % 8 as int)) & 1) = 1")

@@ -15,8 +15,9 @@ from tasktrail.sources.school import School
 from tasktrail.sources.sinks import read_messages, read_stored, read_user_messages
 from tasktrail.sources.versions import ROW_KEYS, compact, compacted, current, forget, read_current
 from tasktrail.streaming import ledger as ledgers
-from tasktrail.streaming.ledger import Ledger
+from tasktrail.streaming.ledger import Ledger, _bitmaps, _places
 from tests.schools import presence, rows_of, school, table
+from tests.test_plans import explained
 from tests.test_streaming import FIRST, deliver, run
 
 T = dt.datetime
@@ -230,3 +231,22 @@ def test_versions_of_null_keys_and_of_one_batch(spark, tmp_path):
     empty = made.attendance.limit(0)
     notes = sorted(row[0] for row in rows_of(current(spark, empty, "attendance", str(tmp_path)), "note"))
     assert notes == ["b", "new"]
+
+
+def test_ledger_filters_and_fresh_changes_do_not_sort_what_they_read(spark, tmp_path):
+    taken = Ledger(spark, str(tmp_path / "ledger"))
+    ids = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("changeId"))
+    asked = _places(ids)
+    direct = asked.groupBy("bucket", "segment").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    made = _bitmaps(asked)
+    as_rows = lambda frame: {(r["bucket"], r["segment"]): bytes(r["bits"]) for r in frame.collect()}
+    assert as_rows(made) == as_rows(direct)
+    # The places are hashed, not sorted, before their first shuffle.
+    assert "partial_bit_or" in explained(made)
+    changes = ids.withColumn("n", F.col("changeId")).unionByName(ids.limit(5).withColumn("n", F.lit("a")))
+    changes = changes.unionAll(spark.sql("SELECT CAST(NULL AS STRING), x FROM VALUES ('u'), ('u'), ('v') AS t(x)"))
+    fresh = taken.fresh(changes, 0)
+    assert explained(fresh).count("Exchange (") == explained(changes).count("Exchange (") + 1
+    rows = fresh.collect()
+    assert len(rows) == 3003 and sorted(r["n"] for r in rows if r["changeId"] is None) == ["u", "u", "v"]
+    assert sum(r["n"] == "a" for r in rows) == 5
