@@ -72,4 +72,4 @@ def test_only_texts_without_a_letter_go_for_want_of_a_language(spark, tmp_path,
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert {name.split("_")[0] for name in names if name.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in names if name.startswith("op")} == {f"op{n}" for n in range(1, 14)}
