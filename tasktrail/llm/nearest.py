@@ -7,7 +7,8 @@ projected onto random lines; each line keeps its candidates in one sorted array.
 opens a window around its own projection on every line and widens all windows by a
 constant factor (virtual rehashing). A candidate that lies in the windows of half of the
 lines has collided often enough; once a share ``VERIFY`` of the block has, these are
-verified by their inner product with the original vectors.
+verified by their inner product with the original vectors. The width at which this happens
+hardly differs between queries, so each looks for its own from that of the queries before.
 
 Queries go to every block, in batches; no pair leaves a block but the best of each query.
 Vectors that are null, empty, zero or hold a null or a non-finite component take no part;
@@ -36,6 +37,8 @@ SEED = 11
 BLOCK_MOST = 32_768
 BLOCK_LEAST = 2_048
 QUERIES_AT_A_TIME = 256
+# Candidates whose places are compared at a time.
+CACHED = 8_192
 
 
 def level(vectors: np.ndarray) -> np.ndarray:
@@ -50,7 +53,8 @@ class Block:
     def __init__(self, vectors: np.ndarray, members: list[list[int]], keep: int):
         self.vectors, self.members, self.keep = vectors, members, keep
         # Distances need no more than proportions, whose squares neither overflow nor vanish.
-        self.leveled = vectors = level(vectors)
+        vectors = level(vectors)
+        self.rough = vectors.astype(np.float32)
         norms = np.sqrt((vectors**2).sum(axis=1))
         self.radius = float(norms.max())
         slack = np.sqrt(np.maximum(self.radius**2 - norms**2, 0))
@@ -63,6 +67,10 @@ class Block:
         self.place = np.empty(order.shape, np.uint16)
         np.put_along_axis(self.place, order, np.arange(len(vectors), dtype=np.uint16)[None], axis=1)
         self.unit = self.radius / np.sqrt(vectors.shape[1])
+        # Where the last queries found enough candidates, and room to compare places.
+        self.step = 0
+        self.offset = np.empty((LINES, min(CACHED, len(vectors))), np.uint16)
+        self.inside = np.empty(self.offset.shape, bool)
 
     def search(self, queries: np.ndarray) -> list[list[tuple[int, float]]]:
         """The best ids and inner products for every query, at most ``keep``."""
@@ -71,39 +79,66 @@ class Block:
         leveled = np.stack([level(query) for query in queries])
         scale = self.radius / np.sqrt((leveled**2).sum(axis=1))
         centre = (leveled * scale[:, None]) @ self.lines
-        # No candidate is further than this on any line.
+        # No candidate is further than this on any line: the last width holds all of them.
         furthest = np.abs(self.sorted).max() + np.abs(centre).max()
+        widths = [FIRST_WINDOW * self.unit * np.sqrt(self.lines.shape[0])]
+        while widths[-1] <= furthest:
+            widths.append(widths[-1] * WIDEN)
+        widths = np.array(widths)
+        # Wider windows hold what narrower ones do, so each query looks for its first width
+        # with enough candidates from where the queries before it ended.
+        step = np.full(len(queries), min(self.step, len(widths) - 1))
+        too_few = np.full(len(queries), -1)
+        ended = np.full(len(queries), len(widths))
+        collided: list[np.ndarray | None] = [None] * len(queries)
         open_ = np.arange(len(queries))
-        width = FIRST_WINDOW * self.unit * np.sqrt(self.lines.shape[0])
-        found: list[list[tuple[int, float]]] = [[] for _ in queries]
         while len(open_):
-            low, high = (
-                np.stack(
-                    [row.searchsorted(one, side) for row, one in zip(self.sorted, edge.T)], axis=1
-                ).astype(np.uint16)
-                for side, edge in (("left", centre[open_] - width), ("right", centre[open_] + width))
-            )
-            still = []
+            low, high = self._windows(centre[open_], widths[step[open_]])
             for index, query in enumerate(open_.tolist()):
-                # Unsigned: a place below the window wraps round to a large number.
-                inside = (self.place - low[index][:, None]) < (high[index] - low[index])[:, None]
-                collided = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= LINES // 2)
-                if len(collided) >= enough or width > furthest:
-                    found[query] = self._verified(queries[query], leveled[query], collided)
+                inside = np.flatnonzero(self._collisions(low[index], high[index]) >= LINES // 2)
+                if len(inside) >= enough or step[query] == len(widths) - 1:
+                    collided[query], ended[query] = inside, step[query]
                 else:
-                    still.append(query)
-            open_ = np.array(still, np.int64)
-            width *= WIDEN
-        return found
+                    too_few[query] = step[query]
+            step = np.where(ended < len(widths), ended - 1, too_few + 1)
+            open_ = np.flatnonzero(ended - too_few > 1)
+        if len(queries):
+            self.step = int(np.median(ended))
+        return [
+            self._verified(query, even, inside)
+            for query, even, inside in zip(queries, leveled, collided)
+        ]
+
+    def _windows(self, centre: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The first place in the window of every query and line, and the first one beyond."""
+        return tuple(
+            np.stack(
+                [row.searchsorted(one, side) for row, one in zip(self.sorted, edge.T)], axis=1
+            ).astype(np.uint16)
+            for side, edge in (("left", centre - width[:, None]), ("right", centre + width[:, None]))
+        )
+
+    def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """On how many lines each candidate lies in the window; a part that fits a cache at a time."""
+        size = self.place.shape[1]
+        count = np.empty(size, np.uint8)
+        low, wide = low[:, None], (high - low)[:, None]
+        for begin in range(0, size, CACHED):
+            part = self.place[:, begin : begin + CACHED]
+            # Unsigned: a place below the window wraps round to a large number.
+            offset = np.subtract(part, low, out=self.offset[:, : part.shape[1]])
+            inside = np.less(offset, wide, out=self.inside[:, : part.shape[1]])
+            inside.view(np.uint8).sum(axis=0, dtype=np.uint8, out=count[begin : begin + CACHED])
+        return count
 
     def _verified(
         self, query: np.ndarray, leveled: np.ndarray, candidates: np.ndarray
     ) -> list[tuple[int, float]]:
         if len(candidates) > self.keep:
-            # Rounding differs from the sums below; what is near the last kept score stays in.
-            scores = self.leveled[candidates] @ leveled
+            # What is near the last kept score stays in, by more than single precision can err.
+            scores = self.rough.take(candidates, axis=0) @ leveled.astype(np.float32)
             least = np.partition(scores, -self.keep)[-self.keep]
-            room = 1e-9 * self.radius * np.sqrt((leveled**2).sum())
+            room = (len(query) + 8) * 2.0**-22 * self.radius * np.sqrt((leveled**2).sum())
             candidates = candidates[scores >= least - room]
         with np.errstate(over="ignore", invalid="ignore"):
             scores = (self.vectors[candidates] * query).sum(axis=1)

@@ -89,6 +89,35 @@ def test_very_large_and_very_small_components_end():
     assert mixed.search(np.array([[1.0, 0.0]]))[0] == [(1, 1e200), (3, 1.0), (2, 0.0)]
 
 
+def by_widening(block, query, keep):
+    """The best members among those that collide at the first width with enough of them."""
+    size, even = len(block.vectors), ann.level(query)
+    centre = even * (block.radius / np.sqrt((even**2).sum())) @ block.lines
+    apart = np.abs(block.sorted[np.arange(ann.LINES)[:, None], block.place] - centre[:, None])
+    width = ann.FIRST_WINDOW * block.unit * np.sqrt(len(block.lines))
+    while (collided := (apart <= width).sum(axis=0) >= ann.LINES // 2).sum() < keep + int(ann.VERIFY * size):
+        width *= ann.WIDEN
+    own = np.flatnonzero(collided)
+    scores = (block.vectors[own] * query).sum(axis=1)
+    best = np.lexsort((own, -scores))[:keep]
+    return [(int(own[i]), float(scores[i])) for i in best]
+
+
+def test_widths_are_found_from_those_of_the_queries_before(monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(900, 16)) * rng.uniform(0.2, 3, (900, 1))
+    queries = rng.normal(size=(120, 16)) * rng.uniform(1e-3, 1e3, (120, 1))
+    monkeypatch.setattr(ann, "CACHED", 400)
+    block, looks = ann.Block(vectors, [[i] for i in range(900)], 10), []
+    plain = block._collisions
+    block._collisions = lambda *window: looks.append(1) or plain(*window)
+    wanted = [by_widening(block, query, 10) for query in queries]
+    assert block.search(queries) == wanted
+    looks.clear()
+    assert block.search(queries[::-1]) == wanted[::-1]
+    assert len(looks) < 3 * len(queries)
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(none, F.col("vec_id") % 20 == 0, 20).collect() == []
