@@ -1,15 +1,16 @@
 """Suffix-array dedup: remove every byte inside a string of 200 bytes that also starts elsewhere.
 
 Equal strings share an anchor (see anchors.py), so only suffixes around anchors that
-occur again need to be ordered. Runs of starts with one anchor are rows:
+occur again need to be ordered. Runs of starts with one anchor are rows, equal runs of a
+document one row with all their places:
 
 1. Anchors that occur once are settled. If all runs of an anchor have the same bytes, all
    of their strings repeat, and nothing needs sorting; copies meet in a partial aggregate.
 2. Of the other anchors every distinct run is fetched once, and the suffixes of all runs
    of an anchor are ordered by deep-shallow sorting (see suffix_order.py), set by set of
    those that can be equal. Neighbours that share 200 bytes are repeated.
-3. Repeated starts go back to all documents that have the run, and the bytes they cover
-   are cut out.
+3. Repeated starts go back to all documents that have the run, one row of stretches per
+   run, and the bytes they cover are cut out.
 
 An anchor with more than ``RUNS_PER_TASK`` distinct runs would be too much for one task.
 Its strings are dealt by their own hash instead and counted by a partial aggregate.
@@ -47,9 +48,9 @@ SORT_BYTES = 3 << 20
 BATCH_BYTES = 4 << 20
 PACK_LEVEL = 1
 
-_RUN = "anchor long, run long, key long, place long"
+_RUN = "anchor long, run long, key long, place long, more array<long>"
 _STRING = "anchor long, run long, copies long, first int, string binary"
-_FOUND = "anchor long, run long, low int, high int"
+_FOUND = "anchor long, run long, stretches array<struct<low:int,high:int>>"
 # A place holds first start, number of starts and distance to the anchor in one integer.
 _FIELD = 8
 
@@ -94,7 +95,10 @@ def _unpack(packed: bytes) -> bytes:
 
 
 def anchor_runs(keyed: DataFrame) -> DataFrame:
-    """One row per run of starts that share an anchor."""
+    """One row per run of starts that share an anchor, with all its places in a document.
+
+    The first is ``place``; where the document (in one block) has others, ``more`` lists them.
+    """
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -102,20 +106,46 @@ def anchor_runs(keyed: DataFrame) -> DataFrame:
             texts = [one.as_py() for one in batch.column(1).cast(pa.binary())]
             for number, anchor, run, first, count, distance in runs(texts):
                 place = (first << 2 * _FIELD) | (count << _FIELD) | distance
+                by = np.lexsort((first, run, anchor, number))
+                number, anchor, run, place = number[by], anchor[by], run[by], place[by]
+                new = np.ones(len(by), bool)
+                new[1:] = (number[1:] != number[:-1]) | (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1])
+                own = np.flatnonzero(new)
+                others = np.diff(np.append(own, len(by))) - 1
+                more = pa.ListArray.from_arrays(
+                    np.concatenate([[0], np.cumsum(others)]).astype(np.int32),
+                    pa.array(place[~new]),
+                    mask=pa.array(others == 0),
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(run), pa.array(keys[number]), pa.array(place)],
-                    ["anchor", "run", "key", "place"],
+                    [
+                        pa.array(anchor[own]),
+                        pa.array(run[own]),
+                        pa.array(keys[number[own]]),
+                        pa.array(place[own]),
+                        more,
+                    ],
+                    ["anchor", "run", "key", "place", "more"],
                 )
 
     return keyed.select("key", "text").mapInArrow(released(find), _RUN)
 
 
-def _first() -> Column:
-    return F.shiftright("place", 2 * _FIELD)
+def _copies() -> Column:
+    """How many places a row has."""
+    return 1 + F.coalesce(F.array_size("more"), F.lit(0))
 
 
-def _count() -> Column:
-    return F.shiftright("place", _FIELD).bitwiseAND(F.lit((1 << _FIELD) - 1))
+def _places() -> Column:
+    return F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<long>")))
+
+
+def _span(place: Column, low: Column | None = None, high: Column | None = None) -> Column:
+    """The bytes that the starts of a run at ``place`` cover, or some of them."""
+    first = F.shiftright(place, 2 * _FIELD)
+    low = F.lit(0) if low is None else low
+    high = F.shiftright(place, _FIELD).bitwiseAND(F.lit((1 << _FIELD) - 1)) if high is None else high
+    return F.struct((first + low).alias("start"), (first + high + (LENGTH - 1)).alias("end"))
 
 
 def _strings(packed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -186,14 +216,25 @@ def _order(
     repeated = Suffixes(b"".join(strings), begins[number] + inside).repeated(sets)
     repeated |= (copies > 1)[number]
     own, low, high = _stretches(repeated, edges)
+    return _found(anchors, names, own, low, high)
+
+
+def _found(
+    anchors: np.ndarray, names: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray
+) -> pa.RecordBatch:
+    """One row per run that has a stretch; ``own`` says whose each is, in ascending order."""
+    begin = np.flatnonzero(np.diff(own, prepend=-1))
+    stretches = pa.StructArray.from_arrays(
+        [pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["low", "high"]
+    )
+    edges = np.append(begin, len(own)).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(anchors[own]),
-            pa.array(names[own]),
-            pa.array(low.astype(np.int32)),
-            pa.array(high.astype(np.int32)),
+            pa.array(anchors[own[begin]]),
+            pa.array(names[own[begin]]),
+            pa.ListArray.from_arrays(edges, stretches),
         ],
-        ["anchor", "run", "low", "high"],
+        ["anchor", "run", "stretches"],
     )
 
 
@@ -257,16 +298,27 @@ def _dealt(strings: DataFrame) -> DataFrame:
     dealt = written(dealt, "dealt-strings")
     counted = dealt.groupBy("anchor", "string").agg(F.sum("copies").alias("_all"))
     several = written(counted.filter(F.col("_all") > 1).drop("_all"), "dealt-repeats")
-    return dealt.join(several, ["anchor", "string"], "left_semi").select(
-        "anchor", "run", "low", (F.col("low") + 1).alias("high")
-    )
+    # A run has less than LENGTH starts.
+    repeated = dealt.join(several, ["anchor", "string"], "left_semi")
+    lows = repeated.groupBy("anchor", "run").agg(F.collect_list("low").alias("lows"))
+
+    def stretch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors, names, lists = batch.columns
+            counts = lists.value_lengths().to_numpy()
+            mask = np.zeros(LENGTH * len(counts), bool)
+            mask[np.repeat(np.arange(len(counts)) * LENGTH, counts) + lists.flatten().to_numpy()] = True
+            found = _stretches(mask, np.arange(len(counts) + 1) * LENGTH)
+            yield _found(anchors.to_numpy(), names.to_numpy(), *found)
+
+    return lows.mapInArrow(stretch, _FOUND)
 
 
 def repeated_spans(keyed: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> DataFrame:
     """``key`` and ``spans``, the bytes [start, end) to remove, unsorted and overlapping."""
     found = written(anchor_runs(keyed), "anchor-runs")
     by_anchor = found.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")
+        F.sum(_copies()).alias("n"), F.min("run").alias("low"), F.max("run").alias("high")
     )
     again = written(
         by_anchor.filter(F.col("n") > 1).select("anchor", (F.col("low") == F.col("high")).alias("alike")),
@@ -274,13 +326,11 @@ def repeated_spans(keyed: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> Data
     )
     shared = written(found.join(again, "anchor"), "shared-runs")
     remove(found)
-    alike = shared.filter("alike").select(
-        "key", _first().alias("start"), (_first() + _count() + (LENGTH - 1)).alias("end")
-    )
+    alike = shared.filter("alike").select("key", F.transform(_places(), lambda place: _span(place)).alias("spans"))
     mixed = shared.filter(~F.col("alike"))
     distinct = written(
         mixed.groupBy("anchor", "run")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("key", "place")).alias("one"))
+        .agg(F.sum(_copies()).alias("copies"), F.min(F.struct("key", "place")).alias("one"))
         .select("anchor", "run", "copies", "one.key", "one.place"),
         "distinct-runs",
     )
@@ -297,15 +347,18 @@ def repeated_spans(keyed: DataFrame, runs_per_task: int = RUNS_PER_TASK) -> Data
         crowd = distinct.join(crowded, "anchor", "left_semi")
         repeated = repeated.unionByName(_dealt(_strings(_packed(keyed), crowd)))
     repeated = written(repeated, "repeated-starts")
-    start = _first() + F.col("low")
-    sorted_out = mixed.join(repeated, ["anchor", "run"]).select(
-        "key", start.alias("start"), (_first() + F.col("high") + (LENGTH - 1)).alias("end")
+    spans = F.flatten(
+        F.transform(
+            _places(),
+            lambda place: F.transform("stretches", lambda one: _span(place, one["low"], one["high"])),
+        )
     )
+    sorted_out = mixed.join(repeated, ["anchor", "run"]).select("key", spans.alias("spans"))
     return (
         alike.unionByName(sorted_out)
         .groupBy("key")
         # Equal rows have one key and equal spans, which are kept once.
-        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        .agg(F.flatten(F.collect_set("spans")).alias("spans"))
     )
 
 

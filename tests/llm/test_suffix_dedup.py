@@ -148,6 +148,25 @@ def test_repeated_rows_keep_their_spans_once(spark):
     assert cut.count() == len(rows)
 
 
+def test_equal_runs_of_a_document_are_one_row(spark):
+    line = "".join(chr(97 + i * i % 26) for i in range(260)) + "#"
+    texts = [line * 30 + f"tail {i}" for i in range(3)] + [line[:230] + "other", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    keyed = suffix_dedup._keyed(docs)
+    found = suffix_dedup.anchor_runs(keyed)
+    assert found.count() == found.select("key", "anchor", "run").distinct().count()
+    places = found.select(F.explode(suffix_dedup._places()).alias("place"))
+    starts = places.agg(F.sum(F.shiftright("place", 8).bitwiseAND(F.lit(255)))).first()[0]
+    assert starts == sum(max(0, len(text) - 199) for text in texts)
+    for limit in (20_000, 1):
+        rows = {row["doc_id"]: row for row in suffix_dedup.remove_repeats(docs, limit).collect()}
+        for number, wanted in enumerate(expected([text.encode() for text in texts])):
+            row = rows[number]
+            removed = sum(span["end"] - span["start"] for span in row["spans"])
+            own = (row["n_bytes"], removed, len(row["spans"]), hashlib.sha256(row["kept"]).hexdigest())
+            assert own == wanted
+
+
 def test_no_rows(spark):
     assert suffix_dedup.remove_repeats(no_documents(spark)).collect() == []
     assert suffix_dedup.without_repeats(no_documents(spark)).collect() == []
