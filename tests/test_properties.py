@@ -1,5 +1,6 @@
 """Relations between reports that hold on any data."""
 
+import glob
 from collections import Counter
 
 import pytest
@@ -7,11 +8,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tasktrail.checks.oracle import statements
-from tasktrail.checks.parameters import AS_OF, BUCKETS, RANGE
+from tasktrail.checks.parameters import AS_OF, BUCKETS, RANGE, STUDENT
 from tasktrail.checks.registry import registered
 from tasktrail import plans
 from tasktrail.operators.paths import individual_path
 from tasktrail.sources.school import School
+from tasktrail.sources.shared_folder import shared_folder
+from tasktrail.sources.tpch_school import derive_school
+from tests.conftest import FOLDER
 from tests.schools import rows_of, school, settings, table
 
 FLAT = [day for bucket in BUCKETS for day in bucket]
@@ -130,3 +134,21 @@ def test_entry_points(spark):
     assert set(registered()) == set(statements())
     assert set(registered()) <= set(entry_points.queries())
     assert set(statements()) <= set(entry_points.oracle_sql())
+
+
+def test_rosters_are_made_when_they_are_first_read(spark):
+    def made():
+        return set(glob.glob(f"{shared_folder(spark)}/staff_students-*"))
+
+    before = made()
+    derived = derive_school(spark, FOLDER)
+    assert plans.progress_report_benchmark(derived, STUDENT, as_of=AS_OF).count() > 0
+    assert made() == before
+    listed = derived.task_evaluations.filter("(studentId + staffId) % 5 != 0")
+    pairs = listed.select("staffId", "studentId").distinct()
+    assert sorted(derived.staff_students.collect()) == sorted(pairs.collect())
+    assert len(made() - before) == 1
+    other = derived.replace(staff=derived.staff)
+    assert other.rows("staff_students") == derived.rows("staff_students") == pairs.count()
+    assert other.size("staff_students") == derived.size("staff_students") > 0
+    assert len(made() - before) == 1
