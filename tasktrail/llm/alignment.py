@@ -46,13 +46,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tasktrail.llm.chunk_tokens import ChunkEncoder, _byte_letters
-from tasktrail.llm.common import documents_of, released, scratch_path
+from tasktrail.llm.common import documents_of, release, released, scratch_path
 
-# A block ends with the document that reaches either bound; places fit 16 bits.
+# A block ends with the document that reaches either bound; places fit 16 bits. A worker holds
+# one block, its tokens and its postings, some 60 bytes a character.
 BLOCK_DOCUMENTS = 1 << 15
-BLOCK_CHARACTERS = 8 << 20
+BLOCK_CHARACTERS = 2 << 20
 # Parts are aligned together up to about so many bytes.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 # Links of larger groups are counted by multiplicities.
 WIDE_GROUP = 256
 
@@ -330,16 +331,26 @@ class _Block:
         both, times = np.unique(place * len(parts.reach) + codes, return_counts=True)
         place, codes = np.divmod(both, len(parts.reach))
         reach = parts.reach[codes]
-        steps = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
-        at = np.repeat((np.cumsum(parts.reach) - parts.reach)[codes], reach) + steps
-        code = parts.pair[at] << 16 | np.repeat(place, reach)
-        links = parts.links[at] * np.repeat(times, reach)
+        begins = (np.cumsum(parts.reach) - parts.reach)[codes]
+        at = np.repeat(begins - (np.cumsum(reach) - reach), reach)
+        at += np.arange(len(at))
+        # One number a link, and no more of them at a time than the next step reads.
+        code, links = parts.pair[at], parts.links[at]
+        del at
+        code <<= 16
+        code |= np.repeat(place, reach)
+        links *= np.repeat(times, reach)
         order = np.argsort(code, kind="stable")
-        code, links = code[order], links[order]
+        code = code[order]
+        links = links[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         rest = np.add.reduceat(links, first) - 1
+        del links
         code = code[first]
+        del first
         pair, place = code >> 16, (code & 0xFFFF).astype("<u2")
+        del code
         yield from self._plane(0, n_b, pair, place)
         for digit in range(int(rest.max()).bit_length()):
             has = (rest >> digit & 1).astype(bool)
@@ -423,6 +434,7 @@ def _read(a_path: str, b_path: str):
                 if block.full:
                     yield from block.rows(tool)
                     block = _Block(block.number + 1)
+                    release()
         if block.documents:
             yield from block.rows(tool)
 

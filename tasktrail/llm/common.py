@@ -83,6 +83,15 @@ def free_name(table: DataFrame, wanted: str) -> str:
 SLICE_ROWS = 1024
 
 
+def release() -> None:
+    """Give what the allocators keep for themselves back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # Another C library: nothing to trim.
+
+
 def released(work: Callable) -> Callable:
     """A function over Arrow batches that gives memory back to the machine when its task ends.
 
@@ -94,11 +103,7 @@ def released(work: Callable) -> Callable:
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # Another C library: nothing to trim.
+            release()
 
     return run
 

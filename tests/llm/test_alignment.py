@@ -1,6 +1,8 @@
 """Alignment against occurrence pairs counted one by one."""
 
 import hashlib
+import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -171,3 +173,21 @@ def test_query_over_the_given_table(spark):
     found = op11_cross_tokenizer_alignment(spark, folder)
     assert set(map(tuple, found.select(*COLUMNS).collect())) == expected
     assert found.filter(F.col("n_a") > 0).count() > 0
+
+
+def test_a_full_block_takes_bounded_memory():
+    rng = random.Random(11)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(50_000)]
+    block = alignment._Block(0)
+    while not block.full:
+        block.add(block.documents, " ".join(rng.choices(words, k=400)))
+    tool = aligner(A, B)
+    tracemalloc.start()
+    try:
+        rows = sum(batch.num_rows for batch in block.rows(tool))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > block.documents
+    # Two workers of an executor hold one block each beside their vocabularies and caches.
+    assert peak < 120 << 20
