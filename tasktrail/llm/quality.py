@@ -18,12 +18,13 @@ score is one half. Repeated rows repeat.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tasktrail.llm.common import free_name, with_column_of_text
+from tasktrail.llm.common import free_name, release, with_column_of_text
 
 POSITIVES = 5000
 UNLABELLED = 10_000
@@ -101,24 +102,40 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
+def _spread(sets: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of each column over all rows, in doubles, a batch of rows at a time."""
+    count = sum(map(len, sets))
+
+    def total(of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        held = np.zeros(sets[0].shape[1])
+        for rows in sets:
+            for start in range(0, len(rows), BATCH):
+                part = of(rows[start : start + BATCH].astype(np.float64))
+                held = np.concatenate([held[None], part]).sum(axis=0)
+        return held
+
+    mean = total(lambda rows: rows) / count
+    return mean, np.sqrt(total(lambda rows: (rows - mean) ** 2) / count) + 1e-3
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     """Minimise the non-negative risk with the sigmoid loss by stochastic steps."""
     width = positive.shape[1]
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(width), np.ones(width), np.zeros(width + 1), prior)
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    mean, scale = _spread((positive, unlabelled))
     weight = np.zeros(width + 1)
-    one = np.ones((len(both), 1))
-    both = np.concatenate([(both - mean) / scale, one], axis=1)
-    positive, unlabelled = both[: len(positive)], both[len(positive) :]
+
+    def drawn(rows: np.ndarray) -> np.ndarray:
+        own = rows[rng.integers(0, len(rows), BATCH)]
+        return np.concatenate([(own - mean) / scale, np.ones((len(own), 1))], axis=1)
+
     rng = np.random.default_rng(SEED)
     decay = DECAY * max(1.0, POSITIVES / len(positive)) ** 0.5
     first, second = np.zeros_like(weight), np.zeros_like(weight)
     average = np.zeros_like(weight)
     for step in range(1, STEPS + 1):
-        pos = positive[rng.integers(0, len(positive), BATCH)]
-        unl = unlabelled[rng.integers(0, len(unlabelled), BATCH)]
+        pos, unl = drawn(positive), drawn(unlabelled)
         # sigmoid(-z) is the loss of a positive with margin z, sigmoid(z) that of a negative.
         p = 1 / (1 + np.exp(-np.clip(pos @ weight, -30, 30)))
         u = 1 / (1 + np.exp(-np.clip(unl @ weight, -30, 30)))
@@ -155,10 +172,11 @@ def _rows(texts: DataFrame) -> np.ndarray:
         return lambda batch: [features(text).tobytes() for text in batch]
 
     found = with_column_of_text(texts.select("text"), "features", T.BinaryType(), start)
+    rows = [bytes(row["features"]) for row in found.select("features").collect()]
     # A fixed order, because training draws by place.
-    rows = sorted(bytes(row["features"]) for row in found.select("features").collect())
+    rows.sort()
     flat = np.frombuffer(b"".join(rows), np.float32)
-    return flat.reshape(len(rows), BUCKETS + STATISTICS).astype(np.float64)
+    return flat.reshape(len(rows), BUCKETS + STATISTICS)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
@@ -184,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     known, drawn = _rows(positive), _rows(_draw(texts, UNLABELLED, rows, 3))
     if rows and good and not len(drawn):
         raise ValueError(f"none of {rows} texts was drawn to learn from")
+    release()
     return fit(known, drawn, prior)
 
 

@@ -1,5 +1,6 @@
 """Language ID and quality: held-out accuracy, folds and odd rows."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -139,3 +140,20 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.train(docs, twice, F.lit(True)).score(["any text"]).tolist() == [0.5]
     nothing = quality.train(no_documents(spark), labels, F.lit(True))
     assert nothing.score(["any text"]).tolist() == [0.5]
+
+
+def test_the_fit_makes_no_copy_of_its_rows():
+    rng = np.random.default_rng(3)
+    width = quality.BUCKETS + quality.STATISTICS
+    positive, unlabelled = (rng.random((n, width)).astype(np.float32) for n in (1500, 3000))
+    tracemalloc.start()
+    try:
+        model = quality.fit(positive, unlabelled, 0.3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # A few batches in doubles, whatever the number of rows.
+    assert peak < 40 << 20
+    both = np.concatenate([positive, unlabelled]).astype(np.float64)
+    assert np.allclose(model.mean, both.mean(axis=0), rtol=0, atol=1e-12)
+    assert np.allclose(model.scale, both.std(axis=0) + 1e-3, rtol=0, atol=1e-12)
