@@ -9,6 +9,7 @@ import pytest
 from tasktrail.checks.registry import registered
 from tasktrail import plans
 from tasktrail.operators import lookups
+from tasktrail.plans.progress import _facts
 from tasktrail.sources.school import School
 from tests.conftest import FOLDER
 from tests.schools import NO_BROADCAST, settings
@@ -111,3 +112,28 @@ def test_dated_reports_read_the_folders_of_their_years(spark, derived, tmp_path)
     again = plans.progress_report_individual(made, None, 0, True, "1996-01-01", "1997-12-31")
     assert sorted(map(str, again.collect())) == sorted(map(str, whole.collect()))
     assert plans.attendance_alerts(made).stored.columns == plans.attendance_alerts(derived).stored.columns
+
+
+def test_attempts_are_written_without_their_texts(derived):
+    """They are made where they are read, of numbers that take less to write."""
+    plan = explained(derived.task_evaluations.select("changeId", "note"))
+    (scan,) = scans(plan, "task_evaluations")
+    schema = re.search(r"ReadSchema: struct<(.*)>", scan).group(1)
+    assert not {"changeId", "note"} & {column.split(":")[0] for column in schema.split(",")}
+
+
+def test_many_wanted_students_are_not_matched_with_the_attempts(spark, derived, monkeypatch):
+    ids = [row[0] for row in derived.students.select("studentId").limit(60).collect()]
+    wanted = spark.createDataFrame([(one,) for one in ids + ids[:5]], "id int")
+    small = plans.progress_report_individual(derived, wanted, latest=True, ordered=False)
+    listed = plans.progress_report_individual(derived, ids, latest=True, ordered=False)
+    expected = sorted(map(str, listed.collect()))
+    assert expected and sorted(map(str, small.collect())) == expected
+    scope = (derived, derived.task_evaluations, wanted, 0, False)
+    assert "BroadcastHashJoin LeftSemi" in explained(_facts(*scope))
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
+    with settings(spark, NO_BROADCAST):
+        # The path has the wanted students only, so the attempts need no shuffle of their own for it.
+        assert "Join" not in explained(_facts(*scope))
+        large = plans.progress_report_individual(derived, wanted, latest=True, ordered=False)
+        assert sorted(map(str, large.collect())) == expected
