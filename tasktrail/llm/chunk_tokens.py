@@ -7,6 +7,11 @@ tokens hold none), so the ids of a text are the ids of its pieces one after the
 Natural text repeats most of its pieces, which makes this several times faster than
 encoding text by text. The cache is bounded and only saves work.
 
+Where only ids are wanted, texts are also cut between a Latin-1 letter and the mark
+behind it, and for a tokenizer that lower-cases, A-Z and line feeds are folded first, so
+that a word is encoded once however its line writes it. Folding leaves out letters in
+front of a character that might combine with them, and texts that may hold added tokens.
+
 Pieces of Latin-1 characters, for which lower case and composition are plain, go to the
 library's model right away with the pre-tokens of the file's own pattern; all others go
 through the library's whole chain. Both give the same ids.
@@ -26,6 +31,12 @@ import regex
 # Fixed: the split of byte-level tokenizers whose file names no other.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Fixed: the split of the word tokenizer.
+_WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Marks that end the word before them in both splits and stand in no added token.
+_MARKS = ".,;:!?"
+
 # White space beyond ASCII, fixed by the Unicode White_Space property; texts with any of
 # it are encoded as one piece.
 _WIDE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -65,6 +76,7 @@ class LatinSplit:
         self.find = regex.compile(pattern).findall
         self.lower = lower
         self.letters = _byte_letters()
+        self.space = chr(self.letters[0x20])
 
     @classmethod
     def of(cls, path: str) -> LatinSplit | None:
@@ -72,6 +84,9 @@ class LatinSplit:
             spec = json.load(file)
         normalizer = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
         kinds = [part["type"] for part in normalizer.get("normalizers", [normalizer])]
+        added = [token["content"] for token in spec["added_tokens"]]
+        if any(token[:2] != "<|" or set(token) & set(_MARKS) for token in added):
+            return None
         splitter = spec["pre_tokenizer"]
         parts = splitter.get("pretokenizers", [splitter])
         if any(part.get("add_prefix_space") for part in parts) or spec["model"]["type"] != "BPE":
@@ -82,12 +97,23 @@ class LatinSplit:
             "Split",
             "ByteLevel",
         ]:
-            return cls(parts[0]["pattern"]["Regex"], lower=True) if parts[0]["invert"] else None
+            known = parts[0]["invert"] and parts[0]["pattern"].get("Regex") == _WORD_LEVEL
+            return cls(_WORD_LEVEL, lower=True) if known else None
         return None
 
     def __call__(self, text: str) -> list[str] | None:
-        if not text.isascii() and (max(text) > "\u00ff" or "\u0085" in text or "\u00a0" in text):
+        plain = text.isascii()
+        if not plain and (max(text) > "\u00ff" or "\u0085" in text or "\u00a0" in text):
             return None
+        spaced = text[:1] == " "
+        word = text[1:] if spaced else text
+        if word.isalpha():
+            # Both splits take a run of letters whole; most pieces are one.
+            if self.lower:
+                word = word.lower()
+            if not plain:
+                word = word.encode().decode("latin-1").translate(self.letters)
+            return [self.space + word if spaced and not self.lower else word]
         if "<|" in text:
             return None
         found = self.find(text.lower() if self.lower else text)
@@ -104,6 +130,36 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return found
 
 
+def _table(letters: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(letters.encode())] = True
+    return table
+
+
+_MARK_BYTES = _table(_MARKS)
+_LETTER_BYTES = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
+def mark_cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a mark directly follows a letter, ASCII or U+00C0 to U+00FF, at each place."""
+    letter = _LETTER_BYTES[data]
+    last = data[1:]
+    letter[1:] |= (data[:-1] == 0xC3) & (last != 0x97) & (last != 0xB7)
+    found = _MARK_BYTES[data]
+    found[1:] &= letter[:-1]
+    found[:1] = False
+    return found
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased and line feeds as spaces, where composition cannot tell."""
+    if ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():
+        return data
+    upper = (data >= 0x41) & (data <= 0x5A)
+    upper[:-1] &= data[1:] < 0xC4
+    return np.where(data == 0x0A, np.uint8(0x20), data | (upper.view(np.uint8) << 5))
+
+
 def _may_hold_wide_space(data: np.ndarray) -> bool:
     """False only if no character beyond ASCII can be white space."""
     if ((data >= 0xE1) & (data <= 0xE3)).any():
@@ -112,6 +168,10 @@ def _may_hold_wide_space(data: np.ndarray) -> bool:
     return bool(((second == 0x85) | (second == 0xA0)).any())
 
 
+def _listed(values: pa.Array) -> list[bytes]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 # Bytes of kept pieces, twice, and an entry's own overhead.
 CACHE_BYTES = 40 << 20
 ENTRY_BYTES = 180
@@ -135,30 +195,41 @@ class ChunkEncoder:
         if self.held > CACHE_BYTES:
             self.older, self.cache, self.held = self.cache, {}, 0
         known, older = self.cache, self.older
-        fresh = {piece: older[piece] for piece in pieces if piece in older and piece not in known}
-        missing = [piece for piece in pieces if piece not in known and piece not in fresh]
-        rest: list[bytes] = []
-        tokenize = self.model.tokenize
-        for piece in missing:
-            parts = self.split(piece.decode()) if self.split else None
-            if parts is None:
-                rest.append(piece)
-            else:
-                own = array("I", [token.id for part in parts for token in tokenize(part)])
-                fresh[piece] = own.tobytes()
+        found = list(map(known.get, pieces))
+        fresh = [place for place, ids in enumerate(found) if ids is None]
+        rest: list[int] = []
+        split, tokenize = self.split, self.model.tokenize
+        for place in fresh:
+            piece = pieces[place]
+            ids = older.get(piece)
+            if ids is None:
+                parts = split(piece.decode()) if split else None
+                if parts is None:
+                    rest.append(place)
+                    continue
+                ids = array("I", [token.id for part in parts for token in tokenize(part)]).tobytes()
+            found[place] = ids
         for start in range(0, len(rest), 20_000):
             part = rest[start : start + 20_000]
-            texts = [piece.decode() for piece in part]
+            texts = [pieces[place].decode() for place in part]
             encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            fresh.update((piece, array("I", one.ids).tobytes()) for piece, one in zip(part, encoded))
-        for piece, ids in fresh.items():
+            for place, one in zip(part, encoded):
+                found[place] = array("I", one.ids).tobytes()
+        for place in fresh:
+            piece, ids = pieces[place], found[place]
             if len(piece) <= LONGEST_KEPT and self.held <= CACHE_BYTES:
                 known[piece] = ids
                 self.held += ENTRY_BYTES + len(piece) + len(ids)
-        return [fresh[piece] if piece in fresh else known[piece] for piece in pieces]
+        return found
+
+    def pieces(
+        self, texts: pa.Array, words: bool = False
+    ) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Piece codes, the first piece of each text (one more at the end), distinct pieces.
 
-    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Piece codes, the first piece of each text (one more at the end), distinct pieces."""
+        With ``words``, pieces are also cut in front of marks and may be folded: their ids
+        are those of the text, their bytes need not be.
+        """
         texts = texts.cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[
             texts.offset : texts.offset + len(texts) + 1
@@ -170,6 +241,8 @@ class ChunkEncoder:
         )
         starts = offsets - low
         begins = cuts(data)
+        if words and self.split:
+            begins |= mark_cuts(data)
         if _may_hold_wide_space(data):
             wide = pc.match_substring_regex(texts.cast(pa.large_string()), _WIDE_SPACE)
             wide = np.asarray(wide.to_numpy(zero_copy_only=False), bool)
@@ -177,6 +250,8 @@ class ChunkEncoder:
             begins[inside[wide[np.searchsorted(starts, inside, "right") - 1]]] = False
         begins[starts[starts < len(data)]] = True
         edges = np.append(np.flatnonzero(begins), len(data))
+        if words and self.split and self.split.lower:
+            data = folded(data)
         pieces = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(),
             max(0, len(edges) - 1),
@@ -191,21 +266,17 @@ class ChunkEncoder:
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
-        codes, first, distinct = self.pieces(texts)
-        sizes = np.fromiter(map(len, self.encoded(distinct.to_pylist())), np.int64) // 4
+        codes, first, distinct = self.pieces(texts, words=True)
+        sizes = np.fromiter(map(len, self.encoded(_listed(distinct))), np.int64) // 4
         total = np.concatenate([[0], np.cumsum(sizes[codes])]) if len(codes) else np.zeros(1, np.int64)
         return total[first[1:]] - total[first[:-1]]
 
     def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        codes, first, distinct = self.pieces(texts)
-        encoded = self.encoded(distinct.to_pylist())
-        sizes = np.fromiter(map(len, encoded), np.int64) // 4
-        flat = np.frombuffer(b"".join(encoded), "<u4")
-        begins = np.cumsum(sizes) - sizes
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            own = codes[a:b]
-            length = sizes[own]
-            ends = np.cumsum(length)
-            total = int(ends[-1]) if len(ends) else 0
-            yield flat[np.repeat(begins[own] - ends + length, length) + np.arange(total)]
+        codes, first, distinct = self.pieces(texts, words=True)
+        encoded = pa.array(self.encoded(_listed(distinct)), pa.large_binary())
+        _, offsets, data = encoded.take(pa.array(codes)).buffers()
+        ends = np.frombuffer(offsets, np.int64, len(codes) + 1) // 4
+        flat = np.frombuffer(data or b"", "<u4", int(ends[-1]))
+        for a, b in zip(ends[first[:-1]].tolist(), ends[first[1:]].tolist()):
+            yield flat[a:b]

@@ -51,6 +51,47 @@ def test_piecewise_ids_are_those_of_the_library(path, kept, monkeypatch):
     assert list(map(len, encoder.ids(pa.array(["", ""])))) == [0, 0]
 
 
+class Counted:
+    def __init__(self, model):
+        self.model, self.seen = model, []
+
+    def tokenize(self, word):
+        self.seen.append(word)
+        return self.model.tokenize(word)
+
+
+def test_a_word_is_encoded_once_however_it_is_written():
+    texts = ["Strange word, WORD. Word", "strange\nword; (word) wOrd?", "Été, été. ÉTÉ"]
+    # In brackets the word is a part of a longer piece.
+    for path, wanted in ((WORDS, ["word"] * 2), (BYTES, ["Word", "WORD", "wOrd", "word", "word", "word"])):
+        encoder = ChunkEncoder(path)
+        encoder.model = Counted(encoder.model)
+        own = [one.tolist() for one in encoder.ids(pa.array(texts[:2]))]
+        plain = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+        assert own == [one.ids for one in plain[:2]]
+        seen = [one.lstrip("\u0120\u010a") for one in encoder.model.seen]
+        assert sorted(one for one in seen if one.lower() == "word") == sorted(wanted)
+        assert [one.tolist() for one in encoder.ids(pa.array(texts[2:]))] == [plain[2].ids]
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_folding_and_marks_keep_the_ids_of_the_library(path):
+    odd = [
+        "H\u0331 J\u030cA\u030a K\u212a I\u0307.", "a.\u0338b A;\u0301", "<|STARTOFTEXT|> x",
+        "<|startoftext|>.<|endoftext|>,", "A\u03a3.\u03a3 A.\u03a3\nB", "x\u00d7. \u00f7, \u00c9. \u00ff;",
+        "It'S. they'LL, 'T", "\u00aa. \u00ba, \u00b5;", "\u65e5. A\u3000.B", "a\n\nB\r\n.C", ".", "A", "\n", " ",
+    ]
+    rng = random.Random(4)
+    parts = [*odd, *"HJAKIx.,;:!?'\n \u0331\u030c\u0301\u00c9\u00e9\u03a3\u0130", "<|", "|>", "'S", "\u1100", "\u1161"]
+    texts = odd + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)]
+    plain = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    # One text at a time, so that no text with a special string keeps others from folding.
+    encoder = ChunkEncoder(path)
+    assert [next(iter(encoder.ids(pa.array([text])))).tolist() for text in texts] == [one.ids for one in plain]
+    assert [one.tolist() for one in encoder.ids(pa.array(texts))] == [one.ids for one in plain]
+    assert encoder.counts(pa.array(texts)).tolist() == [len(one.ids) for one in plain]
+
+
 def test_packing_query(spark):
     plain = Tokenizer.from_file(WORDS)
     texts = texts_of(spark)
