@@ -5,14 +5,15 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tasktrail.checks.registry import registered
 from tasktrail import plans
-from tasktrail.operators import lookups
-from tasktrail.plans.progress import _facts
+from tasktrail.operators import attempts, lookups
+from tasktrail.plans.progress import ORDER, REPORT_COLUMNS, _facts
 from tasktrail.sources.school import School
 from tests.conftest import FOLDER
-from tests.schools import NO_BROADCAST, settings
+from tests.schools import NO_BROADCAST, rows_of, settings
 
 
 def explained(frame) -> str:
@@ -137,3 +138,55 @@ def test_many_wanted_students_are_not_matched_with_the_attempts(spark, derived,
         assert "Join" not in explained(_facts(*scope))
         large = plans.progress_report_individual(derived, wanted, latest=True, ordered=False)
         assert sorted(map(str, large.collect())) == expected
+
+
+def final_plan(frame) -> str:
+    frame.collect()
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        frame.explain()
+    return re.sub(r"#\d+L?", "", text.getvalue().split("== Initial Plan ==")[0])
+
+
+def test_latest_attempts_that_are_all_read_are_shuffled_once(spark, derived, monkeypatch):
+    facts = derived.task_evaluations.select(*attempts.ATTEMPT_KEY, "evaluationId", "evaluationDate")
+    # Copies and ties on the latest date.
+    facts = facts.unionAll(facts.filter("studentId % 3 = 0")).unionAll(
+        facts.filter("studentId % 5 = 0").withColumn("evaluationId", F.lit("XX"))
+    )
+
+    def seen(latest) -> list[str]:
+        return sorted(map(str, rows_of(latest, *facts.columns)))
+
+    expected = seen(attempts.latest_attempts(facts))
+    with settings(spark, NO_BROADCAST):
+        found = attempts.latest_attempts(facts.repartition(3, "studentId"), all_read=True)
+        plan = final_plan(found)
+        assert seen(found) == expected
+    assert len(re.findall(r"(?<!, )Exchange hashpartitioning\(staffId, studentId, taskId, \d+\)", plan)) == 1
+    assert "Exchange hashpartitioning(staffId, studentId, taskId, evaluationDate" not in plan
+    # Some keys hot, the others not.
+    counts = [row[0] for row in facts.groupBy(*attempts.ATTEMPT_KEY).count().select("count").collect()]
+    assert min(counts) <= 2 < max(counts)
+    monkeypatch.setattr(attempts, "HOT_ROWS", 2)
+    with settings(spark, NO_BROADCAST):
+        assert seen(attempts.latest_attempts(facts, all_read=True)) == expected
+
+
+def test_names_come_after_the_shuffle_of_the_order(spark, derived, monkeypatch):
+    wanted = derived.students.select("studentId")
+    expected = rows_of(plans.progress_report_individual(derived, wanted, latest=True))
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", derived.size("tasks") - 1)
+    with settings(spark, NO_BROADCAST):
+        report = plans.progress_report_individual(derived, wanted, latest=True)
+        plan = final_plan(report)
+        again = rows_of(report)
+    assert sorted(map(str, again)) == sorted(map(str, expected))
+    key = [REPORT_COLUMNS.index(name) for name in ORDER]
+    assert [[row[k] for k in key] for row in again] == [[row[k] for k in key] for row in expected]
+    above, (order,) = plan.split("rangepartitioning")[0], re.findall(r"rangepartitioning.*", plan)
+    assert "gradeLevelName" in order
+    assert all(f"[{key}], [{key}]" in above for key in ("staffId", "evaluationId", "evaluationTypeId"))
+    # One shuffle of the rows names both tasks.
+    below = plan.split("rangepartitioning")[1].split("SortMergeJoin")[1]
+    assert below.startswith(" [suggestedTaskId, prerequisiteTaskId]")
