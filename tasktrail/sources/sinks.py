@@ -23,8 +23,16 @@ def write_alerts(alerts: Alerts, folder: str, batch: int | str) -> None:
     write_batch(alerts.stored, folder, "stored", batch)
 
 
-def write_batch(rows: DataFrame, folder: str, output: str, batch: int | str) -> None:
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder.rstrip('/')}/{output}/batch={batch}")
+def write_batch(rows: DataFrame, folder: str, output: str, batch: int | str) -> str:
+    """Write one output of a batch, in place of an earlier try; its folder."""
+    path = f"{folder.rstrip('/')}/{output}/batch={batch}"
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _read(spark: SparkSession, folder: str, output: str, schema: StructType) -> DataFrame:

@@ -23,14 +23,14 @@ from tasktrail.plans.alerts import attendance_alerts, evaluation_alerts
 from tasktrail.sources.schemas import TABLES
 from tasktrail.sources.school import School
 from tasktrail.sources.shared_folder import shared_folder
-from tasktrail.sources.sinks import write_alerts
+from tasktrail.sources.sinks import delete, write_alerts, write_batch
 from tasktrail.streaming.ledger import Ledger
 from tasktrail.streaming.pinned import PinnedSchools
 
 _ALERTS = {"attendance": attendance_alerts, "task_evaluations": evaluation_alerts}
 
 
-# Bounds what one batch keeps while its outputs are written.
+# Bounds what one batch writes aside while its outputs are written.
 FILES_PER_BATCH = 1000
 
 
@@ -96,15 +96,20 @@ def alert_stream(
     pinned = PinnedSchools(spark, f"{folder.rstrip('/')}/pinned", table)
 
     def write(batch: DataFrame, number: int) -> None:
-        # Several outputs read the fresh changes; kept, the batch is taken from its source once.
-        fresh = (taken.fresh(batch, number) if ledger else batch).persist()
+        # Several outputs read the changes; written, the batch is taken from its source once, and
+        # no executor keeps it.
+        staged = write_batch(batch, folder, "staged", number)
         try:
+            changes = spark.read.schema(batch.schema).parquet(staged)
+            fresh = changes
+            if ledger:
+                fresh = taken.fresh(changes, number, taken.repeated(changes, number))
             alerts = build(pinned.school(school, fresh, number), fresh, str(number))
             write_alerts(alerts, folder, number)
             if ledger:
                 taken.add(fresh.select("changeId"), number)
         finally:
-            fresh.unpersist()
+            delete(spark, staged)
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()

@@ -20,6 +20,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tasktrail.operators import lookups
+from tasktrail.sources.school import row_width
+
 BUCKETS = 64
 SEGMENTS = 32
 # Fixed by the bitmap functions.
@@ -39,6 +42,7 @@ class Ledger:
         self.spark = spark
         self.folder = folder.rstrip("/")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._at = path
         self._path = lambda name: path(f"{self.folder}/{name}" if name else self.folder)
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._files = self._path("").getFileSystem(conf)
@@ -70,29 +74,41 @@ class Ledger:
             )
         )
 
-    def fresh(self, changes: DataFrame, batch: int) -> DataFrame:
+    def fresh(
+        self, changes: DataFrame, batch: int, repeated: DataFrame | None = None
+    ) -> DataFrame:
         """The changes that no earlier batch took, one of each id, and all without an id.
 
         Of several with one id in the batch the least by its columns is taken, so a rerun
         takes the same. The rows are shuffled once, before any sort: sorted where they are
-        read, a batch of large files would spill there.
+        read, a batch of large files would spill there. Given the few ids that are ``repeated``
+        in the batch, only their rows are shuffled; ``changes`` is read twice then.
         """
-        others = [name for name in changes.columns if name != "changeId"]
-        # A change without an id is a group of its own.
-        alone = F.when(F.col("changeId").isNull(), F.monotonically_increasing_id())
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        part = F.pmod(F.xxhash64("changeId", "_alone"), F.lit(parts)).cast("int")
-        once = (
-            changes.withColumn("_alone", alone)
-            .withColumn("_part", part)
-            .repartitionById(parts, "_part")
-            .groupBy("_part", "changeId", "_alone")
-            .agg(F.min(F.struct(*others)).alias("row"))
-            .select(*(F.col("changeId") if c == "changeId" else F.col(f"row.{c}") for c in changes.columns))
-        )
+        if repeated is None:
+            once = _least(changes)
+        else:
+            columns, few = changes.columns, F.broadcast(repeated)
+            alone = changes.join(few, "changeId", "left_anti").select(*columns)
+            once = alone.unionByName(_least(changes.join(few, "changeId", "left_semi").select(*columns)))
         seen = self.seen(once.select("changeId").filter(F.col("changeId").isNotNull()), batch)
         return once if seen is None else once.join(seen, "changeId", "left_anti")
 
+    def repeated(self, changes: DataFrame, batch: int) -> DataFrame | None:
+        """The ids that several changes of a batch have, written beside the ledger; None if
+        they are too many to broadcast, as measured. Shuffles the ids alone."""
+        known = changes.select("changeId").filter(F.col("changeId").isNotNull())
+        several = known.groupBy("changeId").agg(F.count("*").alias("rows")).filter(F.col("rows") > 1)
+        beside = f"{self.folder}-repeated"
+        path = f"{beside}/batch={batch}"
+        several.select("changeId").write.mode("overwrite").parquet(path)
+        for status in self._files.listStatus(self._at(beside)):
+            # A later batch has begun, so an earlier one is done.
+            if int(status.getPath().getName().removeprefix("batch=")) < batch:
+                self._files.delete(status.getPath(), True)
+        found = self.spark.read.schema("changeId string").parquet(path)
+        size = found.agg(F.sum(row_width(found))).first()[0] or 0
+        return found if size <= lookups.BROADCAST_BYTES else None
+
     def seen(self, ids: DataFrame, batch: int) -> DataFrame | None:
         """Those ids that earlier batches took; None if no bucket may hold one."""
         sources = self.sources(batch)
@@ -167,6 +183,23 @@ class Ledger:
         bitmaps.repartition(1).write.mode("overwrite").parquet(f"{self.folder}/{name}/filters")
 
 
+def _least(changes: DataFrame) -> DataFrame:
+    """Of the changes with one id the least by its columns; all without an id."""
+    others = [name for name in changes.columns if name != "changeId"]
+    # A change without an id is a group of its own.
+    alone = F.when(F.col("changeId").isNull(), F.monotonically_increasing_id())
+    parts = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("changeId", "_alone"), F.lit(parts)).cast("int")
+    return (
+        changes.withColumn("_alone", alone)
+        .withColumn("_part", part)
+        .repartitionById(parts, "_part")
+        .groupBy("_part", "changeId", "_alone")
+        .agg(F.min(F.struct(*others)).alias("row"))
+        .select(*(F.col("changeId") if c == "changeId" else F.col(f"row.{c}") for c in changes.columns))
+    )
+
+
 def _bucket() -> Column:
     return F.pmod(F.xxhash64("changeId"), F.lit(BUCKETS)).cast("int")
 

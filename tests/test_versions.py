@@ -6,18 +6,29 @@ import random
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tasktrail import plans
+from tasktrail.operators import lookups
 from tasktrail.operators.alerts import with_change_ids
 from tasktrail.plans import attendance_alerts
 from tasktrail.sources import sinks
+from tasktrail.sources.schemas import TABLES
 from tasktrail.sources.school import School
 from tasktrail.sources.sinks import read_messages, read_stored, read_user_messages
-from tasktrail.sources.versions import ROW_KEYS, compact, compacted, current, forget, read_current
+from tasktrail.sources.versions import (
+    ROW_KEYS,
+    compact,
+    compacted,
+    current,
+    forget,
+    merged,
+    read_current,
+)
 from tasktrail.streaming import ledger as ledgers
 from tasktrail.streaming.ledger import Ledger, _bitmaps, _places
-from tests.schools import presence, rows_of, school, table
-from tests.test_plans import explained
+from tests.schools import NO_BROADCAST, presence, rows_of, school, settings, table
+from tests.test_plans import explained, final_plan
 from tests.test_streaming import FIRST, deliver, run
 
 T = dt.datetime
@@ -250,3 +261,70 @@ def test_ledger_filters_and_fresh_changes_do_not_sort_what_they_read(spark, tmp_
     rows = fresh.collect()
     assert len(rows) == 3003 and sorted(r["n"] for r in rows if r["changeId"] is None) == ["u", "u", "v"]
     assert sum(r["n"] == "a" for r in rows) == 5
+
+
+def test_versions_of_single_keys_are_merged_where_they_lie(spark, derived, tmp_path, monkeypatch):
+    key = (1, 1, T(2020, 1, 1))
+    rows = [
+        (*key, 1, "old", False, "a"),
+        # Equal keys of the table without a version all stay, also of null keys.
+        (2, 1, T(2020, 1, 1), 1, "copy", False, "b"),
+        (2, 1, T(2020, 1, 1), 1, "copy", False, "b"),
+        (None, 1, T(2020, 1, 1), 1, "null key", False, "c"),
+        (None, 2, None, 1, "replaced", False, "d"),
+    ]
+    versions = [
+        (*key, 2, "first", False, "9", 0),
+        (*key, 2, "second", False, "10", 0),
+        (*key, 2, "last", False, None, 1),
+        (None, 2, None, 2, "new", None, "e", 0),
+        (7, 1, T(2020, 1, 1), 2, "added", False, "f", 1),
+    ]
+    listed = table(spark, "attendance", rows)
+    stored = spark.createDataFrame(versions, StructType([*TABLES["attendance"].fields, StructField("batch", LongType())]))
+    names = ["added", "copy", "copy", "last", "new", "null key"]
+
+    def notes():
+        return sorted(row[0] for row in rows_of(merged(listed, stored, ROW_KEYS["attendance"]), "note"))
+
+    assert notes() == names
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
+    assert notes() == names
+    monkeypatch.setattr("tasktrail.sources.versions.shared_folder", lambda spark: None)
+    assert notes() == names
+    monkeypatch.undo()
+    # Each row has its one version: nothing is shuffled but the keys beforehand.
+    ids = [(n, 1, T(2020, 1, 1), 1, "old", False, str(n)) for n in range(50)]
+    given = table(spark, "attendance", ids)
+    newer = given.withColumns({"note": F.lit("new"), "batch": F.lit(0).cast("long")})
+    with settings(spark, NO_BROADCAST):
+        now = merged(given, newer, ROW_KEYS["attendance"])
+        assert "hashpartitioning" not in final_plan(now)
+        assert rows_of(now, "note") == [("new",)] * 50
+
+
+def test_changes_with_ids_of_their_own_stay_where_they_lie(spark, tmp_path, monkeypatch):
+    rows = [(n, 1, T(2020, 1, 1), 1, f"n{n}", False, None if n % 10 == 0 else str(n)) for n in range(40)]
+    twice = [(99, 1, T(2020, 1, 1), 1, "later by its columns", False, "7"), rows[8]]
+    taken = Ledger(spark, f"{tmp_path}/ledger")
+    single, changes = table(spark, "attendance", rows), table(spark, "attendance", rows + twice)
+    with settings(spark, NO_BROADCAST):
+        fresh = taken.fresh(single, 0, taken.repeated(single, 0))
+        assert "hashpartitioning" not in final_plan(fresh) and "ShufflePartitionId" not in final_plan(fresh)
+    assert sorted(rows_of(fresh, "note")) == sorted((row[4],) for row in rows)
+    repeated = taken.repeated(changes, 1)
+    assert sorted(rows_of(repeated)) == [("7",), ("8",)]
+    few = taken.fresh(changes, 1, repeated)
+    assert few.columns == changes.columns
+    assert sorted(map(str, few.collect())) == sorted(map(str, taken.fresh(changes, 1).collect()))
+    assert few.count() == 40 and few.filter("note LIKE 'later%'").count() == 0
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
+    assert taken.repeated(changes, 1) is None
+
+
+def test_a_batch_is_written_aside_while_it_runs(spark, tmp_path):
+    changes = table(spark, "attendance", [presence(1, 1, T(2020, 1, 1), 2, "n", True, "a")])
+    path = sinks.write_batch(changes, str(tmp_path), "staged", 0)
+    assert rows_of(spark.read.schema(changes.schema).parquet(path)) == rows_of(changes)
+    sinks.delete(spark, path)
+    assert not (tmp_path / "staged/batch=0").exists()
