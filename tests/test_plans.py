@@ -189,4 +189,4 @@ def test_names_come_after_the_shuffle_of_the_order(spark, derived, monkeypatch):
     assert all(f"[{key}], [{key}]" in above for key in ("staffId", "evaluationId", "evaluationTypeId"))
     # One shuffle of the rows names both tasks.
     below = plan.split("rangepartitioning")[1].split("SortMergeJoin")[1]
-    assert below.startswith(" [suggestedTaskId, prerequisiteTaskId]")
+    assert below.startswith(" [suggestedTaskId, coalesce(prerequisiteTaskId, 0)")
